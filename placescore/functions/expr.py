@@ -107,10 +107,21 @@ def haversine_km(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_KM) -> Col
     return F.lit(2.0 * radius) * F.asin(F.sqrt(a))
 
 
-def fmt2(c: str | Column, missing: str = "—") -> Column:
-    """Two-decimal text with half-even rounding first; missing -> em dash."""
+def round_half_even(c: str | Column, decimals: int = 2) -> Column:
+    """Round like NumPy/pandas: ``rint(x * 10^d) / 10^d`` (half-even on the scaled double).
+
+    ``bround`` rounds the exact binary value instead, so e.g. 919.575 (stored as
+    919.57499...) gives 919.57 there but 919.58 in pandas.
+    """
+    f = float(10 ** decimals)
     x = col(c).cast("double")
-    return F.coalesce(F.format_string("%.2f", F.bround(x, 2)), F.lit(missing))
+    return F.rint(x * F.lit(f)) / F.lit(f)
+
+
+def fmt2(c: str | Column, missing: str = "—") -> Column:
+    """Two-decimal text after half-even rounding; missing -> em dash."""
+    x = round_half_even(c, 2)
+    return F.when(x.isNotNull(), F.format_string("%.2f", x)).otherwise(F.lit(missing))
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = (), include_bool: bool = False) -> list[str]:
@@ -134,7 +145,7 @@ def round_numeric(df: DataFrame, decimals: int = 2, exclude: Iterable[str] = ())
         if f.name not in ex and f.dataType.simpleString() in frac or (
             f.name not in ex and f.dataType.simpleString().startswith("decimal")
         ):
-            cols.append(F.bround(F.col(f.name), decimals).alias(f.name))
+            cols.append(round_half_even(F.col(f.name), decimals).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

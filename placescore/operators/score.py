@@ -15,7 +15,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placescore.functions.expr import asinh, clip, distance_to, log1p_safe
+from placescore.functions.expr import asinh, clip, distance_to, log1p_safe, round_half_even
 from placescore.operators.agg import qcol, quantiles
 
 
@@ -149,5 +149,5 @@ def score_columns_0_5(columns: Sequence[str], dimension_cols: Sequence[str]) ->
 def scale_to_0_5(df: DataFrame, dimension_cols: Sequence[str], hi: float = 5.0, decimals: int = 2) -> DataFrame:
     """Stored 0-1 scores to 0-5, clipped, rounded half-even to ``decimals``."""
     targets = set(score_columns_0_5(df.columns, dimension_cols))
-    return df.select(*[F.bround(clip(F.col(c).cast("double") * hi, 0.0, hi), decimals).alias(c) if c in targets
+    return df.select(*[round_half_even(clip(F.col(c).cast("double") * hi, 0.0, hi), decimals).alias(c) if c in targets
                        else F.col(c) for c in df.columns])

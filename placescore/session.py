@@ -32,6 +32,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.driver.memory", os.environ.get("PLACESCORE_DRIVER_MEMORY", "16g"))
     b = b.config("spark.ui.enabled", "false")
+    b = b.config("spark.ui.showConsoleProgress", "false")
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
