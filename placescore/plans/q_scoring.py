@@ -24,7 +24,7 @@ def scored_panel(spark: SparkSession, sf_dir: str, method: str = "exact") -> Dat
     """Imputed raw measures + feature scores + dimension scores, one row per unit."""
     imp = imputed_panel(spark, sf_dir, method)
     fs = score.feature_and_dimension_scores(imp, PANEL_FEATURES, PANEL_DIMENSIONS, IDS, method=method)
-    return imp.select(PANEL_KEY, PANEL_RENT_COL, PANEL_HOME_COL).join(fs, PANEL_KEY)
+    return imp.select(PANEL_KEY, PANEL_RENT_COL, PANEL_HOME_COL, "lat", "lon").join(fs, PANEL_KEY)
 
 
 # ------------------------------------------------------------------ recommendation

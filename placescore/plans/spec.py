@@ -52,3 +52,23 @@ FLAGSHIP_TOP_N = 15
 
 IMPUTE_TARGETS = ["order_count", "total_spend", "avg_order_value", "open_order_share", "spend_growth",
                   "event_value_mean", "event_count"]
+
+# Cluster naming on the panel: features the names look at, phrase pairs
+# (above / below the median) and trade-off rules, same shape as the place spec.
+PANEL_NAME_FEATURES = ["acctbal", "order_count", "total_spend", "avg_order_value", "open_order_share",
+                       "spend_growth", "event_value_mean", "event_count", "lat", "lon"]
+PANEL_PHRASES = {
+    "acctbal": ("Higher balance", "Lower balance"),
+    "order_count": ("Frequent buyers", "Rare buyers"),
+    "total_spend": ("Big spenders", "Small spenders"),
+    "avg_order_value": ("Large baskets", "Small baskets"),
+    "spend_growth": ("Growing spend", "Shrinking spend"),
+    "event_value_mean": ("High engagement", "Low engagement"),
+    "event_count": ("Active online", "Quiet online"),
+    "lat": ("Northern", "Southern"),
+}
+PANEL_TRADEOFFS = [
+    (("Big spenders", "Large baskets"), "higher spend"),
+    (("Quiet online", "Low engagement"), "less engagement"),
+    (("Shrinking spend",), "weaker growth"),
+]
