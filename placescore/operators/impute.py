@@ -12,7 +12,8 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
@@ -64,13 +65,12 @@ def _fill_values_by_cell(df: DataFrame, cols: Sequence[str], levels: Sequence[Se
     only table that changes between levels has one row per (cell, column).
     """
     cell = _cell_keys(levels)
-    num = df.select(*cell, *[F.col(c).cast("double").alias(c) for c in cols])
+    num = df.select(*cell, *[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
     long = num.unpivot(cell, list(cols), "__feature", "__value").where(F.col("__value").isNotNull())
     pts = long.select(*cell, "__feature", "__value", F.lit(1).cast("long").alias("__w"))
     nulls = num.groupBy(*cell).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
     cells = nulls.unpivot(cell, list(cols), "__feature", "__nnull").where(F.col("__nnull") > 0) \
-        .withColumn("__fill", F.lit(None).cast("double"))
-    cells = cut_small(cells)
+        .withColumn("__fill", F.lit(None).cast("double")).cache()
     for keys in list(levels) + [()]:
         keys = list(keys)
         virt = cells.where(F.col("__fill").isNotNull()).select(
@@ -78,18 +78,25 @@ def _fill_values_by_cell(df: DataFrame, cols: Sequence[str], levels: Sequence[Se
         med = pts.unionByName(virt).groupBy(*keys, "__feature").agg(
             F.percentile("__value", F.lit(0.5), F.col("__w")).alias("__m"))
         j = align_group_values(cells, med, keys + ["__feature"])
-        cells = cut_small(j.select(*cell, "__feature", "__nnull",
-                                   F.coalesce(F.col("__fill"), F.col("__m")).alias("__fill")))
+        # one row per (cell, column): cached so the next level reads it instead of
+        # re-planning the whole chain (keeps the plan linear in the number of levels)
+        cells = j.select(*cell, "__feature", "__nnull",
+                         F.coalesce(F.col("__fill"), F.col("__m")).alias("__fill")).cache()
     return cells.groupBy(*cell).agg(*[
         F.max(F.when(F.col("__feature") == c, F.col("__fill"))).alias(f"{c}__fill") for c in cols])
 
 
 def cut_small(df: DataFrame) -> DataFrame:
-    """Materialise a small statistics table and cut its lineage (reliable checkpoint)."""
+    """Materialise a table and cut its lineage (reliable checkpoint to the shared
+    checkpoint folder).  Persisted first so the checkpoint write does not
+    recompute the plan a second time."""
     from placescore.session import checkpoint_dir
 
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = p.checkpoint(eager=True)
+    p.unpersist()
+    return out
 
 
 def hierarchical_median_impute(df: DataFrame, cols: Sequence[str],
@@ -111,14 +118,32 @@ def hierarchical_median_impute(df: DataFrame, cols: Sequence[str],
     cols = list(cols)
     if method == "bracket":
         return _impute_levelwise(df, cols, levels, flag_col)
-    cell = _cell_keys(levels)
-    fills = _fill_values_by_cell(df, cols, levels)
-    j = align_group_values(df, fills, cell)
-    out = [F.coalesce(F.col(c), F.col(f"{c}__fill")).alias(c) if c in cols else F.col(c) for c in df.columns]
+    if method == "cells":
+        cell = _cell_keys(levels)
+        fills = _fill_values_by_cell(df, cols, levels)
+        j = align_group_values(df, fills, cell)
+        out = [F.coalesce(F.col(c), F.col(f"{c}__fill")).alias(c) if c in cols else F.col(c) for c in df.columns]
+        if flag_col:
+            flag = F.greatest(F.lit(0), *[(F.col(c).isNull() & F.col(f"{c}__fill").isNotNull()).cast("int") for c in cols])
+            out.append(flag.alias(flag_col))
+        return j.select(*out)
+    # default: one window per grouped level (a linear plan, one job), global level
+    # as a one-row aggregate attached by broadcast
+    out = df
+    if flag_col:
+        out = out.withColumn("__miss", F.array(*[F.col(c).isNull() for c in cols]))
+    for keys in levels:
+        w = Window.partitionBy(*keys)
+        out = out.select(*[F.coalesce(F.col(c), F.median(c).over(w)).alias(c) if c in cols else F.col(c)
+                           for c in out.columns])
+    glob = out.agg(*[F.median(c).alias(f"{c}__med") for c in cols])
+    out = out.crossJoin(F.broadcast(glob)).select(
+        *[F.coalesce(F.col(c), F.col(f"{c}__med")).alias(c) if c in cols else F.col(c) for c in out.columns])
     if flag_col:
-        flag = F.greatest(F.lit(0), *[(F.col(c).isNull() & F.col(f"{c}__fill").isNotNull()).cast("int") for c in cols])
-        out.append(flag.alias(flag_col))
-    return j.select(*out)
+        filled = F.greatest(F.lit(0), *[(F.col("__miss")[i] & F.col(c).isNotNull()).cast("int")
+                                        for i, c in enumerate(cols)])
+        out = out.withColumn(flag_col, filled).drop("__miss")
+    return out
 
 
 def _impute_levelwise(df: DataFrame, cols: list[str], levels, flag_col) -> DataFrame:

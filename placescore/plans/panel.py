@@ -40,8 +40,17 @@ PANEL_MEASURES = [
 PANEL_COORDS = ["lat", "lon"]
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet table reader; the DataFrame (file listing, footer schema) is reused
+    within a session -- DataFrames are immutable plans, so sharing is safe."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    k = (id(spark), path)
+    if k not in _TABLES:
+        _TABLES[k] = spark.read.parquet(path)
+    return _TABLES[k]
 
 
 def synthetic_lat(key: str) -> F.Column:

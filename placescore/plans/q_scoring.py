@@ -141,7 +141,9 @@ FROM r WHERE rank <= {top_n}
 
 @query("recommend_batch_users", covers="I7 D4(range join)", sql=_batch_sql(10))
 def recommend_batch_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sp = scored_panel(spark, sf_dir)
+    # the enriched panel is a stored table in the pipeline (M7); here it is
+    # materialised to the shared checkpoint folder before the many-user pass
+    sp = impute.cut_small(scored_panel(spark, sf_dir))
     out = rec.recommend_batch(sp, users_table(spark, sf_dir), PANEL_DIMENSION_COLS, PANEL_KEY, top_n=10,
                               rent_col=PANEL_RENT_COL, home_col=PANEL_HOME_COL)
     return out.select("user_id", PANEL_KEY, *PANEL_DIMENSION_COLS, "recommendation_score",
