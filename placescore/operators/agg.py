@@ -81,7 +81,10 @@ def _bracket_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float
     are first reduced to (distinct value, count) and only those -- at most about
     ``4 n / accuracy`` distinct values -- are ordered by a running sum.
     """
-    eps = 2.0 / accuracy
+    # bracket half-width: the sketch's rank error (n/accuracy) + one rank for the
+    # definition offset + margin; groups smaller than ``accuracy`` use [min, max]
+    # (they hold at most ``accuracy`` rows, so ranking them whole is bounded)
+    eps = 3.0 / accuracy
     gk = by or ["__all"]
     base = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]) if by else \
         df.select(F.lit(0).alias("__all"), *[F.col(c).cast("double").alias(c) for c in cols])
@@ -103,8 +106,10 @@ def _bracket_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float
     sk = sk.select(
         *gkeys, "__pi",
         ((F.col("__n") - 1) * F.col("__z.p")).alias("__h"),
-        F.when(F.col("__z.p") - F.lit(eps) <= 0, F.col("__min")).otherwise(F.col("__z.lo")).alias("__blo"),
-        F.when(F.col("__z.p") + F.lit(eps) >= 1, F.col("__max")).otherwise(F.col("__z.hi")).alias("__bhi"),
+        F.when((F.col("__z.p") - F.lit(eps) <= 0) | (F.col("__n") < accuracy), F.col("__min"))
+         .otherwise(F.col("__z.lo")).alias("__blo"),
+        F.when((F.col("__z.p") + F.lit(eps) >= 1) | (F.col("__n") < accuracy), F.col("__max"))
+         .otherwise(F.col("__z.hi")).alias("__bhi"),
     )
     j = long.join(sk, gkeys, "inner")
     below = j.where(F.col("__value") < F.col("__blo")).groupBy(*gkeys, "__pi").agg(F.count(F.lit(1)).alias("__nb"))

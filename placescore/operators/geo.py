@@ -38,15 +38,15 @@ def polygon_edges(polys: DataFrame, key: str, wkt: str) -> DataFrame:
     pts = rings.select(key, "ring", F.posexplode(F.split(F.trim("txt"), r"\s*,\s*")).alias("seq", "pt"))
     pts = pts.select(key, "ring", "seq", F.split(F.trim("pt"), r"\s+").alias("xy")).select(
         key, "ring", "seq", F.col("xy")[0].cast("double").alias("x"), F.col("xy")[1].cast("double").alias("y"))
-    r = pts.groupBy(key, "ring").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    r = pts.groupBy(key, "ring").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("__pts"))
     # a ring is one polygon ring -- bounded by the polygon's own vertex count
-    r = r.select(key, "ring", F.when((F.element_at("p", 1)["x"] == F.element_at("p", -1)["x"])
-                                     & (F.element_at("p", 1)["y"] == F.element_at("p", -1)["y"]), F.col("p"))
-                 .otherwise(F.concat("p", F.array(F.element_at("p", 1)))).alias("p"))
-    e = r.select(key, "ring", F.posexplode(F.arrays_zip(F.slice("p", 1, F.size("p") - 1),
-                                                      F.slice("p", 2, F.size("p") - 1))).alias("seq", "z"))
-    return e.select(key, "ring", "seq", F.col("z")["0"]["x"].alias("x1"), F.col("z")["0"]["y"].alias("y1"),
-                    F.col("z")["1"]["x"].alias("x2"), F.col("z")["1"]["y"].alias("y2"))
+    first, last = F.element_at("__pts", 1), F.element_at("__pts", -1)
+    closed = (first["x"] == last["x"]) & (first["y"] == last["y"])
+    r = r.select(key, "ring", F.when(closed, F.col("__pts")).otherwise(F.concat("__pts", F.array(first))).alias("__pts"))
+    n = F.size("__pts") - 1
+    e = r.select(key, "ring", F.posexplode(F.arrays_zip(F.slice("__pts", 1, n), F.slice("__pts", 2, n))).alias("seq", "__z"))
+    return e.select(key, "ring", "seq", F.col("__z")["0"]["x"].alias("x1"), F.col("__z")["0"]["y"].alias("y1"),
+                    F.col("__z")["1"]["x"].alias("x2"), F.col("__z")["1"]["y"].alias("y2"))
 
 
 # ------------------------------------------------------------------ E6
@@ -72,7 +72,7 @@ def points_in_polygons(points: DataFrame, pkey: str, x: str, y: str, edges: Data
     j = cand.join(bands, ["__poly", "__cy"])
     X, Y = F.col("__x"), F.col("__y")
     x1, y1, x2, y2 = F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")
-    crosses = ((y1 > Y) != (y2 > Y)) & (X < (x2 - x1) * (Y - y1) / (y2 - y1) + x1)
+    crosses = ((y1 > Y) != (y2 > Y)) & (X < F.try_divide((x2 - x1) * (Y - y1), y2 - y1) + x1)
     on_edge = (F.abs((x2 - x1) * (Y - y1) - (y2 - y1) * (X - x1)) <= eps) \
         & X.between(F.least(x1, x2), F.greatest(x1, x2)) & Y.between(F.least(y1, y2), F.greatest(y1, y2))
     g = j.groupBy("__pk", "__poly").agg(F.sum(crosses.cast("int")).alias("__n"), F.max(on_edge.cast("int")).alias("__on"))

@@ -1,0 +1,5 @@
+"""Streaming form of the batch recommendation.
+
+The reference has no streaming operators; this package only applies the batch
+operator to a stream of user-preference rows (see ``recommend_stream``).
+"""

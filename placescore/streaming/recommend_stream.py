@@ -1,0 +1,34 @@
+"""Score arriving user-preference rows against the stored enriched panel.
+
+``readStream`` of user rows (one row per user: income, housing mode, one
+rating column per dimension) -> ``foreachBatch`` -> the same ``recommend_batch``
+plan as the batch job, appended to a sink table.  The panel is a static Parquet
+table read once per micro-batch plan; checkpointing of the stream goes to the
+shared folder named by ``spark.checkpoint.dir``.
+"""
+
+from __future__ import annotations
+
+from typing import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+from placescore.operators.recommend import recommend_batch
+from placescore.session import checkpoint_dir
+
+
+def start(spark: SparkSession, users_stream: DataFrame, panel_path: str, out_path: str, score_cols: Sequence[str],
+          key: str, top_n: int = 30, rent_col: str = "MedianGrossRent_B25064",
+          home_col: str = "MedianHomeValue_B25077", trigger_once: bool = False):
+    """Start the query; returns the ``StreamingQuery``."""
+    panel = spark.read.parquet(panel_path)
+
+    def per_batch(batch: DataFrame, epoch_id: int) -> None:
+        out = recommend_batch(panel, batch, score_cols, key, top_n=top_n, rent_col=rent_col, home_col=home_col)
+        out.write.mode("append").parquet(out_path)
+
+    w = users_stream.writeStream.foreachBatch(per_batch).option(
+        "checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/recommend_stream")
+    if trigger_once:
+        w = w.trigger(availableNow=True)
+    return w.start()
