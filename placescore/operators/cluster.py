@@ -179,8 +179,32 @@ def _tradeoffs(phrases: Column, rules: Sequence[tuple[Sequence[str], str]]) -> C
 
 
 def _fmt_g4(x: Column) -> Column:
-    """Python-style ``%.4g``: Java keeps trailing zeros, so strip them."""
-    s = F.format_string("%.4g", x)
+    """Python-style ``%.4g``.
+
+    Python rounds the exact binary value half-even (36.135 -> 36.13, 12345 ->
+    1.234e+04); Java's formatter rounds the shortest decimal half-up.  So the
+    value is first rounded to 4 significant digits with ``rint`` on the scaled
+    double, then formatted, and Java's trailing zeros are stripped.
+    """
+    e = F.floor(F.log10(F.abs(x)))
+    m = (F.lit(3) - e).cast("int")
+    sc = F.pow(F.lit(10.0), m)                    # exact power of ten for m <= 22
+    prod = x * sc
+    # exact rounding error of the product (Dekker two-product): decides ties
+    def split(a):
+        c = F.lit(134217729.0) * a
+        hi = c - (c - a)
+        return hi, a - hi
+    xh, xl = split(x)
+    sh, sl = split(sc)
+    err = ((xh * sh - prod) + xh * sl + xl * sh) + xl * sl
+    fl = F.floor(prod)
+    tie = (prod - fl) == 0.5
+    r = F.when(tie & (err > 0), fl + 1).when(tie & (err < 0), fl).otherwise(F.rint(prod))
+    up = r / sc
+    down = F.rint(x / F.pow(F.lit(10.0), -m)) * F.pow(F.lit(10.0), -m)
+    v = F.when(x == 0, F.lit(0.0)).when(m >= 0, up).otherwise(down)
+    s = F.format_string("%.4g", v)
     s = F.regexp_replace(s, r"(\.\d*?)0+(e|$)", "$1$2")
     s = F.regexp_replace(s, r"\.(e|$)", "$1")
     return F.when(x.isNull(), F.lit("nan")).otherwise(s)
@@ -231,4 +255,8 @@ def assign_clusters(df: DataFrame, key: str, features: Sequence[str], ks: Sequen
         rk = sizes.withColumn("__new", F.row_number().over(Window.orderBy(F.desc("__n"), F.asc("__p"))) - 1)
         lab = lab.join(F.broadcast(rk), "__p").select(key, F.col("__new").cast("int").alias(f"cluster_k{k}"))
         out = out.join(lab, key)
+    from placescore.operators.impute import cut_small
+
+    out = cut_small(out)
+    z.unpersist()
     return out

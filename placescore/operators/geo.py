@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,16 +99,24 @@ def nearest_station(points: DataFrame, pkey: str, lat: str, lon: str, stations:
     """
     if stations.where(F.col(slat).isNotNull() & F.col(slon).isNotNull()).limit(1).count() == 0:
         raise ValueError("station table has no rows with coordinates")
-    from placescore.operators.impute import cut_small
-
     st = stations.where(F.col(slat).isNotNull() & F.col(slon).isNotNull()).select(
         F.col(skey).alias("__sid"), F.col(slat).cast("double").alias("__slat"),
         F.col(slon).cast("double").alias("__slon"), *[F.col(k).alias(f"__s_{k}") for k in keep])
     pts = points.select(F.col(pkey).alias("__pk"), F.col(lat).cast("double").alias("__lat"),
                         F.col(lon).cast("double").alias("__lon"))
     todo = pts.where(F.col("__lat").isNotNull() & F.col("__lon").isNotNull())
+    # start at the grid whose cells are about twice the mean station spacing
+    # (one tiny aggregate over the stations), so most points resolve in round one
+    sstat = st.agg(F.count(F.lit(1)).alias("n"), F.min("__slat").alias("a"), F.max("__slat").alias("b"),
+                   F.min("__slon").alias("c"), F.max("__slon").alias("d")).collect()[0]
+    area = max((sstat.b - sstat.a) * (sstat.d - sstat.c), 1e-6)
+    spacing = 2.0 * math.sqrt(area / max(sstat.n, 1))
+    r0 = 0
+    while r0 < levels - 1 and 360.0 / 2 ** (levels - r0) < spacing:
+        r0 += 1
     done = []
-    for r in range(levels):
+    held = []
+    for r in range(r0, levels):
         n = 2 ** (levels - r)          # cells around the globe in longitude
         size = 360.0 / n
         last = r == levels - 1
@@ -140,18 +149,28 @@ def nearest_station(points: DataFrame, pkey: str, lat: str, lon: str, stations:
             g_lon = F.least(F.asin(F.sin(F.radians(dl)) * F.cos(F.radians(F.col("__lat")))) * radius, pole)
         guard = F.least(g_n, g_s, g_lon)
         best = best.withColumn("__ok", F.lit(True) if last else (F.col("__b.__d") <= guard))
-        best = cut_small(best)
+        best = best.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(best)
         done.append(best.where("__ok").select("__pk", "__b"))
         if last:
             break
         todo = best.where(~F.col("__ok")).select("__pk", "__lat", "__lon") \
             .unionByName(p.join(best.select("__pk"), "__pk", "left_anti").select("__pk", "__lat", "__lon"))
-        todo = cut_small(todo)
+        todo = todo.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(todo)
         if todo.limit(1).count() == 0:
             break
     res = done[0]
     for d_ in done[1:]:
         res = res.unionByName(d_)
     out = pts.join(res, "__pk", "left")
-    return out.select(F.col("__pk").alias(pkey), F.col("__b.__sid").alias(skey),
-                      *[F.col(f"__b.__s_{k}").alias(k) for k in keep], F.col("__b.__d").alias("distance_km"))
+    out = out.select(F.col("__pk").alias(pkey), F.col("__b.__sid").alias(skey),
+                     *[F.col(f"__b.__s_{k}").alias(k) for k in keep], F.col("__b.__d").alias("distance_km"))
+    # materialise the result in the shared checkpoint folder, then release the
+    # per-round caches
+    from placescore.operators.impute import cut_small
+
+    out = cut_small(out)
+    for h in held:
+        h.unpersist()
+    return out

@@ -122,5 +122,6 @@ def pending_only(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """G4 for text tables: the last row by ``order`` wins."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    from placescore.operators.window import dedupe
+
+    return dedupe(df, key, [order], keep="last")

@@ -54,21 +54,35 @@ def assert_unique(df: DataFrame, key: str | Sequence[str], examples: int = 10) -
 
 
 def flag_duplicates(df: DataFrame, key: str | Sequence[str], out: str = "is_duplicate") -> DataFrame:
-    """Flag every member of a duplicated key (count over the key partition > 1)."""
+    """Flag every member of a duplicated key.
+
+    Count per key (map-side combined) joined back on the key, instead of a
+    window: a key holding a third of all rows would put them all in one
+    window task, while the join side is split by AQE's skew-join handling.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1)
+    cnt = df.groupBy(*keys).agg((F.count(F.lit(1)) > 1).alias(out))
+    r = cnt.select(*[F.col(k).alias(f"__k_{k}") for k in keys], out)
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return df.join(r, cond, "left").drop(*[f"__k_{k}" for k in keys])
 
 
 def dedupe(df: DataFrame, key: str | Sequence[str], order: Sequence[str], keep: str = "first") -> DataFrame:
-    """One row per key; the survivor is the first (``keep="first"``) or last
-    (``keep="last"``) row in the order of the ``order`` columns.
+    """One row per key; the survivor is the first (``keep="first"``,
+    ascending, missing first) or last (``keep="last"``) row in ``order``.
 
+    An aggregate (``min_by``/``max_by`` over a struct of the order columns)
+    rather than a window: partial aggregation reduces every key to one row per
+    partition before the shuffle, so a hot key never gathers in one task.
     Never a bare ``dropDuplicates``: the survivor is always defined.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    ords = [F.asc_nulls_first(c) if keep == "first" else F.desc_nulls_last(c) for c in order]
-    w = Window.partitionBy(*keys).orderBy(*ords)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest])
+    o = F.struct(*[F.col(c) for c in order])
+    pick = F.min_by(row, o) if keep == "first" else F.max_by(row, o)
+    g = df.groupBy(*keys).agg(pick.alias("__row"))
+    return g.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:

@@ -223,3 +223,14 @@ def test_label_report_fallbacks(spark):
     assert set(rep) == {0, 1}
     assert rep[0].candidate_name_1.endswith(" Hubs")
     assert rep[1].key_traits.startswith("a: higher vs avg (")
+
+
+def test_fmt_g4_matches_python(spark):
+    from placescore.operators.cluster import _fmt_g4
+    rnd = random.Random(17)
+    vals = [36.135, 12345.0, 0.000123456, -2.5, 9.99951, 801000000.0]
+    vals += [round(rnd.uniform(-1000, 1000), rnd.randint(0, 5)) for _ in range(300)]
+    vals += [rnd.uniform(-1, 1) * 10 ** rnd.randint(-6, 12) for _ in range(300)]
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = [r[0] for r in df.select(_fmt_g4(F.col("x"))).collect()]
+    assert got == ["%.4g" % v for v in vals]
