@@ -105,12 +105,12 @@ def nearest_station(points: DataFrame, pkey: str, lat: str, lon: str, stations:
     pts = points.select(F.col(pkey).alias("__pk"), F.col(lat).cast("double").alias("__lat"),
                         F.col(lon).cast("double").alias("__lon"))
     todo = pts.where(F.col("__lat").isNotNull() & F.col("__lon").isNotNull())
-    # start at the grid whose cells are about twice the mean station spacing
+    # start at the grid whose cells are about four times the mean station spacing
     # (one tiny aggregate over the stations), so most points resolve in round one
     sstat = st.agg(F.count(F.lit(1)).alias("n"), F.min("__slat").alias("a"), F.max("__slat").alias("b"),
                    F.min("__slon").alias("c"), F.max("__slon").alias("d")).collect()[0]
     area = max((sstat.b - sstat.a) * (sstat.d - sstat.c), 1e-6)
-    spacing = 2.0 * math.sqrt(area / max(sstat.n, 1))
+    spacing = 4.0 * math.sqrt(area / max(sstat.n, 1))
     r0 = 0
     while r0 < levels - 1 and 360.0 / 2 ** (levels - r0) < spacing:
         r0 += 1
