@@ -186,6 +186,10 @@ def _fmt_g4(x: Column) -> Column:
     value is first rounded to 4 significant digits with ``rint`` on the scaled
     double, then formatted, and Java's trailing zeros are stripped.
     """
+    # first settle summation-order noise: round to 12 significant digits, so a
+    # mean that is a decimal tie in exact arithmetic formats the same on every engine
+    k = (F.lit(11) - F.floor(F.log10(F.abs(x)))).cast("int")
+    x = F.when((x == 0) | x.isNull(), x).otherwise(F.rint(x * F.pow(F.lit(10.0), k)) / F.pow(F.lit(10.0), k))
     e = F.floor(F.log10(F.abs(x)))
     m = (F.lit(3) - e).cast("int")
     sc = F.pow(F.lit(10.0), m)                    # exact power of ten for m <= 22

@@ -10,7 +10,7 @@ E7 nearest station: multi-resolution grid search.  Round r uses cells of
 ``360 / 2^(levels - r)`` degrees; each unresolved point looks at its 3x3 cell
 block (equi-join on cell), keeps the best station by (distance, id) and is
 resolved when that distance is no larger than a lower bound on the distance to
-anything outside the block.  Unresolved points move to a coarser grid; at the
+anything outside the block.  Unresolved points move to a 4x coarser grid; at the
 coarsest level the block covers the globe, so every point is resolved.  No
 cross join, no broadcast of a table whose size is not bounded.
 """
@@ -116,7 +116,10 @@ def nearest_station(points: DataFrame, pkey: str, lat: str, lon: str, stations:
         r0 += 1
     done = []
     held = []
-    for r in range(r0, levels):
+    # unresolved points jump two levels (4x coarser cells) per round; the last
+    # round is the coarsest grid, whose 3x3 block covers the globe
+    rounds = list(range(r0, levels - 1, 2)) + [levels - 1]
+    for r in rounds:
         n = 2 ** (levels - r)          # cells around the globe in longitude
         size = 360.0 / n
         last = r == levels - 1

@@ -228,7 +228,8 @@ def cluster_short_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _g4(x: str) -> str:
-    return f"CASE WHEN {x} IS NULL THEN 'nan' ELSE printf('%.4g', {x}) END"
+    st = f"CASE WHEN {x} = 0 THEN {x} ELSE round({x}, CAST(11 - floor(log10(abs({x}))) AS INTEGER)) END"
+    return f"CASE WHEN {x} IS NULL THEN 'nan' ELSE printf('%.4g', {st}) END"
 
 
 def _report_sql() -> str:
