@@ -146,7 +146,7 @@ def label_report(df: DataFrame, label: str, features: Sequence[str], phrases: Ma
         F.sort_array(F.collect_list(F.struct("rank", line.alias("line"), phrase.alias("phrase")))).alias("__t"))
     lines = F.transform("__t", lambda s: s["line"])
     phr = F.filter(F.transform("__t", lambda s: s["phrase"]), lambda p: p.isNotNull())
-    a, b = F.element_at(phr, 1), F.element_at(phr, 2)
+    a, b = F.try_element_at(phr, F.lit(1)), F.try_element_at(phr, F.lit(2))
     has_a, has_b = F.size(phr) >= 1, F.size(phr) >= 2
     rep = rep.select(
         label,

@@ -29,8 +29,8 @@ def split_tagged(df: DataFrame, text: str, tagline: str = "tagline", summary: st
     """
     t = F.col(text)
     ok = t.contains("TAGLINE:") & t.contains("SUMMARY:")
-    tag = F.element_at(F.split(F.element_at(F.split(t, "TAGLINE:"), 2), "SUMMARY:"), 1)
-    summ = F.element_at(F.split(t, "SUMMARY:"), 2)
+    tag = F.try_element_at(F.split(F.try_element_at(F.split(t, "TAGLINE:"), F.lit(2)), "SUMMARY:"), F.lit(1))
+    summ = F.try_element_at(F.split(t, "SUMMARY:"), F.lit(2))
     return df.withColumns({tagline: F.when(ok, _strip(tag)), summary: F.when(ok, _strip(summ)).otherwise(t)})
 
 
@@ -125,3 +125,15 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     from placescore.operators.window import dedupe
 
     return dedupe(df, key, [order], keep="last")
+
+
+def intro_extract(df: DataFrame, key: str, response: str, out: str = "extract") -> DataFrame:
+    """Intro text from a stored page-extract response
+    ``{"query": {"pages": {"<id>": {"extract": ...}}}}``; a missing page (no
+    ``extract``) or an unparsable response gives null.  The first page with an
+    extract wins (pages ordered by id)."""
+    schema = "struct<query: struct<pages: map<string, struct<extract: string>>>>"
+    pages = F.from_json(F.col(response), schema)["query"]["pages"]
+    ex = F.filter(F.transform(F.array_sort(F.map_entries(pages)), lambda e: e["value"]["extract"]),
+                  lambda x: x.isNotNull())
+    return df.select(key, F.try_element_at(ex, F.lit(1)).alias(out))

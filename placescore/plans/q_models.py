@@ -532,3 +532,36 @@ def title_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = d.select(title.alias("title"), "text")
     cands = [F.concat(F.col("c_name"), F.lit(" ("), F.col("n_name"), F.lit(")")), F.col("c_name")]
     return text.title_fallback(u, "c_custkey", cands, titles, "title", "text")
+
+
+def _responses_spark(d: DataFrame) -> DataFrame:
+    pages = F.create_map(F.col("doc_id").cast("string"), F.struct(F.col("text").alias("extract")))
+    page = F.to_json(F.struct(F.struct(pages.alias("pages")).alias("query")))
+    missing = F.lit('{"query": {"pages": {"-1": {"missing": ""}}}}')
+    txt = (F.when(F.col("doc_id") % 10 == 0, missing)
+           .when(F.col("doc_id") % 10 == 1, F.lit("<html>error</html>"))
+           .otherwise(page))
+    return d.select("doc_id", txt.alias("response"))
+
+
+@query("intro_extract", covers="L5", sql="""
+WITH r AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '{"query": {"pages": {"-1": {"missing": ""}}}}'
+                               WHEN doc_id % 10 = 1 THEN '<html>error</html>'
+                               ELSE CAST(json_object('query', json_object('pages', json_object(CAST(doc_id AS VARCHAR), json_object('extract', text)))) AS VARCHAR) END AS response
+           FROM documents)
+SELECT doc_id, CASE WHEN json_valid(response) THEN json_extract_string(response, '$.query.pages.*.extract')[1] END AS extract FROM r""")
+def intro_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.intro_extract(_responses_spark(T(spark, sf_dir, "documents")), "doc_id", "response")
+
+
+@query("pending_docs", covers="L6", sql="""
+SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def pending_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.pending_only(T(spark, sf_dir, "documents").select("doc_id", "lang"), T(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("unit_lookup", covers="D7", sql=f"""
+WITH panel AS ({PANEL_SQL}) SELECT unit_key, unit_name, state, unit_type, acctbal FROM panel WHERE unit_key = 42""")
+def unit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placescore.operators.window import lookup_key
+    return lookup_key(unit_panel(spark, sf_dir), PANEL_KEY, 42).select(PANEL_KEY, "unit_name", "state", "unit_type", "acctbal")
