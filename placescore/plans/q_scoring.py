@@ -23,8 +23,14 @@ def imputed_panel(spark: SparkSession, sf_dir: str, method: str = "exact") -> Da
 def scored_panel(spark: SparkSession, sf_dir: str, method: str = "exact") -> DataFrame:
     """Imputed raw measures + feature scores + dimension scores, one row per unit."""
     imp = imputed_panel(spark, sf_dir, method)
-    fs = score.feature_and_dimension_scores(imp, PANEL_FEATURES, PANEL_DIMENSIONS, IDS, method=method)
-    return imp.select(PANEL_KEY, PANEL_RENT_COL, PANEL_HOME_COL, "lat", "lon").join(fs, PANEL_KEY)
+    # raw columns the recommender needs ride through the scoring as renamed
+    # pass-through ids, so the imputed panel is consumed without a self-join
+    raw = [PANEL_RENT_COL, PANEL_HOME_COL, "lat", "lon"]
+    imp = imp.withColumns({f"__raw_{c}": F.col(c) for c in raw})
+    fs = score.feature_and_dimension_scores(imp, PANEL_FEATURES, PANEL_DIMENSIONS,
+                                            IDS + [f"__raw_{c}" for c in raw], method=method)
+    rest = [c for c in fs.columns if c not in IDS and not c.startswith("__raw_")]
+    return fs.select(PANEL_KEY, *[F.col(f"__raw_{c}").alias(c) for c in raw], *[c for c in IDS if c != PANEL_KEY], *rest)
 
 
 # ------------------------------------------------------------------ recommendation
