@@ -47,7 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table reader; the DataFrame (file listing, footer schema) is reused
     within a session -- DataFrames are immutable plans, so sharing is safe."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    k = (id(spark), path)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # e.g. a Spark Connect session has no SparkContext
+        app = None
+    k = (app, id(spark), path)
     if k not in _TABLES:
         _TABLES[k] = spark.read.parquet(path)
     return _TABLES[k]
