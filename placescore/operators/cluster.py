@@ -247,13 +247,18 @@ def assign_clusters(df: DataFrame, key: str, features: Sequence[str], ks: Sequen
 
     z = pca.transform(cen).select(key, array_to_vector(F.slice(vector_to_array("__pc"), 1, kk)).alias("__z")).cache()
     out = z.select(key)
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(k: int, s: int):
+        m = KMeans(k=k, seed=seed + s, featuresCol="__z", predictionCol="__p", maxIter=300, tol=1e-4).fit(z)
+        return m.summary.trainingCost, s, m
+
     for k in ks:
-        best, cost = None, None
-        for s in range(starts):
-            m = KMeans(k=k, seed=seed + s, featuresCol="__z", predictionCol="__p", maxIter=300, tol=1e-4).fit(z)
-            c = m.summary.trainingCost
-            if cost is None or c < cost:
-                best, cost = m, c
+        # the restarts are independent Spark jobs: submit them concurrently and
+        # keep the lowest cost (ties -> the earliest seed)
+        with ThreadPoolExecutor(max_workers=min(starts, 4)) as pool:
+            fits = list(pool.map(lambda s: fit(k, s), range(starts)))
+        cost, _, best = min(fits, key=lambda t: (t[0], t[1]))
         lab = best.transform(z).select(key, "__p")
         sizes = lab.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
         rk = sizes.withColumn("__new", F.row_number().over(Window.orderBy(F.desc("__n"), F.asc("__p"))) - 1)
