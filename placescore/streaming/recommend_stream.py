@@ -9,6 +9,7 @@ shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,16 +20,24 @@ from placescore.session import checkpoint_dir
 
 def start(spark: SparkSession, users_stream: DataFrame, panel_path: str, out_path: str, score_cols: Sequence[str],
           key: str, top_n: int = 30, rent_col: str = "MedianGrossRent_B25064",
-          home_col: str = "MedianHomeValue_B25077", trigger_once: bool = False):
-    """Start the query; returns the ``StreamingQuery``."""
+          home_col: str = "MedianHomeValue_B25077", trigger_once: bool = False,
+          checkpoint_location: str | None = None):
+    """Start the query; returns the ``StreamingQuery``.
+
+    The stream's checkpoint defaults to a folder under the shared checkpoint
+    directory derived from the output path, so one logical query always resumes
+    from its own state and two different outputs never share one.
+    """
     panel = spark.read.parquet(panel_path)
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         out = recommend_batch(panel, batch, score_cols, key, top_n=top_n, rent_col=rent_col, home_col=home_col)
         out.write.mode("append").parquet(out_path)
 
-    w = users_stream.writeStream.foreachBatch(per_batch).option(
-        "checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/recommend_stream")
+    if checkpoint_location is None:
+        tag = hashlib.sha1(out_path.encode("utf-8")).hexdigest()[:16]
+        checkpoint_location = f"{checkpoint_dir(spark).rstrip('/')}/recommend_stream/{tag}"
+    w = users_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
     if trigger_once:
         w = w.trigger(availableNow=True)
     return w.start()
