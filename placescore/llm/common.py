@@ -8,7 +8,9 @@ of about ``SLICE_BYTES`` so that memory stays bounded whatever the batch size.
 from __future__ import annotations
 
 import hashlib
+import json
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A few given rows as a frame that Spark makes itself (no Python data on the executors)."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    data = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{', '.join(p.replace(' ', ':', 1) for p in schema.split(', '))}>>")))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder that the session names.
 
@@ -49,7 +58,18 @@ def cut(df: DataFrame) -> DataFrame:
     made only for a local master that names none (tests); on a cluster a missing
     setting is an error, as executors would not see a local folder.
     """
-    spark = df.sparkSession
+    _folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in that folder and read back: smaller than a checkpoint, for larger tables."""
+    path = f"{_folder(df.sparkSession)}/corpus-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -58,7 +78,7 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="corpus-ckpt-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def words(text: Column) -> Column:

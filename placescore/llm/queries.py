@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placescore.llm import mixing, quality_rules, sharding, url_filter
-from placescore.llm.common import table
+from placescore.llm import chat_format, decontaminate, mixing, quality_model, quality_rules, sharding, suffix_dedup, url_filter
+from placescore.llm.common import literal_rows, table
 from placescore.llm.registry import query
 
 # --- op10 -----------------------------------------------------------------------
@@ -109,3 +109,71 @@ FROM rated LEFT JOIN failed USING (r)"""
 @query("op3_quality_rules", _op3_sql())
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+# --- op2 ------------------------------------------------------------------------
+
+CHAT_BUDGET, CHAT_HISTORY = 1024, 128
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def _op2_sql() -> str:
+    piece = "12 + length(url_encode(role)) + 1 + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + 11"
+    return f"""
+WITH t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'),
+t1 AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + {chat_format.TURN_TOKENS} AS tokens, {piece} AS chars,
+  row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM t0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+t2 AS (SELECT *, pos = 1 AND role = 'system' AS is_sys, max(CASE WHEN pos = 1 AND role = 'system' THEN tokens END) OVER c AS sys_tokens,
+  max(CASE WHEN pos = 1 AND role = 'system' THEN chars END) OVER c AS sys_chars FROM t1 WINDOW c AS (PARTITION BY conv_id)),
+t3 AS (SELECT *, greatest(1, ({CHAT_BUDGET - CHAT_HISTORY} - coalesce(sys_tokens, 0)) // 2) AS half FROM t2),
+t4 AS (SELECT *, tokens > half AS big, sum(tokens) OVER w AS e, sum((tokens > half)::int) OVER w AS g FROM t3
+  WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+t5 AS (SELECT *, CASE WHEN is_sys THEN 's' WHEN big THEN 'b' || g ELSE g || '-' || ((e - 1) // half) END AS key FROM t4),
+t6 AS (SELECT *, max(pos) OVER k AS last, max(e) OVER k AS e_end FROM t5 WINDOW k AS (PARTITION BY conv_id, key)),
+spans AS (SELECT conv_id, count(DISTINCT key) FILTER (NOT is_sys) AS spans FROM t6 GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(chars) + coalesce(sum(chars) FILTER (NOT is_sys AND last < n AND e_end - (e - tokens) <= {CHAT_HISTORY}), 0)
+   + coalesce(any_value(sys_chars), 0) * greatest(any_value(spans) - 1, 0))::bigint AS formatted_chars
+FROM t6 JOIN spans USING (conv_id) GROUP BY conv_id"""
+
+
+@query("op2_chat_format", _op2_sql())
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = literal_rows(spark, "conv_id bigint, turn bigint, role string, text string",
+                         [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)])
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat_format.read_back(chat_format.format_chats(turns, CHAT_BUDGET, CHAT_HISTORY))
+    return back.select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
+# --- op7 ------------------------------------------------------------------------
+
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+
+
+@query("op7_quality_model")
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = quality_model.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# --- op9 ------------------------------------------------------------------------
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# --- op4 ------------------------------------------------------------------------
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placescore.llm.common import literal_rows
+
 #: Rules are sent to all executors; more than this many is an error.
 MAX_RULES = 100_000
 
@@ -71,7 +73,7 @@ PATTERN_RULES = [
 def rules_frame(spark: SparkSession, rules: list[tuple]) -> DataFrame:
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; {MAX_RULES} is the most that is sent to all executors")
-    return spark.createDataFrame(rules, RULES_SCHEMA)
+    return literal_rows(spark, RULES_SCHEMA, rules)
 
 
 def index_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
