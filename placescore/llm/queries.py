@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placescore.llm import chat_format, decontaminate, mixing, quality_model, quality_rules, sharding, suffix_dedup, url_filter
+from placescore.llm import chat_format, decontaminate, mixing, ngram_join, quality_model, quality_rules, sharding, suffix_dedup, url_filter
 from placescore.llm.common import literal_rows, table
 from placescore.llm.registry import query
 
@@ -177,3 +177,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# --- op1 ------------------------------------------------------------------------
+
+@query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_similar(table(spark, sf_dir, "documents"), width=3, percent=90)
