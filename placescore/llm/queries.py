@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placescore.llm import chat_format, decontaminate, mixing, ngram_join, quality_model, quality_rules, sharding, suffix_dedup, url_filter
+from placescore.llm import (
+    chat_format,
+    decontaminate,
+    license_scan,
+    mixing,
+    ngram_join,
+    quality_model,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    url_filter,
+)
 from placescore.llm.common import literal_rows, table
 from placescore.llm.registry import query
 
@@ -184,3 +195,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_join")
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_similar(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+# --- op8 ------------------------------------------------------------------------
+
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
