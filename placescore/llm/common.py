@@ -58,18 +58,18 @@ def cut(df: DataFrame) -> DataFrame:
     made only for a local master that names none (tests); on a cluster a missing
     setting is an error, as executors would not see a local folder.
     """
-    _folder(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in that folder and read back: smaller than a checkpoint, for larger tables."""
-    path = f"{_folder(df.sparkSession)}/corpus-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/corpus-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _folder(spark: SparkSession) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -183,6 +183,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_trees(x, (got["_y"].to_numpy() > 0).astype(float))
 
 
+def keep_scored(docs: DataFrame, model: Trees, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores at least ``least`` (no join, no shuffle)."""
+    place = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = statistics(b.column(place))
+            good = np.concatenate([model.score(x[k:k + 4096]) for k in range(0, len(x), 4096)]) >= least if len(x) else np.zeros(0, bool)
+            yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for each row of ``docs``; 0 to 1, higher: label 1 likelier.
 
