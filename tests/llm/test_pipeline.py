@@ -1,0 +1,64 @@
+import random
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline as P
+from placescore.llm.common import WORD
+
+GOOD = "abcdefghijklmnop"
+
+
+def _fixture(spark, folder):
+    rnd = random.Random(2)
+    prose = lambda n: " ".join("".join(rnd.choice(GOOD) for _ in range(rnd.randint(2, 8))) for _ in range(n)).capitalize() + "."
+    item = prose(40)
+    docs, bad, near, leaks = [], set(), {}, set()
+    for k in range(160):
+        t = prose(rnd.randint(60, 150))
+        if k % 8 == 0:
+            t = " ".join(w + "###" for w in t.split())
+            bad.add(k)
+        elif k % 8 == 1 and k > 10:
+            base = docs[k - 6][1]
+            t = base if k % 16 == 1 else base + " extra"
+            near[k] = k - 6
+        elif k % 20 == 7:
+            t = t + "\n" + item
+            leaks.add(k)
+        docs.append((k, t, "en", f"s{k % 3}", len(t), "more"))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, component_id string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, int(k not in bad), 0) for k in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs, bad, near, leaks
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    folder = str(tmp_path)
+    rows, bad, near, leaks = _fixture(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    all_ids = set(range(160))
+    want = [all_ids - bad, all_ids - bad - set(near), all_ids - bad - set(near) - {k for k in all_ids if k in leaks or near.get(k) in leaks}]
+    for (_, stage), ids in zip(P.STAGES[:3], want):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{folder}/{len(ids)}-{stage.__name__}")
+        docs = spark.read.parquet(f"{folder}/{len(ids)}-{stage.__name__}")
+        assert {r[0] for r in docs.select("doc_id").collect()} == ids
+    mixed = P.keep_mixed(spark, docs, folder)
+    assert mixed.columns == docs.columns
+    words = lambda d: {r[0]: r[1] for r in d.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(WORD)))).collect()}
+    before, after = words(docs), words(mixed)
+    for k, s in enumerate(sorted(before)):
+        assert abs(after[s] - sum(before.values()) * (k + 1) / 6) <= 160
+    shards = P.assign_shards(spark, mixed, folder)
+    assert shards.count() == mixed.count()
+
+
+def test_run_and_empty_documents(spark, tmp_path):
+    folder = str(tmp_path)
+    _fixture(spark, folder)
+    out = P.run(spark, folder)
+    assert out.columns == ["doc_id", "n_bytes", "shard", "depth", "page", "shard_bytes"] and out.count() > 100
+    empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, folder).count() == 0
