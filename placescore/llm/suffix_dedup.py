@@ -173,10 +173,14 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Anchors with several contexts in this batch are dealt by context, so that a frequent
         # passage does not meet in one task; one row of each tells the others of its rank.
         tell = np.flatnonzero(near & np.append(True, rank[1:] != rank[:-1])) if len(rank) else np.zeros(0, int)
+        told = rank[tell]
+        # In the order of the texts, so that ids and places compress in the shuffle.
+        o = np.lexsort((lo, doc))
+        rank, context, doc, lo, n, near, told_doc = rank[o], context[o], doc[o], lo[o], n[o], near[o], doc[tell]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-            np.concatenate([np.where(near, context, rank), rank[tell], md]),
+            np.concatenate([np.where(near, context, rank), told, md]),
             np.concatenate([context, np.zeros(len(tell) + len(md), np.int64)]),
-            np.concatenate([doc, doc[tell], md]),
+            np.concatenate([doc, told_doc, md]),
             np.concatenate([lo, np.full(len(tell), -1), ml]).astype(np.int32),
             np.concatenate([n + SHARED * near, np.full(len(tell), SHARED), -mn]).astype(np.int32))], ["route", "context", "doc", "lo", "n"])
 
@@ -213,10 +217,12 @@ def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.maximum.accumulate(np.where(first, np.arange(len(rank)), 0))
         again = ~first & ((doc != doc[head]) | (lo != lo[head]))
         md, ml, mn = _spans(doc[again], lo[again], np.ones(again.sum(), np.int64))
+        # In the order of the texts, so that ids and places compress in the shuffle.
+        o = np.flatnonzero(first)[np.lexsort((lo[first], doc[first]))]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-            np.concatenate([rank[first], md]), np.concatenate([more[first], np.zeros(len(md), np.int32)]),
-            np.concatenate([doc[first], md]), np.concatenate([lo[first], ml]).astype(np.int32),
-            np.concatenate([np.ones(first.sum(), np.int64), -mn]).astype(np.int32))], ["rank", "more", "doc", "lo", "n"])
+            np.concatenate([rank[o], md]), np.concatenate([more[o], np.zeros(len(md), np.int32)]),
+            np.concatenate([doc[o], md]), np.concatenate([lo[o], ml]).astype(np.int32),
+            np.concatenate([np.ones(len(o), np.int64), -mn]).astype(np.int32))], ["rank", "more", "doc", "lo", "n"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
