@@ -38,11 +38,6 @@ def safe_div(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(col(num), col(den))
 
 
-def nan_to_null(c: str | Column) -> Column:
-    x = col(c)
-    return F.when(~F.isnan(x), x)
-
-
 def coerce_numeric(c: str | Column, strip_commas: bool = True) -> Column:
     """Text to double; bad text, NaN and infinities become null (``errors=coerce``)."""
     x = F.trim(col(c).cast("string"))
@@ -57,11 +52,6 @@ def row_sum(cols: Sequence[str | Column]) -> Column:
     return reduce(lambda a, b: a + b, [col(c) for c in cols])
 
 
-def row_sum_skipna(cols: Sequence[str | Column]) -> Column:
-    """Row-wise sum that treats missing as 0 (all-missing gives 0)."""
-    return reduce(lambda a, b: a + b, [F.coalesce(col(c), F.lit(0.0)) for c in cols])
-
-
 def total_with_missing_as_zero(a: str | Column, b: str | Column) -> Column:
     return F.coalesce(col(a), F.lit(0.0)) + F.coalesce(col(b), F.lit(0.0))
 
@@ -124,18 +114,6 @@ def fmt2(c: str | Column, missing: str = "—") -> Column:
     return F.when(x.isNotNull(), F.format_string("%.2f", x)).otherwise(F.lit(missing))
 
 
-def numeric_columns(df: DataFrame, exclude: Iterable[str] = (), include_bool: bool = False) -> list[str]:
-    """Schema-level pick of numeric columns (bool excluded unless asked)."""
-    ex = set(exclude)
-    out = []
-    for f in df.schema.fields:
-        if f.name in ex:
-            continue
-        if isinstance(f.dataType, NumericType) or (include_bool and isinstance(f.dataType, BooleanType)):
-            out.append(f.name)
-    return out
-
-
 def round_numeric(df: DataFrame, decimals: int = 2, exclude: Iterable[str] = ()) -> DataFrame:
     """Round every fractional numeric column half-even (integers untouched)."""
     ex = set(exclude)
@@ -151,6 +129,3 @@ def round_numeric(df: DataFrame, decimals: int = 2, exclude: Iterable[str] = ())
     return df.select(*cols)
 
 
-def null_safe_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition that matches null keys to null keys (``<=>``)."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])

@@ -4,26 +4,18 @@ Global statistics are a one-row aggregate attached with
 ``crossJoin(broadcast(one_row))`` -- a provably one-row broadcast -- instead of a
 window without ``partitionBy`` (which would move every row into one task).
 
-Quantiles come in three methods:
-
-* ``"exact"``   -- ``percentile`` (linear interpolation, = DuckDB ``quantile_cont``).
-  Its final merge keeps a value->count map per group, fine for many modest groups.
-* ``"approx"``  -- ``percentile_approx`` (bounded GK sketch).
-* ``"bracket"`` -- exact result without holding a whole group in one task: a GK
-  sketch brackets the target ranks, rows below the bracket are only counted, and
-  only the few rows inside the bracket are ranked.  Use it for global statistics
-  and hot groups at scale.
+Quantiles are in ``operators/quantile.py``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placescore.functions.expr import col, safe_div
+from placescore.operators.window import sort_rows
 
 
 # ---------------------------------------------------------------- helpers
@@ -33,111 +25,6 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def _qname(c: str, p: float) -> str:
-    s = f"{p:.6f}".rstrip("0").rstrip(".").replace(".", "_")
-    return f"{c}__q{s}"
-
-
-def quantile_exprs(cols: Sequence[str], probs: Sequence[float], method: str = "exact",
-                   accuracy: int = 100000) -> list[Column]:
-    """One aggregate per column returning all requested probabilities at once."""
-    out = []
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    for c in cols:
-        if method == "approx":
-            q = F.percentile_approx(F.col(c), arr, accuracy)
-        else:
-            q = F.percentile(F.col(c), arr)
-        for i, p in enumerate(probs):
-            out.append(q.getItem(i).cast("double").alias(_qname(c, p)))
-    return out
-
-
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              method: str = "exact", accuracy: int = 10000) -> DataFrame:
-    """Quantiles of ``cols`` at ``probs`` per ``by`` group (one row per group).
-
-    Output columns are ``{col}__q{p}`` (``p`` with ``_`` as decimal point).
-    """
-    by = list(by)
-    if method in ("exact", "approx"):
-        g = df.groupBy(*by) if by else df
-        return g.agg(*quantile_exprs(cols, probs, method, accuracy))
-    if method == "bracket":
-        return _bracket_quantiles(df, cols, probs, by, accuracy)
-    raise ValueError(f"unknown quantile method {method!r}")
-
-
-def qcol(c: str, p: float) -> str:
-    return _qname(c, p)
-
-
-def _bracket_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: list[str],
-                       accuracy: int) -> DataFrame:
-    """Exact interpolated quantiles by sketch bracketing (see module doc).
-
-    Per (group, feature): one GK sketch gives values whose ranks bracket each
-    target rank ``h = (n-1) p``.  Rows below the bracket are counted; rows inside
-    are first reduced to (distinct value, count) and only those -- at most about
-    ``4 n / accuracy`` distinct values -- are ordered by a running sum.
-    """
-    # bracket half-width: the sketch's rank error (n/accuracy) + one rank for the
-    # definition offset + margin; groups smaller than ``accuracy`` use [min, max]
-    # (they hold at most ``accuracy`` rows, so ranking them whole is bounded)
-    eps = 3.0 / accuracy
-    gk = by or ["__all"]
-    base = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]) if by else \
-        df.select(F.lit(0).alias("__all"), *[F.col(c).cast("double").alias(c) for c in cols])
-    long = base.unpivot(gk, list(cols), "__feature", "__value")
-    long = long.where(F.col("__value").isNotNull() & ~F.isnan("__value"))
-    gkeys = gk + ["__feature"]
-    pr = F.array(*[F.lit(float(p)) for p in probs])
-    los = F.array(*[F.lit(max(0.0, p - eps)) for p in probs])
-    his = F.array(*[F.lit(min(1.0, p + eps)) for p in probs])
-    sk = long.groupBy(*gkeys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__value", los, accuracy).alias("__lo"),
-        F.percentile_approx("__value", his, accuracy).alias("__hi"),
-        F.min("__value").alias("__min"),
-        F.max("__value").alias("__max"),
-    )
-    z = F.arrays_zip(pr.alias("p"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"))
-    sk = sk.select(*gkeys, "__n", "__min", "__max", F.posexplode(z).alias("__pi", "__z"))
-    sk = sk.select(
-        *gkeys, "__pi",
-        ((F.col("__n") - 1) * F.col("__z.p")).alias("__h"),
-        F.when((F.col("__z.p") - F.lit(eps) <= 0) | (F.col("__n") < accuracy), F.col("__min"))
-         .otherwise(F.col("__z.lo")).alias("__blo"),
-        F.when((F.col("__z.p") + F.lit(eps) >= 1) | (F.col("__n") < accuracy), F.col("__max"))
-         .otherwise(F.col("__z.hi")).alias("__bhi"),
-    )
-    j = long.join(sk, gkeys, "inner")
-    below = j.where(F.col("__value") < F.col("__blo")).groupBy(*gkeys, "__pi").agg(F.count(F.lit(1)).alias("__nb"))
-    inside = j.where((F.col("__value") >= F.col("__blo")) & (F.col("__value") <= F.col("__bhi"))) \
-        .groupBy(*gkeys, "__pi", "__h", "__value").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*gkeys, "__pi").orderBy("__value").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("__before", F.coalesce(F.sum("__c").over(w), F.lit(0)))
-    inside = inside.join(below, gkeys + ["__pi"], "left").withColumn(
-        "__start", F.coalesce(F.col("__nb"), F.lit(0)) + F.col("__before"))
-    covers = lambda r: (F.col("__start") <= r) & (r < F.col("__start") + F.col("__c"))
-    picked = inside.groupBy(*gkeys, "__pi", "__h").agg(
-        F.max(F.when(covers(F.floor("__h")), F.col("__value"))).alias("__vlo"),
-        F.max(F.when(covers(F.ceil("__h")), F.col("__value"))).alias("__vhi"),
-    )
-    val = F.col("__vlo") + (F.col("__h") - F.floor("__h")) * (F.col("__vhi") - F.col("__vlo"))
-    picked = picked.select(*gkeys, "__pi", val.alias("__q"))
-    names = {(c, i): _qname(c, p) for c in cols for i, p in enumerate(probs)}
-    wide = picked.groupBy(*gk).agg(*[
-        F.max(F.when((F.col("__feature") == c) & (F.col("__pi") == i), F.col("__q"))).alias(n)
-        for (c, i), n in names.items()
-    ])
-    if not by:
-        # no values at all still yields one all-null row, like ``percentile``
-        one = df.sparkSession.range(1).select(F.lit(0).alias("__all"))
-        return one.join(wide, "__all", "left").drop("__all")
-    return wide
-
-
 # ---------------------------------------------------------------- F1-F7
 
 def group_sum(df: DataFrame, by: Sequence[str], cols: Sequence[str], dropna_keys: bool = True) -> DataFrame:
@@ -161,12 +48,12 @@ def weighted_mean_expr(value: str | Column, weight: str | Column) -> Column:
 
 def weighted_rollup(df: DataFrame, by: Sequence[str], measures: Sequence[str], weight: str,
                     row_id: str | None = None) -> DataFrame:
-    """all weighted means in one aggregate, plus distinct row count and weight total."""
+    """all weighted means in one aggregate, plus distinct row count and weight total, in order of the keys."""
     aggs = [weighted_mean_expr(m, weight).alias(m) for m in measures]
     if row_id:
         aggs.insert(0, F.count_distinct(row_id).alias("n_rows"))
     aggs.insert(1 if row_id else 0, F.sum(weight).alias("total_weight"))
-    return df.groupBy(*by).agg(*aggs)
+    return sort_rows(df.groupBy(*by).agg(*aggs), by)
 
 
 def group_mode(df: DataFrame, by: Sequence[str], value: str, out: str | None = None) -> DataFrame:
@@ -254,28 +141,18 @@ def iqr_expr(p25: str | Column, p75: str | Column) -> Column:
 
 # ---------------------------------------------------------------- F17-F20
 
-def ordered_text_concat(df: DataFrame, by: Sequence[str], text: str, order: str, sep: str = "\n\n",
-                        out: str = "text") -> DataFrame:
-    """concatenate texts per group in ``order`` (``listagg ... within group``)."""
-    return df.groupBy(*by).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))),
-                        lambda s: s["t"]),
-            sep,
-        ).alias(out))
-
-
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """missing count and percent per column, most-missing first."""
     cols = list(cols or df.columns)
     one = df.agg(F.count(F.lit(1)).alias("__rows"),
                  *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
     long = one.unpivot(["__rows"], cols, "column_name", "missing_count")
-    return long.select(
+    out = long.select(
         "column_name",
         F.col("missing_count").cast("long").alias("missing_count"),
         (F.col("missing_count") * 100.0 / F.nullif(F.col("__rows"), F.lit(0))).alias("missing_pct"),
     )
+    return sort_rows(out, ["missing_count", "column_name"], ascending=[False, True])
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
@@ -302,35 +179,25 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
                     "n")
 
 
-def density_grid(df: DataFrame, column: str, points: int = 50, exact: bool = True,
-                 prebin: int = 2048) -> DataFrame:
+def density_grid(df: DataFrame, column: str, points: int = 50) -> DataFrame:
     """Gaussian KDE (Scott bandwidth ``sigma * n^(-1/5)``) on an even grid.
 
-    ``exact=True`` evaluates every row against every grid point (grid is a fixed
-    ``points``-row broadcast).  ``exact=False`` first bins the rows into
-    ``prebin`` equal-width bins (one aggregate) and evaluates bin centres weighted
-    by count, so the work no longer grows with the row count.
+    One aggregate gives count, spread and range; a second one has a kernel sum
+    per grid point (``points`` columns, so no row is multiplied) and is turned
+    into rows at the end.
     """
     x = F.col(column).cast("double")
-    st = df.where(x.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(x).alias("sd"),
-                                     F.min(x).alias("lo"), F.max(x).alias("hi"))
+    rows = df.where(x.isNotNull()).select(x.alias("v"))
+    st = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    grid = st.select("lo", "hi", "h", "n", F.posexplode(F.sequence(F.lit(0), F.lit(points - 1))).alias("gi", "__g")) \
-        .select("gi", "h", "n", (F.col("lo") + F.col("gi") * (F.col("hi") - F.col("lo")) / (points - 1)).alias("x"))
-    if exact:
-        pts = df.where(x.isNotNull()).select(x.alias("v"), F.lit(1.0).alias("w"))
-    else:
-        b = df.where(x.isNotNull()).select(x.alias("v")).crossJoin(F.broadcast(st.select("lo", "hi")))
-        bw = (F.col("hi") - F.col("lo")) / prebin
-        b = b.withColumn("bin", F.when(bw == 0, 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / bw), F.lit(prebin - 1))))
-        pts = b.groupBy("bin", "lo", "hi").agg(F.count(F.lit(1)).cast("double").alias("w")) \
-            .select((F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / prebin).alias("v"), "w")
-    j = pts.crossJoin(F.broadcast(grid))
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    k = F.col("w") * F.exp(-z * z / 2)
-    return j.groupBy("gi", "x", "h", "n").agg(F.sum(k).alias("__s")).select(
-        F.col("gi").alias("grid_index"), F.col("x").alias("x"),
-        (F.col("__s") / (F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))).alias("density"))
+    at = lambda g: F.col("lo") + F.lit(g) * (F.col("hi") - F.col("lo")) / (points - 1)
+    z = lambda g: (at(g) - F.col("v")) / F.col("h")
+    sums = attach_one_row(rows, st).groupBy("n", "lo", "hi", "h").agg(
+        *[F.sum(F.exp(-z(g) * z(g) / 2)).alias(f"s{g}") for g in range(points)])
+    grid = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), at(g).alias("x"), F.col(f"s{g}").alias("s")) for g in range(points)]))
+    return sums.select("n", "h", grid.alias("p")).select(
+        F.col("p.g").alias("grid_index"), F.col("p.x").alias("x"),
+        (F.col("p.s") / (F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))).alias("density"))
 
 
 # ---------------------------------------------------------------- F14-F16
@@ -342,19 +209,20 @@ def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
                  F.max("__n").alias("cluster_max_size"))
 
 
-def vector_long(df: DataFrame, key: str, vec: str, dims: int | None = None) -> DataFrame:
-    """(key, dim, x) from an array column (optionally the first ``dims`` entries)."""
-    arr = F.col(vec) if dims is None else F.slice(F.col(vec), 1, dims)
-    return df.select(key, *[c for c in df.columns if c not in (key, vec)], F.posexplode(arr).alias("dim", "x")) \
-        .withColumn("x", F.col("x").cast("double"))
-
-
 def wcss(df: DataFrame, key: str, vec: str, label: str, dims: int | None = None) -> DataFrame:
-    """within-cluster sum of squared distances to the cluster mean."""
-    lg = vector_long(df.select(key, vec, label), key, vec, dims)
-    centre = lg.groupBy(label, "dim").agg(F.avg("x").alias("__c"))
-    j = lg.join(centre, [label, "dim"])
-    return j.agg(F.sum(F.pow(F.col("x") - F.col("__c"), 2)).alias("wcss"))
+    """within-cluster sum of squared distances to the cluster mean.
+
+    ``sum |x|^2 - n |mu|^2`` per cluster and dimension, with all vectors shifted
+    by the overall mean first so that the difference keeps its digits.
+    """
+    x = F.transform(F.col(vec) if dims is None else F.slice(F.col(vec), 1, dims), lambda v: v.cast("double"))
+    long = df.select(F.col(label).alias("__l"), F.posexplode(x).alias("dim", "x"))
+    means = long.groupBy("dim").agg(F.avg("x").alias("m"))
+    shift = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda e: e["m"]).alias("__m"))  # one row of d numbers
+    moved = attach_one_row(df.select(F.col(label).alias("__l"), x.alias("__x")), shift).select(
+        "__l", F.posexplode(F.zip_with("__x", "__m", lambda v, m: v - m)).alias("dim", "x"))
+    per = moved.groupBy("__l", "dim").agg(F.sum(F.col("x") * F.col("x")).alias("q"), F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    return per.agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("wcss"))
 
 
 def cluster_centroids(df: DataFrame, vec: str, label: str) -> DataFrame:

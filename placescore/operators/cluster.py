@@ -1,7 +1,7 @@
 """Clustering operators.
 
-Statistics that name and describe clusters are group aggregates over an
-unpivoted (unit, feature, value) table -- one shuffle, no per-feature jobs.
+Statistics that name and describe clusters come from one small table,
+``cluster_stats`` (a row per label and feature); names and reports only read it.
 Model fitting (J4/J5) uses Spark ML (distributed PCA and K-means); the only
 driver-side steps are reading the explained variance to choose k and
 comparing training costs of the restarts.
@@ -9,20 +9,26 @@ comparing training costs of the restarts.
 
 from __future__ import annotations
 
+import re
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from placescore.functions.expr import clip
-from placescore.operators.agg import qcol, quantiles, shape_stats
+from placescore.operators.agg import attach_one_row, cluster_sizes, shape_stats, silhouette, wcss
+from placescore.operators.quantile import null_safe, qcol, quantiles, quantiles_of_counts, value_counts
+from placescore.operators.window import one_row, top_k_per_group, union_all
+from placescore.session import cut_lineage
 from placescore.specs import (BALANCED_CANDIDATES, BALANCED_DESCRIPTION, CLIP_EXCESS_KURTOSIS, CLIP_PCT_BEYOND_4,
-                              CLIP_SKEW_ABS, NAME_MAX_PHRASES, NAME_Z_THRESHOLD, TRADEOFF_DEFAULT)
+                              CLIP_SKEW_ABS, NAME_MAX_PHRASES, NAME_Z_THRESHOLD, ONE_PHRASE_TEXTS,
+                              TRADEOFF_DEFAULT, TWO_PHRASE_TEXTS)
 
 
-def robust_scale(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataFrame:
+def robust_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(x - median) / IQR`` with interpolated quantiles; IQR 0 -> divide by 1."""
-    q = quantiles(df, cols, [0.25, 0.5, 0.75], method=method)
+    q = quantiles(df, cols, [0.25, 0.5, 0.75])
     j = df.crossJoin(F.broadcast(q))
     out = []
     for c in df.columns:
@@ -35,8 +41,7 @@ def robust_scale(df: DataFrame, cols: Sequence[str], method: str = "exact") -> D
     return j.select(*out)
 
 
-def selective_winsorize(df: DataFrame, cols: Sequence[str], lower: float = 0.05, upper: float = 0.95,
-                        method: str = "exact") -> DataFrame:
+def selective_winsorize(df: DataFrame, cols: Sequence[str], lower: float = 0.05, upper: float = 0.95) -> DataFrame:
     """Clip to [5%, 95%] only the columns that still look long-tailed.
 
     Decision per column (|skew| > .5, excess kurtosis > .5 or > 2 % beyond |4|)
@@ -44,7 +49,7 @@ def selective_winsorize(df: DataFrame, cols: Sequence[str], lower: float = 0.05,
     both one-row, attached by broadcast.
     """
     mom = shape_stats(df, cols, tail_z=4.0)
-    q = quantiles(df, cols, [lower, upper], method=method)
+    q = quantiles(df, cols, [lower, upper])
     j = df.crossJoin(F.broadcast(mom)).crossJoin(F.broadcast(q))
     out = []
     for c in df.columns:
@@ -58,28 +63,46 @@ def selective_winsorize(df: DataFrame, cols: Sequence[str], lower: float = 0.05,
     return j.select(*out)
 
 
-def long_features(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
-    return df.select(*ids, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
-        list(ids), list(features), "feature", "value")
+def _feature_counts(df: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
+    return cut_lineage(value_counts(df, features, by))
 
 
-def profile_stats(df: DataFrame, label: str, features: Sequence[str], method: str = "exact") -> DataFrame:
-    """per (label, feature) mean and median (long form)."""
-    lg = long_features(df, [label], features)
-    med = quantiles(lg, ["value"], [0.5], by=[label, "feature"], method=method).withColumnRenamed(qcol("value", 0.5), "median")
-    mean = lg.groupBy(label, "feature").agg(F.avg("value").alias("mean"))
-    return mean.join(med, [label, "feature"])
+def profile_stats(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+    """per (label, feature) mean and median (long form; null for a feature without values)."""
+    return _profile(df, _feature_counts(df, [label], features), label, features)
 
 
-def overall_stats(df: DataFrame, features: Sequence[str], method: str = "exact") -> DataFrame:
+def _means(counts: DataFrame, by: Sequence[str], out: str) -> DataFrame:
+    return counts.groupBy(*by).agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias(out))
+
+
+def _profile(df: DataFrame, counts: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+    every = df.select(label).distinct().select(label, F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+    medians = quantiles_of_counts(counts, [0.5], [label]).select(label, "feature", F.col("quantile").alias("median"))
+    both = null_safe(null_safe(every, _means(counts, [label, "feature"], "mean"), [label, "feature"], "left"), medians, [label, "feature"], "left")
+    return both.select(label, "feature", "mean", "median")
+
+
+def _overall(counts: DataFrame, features: Sequence[str]) -> DataFrame:
+    q = quantiles_of_counts(counts.groupBy("feature", "value").agg(F.sum("weight").alias("weight")), [0.25, 0.5, 0.75])
+    at = lambda p: F.max(F.when(F.col("prob") == p, F.col("quantile")))
+    q = q.groupBy("feature").agg(at(0.5).alias("overall_median"), F.nullif(at(0.75) - at(0.25), F.lit(0.0)).alias("overall_iqr"))
+    return _means(counts, ["feature"], "overall_mean").join(q, "feature").select("feature", "overall_mean", "overall_median", "overall_iqr")
+
+
+def overall_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Per feature: overall mean, median and IQR (zero IQR -> null, F13)."""
-    lg = df.select(F.lit(0).alias("__all"), *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
-        ["__all"], list(features), "feature", "value")
-    q = quantiles(lg, ["value"], [0.25, 0.5, 0.75], by=["feature"], method=method)
-    m = lg.groupBy("feature").agg(F.avg("value").alias("overall_mean"))
-    return q.join(m, "feature").select(
-        "feature", "overall_mean", F.col(qcol("value", 0.5)).alias("overall_median"),
-        F.nullif(F.col(qcol("value", 0.75)) - F.col(qcol("value", 0.25)), F.lit(0.0)).alias("overall_iqr"))
+    return _overall(_feature_counts(df, [], features), features)
+
+
+def cluster_stats(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+    """(label, feature, mean, median, overall_mean, overall_median, overall_iqr): all that names and reports need.
+
+    ``df`` is read once for its labels and once for value counts; the result has
+    a row per label and feature and a cut lineage.
+    """
+    counts = _feature_counts(df, [label], features)
+    return cut_lineage(_profile(df, counts, label, features).join(_overall(counts, features), "feature", "left"))
 
 
 def phrase_dim(spark, phrases: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -88,37 +111,39 @@ def phrase_dim(spark, phrases: Mapping[str, tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, phrase_order int, pos string, neg string")
 
 
+def _z(stats: DataFrame, what: str) -> DataFrame:
+    """z = (cluster value - overall median) / overall IQR; 0 without either."""
+    return stats.withColumn("z", F.coalesce((F.col(what) - F.col("overall_median")) / F.col("overall_iqr"), F.lit(0.0)))
+
+
 def short_names(df: DataFrame, label: str, features: Sequence[str], phrases: Mapping[str, tuple[str, str]],
-                method: str = "exact", out: str | None = None) -> DataFrame:
+                out: str | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Short cluster names.
 
     z = (cluster median - global median) / global IQR (zero IQR -> z 0).  Up to
-    two phrases from features with |z| >= 0.35, strongest first, joined " / ";
-    otherwise the strongest phrase feature; otherwise "Balanced".
+    two different phrases from features with |z| >= 0.35, strongest first, joined
+    " / "; otherwise the strongest phrase feature; otherwise "Balanced".
+    ``stats``: a ``cluster_stats`` frame of these features, if there is one.
     """
     out = out or f"{label}_name"
-    ps = profile_stats(df, label, features, method).select(label, "feature", "median")
-    ov = overall_stats(df, features, method)
-    z = ps.join(F.broadcast(ov), "feature").withColumn(
-        "z", F.coalesce((F.col("median") - F.col("overall_median")) / F.col("overall_iqr"), F.lit(0.0)))
-    pd_ = phrase_dim(df.sparkSession, {k: v for k, v in phrases.items() if k in features})
-    zp = z.join(F.broadcast(pd_), "feature")
-    w = Window.partitionBy(label).orderBy(F.desc(F.abs("z")), F.asc("phrase_order"))
-    zp = zp.withColumn("__r", F.row_number().over(w))
-    strong = zp.where(F.abs("z") >= NAME_Z_THRESHOLD).withColumn("__rs", F.row_number().over(w))
-    strong = strong.where(F.col("__rs") <= NAME_MAX_PHRASES).groupBy(label).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__rs", F.when(F.col("z") > 0, F.col("pos"))
-                                                                              .otherwise(F.col("neg")).alias("p")))),
-                                 lambda s: s["p"]), " / ").alias("__strong"))
-    fb = zp.where(F.col("__r") == 1).select(label, F.when(F.col("z") >= 0, F.col("pos")).otherwise(F.col("neg")).alias("__fb"))
-    labels = df.select(label).distinct()
-    return labels.join(strong, label, "left").join(fb, label, "left").select(
+    stats = cluster_stats(df, label, features) if stats is None else stats.where(F.col("feature").isin(list(features)))
+    pd_ = phrase_dim(stats.sparkSession, {k: v for k, v in phrases.items() if k in features})
+    zp = _z(stats, "median").join(F.broadcast(pd_), "feature")  # as many rows as features
+    strongest = [F.desc(F.abs("z")), F.asc("phrase_order")]
+    strong = zp.where(F.abs("z") >= NAME_Z_THRESHOLD).withColumn("__p", F.when(F.col("z") > 0, F.col("pos")).otherwise(F.col("neg")))
+    strong = top_k_per_group(strong, [label, "__p"], strongest, 1, "__once")
+    strong = top_k_per_group(strong, [label], strongest, NAME_MAX_PHRASES, "__rs").groupBy(label).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__rs", "__p"))), lambda s: s["__p"]), " / ").alias("__strong"))
+    fb = top_k_per_group(zp, [label], strongest, 1, "__r").select(label, F.when(F.col("z") >= 0, F.col("pos")).otherwise(F.col("neg")).alias("__fb"))
+    labels = stats.select(label).distinct()
+    return null_safe(null_safe(labels, strong, [label], "left"), fb, [label], "left").select(
         label, F.coalesce("__strong", "__fb", F.lit("Balanced")).alias(out))
 
 
 def label_report(df: DataFrame, label: str, features: Sequence[str], phrases: Mapping[str, tuple[str, str]],
-                 tradeoffs: Sequence[tuple[Sequence[str], str]], top_traits: int = 5, method: str = "exact",
-                 overrides: DataFrame | None = None) -> DataFrame:
+                 tradeoffs: Sequence[tuple[Sequence[str], str]], top_traits: int = 5,
+                 overrides: DataFrame | None = None, stats: DataFrame | None = None,
+                 name_features: Sequence[str] | None = None) -> DataFrame:
     """Per label -- key traits text, three candidate names, final name,
     description and trade-offs.
 
@@ -127,14 +152,9 @@ def label_report(df: DataFrame, label: str, features: Sequence[str], phrases: Ma
     ``overrides`` (label, final_name, candidate_name_1..3, description,
     tradeoffs; any may be null) is a user dimension joined last.
     """
-    spark = df.sparkSession
-    lg = long_features(df, [label], features)
-    means = lg.groupBy(label, "feature").agg(F.avg("value").alias("mean"))
-    ov = overall_stats(df, features, method)
-    z = means.join(F.broadcast(ov), "feature").withColumn(
-        "z", F.coalesce((F.col("mean") - F.col("overall_median")) / F.col("overall_iqr"), F.lit(0.0)))
-    w = Window.partitionBy(label).orderBy(F.desc(F.abs("z")), F.asc("feature"))
-    top = z.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_traits)
+    stats = cluster_stats(df, label, features) if stats is None else stats
+    spark = stats.sparkSession
+    top = top_k_per_group(_z(stats, "mean"), [label], [F.desc(F.abs("z")), F.asc("feature")], top_traits)
     pd_ = phrase_dim(spark, phrases)
     top = top.join(F.broadcast(pd_), "feature", "left")
     g4 = lambda c: _fmt_g4(F.col(c))
@@ -146,32 +166,36 @@ def label_report(df: DataFrame, label: str, features: Sequence[str], phrases: Ma
         F.sort_array(F.collect_list(F.struct("rank", line.alias("line"), phrase.alias("phrase")))).alias("__t"))
     lines = F.transform("__t", lambda s: s["line"])
     phr = F.filter(F.transform("__t", lambda s: s["phrase"]), lambda p: p.isNotNull())
-    a, b = F.try_element_at(phr, F.lit(1)), F.try_element_at(phr, F.lit(2))
-    has_a, has_b = F.size(phr) >= 1, F.size(phr) >= 2
-    rep = rep.select(
-        label,
-        F.array_join(lines, " | ").alias("key_traits"),
-        F.when(has_a, F.concat(a, F.lit(" Hubs"))).otherwise(F.lit(BALANCED_CANDIDATES[0])).alias("candidate_name_1"),
-        F.when(has_b, F.concat(a, F.lit(" + "), b, F.lit(" Metros")))
-         .when(has_a, F.concat(a, F.lit(" Lifestyle Metros"))).otherwise(F.lit(BALANCED_CANDIDATES[1])).alias("candidate_name_2"),
-        F.when(has_b, F.concat(a, F.lit(" / "), b, F.lit(" Cities")))
-         .when(has_a, F.concat(a, F.lit(" Sweet-Spot Cities"))).otherwise(F.lit(BALANCED_CANDIDATES[2])).alias("candidate_name_3"),
-        F.when(has_b, F.concat(F.lit("Metros that skew "), F.lower(a), F.lit(", often also "), F.lower(b), F.lit(".")))
-         .when(has_a, F.concat(F.lit("Metros that skew "), F.lower(a), F.lit(".")))
-         .otherwise(F.lit(BALANCED_DESCRIPTION)).alias("description"),
-        _tradeoffs(phr, tradeoffs).alias("tradeoffs"),
-    )
-    names = short_names(df, label, features, phrases, method, out="__short")
-    rep = rep.join(names, label, "left").withColumn("final_name", F.coalesce("__short", F.lit("Balanced"))).drop("__short")
+    rep = rep.select(label, F.array_join(lines, " | ").alias("key_traits"), *_report_texts(phr), _tradeoffs(phr, tradeoffs).alias("tradeoffs"))
+    names = short_names(df, label, list(name_features or features), phrases, out="__short", stats=stats)
+    rep = null_safe(rep, names, [label], "left").withColumn("final_name", F.coalesce("__short", F.lit("Balanced"))).drop("__short")
     cols = ["key_traits", "candidate_name_1", "candidate_name_2", "candidate_name_3", "final_name", "description", "tradeoffs"]
     if overrides is not None:
         o = overrides.select(label, *[F.col(c).alias(f"__o_{c}") for c in cols if c in overrides.columns])
-        rep = rep.join(F.broadcast(o), label, "left")
+        rep = rep.join(F.broadcast(o), label, "left")  # one row per label, written by people
         rep = rep.select(label, *[F.coalesce(F.col(f"__o_{c}"), F.col(c)).alias(c) if f"__o_{c}" in rep.columns else F.col(c)
                                   for c in cols])
     return rep.select(label, *cols)
 
 
+def _report_texts(phrases: Column) -> list[Column]:
+    """Candidate names and description from the phrases, by the templates for two, one and no phrase."""
+    a, b = F.try_element_at(phrases, F.lit(1)), F.try_element_at(phrases, F.lit(2))
+
+    def filled(template: str) -> Column:
+        parts: list[Column] = []
+        for piece in re.split(r"(\{\w+\})", template):
+            parts.append({"{a}": a, "{b}": b, "{a_lower}": F.lower(a), "{b_lower}": F.lower(b)}.get(piece, F.lit(piece)))
+        return F.concat(*parts)
+
+    none = [*BALANCED_CANDIDATES, BALANCED_DESCRIPTION]
+    out = []
+    for name, two, one, zero in zip(["candidate_name_1", "candidate_name_2", "candidate_name_3", "description"],
+                                    TWO_PHRASE_TEXTS, ONE_PHRASE_TEXTS, none):
+        out.append(F.when(F.size(phrases) >= 2, filled(two)).when(F.size(phrases) >= 1, filled(one)).otherwise(F.lit(zero)).alias(name))
+    return out
+
+
 def _tradeoffs(phrases: Column, rules: Sequence[tuple[Sequence[str], str]]) -> Column:
     parts = [F.when(F.exists(phrases, lambda p: p.isin(*trig)), F.lit(text)) for trig, text in rules]
     arr = F.filter(F.array(*parts), lambda x: x.isNotNull()) if parts else F.array().cast("array<string>")
@@ -214,24 +238,36 @@ def _fmt_g4(x: Column) -> Column:
     return F.when(x.isNull(), F.lit("nan")).otherwise(s)
 
 
-# ------------------------------------------------------------------ J4, J5, J8
+# ------------------------------------------------------------------ J4, J5, J8, J9
+
+def cluster_columns(df: DataFrame, drop: Sequence[str]) -> list[str]:
+    """The numeric columns that clustering looks at: all but the listed ones."""
+    out = set(drop)
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in out]
+
 
 def assign_clusters(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int] = (5, 22),
-                    starts: int = 10, seed: int = 42, variance: float = 0.90, keep: int = 3,
-                    method: str = "exact") -> DataFrame:
-    """Robust scale -> selective winsorise -> PCA (90 % variance, first
+                    starts: int = 10, seed: int = 42, variance: float = 0.90, keep: int = 3) -> DataFrame:
+    """Robust scale -> selective winsorise -> PCA (90 % variance, first
     ``keep`` components) -> K-means for each k, best of ``starts`` seeds.
 
-    Labels are renumbered by cluster size (desc) then centre, so the mapping is
-    stable across runs.  Returns ``key`` + one ``cluster_k{k}`` column per k.
+    Returns ``key``, ``components`` (array) and one ``cluster_k{k}`` column per k.
+    Labels are numbered by cluster size (largest first), then by centre.  A unit
+    with a missing feature raises: it has no place among the others.  Jobs run
+    here (scaling, fits); the result has a cut lineage.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    x = robust_scale(df.select(key, *features), features, method)
-    x = selective_winsorize(x, features, method=method)
-    va = VectorAssembler(inputCols=list(features), outputCol="__v", handleInvalid="skip")
-    v = va.transform(x).select(key, "__v")
+    gaps = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in features]).first()
+    gaps = {c: n for c, n in gaps.asDict().items() if n}
+    if gaps:
+        raise ValueError(f"clustering needs every feature of every unit; missing values: {gaps}")
+    x = selective_winsorize(robust_scale(df.select(key, *features), features), features)
+    v = VectorAssembler(inputCols=list(features), outputCol="__v", handleInvalid="error").transform(x).select(key, "__v")
     # Spark PCA does not centre the data: centre first
     cen = StandardScaler(inputCol="__v", outputCol="__c", withMean=True, withStd=False).fit(v).transform(v)
     d = len(features)
@@ -243,29 +279,42 @@ def assign_clusters(df: DataFrame, key: str, features: Sequence[str], ks: Sequen
             kk = i + 1
             break
     kk = min(kk, keep)
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    z = pca.transform(cen).select(key, array_to_vector(F.slice(vector_to_array("__pc"), 1, kk)).alias("__z")).cache()
-    out = z.select(key)
-    from concurrent.futures import ThreadPoolExecutor
+    z = cut_lineage(pca.transform(cen).select(key, F.slice(vector_to_array("__pc"), 1, kk).alias("components")))
+    z = z.withColumn("__z", array_to_vector("components"))
 
     def fit(k: int, s: int):
-        m = KMeans(k=k, seed=seed + s, featuresCol="__z", predictionCol="__p", maxIter=300, tol=1e-4).fit(z)
+        m = KMeans(k=k, seed=seed + s, featuresCol="__z", predictionCol=f"__p{k}", maxIter=300, tol=1e-4).fit(z)
         return m.summary.trainingCost, s, m
 
     for k in ks:
         # the restarts are independent Spark jobs: submit them concurrently and
         # keep the lowest cost (ties -> the earliest seed)
         with ThreadPoolExecutor(max_workers=min(starts, 4)) as pool:
-            fits = list(pool.map(lambda s: fit(k, s), range(starts)))
-        cost, _, best = min(fits, key=lambda t: (t[0], t[1]))
-        lab = best.transform(z).select(key, "__p")
-        sizes = lab.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-        rk = sizes.withColumn("__new", F.row_number().over(Window.orderBy(F.desc("__n"), F.asc("__p"))) - 1)
-        lab = lab.join(F.broadcast(rk), "__p").select(key, F.col("__new").cast("int").alias(f"cluster_k{k}"))
-        out = out.join(lab, key)
-    from placescore.operators.impute import cut_small
-
-    out = cut_small(out)
-    z.unpersist()
-    return out
+            best = min(pool.map(lambda s: fit(k, s), range(starts)), key=lambda t: (t[0], t[1]))[2]
+        # All models label the same rows, so there is no join per k.
+        centres = [tuple(float(c) for c in m) for m in best.clusterCenters()]
+        sizes = best.summary.clusterSizes
+        order = sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i]))
+        place = F.array(*[F.lit(order.index(i)) for i in range(len(centres))])
+        z = best.transform(z).withColumn(f"cluster_k{k}", F.get(place, F.col(f"__p{k}")).cast("int"))
+    return cut_lineage(z.select(key, "components", *[f"cluster_k{k}" for k in ks]))
+
+
+def similar_units(df: DataFrame, key: str, value, label: str, vec: str, n: int = 10) -> DataFrame:
+    """The ``n`` members of a unit's cluster that are closest to it, without itself.
+
+    The unit is looked up first (an unknown key raises) and travels as one row.
+    """
+    probe = one_row(df.select(key, label, vec), key, value).select(F.col(label).alias("__pl"), F.col(vec).alias("__pe"))
+    j = df.select(key, label, vec).where(F.col(key) != F.lit(value)).crossJoin(F.broadcast(probe)).where(F.col(label).eqNullSafe(F.col("__pl")))
+    sq = F.aggregate(F.zip_with(vec, "__pe", lambda a, b: F.pow(a.cast("double") - b.cast("double"), 2)), F.lit(0.0), lambda acc, v: acc + v)
+    top = j.select(key, sq.alias("sq_distance")).orderBy("sq_distance", key).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy("sq_distance", key)).cast("int"))  # over n rows
+
+
+def model_metrics(labelled: DataFrame, key: str, labels: Sequence[str], vec: str = "components") -> DataFrame:
+    """A row per model: sizes, silhouette (squared Euclidean) and within-cluster sum of squares."""
+    rows = [attach_one_row(attach_one_row(cluster_sizes(labelled, c), silhouette(labelled, vec, c)), wcss(labelled, key, vec, c))
+            .select(F.lit(c).alias("model"), "n_clusters", "cluster_min_size", "cluster_max_size",
+                    F.col("silhouette").alias("silhouette_score"), "wcss") for c in labels]
+    return union_all(rows)

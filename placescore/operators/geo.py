@@ -6,21 +6,19 @@ candidate (point, polygon) then meets only the polygon edges that span the
 point's latitude band (second equi-join on (polygon, band)).  Inside = odd
 number of edges crossed by the ray to +x; points on an edge are not "within".
 
-E7 nearest station: multi-resolution grid search.  Round r uses cells of
-``360 / 2^(levels - r)`` degrees; each unresolved point looks at its 3x3 cell
-block (equi-join on cell), keeps the best station by (distance, id) and is
-resolved when that distance is no larger than a lower bound on the distance to
-anything outside the block.  Unresolved points move to a 4x coarser grid; at the
-coarsest level the block covers the globe, so every point is resolved.  No
-cross join, no broadcast of a table whose size is not bounded.
+E7 nearest station: a search tree of occupied grid cells.  Each level cuts a
+cell into 4 x 4; a cell knows the box around its stations and one of them.  A
+point starts at the root and, level by level, meets the children of the cells
+that it still holds (equi-join on the cell): the distance to a child's station
+bounds the answer from above, the distance to its box from below, and children
+beyond the least upper bound go.  The depth follows from the stations: it ends
+where no cell holds more than ``LEAF`` of them.  So far points and clustered
+stations cost a few cells a level, not all stations of a block.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placescore.functions.expr import EARTH_RADIUS_KM, haversine_km
@@ -83,97 +81,87 @@ def points_in_polygons(points: DataFrame, pkey: str, x: str, y: str, edges: Data
 
 # ------------------------------------------------------------------ E7
 
-def _cells(lat, lon, n: int, size: float):
-    cy = F.floor((lat + 90.0) / size).cast("long")
-    cx = F.pmod(F.floor((lon + 180.0) / size).cast("long"), F.lit(n))
-    return cy, cx
+#: Stations of a leaf cell, and the finest level (cells of 360 / 4^16 degrees, under a centimetre).
+LEAF, MAX_DEPTH = 8, 16
+
+
+def _cell(lat, lon, depth: int):
+    """Cell of a level as one number: columns and rows of 4^depth over 360 x 360 degrees from (-90, -180)."""
+    n = 4 ** depth
+    at = lambda v: F.least(F.floor(v / 360.0 * n).cast("long"), F.lit(n - 1))
+    return at(lat + 90.0) * F.lit(n) + at(F.pmod(lon + 180.0, F.lit(360.0)))
+
+
+def _parent(cell, depth: int):
+    n = 4 ** depth
+    return F.floor(F.floor(cell / n) / 4) * F.lit(n // 4) + F.floor(cell % n / 4)
+
+
+def _turned(lon):
+    """A longitude in [-180, 180)."""
+    return F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
+
+
+def _box_distance(lat, lon, box, radius: float):
+    """A lower bound on the great-circle distance from a point to anything in a latitude-longitude box."""
+    up = F.greatest(lat - box["n"], box["s"] - lat, F.lit(0.0))
+    lon = _turned(lon)
+    side = F.when(lon.between(box["w"], box["e"]), F.lit(0.0)).otherwise(F.least(F.abs(_turned(lon - box["w"])), F.abs(_turned(lon - box["e"]))))
+    across = F.asin(F.sin(F.radians(F.least(side, F.lit(90.0)))) * F.cos(F.radians(lat)))
+    return F.greatest(F.radians(up), across) * radius
 
 
 def nearest_station(points: DataFrame, pkey: str, lat: str, lon: str, stations: DataFrame, skey: str,
-                    slat: str, slon: str, levels: int = 9, radius: float = EARTH_RADIUS_KM,
-                    keep: tuple[str, ...] = ()) -> DataFrame:
+                    slat: str, slon: str, radius: float = EARTH_RADIUS_KM, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every point gets exactly one station (nearest by haversine; ties -> smaller id).
 
     Points with missing coordinates get a null match (O8).  ``keep`` lists
-    station columns to carry.  Raises when the station table is empty.
+    station columns to carry.  An empty station table raises.  The tree's depth
+    is looked up first (small jobs over the stations).
     """
-    if stations.where(F.col(slat).isNotNull() & F.col(slon).isNotNull()).limit(1).count() == 0:
-        raise ValueError("station table has no rows with coordinates")
     st = stations.where(F.col(slat).isNotNull() & F.col(slon).isNotNull()).select(
         F.col(skey).alias("__sid"), F.col(slat).cast("double").alias("__slat"),
         F.col(slon).cast("double").alias("__slon"), *[F.col(k).alias(f"__s_{k}") for k in keep])
-    pts = points.select(F.col(pkey).alias("__pk"), F.col(lat).cast("double").alias("__lat"),
-                        F.col(lon).cast("double").alias("__lon"))
-    todo = pts.where(F.col("__lat").isNotNull() & F.col("__lon").isNotNull())
-    # start at the grid whose cells are about four times the mean station spacing
-    # (one tiny aggregate over the stations), so most points resolve in round one
-    sstat = st.agg(F.count(F.lit(1)).alias("n"), F.min("__slat").alias("a"), F.max("__slat").alias("b"),
-                   F.min("__slon").alias("c"), F.max("__slon").alias("d")).collect()[0]
-    area = max((sstat.b - sstat.a) * (sstat.d - sstat.c), 1e-6)
-    spacing = 4.0 * math.sqrt(area / max(sstat.n, 1))
-    r0 = 0
-    while r0 < levels - 1 and 360.0 / 2 ** (levels - r0) < spacing:
-        r0 += 1
-    done = []
-    held = []
-    # unresolved points jump two levels (4x coarser cells) per round; the last
-    # round is the coarsest grid, whose 3x3 block covers the globe
-    rounds = list(range(r0, levels - 1, 2)) + [levels - 1]
-    for r in rounds:
-        n = 2 ** (levels - r)          # cells around the globe in longitude
-        size = 360.0 / n
-        last = r == levels - 1
-        cy, cx = _cells(F.col("__lat"), F.col("__lon"), n, size)
-        p = todo.withColumns({"__cy0": cy, "__cx0": cx})
-        nb = F.array_distinct(F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda dy: F.transform(
-            F.array(F.lit(-1), F.lit(0), F.lit(1)),
-            lambda dx: F.struct((F.col("__cy0") + dy).alias("cy"), F.pmod(F.col("__cx0") + dx, F.lit(n)).alias("cx"))))))
-        pe = p.select("*", F.explode(nb).alias("__c")).select("*", F.col("__c.cy").alias("__cy"), F.col("__c.cx").alias("__cx"))
-        scy, scx = _cells(F.col("__slat"), F.col("__slon"), n, size)
-        sc = st.withColumns({"__cy": scy, "__cx": scx})
-        j = pe.join(sc, ["__cy", "__cx"])
-        d = haversine_km("__lat", "__lon", "__slat", "__slon", radius)
-        best = j.withColumn("__d", d).groupBy("__pk", "__lat", "__lon", "__cy0", "__cx0").agg(
-            F.min_by(F.struct("__sid", *[f"__s_{k}" for k in keep], "__d"), F.struct("__d", "__sid")).alias("__b"))
-        # lower bound on the distance to anything outside the searched 3x3 block
-        top = (F.col("__cy0") + 2) * size - 90.0
-        bot = (F.col("__cy0") - 1) * size - 90.0
-        g_n = F.when(top >= 90.0, F.lit(float("inf"))).otherwise(F.radians(top - F.col("__lat")) * radius)
-        g_s = F.when(bot <= -90.0, F.lit(float("inf"))).otherwise(F.radians(F.col("__lat") - bot) * radius)
-        if n <= 3:
-            g_lon = F.lit(float("inf"))
-        else:
-            west = F.col("__cx0") * size - 180.0 - size
-            east = F.col("__cx0") * size - 180.0 + 2 * size
-            lon0 = F.col("__lon")
-            dl = F.least(lon0 - west, east - lon0)
-            dl = F.least(dl, F.lit(90.0))
-            pole = F.radians(F.lit(90.0) - F.abs(F.col("__lat"))) * radius
-            g_lon = F.least(F.asin(F.sin(F.radians(dl)) * F.cos(F.radians(F.col("__lat")))) * radius, pole)
-        guard = F.least(g_n, g_s, g_lon)
-        best = best.withColumn("__ok", F.lit(True) if last else (F.col("__b.__d") <= guard))
-        best = best.persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(best)
-        done.append(best.where("__ok").select("__pk", "__b"))
-        if last:
-            break
-        todo = best.where(~F.col("__ok")).select("__pk", "__lat", "__lon") \
-            .unionByName(p.join(best.select("__pk"), "__pk", "left_anti").select("__pk", "__lat", "__lon"))
-        todo = todo.persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(todo)
-        if todo.limit(1).count() == 0:
-            break
-    res = done[0]
-    for d_ in done[1:]:
-        res = res.unionByName(d_)
-    out = pts.join(res, "__pk", "left")
-    out = out.select(F.col("__pk").alias(pkey), F.col("__b.__sid").alias(skey),
-                     *[F.col(f"__b.__s_{k}").alias(k) for k in keep], F.col("__b.__d").alias("distance_km"))
-    # materialise the result in the shared checkpoint folder, then release the
-    # per-round caches
-    from placescore.operators.impute import cut_small
-
-    out = cut_small(out)
-    for h in held:
-        h.unpersist()
-    return out
+    # Stations that share a place differ by id only.
+    st = st.groupBy("__slat", "__slon").agg(F.min(F.struct("__sid", *[f"__s_{k}" for k in keep])).alias("__s"))
+    depths = range(1, MAX_DEPTH + 1)
+    fullest = st.select(F.explode(F.array(*[F.struct(F.lit(d).alias("d"), _cell(F.col("__slat"), F.col("__slon"), d).alias("c")) for d in depths])).alias("x")) \
+        .groupBy("x.d", "x.c").agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()
+    if not fullest:
+        raise ValueError("station table has no rows with coordinates")
+    depth = min([r["d"] for r in fullest if r["n"] <= LEAF], default=MAX_DEPTH)
+    pts = points.select(F.col(pkey).alias("__pk"), F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon"))
+    known = pts.where(F.col("__lat").isNotNull() & F.col("__lon").isNotNull())
+    leaf = _cell(F.col("__slat"), F.col("__slon"), depth)
+    level = st.groupBy(leaf.alias("__cell")).agg(
+        F.struct(F.min("__slat").alias("s"), F.max("__slat").alias("n"), F.min(_turned(F.col("__slon"))).alias("w"), F.max(_turned(F.col("__slon"))).alias("e")).alias("__box"),
+        F.min(F.struct("__slat", "__slon")).alias("__rep"))
+    levels = {depth: level}
+    for d in range(depth, 1, -1):
+        level = level.groupBy(_parent(F.col("__cell"), d).alias("__cell")).agg(
+            F.struct(F.min("__box.s").alias("s"), F.max("__box.n").alias("n"), F.min("__box.w").alias("w"), F.max("__box.e").alias("e")).alias("__box"),
+            F.min("__rep").alias("__rep"))
+        levels[d - 1] = level
+    pos = F.col("__lat"), F.col("__lon")
+    bound = Window.partitionBy("__pk")
+
+    def pruned(held: DataFrame) -> DataFrame:
+        near = held.withColumns({"__lo": _box_distance(*pos, F.col("__box"), radius),
+                                 "__hi": haversine_km("__lat", "__lon", "__rep.__slat", "__rep.__slon", radius)})
+        near = near.withColumn("__least", F.min("__hi").over(bound))
+        # A little slack, as bounds and distances are rounded apart.
+        return near.where(F.col("__lo") <= F.col("__least") * (1 + 1e-9) + 1e-6).select("__pk", "__lat", "__lon", "__cell")
+
+    top = levels[1].agg(F.collect_list(F.struct("__cell", "__box", "__rep")).alias("__top"))  # one row of at most 16 cells
+    held = known.crossJoin(F.broadcast(top)).select("__pk", "__lat", "__lon", F.inline("__top"))
+    held = pruned(held)
+    for d in range(2, depth + 1):
+        child = levels[d].select(_parent(F.col("__cell"), d).alias("__up"), "__cell", "__box", "__rep")
+        held = pruned(held.withColumnRenamed("__cell", "__up").join(child, "__up").drop("__up"))
+    found = held.join(st.withColumn("__cell", leaf), "__cell")
+    d = haversine_km("__lat", "__lon", "__slat", "__slon", radius)
+    best = found.select("__pk", d.alias("__d"), "__s").groupBy("__pk").agg(
+        F.min(F.struct(F.col("__d").alias("d"), F.col("__s").alias("s"))).alias("__b"))
+    return pts.join(best, "__pk", "left").select(
+        F.col("__pk").alias(pkey), F.col("__b.s.__sid").alias(skey), *[F.col(f"__b.s.__s_{k}").alias(k) for k in keep],
+        F.col("__b.d").alias("distance_km"))

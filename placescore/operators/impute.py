@@ -1,23 +1,24 @@
 """Hierarchical median imputation (H1-H3) and group-value alignment.
 
-Plan shape per level: ``groupBy(level keys).agg(median...)`` (partial aggregate,
-one shuffle on the level keys) then a left join back on the null-safe keys.  The
-group-statistics side has one row per group, so AQE's runtime size check turns
-the join into a broadcast and the panel itself is never shuffled.  The global
-level is a one-row aggregate attached by a one-row broadcast.
+The panel is read once to count its values per finest cell (all level keys) and
+column.  Inside a cell every missing value gets the same fill at every level, so
+the panel filled so far is those counts plus, per cell, as many copies of the
+fill as values were missing.  Each level's medians are exact quantiles over that
+small table (``operators/quantile.py``: no window over a group's rows, no task
+that holds a whole group), and the last step joins one fill per (cell, column)
+back to the panel.  Keys are null-safe throughout.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from placescore.operators.agg import qcol, quantiles
+from placescore.operators.quantile import null_safe, qcol, quantiles, quantiles_of_counts, value_counts
+from placescore.session import cut_lineage
 
 DEFAULT_LEVELS: tuple[tuple[str, ...], ...] = (("unit_type", "state"), ("state",), ("unit_type",))
 
@@ -29,9 +30,9 @@ def imputation_targets(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, NumericType) and not isinstance(f.dataType, BooleanType) and f.name not in ex]
 
 
-def group_medians(df: DataFrame, cols: Sequence[str], by: Sequence[str], method: str = "exact") -> DataFrame:
+def group_medians(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """One row per group with the median of each column, named ``{col}__med``."""
-    q = quantiles(df, cols, [0.5], by=by, method=method)
+    q = quantiles(df, cols, [0.5], by=by)
     return q.select(*by, *[F.col(qcol(c, 0.5)).alias(f"{c}__med") for c in cols])
 
 
@@ -39,124 +40,43 @@ def align_group_values(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> Da
     """Attach per-group values to every row (null key matches null key)."""
     if not by:
         return df.crossJoin(F.broadcast(stats))
-    r = stats.select(*[F.col(k).alias(f"__r_{k}") for k in by], *[c for c in stats.columns if c not in by])
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in by])
-    return df.join(r, cond, "left").drop(*[f"__r_{k}" for k in by])
-
-
-def _cell_keys(levels: Sequence[Sequence[str]]) -> list[str]:
-    keys: list[str] = []
-    for lv in levels:
-        for k in lv:
-            if k not in keys:
-                keys.append(k)
-    return keys
-
-
-def _fill_values_by_cell(df: DataFrame, cols: Sequence[str], levels: Sequence[Sequence[str]]) -> DataFrame:
-    """Fill value per (finest cell, column) after all levels, via small tables.
-
-    Inside one finest cell (the union of all level keys) every missing value gets
-    the same fill at every level, so the filled table at level k equals the
-    original values plus, per cell, ``n_missing`` copies of the fill so far.
-    Level k's median is therefore ``percentile(value, 0.5, frequency)`` over the
-    original non-missing values (frequency 1) and the per-cell fills (frequency =
-    missing count): the panel is scanned once per level and never re-joined; the
-    only table that changes between levels has one row per (cell, column).
-    """
-    cell = _cell_keys(levels)
-    num = df.select(*cell, *[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
-    long = num.unpivot(cell, list(cols), "__feature", "__value").where(F.col("__value").isNotNull())
-    pts = long.select(*cell, "__feature", "__value", F.lit(1).cast("long").alias("__w"))
-    nulls = num.groupBy(*cell).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    cells = nulls.unpivot(cell, list(cols), "__feature", "__nnull").where(F.col("__nnull") > 0) \
-        .withColumn("__fill", F.lit(None).cast("double")).cache()
-    for keys in list(levels) + [()]:
-        keys = list(keys)
-        virt = cells.where(F.col("__fill").isNotNull()).select(
-            *cell, "__feature", F.col("__fill").alias("__value"), F.col("__nnull").cast("long").alias("__w"))
-        med = pts.unionByName(virt).groupBy(*keys, "__feature").agg(
-            F.percentile("__value", F.lit(0.5), F.col("__w")).alias("__m"))
-        j = align_group_values(cells, med, keys + ["__feature"])
-        # one row per (cell, column): cached so the next level reads it instead of
-        # re-planning the whole chain (keeps the plan linear in the number of levels)
-        cells = j.select(*cell, "__feature", "__nnull",
-                         F.coalesce(F.col("__fill"), F.col("__m")).alias("__fill")).cache()
-    return cells.groupBy(*cell).agg(*[
-        F.max(F.when(F.col("__feature") == c, F.col("__fill"))).alias(f"{c}__fill") for c in cols])
-
-
-def cut_small(df: DataFrame) -> DataFrame:
-    """Materialise a table and cut its lineage (reliable checkpoint to the shared
-    checkpoint folder).  Persisted first so the checkpoint write does not
-    recompute the plan a second time."""
-    from placescore.session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    p = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = p.checkpoint(eager=True)
-    p.unpersist()
-    return out
+    return null_safe(df, stats, by, "left")
+
+
+def _fills(df: DataFrame, cols: Sequence[str], levels: Sequence[Sequence[str]]) -> DataFrame:
+    """(cell keys..., one ``{col}__fill`` per column) for every cell."""
+    cell = list(dict.fromkeys(k for lv in levels for k in lv))
+    # One pass: value counts of the cells, and the missing ones as rows without a value.
+    wide = df.select(*cell, *[F.col(c).cast("double").alias(c) for c in cols])
+    long = wide.unpivot(cell, list(cols), "feature", "value").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    counts = cut_lineage(long.groupBy(*cell, "feature", "value").agg(F.count(F.lit(1)).alias("weight")))
+    known = counts.where(F.col("value").isNotNull())
+    fills = counts.where(F.col("value").isNull()).select(*cell, "feature", "weight", F.lit(None).cast("double").alias("value"))
+    for keys in [*levels, ()]:
+        so_far = known.unionByName(fills.where(F.col("value").isNotNull()))
+        medians = quantiles_of_counts(so_far, [0.5], list(keys)).select(*keys, "feature", F.col("quantile").alias("__m"))
+        # A row per cell and column: small, and read by the next level.
+        fills = cut_lineage(null_safe(fills, medians, [*keys, "feature"], "left").select(
+            *cell, "feature", "weight", F.coalesce("value", "__m").alias("value")))
+    return fills.groupBy(*cell).agg(*[F.max(F.when(F.col("feature") == c, F.col("value"))).alias(f"{c}__fill") for c in cols])
 
 
 def hierarchical_median_impute(df: DataFrame, cols: Sequence[str],
                                levels: Sequence[Sequence[str]] = DEFAULT_LEVELS,
-                               flag_col: str | None = "contains_imputed",
-                               method: str = "exact") -> DataFrame:
+                               flag_col: str | None = "contains_imputed") -> DataFrame:
     """H1+H2: fill each column from ever broader group medians, then the global one.
 
-    Each level's medians are computed on the table already filled by the
-    previous levels.  ``flag_col`` (int 0/1) marks rows where any target was
-    missing and got a value.
-
-    ``method="exact"``: per-cell fills from small tables (see
-    ``_fill_values_by_cell``), then ONE join of the per-cell fills back to the
-    panel (AQE broadcasts it when small).  ``method="bracket"``: the literal
-    level-by-level form with sketch-bracketed exact medians (no group is ever
-    held in one task) and a reliable checkpoint of the filled table per level.
+    Each level's medians are those of the table already filled by the levels
+    before.  ``flag_col`` (int 0/1) marks rows where any target was missing and
+    got a value.  Jobs run here: the counts and one small table per level are cut.
     """
     cols = list(cols)
-    if method == "bracket":
-        return _impute_levelwise(df, cols, levels, flag_col)
-    if method == "cells":
-        cell = _cell_keys(levels)
-        fills = _fill_values_by_cell(df, cols, levels)
-        j = align_group_values(df, fills, cell)
-        out = [F.coalesce(F.col(c), F.col(f"{c}__fill")).alias(c) if c in cols else F.col(c) for c in df.columns]
-        if flag_col:
-            flag = F.greatest(F.lit(0), *[(F.col(c).isNull() & F.col(f"{c}__fill").isNotNull()).cast("int") for c in cols])
-            out.append(flag.alias(flag_col))
-        return j.select(*out)
-    # default: one window per grouped level (a linear plan, one job), global level
-    # as a one-row aggregate attached by broadcast
-    out = df
-    if flag_col:
-        out = out.withColumn("__miss", F.array(*[F.col(c).isNull() for c in cols]))
-    for keys in levels:
-        w = Window.partitionBy(*keys)
-        out = out.select(*[F.coalesce(F.col(c), F.median(c).over(w)).alias(c) if c in cols else F.col(c)
-                           for c in out.columns])
-    glob = out.agg(*[F.median(c).alias(f"{c}__med") for c in cols])
-    out = out.crossJoin(F.broadcast(glob)).select(
-        *[F.coalesce(F.col(c), F.col(f"{c}__med")).alias(c) if c in cols else F.col(c) for c in out.columns])
-    if flag_col:
-        filled = F.greatest(F.lit(0), *[(F.col("__miss")[i] & F.col(c).isNotNull()).cast("int")
-                                        for i, c in enumerate(cols)])
-        out = out.withColumn(flag_col, filled).drop("__miss")
-    return out
-
-
-def _impute_levelwise(df: DataFrame, cols: list[str], levels, flag_col) -> DataFrame:
-    out = df
-    if flag_col:
-        out = out.withColumn("__miss", F.array(*[F.col(c).isNull() for c in cols]))
-    for keys in list(levels) + [()]:
-        med = group_medians(out, cols, list(keys), "bracket")
-        j = align_group_values(out, med, list(keys))
-        out = cut_small(j.select(*[F.coalesce(F.col(c), F.col(f"{c}__med")).alias(c) if c in cols else F.col(c)
-                                   for c in out.columns]))
+    cell = list(dict.fromkeys(k for lv in levels for k in lv))
+    fills = _fills(df, cols, levels)
+    j = align_group_values(df, fills, cell)
+    out = [F.coalesce(F.when(~F.isnan(c), F.col(c)) if dict(df.dtypes)[c] in ("double", "float") else F.col(c), F.col(f"{c}__fill")).alias(c)
+           if c in cols else F.col(c) for c in df.columns]
     if flag_col:
-        filled = F.greatest(F.lit(0), *[(F.col("__miss")[i] & F.col(c).isNotNull()).cast("int")
-                                        for i, c in enumerate(cols)])
-        out = out.withColumn(flag_col, filled).drop("__miss")
-    return out
+        lost = [((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) & F.col(f"{c}__fill").isNotNull()).cast("int") for c in cols]
+        out.append(F.greatest(F.lit(0), F.lit(0), *lost).alias(flag_col))
+    return j.select(*out)

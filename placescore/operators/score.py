@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placescore.functions.expr import asinh, clip, distance_to, log1p_safe, round_half_even
-from placescore.operators.agg import qcol, quantiles
+from placescore.operators.quantile import qcol, quantiles
 
 
 @dataclass(frozen=True)
@@ -54,11 +54,10 @@ def apply_transforms(df: DataFrame, transforms: Mapping[str, str | None], skip_m
     return df.select(*[transform_expr(c, transforms[c]).alias(c) if c in transforms else F.col(c) for c in df.columns])
 
 
-def winsorize(df: DataFrame, cols: Sequence[str], lower: float = 0.05, upper: float = 0.95,
-              method: str = "exact") -> DataFrame:
+def winsorize(df: DataFrame, cols: Sequence[str], lower: float = 0.05, upper: float = 0.95) -> DataFrame:
     """H5: clip every column to its own [lower, upper] quantiles (one aggregate)."""
     cols = [c for c in cols if c in df.columns]
-    q = quantiles(df, cols, [lower, upper], method=method)
+    q = quantiles(df, cols, [lower, upper])
     j = df.crossJoin(F.broadcast(q))
     out = j.select(*[clip(c, F.col(qcol(c, lower)), F.col(qcol(c, upper))).alias(c) if c in cols else F.col(c)
                      for c in df.columns])
@@ -86,7 +85,7 @@ def minmax_scores(df: DataFrame, cols: Sequence[str], invert: Sequence[str] = ()
 def feature_scores(df: DataFrame, features: Sequence[Feature], id_cols: Sequence[str],
                    winsorize_scores: bool = True, lower: float = 0.05, upper: float = 0.95,
                    scale: float = 1.0, constant: float = 0.5, use_transforms: bool = True,
-                   method: str = "exact", suffix: str = "_feature_score") -> DataFrame:
+                   suffix: str = "_feature_score") -> DataFrame:
     """H7 (and H11 with ``scale=100, use_transforms=False, constant=50``).
 
     Returns ``id_cols`` + one ``{feature}{suffix}`` per feature, higher = better.
@@ -102,7 +101,7 @@ def feature_scores(df: DataFrame, features: Sequence[Feature], id_cols: Sequence
                        f.transform if use_transforms else None).cast("double").alias(f.name)
         for f in features])
     if winsorize_scores:
-        q = quantiles(prep, names, [lower, upper], method=method)
+        q = quantiles(prep, names, [lower, upper])
         lo = {n: F.col(qcol(n, lower)) for n in names}
         hi = {n: F.col(qcol(n, upper)) for n in names}
         val = {n: clip(n, lo[n], hi[n]) for n in names}

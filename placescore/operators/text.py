@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placescore.functions.expr import col
+from placescore.operators.clean import snake_case, snake_case_expr
 
 
 def combine_texts(a: str | Column, b: str | Column, sep: str = "\n") -> Column:
@@ -54,16 +56,38 @@ def link_harvest(pages: DataFrame, key: str, url: str, html: str, pattern: str =
     links = pages.select(key, url, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(pattern), 1)).alias("pos", "href"))
     if extension:
         links = links.where(F.lower("href").endswith(extension.lower()))
-    origin = F.regexp_extract(F.col(url), r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
-    base_dir = F.regexp_extract(F.col(url), r"^([^?#]*/)", 1)
-    h = F.col("href")
-    resolved = (F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
-                .when(h.startswith("//"), F.concat(F.regexp_extract(F.col(url), r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), h))
-                .when(h.startswith("/"), F.concat(origin, h))
-                .otherwise(F.concat(base_dir, h)))
-    links = links.withColumn("link", resolved)
-    first = links.groupBy(key, "link").agg(F.min("pos").alias("pos"))
-    return first
+    links = links.withColumn("link", resolve_url(F.col(url), F.col("href")))
+    return links.groupBy(key, "link").agg(F.min("pos").alias("pos"))
+
+
+def _without_dots(path: Column) -> Column:
+    """``.`` and ``..`` segments of an absolute path removed; ``..`` above the root goes."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.array().cast("array<string>"), lambda acc, s: F.when(
+        s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    last = F.element_at(parts, -1)
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(last.isin(".", "..") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
+def resolve_url(base: Column, ref: Column) -> Column:
+    """A reference resolved against the url of its page (RFC 3986, 5.2; the results of ``urljoin``)."""
+    base = F.regexp_replace(F.coalesce(base, F.lit("")), "#.*$", "")
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+    authority = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    root = F.concat(scheme, authority)
+    ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
+    ref_rest = F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
+    folder = F.when((path == "") & (authority != ""), F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    merged = F.regexp_replace(F.concat(folder, ref_path), "/{2,}", "/")  # empty segments go, as in urljoin
+    merged = F.when(merged.startswith("/"), _without_dots(merged)).otherwise(merged)
+    return (F.when(ref.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), ref)
+            .when(ref.startswith("//"), F.concat(scheme, ref))
+            .when(ref_path.startswith("/"), F.concat(root, _without_dots(ref_path), ref_rest))
+            .when((ref == "") | ref.startswith("#"), F.concat(base, ref))
+            .when(ref.startswith("?"), F.concat(root, path, ref))
+            .otherwise(F.concat(root, merged, ref_rest)))
 
 
 def json_matrix(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -85,46 +109,58 @@ def json_matrix(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     return cells.select(key, "row", F.col("__z.column").alias("column"), F.col("__z.value").alias("value")), bad
 
 
-def header_drift_rows(df: DataFrame, key: str, text: str, required: Sequence[str], sep: str = ",") -> tuple[DataFrame, DataFrame]:
+def csv_fields(line: Column, sep: str = ",") -> Column:
+    """The fields of one CSV record: quotes may hold separators, line breaks and doubled quotes."""
+    q = re.escape(sep)
+    raw = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(f'("(?:[^"]|"")*+"|[^{q}]*+){q}'), 1)
+    return F.transform(raw, lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+
+
+def csv_records(text: Column) -> Column:
+    """The records of a CSV text; a line break inside quotes does not end one."""
+    clean = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r\n?", "\n")
+    return F.regexp_extract_all(F.concat(clean, F.lit("\n")), F.lit('((?:[^"\n]++|"[^"]*+")*+)\n'), 1)
+
+
+def header_drift_rows(df: DataFrame, key: str, text: str, required: Sequence[str],
+                      sep: str = ",") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Many small CSV texts with varying headers -> rows bound BY NAME.
 
-    Each text's first line is its header; every data line becomes
-    ``map_from_arrays(header, fields)``.  Texts missing a ``required`` column
-    are skipped and returned as the second frame (one row per skipped key).
+    Each text's first record is its header (snake-cased); every other record
+    becomes a map of header to field, missing trailing fields null.  Returns
+    (rows, skipped, quarantine): skipped has the keys of texts without one of the
+    ``required`` columns, quarantine the records with more fields than the header.
     """
-    lines = F.split(F.regexp_replace(F.col(text), "\r\n", "\n"), "\n")
-    hdr = F.transform(F.split(F.element_at(lines, 1), sep), lambda h: F.lower(F.trim(h)))
-    t = df.select(key, hdr.alias("__h"), F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))),
-                                                  lambda l: F.length(F.trim(l)) > 0).alias("__lines"))
-    has_all = F.lit(True)
-    for r in required:
-        has_all = has_all & F.array_contains("__h", r.lower())
-    skipped = t.where(~has_all).select(key)
-    rows = t.where(has_all).select(key, "__h", F.posexplode("__lines").alias("line_no", "__l"))
-    f = F.split("__l", sep)
+    records = csv_records(F.col(text))
+    header = F.transform(csv_fields(F.element_at(records, 1), sep), snake_case_expr)
+    t = df.select(key, header.alias("__h"), F.filter(
+        F.slice(records, 2, F.greatest(F.size(records) - 1, F.lit(0))), lambda r: F.length(F.trim(r)) > 0).alias("__records"))
+    need = F.array(*[F.lit(snake_case(r)) for r in required])
+    whole = F.size(F.array_except(need, "__h")) == 0
+    skipped = t.where(~whole).select(key)
+    rows = t.where(whole).select(key, "__h", F.posexplode("__records").alias("line_no", "__l"))
+    rows = rows.withColumn("__f", csv_fields(F.col("__l"), sep))
     n = F.size("__h")
-    f = F.when(F.size(f) >= n, F.slice(f, 1, n)).otherwise(
-        F.concat(f, F.array_repeat(F.lit(None).cast("string"), n - F.size(f))))
-    rows = rows.select(key, "line_no", F.map_from_arrays("__h", f).alias("fields"))
-    return rows, skipped
+    quarantine = rows.where(F.size("__f") > n).select(key, "line_no", F.col("__l").alias("record"))
+    padded = F.concat("__f", F.array_repeat(F.lit(None).cast("string"), F.greatest(n - F.size("__f"), F.lit(0))))
+    fields = F.when(F.size("__f") <= n, F.map_from_arrays("__h", padded))  # Spark may test later filters first
+    rows = rows.where(F.size("__f") <= n).select(key, "line_no", fields.alias("fields"))
+    return rows, skipped, quarantine
 
 
 def rollup_texts(df: DataFrame, parent: str, order: str, text: str, sep: str = "\n\n", out: str = "text") -> DataFrame:
-    """Concatenate child texts per parent in order."""
+    """Concatenate child texts per parent in order.
+
+    One value per parent is the feature; a parent whose texts exceed what a
+    value can hold (2 GB) makes Spark raise, nothing is cut.
+    """
     return df.groupBy(parent).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda s: s["t"]), sep).alias(out))
 
 
 def pending_only(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key has not been processed yet (left anti join)."""
-    return todo.join(done.select(key).distinct(), key, "left_anti")
-
-
-def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """G4 for text tables: the last row by ``order`` wins."""
-    from placescore.operators.window import dedupe
-
-    return dedupe(df, key, [order], keep="last")
+    return todo.join(done.select(key), key, "left_anti")
 
 
 def intro_extract(df: DataFrame, key: str, response: str, out: str = "extract") -> DataFrame:

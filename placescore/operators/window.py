@@ -33,6 +33,14 @@ def lookup_key(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
 
 
+def one_row(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key, as a frame of exactly one row (a job looks it up); no or several rows raise."""
+    rows = lookup_key(df, key, value).limit(2).collect()
+    if len(rows) != 1:
+        raise KeyError(f"{key} = {value!r}: {'no row' if not rows else 'several rows'}")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 # ------------------------------------------------------------------ G
 
 def duplicate_key_report(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -67,22 +75,27 @@ def flag_duplicates(df: DataFrame, key: str | Sequence[str], out: str = "is_dupl
     return df.join(r, cond, "left").drop(*[f"__k_{k}" for k in keys])
 
 
-def dedupe(df: DataFrame, key: str | Sequence[str], order: Sequence[str], keep: str = "first") -> DataFrame:
+def dedupe(df: DataFrame, key: str | Sequence[str], order: Sequence[str], keep: str = "first",
+           columns: Sequence[str] | None = None) -> DataFrame:
     """One row per key; the survivor is the first (``keep="first"``,
     ascending, missing first) or last (``keep="last"``) row in ``order``.
 
+    ``columns`` names what is wanted of the survivor (default: everything), so
+    that the scan reads, and the aggregate carries, no more than that.
+
     An aggregate (``min_by``/``max_by`` over a struct of the order columns)
     rather than a window: partial aggregation reduces every key to one row per
     partition before the shuffle, so a hot key never gathers in one task.
     Never a bare ``dropDuplicates``: the survivor is always defined.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in keys]
+    wanted = list(df.columns) if columns is None else [*keys, *[c for c in columns if c not in keys]]
+    rest = [c for c in wanted if c not in keys]
     row = F.struct(*[F.col(c) for c in rest])
     o = F.struct(*[F.col(c) for c in order])
     pick = F.min_by(row, o) if keep == "first" else F.max_by(row, o)
     g = df.groupBy(*keys).agg(pick.alias("__row"))
-    return g.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
+    return g.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*wanted)
 
 
 def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:
@@ -96,6 +109,14 @@ def top_n(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(score), F.asc(key)).limit(n)
 
 
+def sort_rows(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] = True) -> DataFrame:
+    """Global sort by several columns, missing values last in either direction."""
+    up = [ascending] * len(by) if isinstance(ascending, bool) else list(ascending)
+    if len(up) != len(by):
+        raise ValueError("one direction for each sort column")
+    return df.orderBy(*[F.asc_nulls_last(c) if a else F.desc_nulls_last(c) for c, a in zip(by, up)])
+
+
 def union_all(frames: Sequence[DataFrame], schema=None) -> DataFrame:
     """Row concat by name; no frames -> typed empty frame from ``schema``."""
     if not frames:

@@ -22,6 +22,8 @@ GROWTH_SPLIT_DATE = "1998-06-01"
 LAT_BASE, LAT_MULT, LAT_MOD = 25, 37, 2400
 LON_BASE, LON_MULT, LON_MOD = -125, 91, 5800
 ST_LAT_MULT, ST_LON_MULT = 239, 577
+#: Customers of this nation have no state; customers whose key this divides have no type.
+NO_STATE, NO_TYPE = 7, 11
 
 PANEL_KEY = "unit_key"
 PANEL_STATE = "state"
@@ -40,21 +42,9 @@ PANEL_MEASURES = [
 PANEL_COORDS = ["lat", "lon"]
 
 
-_TABLES: dict = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table reader; the DataFrame (file listing, footer schema) is reused
-    within a session -- DataFrames are immutable plans, so sharing is safe."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # e.g. a Spark Connect session has no SparkContext
-        app = None
-    k = (app, id(spark), path)
-    if k not in _TABLES:
-        _TABLES[k] = spark.read.parquet(path)
-    return _TABLES[k]
+    """Parquet table reader."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def synthetic_lat(key: str) -> F.Column:
@@ -104,8 +94,8 @@ def unit_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
         F.col("c_custkey").alias(PANEL_KEY),
         F.col("c_name").alias("unit_name"),
-        F.col("n_name").alias(PANEL_STATE),
-        F.col("c_mktsegment").alias(PANEL_TYPE),
+        F.when(F.col("c_nationkey") != NO_STATE, F.col("n_name")).alias(PANEL_STATE),
+        F.when(F.col("c_custkey") % NO_TYPE != 0, F.col("c_mktsegment")).alias(PANEL_TYPE),
         F.col("c_acctbal").alias("acctbal"),
     )
     o = order_stats(spark, sf_dir)
@@ -139,7 +129,8 @@ WITH ord AS (
 ev AS (
   SELECT user_id AS unit_key, avg(value) AS event_value_mean, CAST(count(*) AS DOUBLE) AS event_count
   FROM events GROUP BY user_id)
-SELECT c.c_custkey AS unit_key, c.c_name AS unit_name, n.n_name AS state, c.c_mktsegment AS unit_type,
+SELECT c.c_custkey AS unit_key, c.c_name AS unit_name, CASE WHEN c.c_nationkey <> {NO_STATE} THEN n.n_name END AS state,
+       CASE WHEN c.c_custkey % {NO_TYPE} <> 0 THEN c.c_mktsegment END AS unit_type,
        c.c_acctbal AS acctbal, o.order_count, o.total_spend, o.avg_order_value,
        o.open_orders / nullif(o.order_count, 0) * 100.0 AS open_order_share,
        (o.spend_current - o.spend_prior) / nullif(o.spend_prior, 0) AS spend_growth,

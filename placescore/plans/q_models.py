@@ -112,12 +112,8 @@ WITH s AS (SELECT count(*) AS n_clusters, min(n) AS cluster_min_size, max(n) AS
 w AS ({_WCSS_SQL}), sil AS ({_SIL_SQL})
 SELECT 'given_label' AS model, s.*, sil.silhouette AS silhouette_score, w.wcss FROM s, w, sil""")
 def cluster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T(spark, sf_dir, "embeddings")
-    s = cluster_sizes(e, "label")
-    out = s.crossJoin(silhouette(e, "embedding", "label").withColumnRenamed("silhouette", "silhouette_score")) \
-        .crossJoin(wcss(e, "vec_id", "embedding", "label"))
-    return out.select(F.lit("given_label").alias("model"), "n_clusters", "cluster_min_size", "cluster_max_size",
-                      "silhouette_score", "wcss")
+    e = T(spark, sf_dir, "embeddings").withColumnRenamed("label", "given_label")
+    return cl.model_metrics(e, "vec_id", ["given_label"], "embedding")
 
 
 _PROBE = 7
@@ -131,19 +127,7 @@ d AS (SELECT b.vec_id, sum(power(a.x - b.x, 2)) AS sq_distance FROM l a JOIN l b
 r AS (SELECT *, row_number() OVER (ORDER BY sq_distance, vec_id) AS rank FROM d)
 SELECT vec_id, sq_distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def similar_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of the probe's cluster (not the probe), closest first, top 10.
-
-    The probe (one row, found by key) travels as a one-row broadcast; every
-    other row is compared with it once -- no pairs among other rows.
-    """
-    e = T(spark, sf_dir, "embeddings")
-    probe = e.where(F.col("vec_id") == _PROBE).select(F.col("label").alias("__pl"), F.col("embedding").alias("__pe"))
-    j = e.crossJoin(F.broadcast(probe)).where((F.col("label") == F.col("__pl")) & (F.col("vec_id") != _PROBE))
-    sq = F.aggregate(F.zip_with("embedding", "__pe", lambda a, b: F.pow(a.cast("double") - b.cast("double"), 2)),
-                     F.lit(0.0), lambda acc, v: acc + v)
-    top = j.select("vec_id", sq.alias("sq_distance")).orderBy("sq_distance", "vec_id").limit(10)
-    from pyspark.sql import Window
-    return top.withColumn("rank", F.row_number().over(Window.orderBy("sq_distance", "vec_id")).cast("int"))
+    return cl.similar_units(T(spark, sf_dir, "embeddings"), "vec_id", _PROBE, "label", "embedding", 10)
 
 
 # ------------------------------------------------------------------ clustering on the panel
@@ -218,7 +202,9 @@ z AS (SELECT cm.cluster, cm.feature, coalesce((cm.med - ov.overall_median) / ov.
 zp AS (SELECT z.*, ph.phrase_order, ph.pos, ph.neg,
               row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, phrase_order) AS r FROM z JOIN {_phrases_sql()} USING (feature)),
 st AS (SELECT cluster, string_agg(CASE WHEN z > 0 THEN pos ELSE neg END, ' / ' ORDER BY rs) AS strong FROM
-         (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, phrase_order) AS rs FROM zp WHERE abs(z) >= 0.35)
+         (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, phrase_order) AS rs FROM
+          (SELECT * FROM zp WHERE abs(z) >= 0.35
+           QUALIFY row_number() OVER (PARTITION BY cluster, CASE WHEN z > 0 THEN pos ELSE neg END ORDER BY abs(z) DESC, phrase_order) = 1))
        WHERE rs <= 2 GROUP BY cluster),
 fb AS (SELECT cluster, CASE WHEN z >= 0 THEN pos ELSE neg END AS fb FROM zp WHERE r = 1),
 lb AS (SELECT DISTINCT cluster FROM lp)
@@ -269,7 +255,9 @@ zz AS (SELECT cm.cluster, cm.feature, coalesce((cm.med - ov.overall_median) / ov
 zp AS (SELECT zz.*, ph.phrase_order, ph.pos, ph.neg,
               row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, phrase_order) AS r FROM zz JOIN {_phrases_sql()} USING (feature)),
 st AS (SELECT cluster, string_agg(CASE WHEN z > 0 THEN pos ELSE neg END, ' / ' ORDER BY rs) AS strong FROM
-         (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, phrase_order) AS rs FROM zp WHERE abs(z) >= 0.35)
+         (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, phrase_order) AS rs FROM
+          (SELECT * FROM zp WHERE abs(z) >= 0.35
+           QUALIFY row_number() OVER (PARTITION BY cluster, CASE WHEN z > 0 THEN pos ELSE neg END ORDER BY abs(z) DESC, phrase_order) = 1))
        WHERE rs <= 2 GROUP BY cluster),
 fb AS (SELECT cluster, CASE WHEN z >= 0 THEN pos ELSE neg END AS fb FROM zp WHERE r = 1),
 sn AS (SELECT lb.cluster, coalesce(st.strong, fb.fb, 'Balanced') AS cluster_name
@@ -281,18 +269,41 @@ def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.label_report(labelled_panel(spark, sf_dir), "cluster", _CL_FEATS, PANEL_PHRASES, PANEL_TRADEOFFS)
 
 
-@query("cluster_assign", covers="J1 J4 J5 J8 (rows only: labels come from fit)")
-def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+_ASSIGN_FEATS = ["acctbal", "order_count", "total_spend", "avg_order_value", "open_order_share", "spend_growth",
+                 "event_value_mean", "event_count"]
+_ASSIGN_TRANSFORMS = {"order_count": "log1p", "total_spend": "log1p", "avg_order_value": "log1p", "event_count": "log1p",
+                      "acctbal": "asinh", "spend_growth": "asinh"}
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placescore.operators.score import apply_transforms
-    p = imputed_panel(spark, sf_dir)
-    feats = ["acctbal", "order_count", "total_spend", "avg_order_value", "open_order_share", "spend_growth",
-             "event_value_mean", "event_count"]
-    x = apply_transforms(p.select(PANEL_KEY, *feats), {"order_count": "log1p", "total_spend": "log1p",
-                                                       "avg_order_value": "log1p", "event_count": "log1p",
-                                                       "acctbal": "asinh", "spend_growth": "asinh"})
-    lab = cl.assign_clusters(x, PANEL_KEY, feats, ks=(5, 22), starts=10, seed=42)
-    names = cl.short_names(p.join(lab, PANEL_KEY), "cluster_k5", _CL_FEATS, PANEL_PHRASES, out="cluster_name")
-    return lab.join(F.broadcast(names), "cluster_k5", "left").select(PANEL_KEY, "cluster_k5", "cluster_k22", "cluster_name")
+    x = apply_transforms(imputed_panel(spark, sf_dir).select(PANEL_KEY, *_ASSIGN_FEATS), _ASSIGN_TRANSFORMS)
+    return cl.assign_clusters(x, PANEL_KEY, _ASSIGN_FEATS, ks=(5, 22), starts=10, seed=42)
+
+
+@query("cluster_assign", covers="J2 J4 J5 J9: facts that do not depend on label ids", sql="""
+SELECT unit_key, true AS labelled, true AS nearest_own_k5, true AS nearest_own_k22, 5 AS used_k5, 22 AS used_k22, true AS ordered_by_size
+FROM (SELECT c_custkey AS unit_key FROM customer)""")
+def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit once; all labels used, largest cluster first; each unit's own centroid is the nearest one."""
+    lab = _assigned(spark, sf_dir)
+    out = lab.select(PANEL_KEY, "components", "cluster_k5", "cluster_k22")
+    labelled = F.lit(True)
+    facts, ordered = {}, F.lit(True)
+    for k in (5, 22):
+        c = f"cluster_k{k}"
+        mean = lab.select(c, F.posexplode("components").alias("d", "x")).groupBy(c, "d").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
+        one = mean.groupBy(c).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda e: e["m"]).alias("mu"), F.max("n").alias("n"))
+        one = one.agg(F.array_sort(F.collect_list(F.struct(F.col(c).alias("l"), "n", "mu"))).alias(f"__c{k}"))  # one row of k centroids
+        out = out.crossJoin(F.broadcast(one))
+        gap = lambda e: F.aggregate(F.zip_with(F.col("components"), e["mu"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        far = F.transform(f"__c{k}", gap)
+        facts[k] = (F.get(far, F.col(c)) <= F.array_min(far) * (1 + 1e-6) + 1e-9, F.size(f"__c{k}"))
+        sizes = F.transform(f"__c{k}", lambda e: e["n"])
+        ordered = ordered & (F.reverse(F.array_sort(sizes)) == sizes)
+        labelled = labelled & F.col(c).between(0, k - 1)
+    return out.select(PANEL_KEY, labelled.alias("labelled"), facts[5][0].alias("nearest_own_k5"), facts[22][0].alias("nearest_own_k22"),
+                      facts[5][1].alias("used_k5"), facts[22][1].alias("used_k22"), ordered.alias("ordered_by_size"))
 
 
 # ------------------------------------------------------------------ presentation tables (K1-K6)
@@ -392,21 +403,57 @@ def feature_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ text and semi-structured sources
 
-_HREF = r"""(?i)href\s*=\s*["']([^"']+)["']"""
+#: Added to every page: references that need dot segments, a bare host, a query or a fragment resolved.
+_MORE_LINKS = "".join(f'<a href="{h}">x</a>' for h in ("../data/./a.csv", "b.csv", "../../../c.CSV", "//cdn.example.org/d.csv", "?page=9", "/x/../e.csv#top", "g/..", ""))
+
+
+def _dots_sql(path: str) -> str:
+    """Dot segments removed by repeated rewriting (the query walks segments instead)."""
+    out = f"regexp_replace({path}, '/([.]/)+', '/', 'g')"
+    out = f"regexp_replace({out}, '/[.]$', '/')"
+    for _ in range(4):
+        out = f"regexp_replace({out}, '^((?:/[.][.])*)/(?:[^/.][^/]*|[.][^/.][^/]*|[.][.][^/]+)/[.][.](/|$)', '\\1/')"
+        out = f"regexp_replace({out}, '(/(?:[^/.][^/]*|[.][^/.][^/]*|[.][.][^/]+))/([^/.][^/]*)/[.][.](/|$)', '\\1/')"
+    return f"regexp_replace({out}, '^(/[.][.])+(/|$)', '/')"
 
 
-@query("link_harvest", covers="A11 G5", sql=r"""
-WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"'']+)["'']', 1)) AS href,
-                  unnest(generate_series(0, len(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"'']+)["'']', 1)) - 1)) AS pos
-           FROM pages),
+_LINK_SQL = f"""
+WITH pg AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN regexp_extract(url, '^[a-z]+://[^/?#]+') ELSE url END AS url,
+                   html || '{_MORE_LINKS}' AS html FROM pages),
+l0 AS (SELECT page_id, url, regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']*)["'']', 1) AS hs FROM pg),
+l AS (SELECT page_id, url, unnest(hs) AS href, unnest(generate_series(0, len(hs) - 1)) AS pos FROM l0),
+u AS (SELECT *, regexp_extract(url, '^[a-z]+:') AS scheme, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root,
+        regexp_replace(url, '#.*$', '') AS page, regexp_extract(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '^[^?#]*') AS path,
+        regexp_extract(href, '^[^?#]*') AS hp, regexp_replace(href, '^[^?#]*', '') AS rest FROM l),
 r AS (SELECT page_id, pos, CASE
         WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
-        WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || href
-        WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) || href
-        ELSE regexp_extract(url, '^([^?#]*/)', 1) || href END AS link FROM l)
-SELECT page_id, link, CAST(min(pos) AS INTEGER) AS pos FROM r GROUP BY page_id, link""")
+        WHEN starts_with(href, '//') THEN scheme || href
+        WHEN starts_with(hp, '/') THEN root || {_dots_sql('hp')} || rest
+        WHEN href = '' OR starts_with(href, '#') THEN page || href
+        WHEN starts_with(href, '?') THEN root || path || href
+        ELSE root || {_dots_sql("(CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || hp)")} || rest END AS link FROM u)
+SELECT page_id, link, CAST(min(pos) AS INTEGER) AS pos FROM r"""
+
+
+def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0)
+    return T(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, bare).otherwise(F.col("url")).alias("url"),
+                                            F.concat("html", F.lit(_MORE_LINKS)).alias("html"))
+
+
+_HREF = r"""(?i)href\s*=\s*["']([^"']*)["']"""
+
+
+@query("link_harvest", covers="A11 G5", sql=_LINK_SQL + " GROUP BY page_id, link")
 def link_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.link_harvest(T(spark, sf_dir, "pages"), "page_id", "url", "html", _HREF)
+    return text.link_harvest(_linked_pages(spark, sf_dir), "page_id", "url", "html", _HREF)
+
+
+@query("link_harvest_csv", covers="A11 (extension filter)", sql=_LINK_SQL.replace("unnest(generate_series(0, len(hs) - 1)) AS pos FROM l0)",
+       "unnest(generate_series(0, len(hs) - 1)) AS pos FROM l0), lc AS (SELECT * FROM l WHERE lower(href) LIKE '%.csv')").replace("AS rest FROM l)", "AS rest FROM lc)")
+       + " GROUP BY page_id, link")
+def link_harvest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.link_harvest(_linked_pages(spark, sf_dir), "page_id", "url", "html", _HREF, extension=".csv")
 
 
 def _matrix_text_spark(li: DataFrame) -> DataFrame:
@@ -435,43 +482,61 @@ def json_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("row", F.col("row").cast("int"))
 
 
+@query("json_quarantine", covers="A8 (quarantine)", sql="""
+WITH g AS (SELECT l_orderkey, count(*) AS n, max(CASE WHEN l_orderkey % 77 = 0 AND l_linenumber = 1 THEN 1 ELSE 0 END) AS short FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, 'bad shape' AS reason FROM g WHERE l_orderkey % 50 = 0 OR short = 1""")
+def json_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.json_matrix(_matrix_text_spark(T(spark, sf_dir, "lineitem")), "l_orderkey", "payload")[1]
+
+
 def _drift_text_spark(li: DataFrame) -> DataFrame:
-    snow = F.col("l_orderkey") % 3 == 0
-    line = F.concat_ws(",", F.col("l_suppkey").cast("string"), F.month("l_shipdate").cast("string"),
+    """One CSV text per order: headers drift, names are quoted, every 17th line has a field too many."""
+    name = F.concat(F.lit('"CITY ""'), F.col("l_returnflag"), F.lit('"", '), F.col("l_linestatus"), F.lit(' US"'))
+    line = F.concat_ws(",", F.col("l_suppkey").cast("string"), name, F.month("l_shipdate").cast("string"),
                        (F.col("l_discount") * 100).cast("int").cast("string"), (F.col("l_tax") * 100).cast("int").cast("string"))
-    line = F.when(snow, F.concat(line, F.lit(","), F.col("l_quantity").cast("int").cast("string"))).otherwise(line)
+    line = F.when(F.col("l_orderkey") % 3 == 0, F.concat(line, F.lit(","), F.col("l_quantity").cast("int").cast("string"))).otherwise(line)
+    line = F.when(F.col("l_partkey") % 17 == 0, F.concat(line, F.lit(",surplus"))).otherwise(line)
     g = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t")))).alias("__l"))  # ties: by text
-    hdr = (F.when(F.col("l_orderkey") % 13 == 0, F.lit("id,month,temp,prcp"))
-           .when(F.col("l_orderkey") % 3 == 0, F.lit("Station, Month ,temp,prcp,snow"))
-           .otherwise(F.lit("station,month,temp,prcp")))
+    hdr = (F.when(F.col("l_orderkey") % 13 == 0, F.lit("id,name,month,temp,prcp"))
+           .when(F.col("l_orderkey") % 3 == 0, F.lit('"Station","Station, Name", Month ,temp,prcp,snow'))
+           .otherwise(F.lit("station,station_name,month,temp,prcp")))
     return g.select("l_orderkey", F.concat(hdr, F.lit("\n"), F.array_join(F.transform("__l", lambda s: s["t"]), "\n")).alias("csv"))
 
 
-@query("header_drift_scan", covers="A6 D3", sql="""
-WITH li AS (SELECT l_orderkey, l_linenumber,
-   concat_ws(',', CAST(l_suppkey AS VARCHAR), CAST(month(l_shipdate) AS VARCHAR), CAST(CAST(l_discount * 100 AS INTEGER) AS VARCHAR),
-             CAST(CAST(l_tax * 100 AS INTEGER) AS VARCHAR)) ||
-   CASE WHEN l_orderkey % 3 = 0 THEN ',' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) ELSE '' END AS line FROM lineitem),
-g AS (SELECT l_orderkey, list(line ORDER BY l_linenumber, line) AS lines,
-   CASE WHEN l_orderkey % 13 = 0 THEN ['id', 'month', 'temp', 'prcp'] WHEN l_orderkey % 3 = 0 THEN ['station', 'month', 'temp', 'prcp', 'snow']
-        ELSE ['station', 'month', 'temp', 'prcp'] END AS hdr FROM li GROUP BY l_orderkey),
-r AS (SELECT l_orderkey, hdr, unnest(generate_series(0, len(lines) - 1)) AS line_no, unnest(lines) AS line FROM g WHERE list_contains(hdr, 'station')),
-f AS (SELECT l_orderkey, line_no, hdr, string_split(line, ',') AS fld FROM r)
-SELECT l_orderkey, CAST(line_no AS INTEGER) AS line_no,
-  CAST(fld[list_position(hdr, 'station')] AS BIGINT) AS station, CAST(fld[list_position(hdr, 'month')] AS INTEGER) AS month,
-  CAST(fld[list_position(hdr, 'temp')] AS DOUBLE) AS temp, CAST(fld[list_position(hdr, 'prcp')] AS DOUBLE) AS prcp,
-  CASE WHEN list_position(hdr, 'snow') IS NULL THEN NULL ELSE CAST(fld[list_position(hdr, 'snow')] AS DOUBLE) END AS snow
-FROM f WHERE CAST(fld[list_position(hdr, 'month')] AS INTEGER) BETWEEN 1 AND 12""")
+_DRIFT_SQL = """
+WITH li AS (SELECT *, l_suppkey::varchar || 'CITY "' || l_returnflag || l_linestatus || month(l_shipdate) || CAST(l_discount * 100 AS INTEGER) || CAST(l_tax * 100 AS INTEGER) AS t,
+  concat_ws(',', CAST(l_suppkey AS VARCHAR), '"CITY ""' || l_returnflag || '"", ' || l_linestatus || ' US"', CAST(month(l_shipdate) AS VARCHAR),
+    CAST(CAST(l_discount * 100 AS INTEGER) AS VARCHAR), CAST(CAST(l_tax * 100 AS INTEGER) AS VARCHAR))
+    || CASE WHEN l_orderkey % 3 = 0 THEN ',' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) ELSE '' END
+    || CASE WHEN l_partkey % 17 = 0 THEN ',surplus' ELSE '' END AS record FROM lineitem WHERE l_orderkey % 13 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, record) - 1 AS line_no FROM li)"""
+
+
+@query("header_drift_scan", covers="A6 D3", sql=_DRIFT_SQL + """
+SELECT l_orderkey, CAST(line_no AS INTEGER) AS line_no, l_suppkey AS station, 'CITY "' || l_returnflag || '", ' || l_linestatus || ' US' AS station_name,
+  CAST(month(l_shipdate) AS INTEGER) AS month, CAST(CAST(l_discount * 100 AS INTEGER) AS DOUBLE) AS temp, CAST(CAST(l_tax * 100 AS INTEGER) AS DOUBLE) AS prcp,
+  CASE WHEN l_orderkey % 3 = 0 THEN CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) END AS snow
+FROM r WHERE l_partkey % 17 <> 0""")
 def header_drift_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _drift_text_spark(T(spark, sf_dir, "lineitem"))
-    rows, _skipped = text.header_drift_rows(t, "l_orderkey", "csv", required=["station"])
+    rows = text.header_drift_rows(t, "l_orderkey", "csv", required=["station", "station_name", "month"])[0]
     g = lambda k: F.try_element_at(F.col("fields"), F.lit(k))
     out = rows.select("l_orderkey", F.col("line_no").cast("int").alias("line_no"), g("station").try_cast("long").alias("station"),
-                      g("month").try_cast("int").alias("month"), g("temp").try_cast("double").alias("temp"),
+                      g("station_name").alias("station_name"), g("month").try_cast("int").alias("month"), g("temp").try_cast("double").alias("temp"),
                       g("prcp").try_cast("double").alias("prcp"), g("snow").try_cast("double").alias("snow"))
     return out.where(F.col("month").between(1, 12))
 
 
+@query("header_drift_rejects", covers="A6 B3 (skipped texts, quarantined records)", sql=_DRIFT_SQL + """
+SELECT l_orderkey, CAST(line_no AS INTEGER) AS line_no, record FROM r WHERE l_partkey % 17 = 0
+UNION ALL SELECT DISTINCT l_orderkey, CAST(-1 AS INTEGER), 'skipped' FROM lineitem WHERE l_orderkey % 13 = 0""")
+def header_drift_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _drift_text_spark(T(spark, sf_dir, "lineitem"))
+    _, skipped, bad = text.header_drift_rows(t, "l_orderkey", "csv", required=["station", "station_name", "month"])
+    return bad.select("l_orderkey", F.col("line_no").cast("int").alias("line_no"), "record").unionByName(
+        skipped.select("l_orderkey", F.lit(-1).alias("line_no"), F.lit("skipped").alias("record")))
+
+
 @query("text_rollup", covers="L1 L2 F17", sql="""
 SELECT conv_id, string_agg(coalesce(role, '') || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id""")
@@ -498,14 +563,15 @@ def tagged_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("attach_text", covers="I5 A14 C26 G4", sql=f"""WITH {_flagship_ctes()},
 tx AS (SELECT unit_key, tagline, summary FROM (
-   SELECT doc_id % 700 AS unit_key, source AS tagline, text AS summary,
-          row_number() OVER (PARTITION BY doc_id % 700 ORDER BY doc_id DESC) AS rn FROM documents) WHERE rn = 1)
+   SELECT doc_id % (SELECT max(c_custkey) FROM customer) + 1 AS unit_key, source AS tagline, text AS summary,
+          row_number() OVER (PARTITION BY doc_id % (SELECT max(c_custkey) FROM customer) ORDER BY doc_id DESC) AS rn FROM documents) WHERE rn = 1)
 SELECT CAST(rec.unit_key AS VARCHAR) AS unit_key, '' AS city_wiki_wikivoyage_text,
        coalesce(tx.tagline, '') AS tagline, coalesce(tx.summary, '') AS summary
 FROM rec LEFT JOIN tx USING (unit_key)""")
 def attach_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T(spark, sf_dir, "documents").select((F.col("doc_id") % 700).alias(PANEL_KEY), F.col("source").alias("tagline"),
-                                             F.col("text").alias("summary"), "doc_id")
+    keys = F.broadcast(T(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("__top")))  # one row
+    d = T(spark, sf_dir, "documents").crossJoin(keys).select(
+        (F.col("doc_id") % F.col("__top") + 1).alias(PANEL_KEY), F.col("source").alias("tagline"), F.col("text").alias("summary"), "doc_id")
     r = flagship_result(spark, sf_dir).select(PANEL_KEY)
     out = rec.attach_text(r, d, PANEL_KEY, order_col="doc_id")
     return out.select(PANEL_KEY, "city_wiki_wikivoyage_text", "tagline", "summary")

@@ -299,15 +299,14 @@ FROM inc CROSS JOIN m LEFT JOIN panel p ON
   (m.housing_mode = 'either' AND (p.avg_order_value <= inc.income / 12.0 * 0.3 OR p.total_spend <= inc.income * 3.5))
 GROUP BY 1, 2""")
 def affordability_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from placescore.operators.recommend import affordability_filter
-    p = unit_panel(spark, sf_dir).cache()
-    parts = []
-    for inc in _INCOMES:
-        for mode in ("rent", "buy", "either"):
-            f = affordability_filter(p, inc, mode, "avg_order_value", "total_spend")
-            parts.append(f.agg(F.count(F.lit(1)).alias("n_affordable")).select(
-                F.lit(inc).alias("income"), F.lit(mode).alias("housing_mode"), "n_affordable"))
-    return window.union_all(parts)
+    from placescore.operators.recommend import affordability_predicate
+    cases = [(inc, mode) for inc in _INCOMES for mode in ("rent", "buy", "either")]
+    counts = unit_panel(spark, sf_dir).agg(*[
+        F.count_if(affordability_predicate(F.lit(inc), mode, "avg_order_value", "total_spend")).alias(f"n{k}")
+        for k, (inc, mode) in enumerate(cases)])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(inc).alias("income"), F.lit(mode).alias("housing_mode"), F.col(f"n{k}").alias("n_affordable"))
+        for k, (inc, mode) in enumerate(cases)])))
 
 
 def station_months(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -517,7 +516,7 @@ g AS (SELECT CAST(gi AS INTEGER) AS gi, lo + gi * (hi - lo) / 49 AS x, sd * powe
 SELECT g.gi AS grid_index, g.x, sum(exp(-((g.x - v.v) / g.h) * ((g.x - v.v) / g.h) / 2)) / (g.n * g.h * sqrt(2 * pi())) AS density
 FROM g CROSS JOIN v GROUP BY g.gi, g.x, g.h, g.n""")
 def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = agg.density_grid(T(spark, sf_dir, "events"), "value", points=50, exact=True)
+    d = agg.density_grid(T(spark, sf_dir, "events"), "value", points=50)
     return d.withColumn("grid_index", F.col("grid_index").cast("int"))
 
 
@@ -552,7 +551,7 @@ SELECT user_id, event_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def dedupe_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T(spark, sf_dir, "events")
-    return window.dedupe(e, "user_id", ["ts", "event_id"], keep="last").select("user_id", "event_id", "event_type", "value")
+    return window.dedupe(e, "user_id", ["ts", "event_id"], keep="last", columns=["event_id", "event_type", "value"])
 
 
 @query("dedupe_first", covers="G5", sql="""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placescore.operators import impute, recommend as rec, score
+from placescore.operators import clean, impute, recommend as rec, score
 from placescore.plans import sqlgen
 from placescore.plans.panel import PANEL_IDS, PANEL_KEY, table, unit_panel
 from placescore.plans.registry import query
+from placescore.session import cut_lineage
 from placescore.plans.spec import (FLAGSHIP_INCOME, FLAGSHIP_MODE, FLAGSHIP_RATINGS, FLAGSHIP_TOP_N,
                                    IMPUTE_TARGETS, PANEL_DIMENSION_COLS, PANEL_DIMENSIONS, PANEL_FEATURES,
                                    PANEL_HOME_COL, PANEL_RENT_COL)
@@ -16,19 +17,19 @@ from placescore.plans.spec import (FLAGSHIP_INCOME, FLAGSHIP_MODE, FLAGSHIP_RATI
 IDS = PANEL_IDS
 
 
-def imputed_panel(spark: SparkSession, sf_dir: str, method: str = "exact") -> DataFrame:
-    return impute.hierarchical_median_impute(unit_panel(spark, sf_dir), IMPUTE_TARGETS, method=method)
+def imputed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored panel that scoring, clustering and recommendation read: built once, its lineage cut."""
+    return cut_lineage(impute.hierarchical_median_impute(unit_panel(spark, sf_dir), IMPUTE_TARGETS))
 
 
-def scored_panel(spark: SparkSession, sf_dir: str, method: str = "exact") -> DataFrame:
+def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imputed raw measures + feature scores + dimension scores, one row per unit."""
-    imp = imputed_panel(spark, sf_dir, method)
+    imp = imputed_panel(spark, sf_dir)
     # raw columns the recommender needs ride through the scoring as renamed
     # pass-through ids, so the imputed panel is consumed without a self-join
     raw = [PANEL_RENT_COL, PANEL_HOME_COL, "lat", "lon"]
     imp = imp.withColumns({f"__raw_{c}": F.col(c) for c in raw})
-    fs = score.feature_and_dimension_scores(imp, PANEL_FEATURES, PANEL_DIMENSIONS,
-                                            IDS + [f"__raw_{c}" for c in raw], method=method)
+    fs = score.feature_and_dimension_scores(imp, PANEL_FEATURES, PANEL_DIMENSIONS, IDS + [f"__raw_{c}" for c in raw])
     rest = [c for c in fs.columns if c not in IDS and not c.startswith("__raw_")]
     return fs.select(PANEL_KEY, *[F.col(f"__raw_{c}").alias(c) for c in raw], *[c for c in IDS if c != PANEL_KEY], *rest)
 
@@ -98,64 +99,6 @@ def recommend_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rec_out(out)
 
 
-# users derived from the supplier table: one user per supplier (grows with the data)
-def _user_rating_expr(i: int, key: str) -> str:
-    return f"CAST(({key} * {7 + 2 * i} + {i}) % 6 AS DOUBLE)"
-
-
-def users_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    cols = [F.col("s_suppkey").alias("user_id"),
-            F.when(F.col("s_suppkey") % 4 == 0, F.lit(None).cast("double"))
-             .otherwise(F.abs(F.col("s_acctbal")) * 1000.0 + 2_000_000.0).alias("income"),
-            F.element_at(F.array(F.lit("rent"), F.lit("buy"), F.lit("either")),
-                         (F.col("s_suppkey") % 3 + 1).cast("int")).alias("housing_mode")]
-    for i, d in enumerate(PANEL_DIMENSION_COLS):
-        cols.append(F.expr(_user_rating_expr(i, "s_suppkey")).alias(f"r_{d}"))
-    return s.select(*cols)
-
-
-def _users_sql() -> str:
-    rs = ", ".join(f"{_user_rating_expr(i, 's_suppkey')} AS r_{d}" for i, d in enumerate(PANEL_DIMENSION_COLS))
-    return f"""SELECT s_suppkey AS user_id,
-  CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE abs(s_acctbal) * 1000.0 + 2000000.0 END AS income,
-  (['rent','buy','either'])[CAST(s_suppkey % 3 + 1 AS INTEGER)] AS housing_mode, {rs}
-FROM supplier"""
-
-
-def _batch_sql(top_n: int = 10) -> str:
-    rent = f"sp.{PANEL_RENT_COL} <= u.income / 12.0 * 0.3"
-    home = f"sp.{PANEL_HOME_COL} <= u.income * 3.5"
-    num = " + ".join(f"coalesce(CASE WHEN u.r_{d} >= 0 THEN power(sp.{d} - least(greatest(u.r_{d} / 5.0, 0.0), 1.0), 2) END, 0.0)"
-                     for d in PANEL_DIMENSION_COLS)
-    cnt = " + ".join(f"CAST(u.r_{d} >= 0 AND sp.{d} IS NOT NULL AS INTEGER)" for d in PANEL_DIMENSION_COLS)
-    score = sqlgen._clip(f"(1.0 - ({num}) / nullif({cnt}, 0))", "0.0", "1.0")
-    dims = ", ".join(f"{sqlgen.scale05(d)} AS {d}" for d in PANEL_DIMENSION_COLS)
-    return f"""
-WITH {sqlgen.scored_panel_ctes()},
-sp AS (SELECT ds.*, imp.{PANEL_RENT_COL}, imp.{PANEL_HOME_COL} FROM ds JOIN imp USING (unit_key)),
-u AS ({_users_sql()}),
-j AS (SELECT u.user_id, sp.*, {score} AS recommendation_score
-      FROM sp JOIN u ON u.income IS NULL
-        OR (u.housing_mode = 'rent' AND {rent}) OR (u.housing_mode = 'buy' AND {home})
-        OR (u.housing_mode = 'either' AND (({rent}) OR ({home})))),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY recommendation_score DESC NULLS LAST, unit_key) AS rank FROM j)
-SELECT user_id, unit_key, {dims}, {sqlgen.scale05('recommendation_score')} AS recommendation_score, CAST(rank AS INTEGER) AS rank
-FROM r WHERE rank <= {top_n}
-"""
-
-
-@query("recommend_batch_users", covers="I7 D4(range join)", sql=_batch_sql(10))
-def recommend_batch_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the enriched panel is a stored table in the pipeline (M7); here it is
-    # materialised to the shared checkpoint folder before the many-user pass
-    sp = impute.cut_small(scored_panel(spark, sf_dir))
-    out = rec.recommend_batch(sp, users_table(spark, sf_dir), PANEL_DIMENSION_COLS, PANEL_KEY, top_n=10,
-                              rent_col=PANEL_RENT_COL, home_col=PANEL_HOME_COL)
-    return out.select("user_id", PANEL_KEY, *PANEL_DIMENSION_COLS, "recommendation_score",
-                      F.col("rank").cast("int").alias("rank"))
-
-
 # ------------------------------------------------------------------ imputation and scores
 
 _IMP_OUT = IDS + IMPUTE_TARGETS + ["contains_imputed"]
@@ -167,10 +110,14 @@ def impute_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imputed_panel(spark, sf_dir).select(*_IMP_OUT)
 
 
-@query("impute_bracket_median", covers="H1 with exact sketch-bracketed medians (scale path)",
-       sql=f"WITH {sqlgen.impute_ctes()} SELECT {', '.join(_IMP_OUT)} FROM imp")
-def impute_bracket_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imputed_panel(spark, sf_dir, method="bracket").select(*_IMP_OUT)
+_LEVEL1 = ["unit_type", "state"]
+
+
+@query("impute_group_medians", covers="F8 G3 E9: exact medians per (type, state), null keys included",
+       sql=f"""WITH panel AS ({sqlgen.PANEL_SQL})
+SELECT unit_type, state, {', '.join(f'median({c}) AS {c}__med' for c in IMPUTE_TARGETS)} FROM panel GROUP BY unit_type, state""")
+def impute_group_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impute.group_medians(unit_panel(spark, sf_dir), IMPUTE_TARGETS, _LEVEL1)
 
 
 _ZERO = ["event_count"]
@@ -184,7 +131,7 @@ def _impute_flag_sql() -> str:
 
 @query("impute_flag", covers="H2 C20 H3", sql=_impute_flag_sql())
 def impute_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = unit_panel(spark, sf_dir).fillna(0.0, subset=_ZERO)
+    p = clean.zero_fill(unit_panel(spark, sf_dir), _ZERO)
     targets = impute.imputation_targets(p.drop("lat", "lon"), exclude=[PANEL_KEY])
     targets = [t for t in targets if t in IMPUTE_TARGETS]
     out = impute.hierarchical_median_impute(p, targets)

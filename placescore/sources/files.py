@@ -6,8 +6,6 @@ Every reader takes an explicit schema or header handling -- no ``inferSchema``
 
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -83,13 +81,6 @@ def optional_table(spark: SparkSession, path: str | None, reader=None) -> DataFr
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """A6 helper: many small text files as (path, content) rows, one row per file."""
-    return spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name()) \
+    return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name()) \
         .select("path", F.col("value").alias("content"))
 
-
-def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
-    """G9 for sources with drifting columns."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out

@@ -124,6 +124,10 @@ TRADEOFF_RULES = [
 ]
 TRADEOFF_DEFAULT = "high variation by metro"
 BALANCED_CANDIDATES = ["Balanced Everyday Metros", "All-Around Cities", "Generalist Metros"]
+# candidate names 1 to 3 and description, from two phrases or one ({a_lower}: in lower case)
+TWO_PHRASE_TEXTS = ["{a} Hubs", "{a} + {b} Metros", "{a} / {b} Cities",
+                    "Metros that skew {a_lower}, often also {b_lower}."]
+ONE_PHRASE_TEXTS = ["{a} Hubs", "{a} Lifestyle Metros", "{a} Sweet-Spot Cities", "Metros that skew {a_lower}."]
 BALANCED_DESCRIPTION = "A balanced mix of metros without a single dominating trait."
 
 # selective winsorisation thresholds on robust-scaled columns
@@ -137,3 +141,90 @@ KMEANS_STARTS = 10
 KMEANS_SEED = 42
 PCA_VARIANCE = 0.90
 PCA_KEEP = 3
+
+# ---------------------------------------------------------------- fixed values: census shares (all in per cent)
+INDUSTRY_TOTAL = "IndustryTotalEmployed_C24050"
+OCCUPATION_TOTAL = "TotalEmployed_C24010"
+CENSUS_SHARES = {
+    # share: (numerators, denominator)
+    "industry_ag_forestry_mining_share": (["IndustryAgForestryMining_C24050"], INDUSTRY_TOTAL),
+    "industry_construction_share": (["IndustryConstruction_C24050"], INDUSTRY_TOTAL),
+    "industry_manufacturing_share": (["IndustryManufacturing_C24050"], INDUSTRY_TOTAL),
+    "industry_wholesale_share": (["IndustryWholesaleTrade_C24050"], INDUSTRY_TOTAL),
+    "industry_retail_share": (["IndustryRetailTrade_C24050"], INDUSTRY_TOTAL),
+    "industry_transport_utilities_share": (["IndustryTransportUtilities_C24050"], INDUSTRY_TOTAL),
+    "industry_information_share": (["IndustryInformation_C24050"], INDUSTRY_TOTAL),
+    "industry_finance_real_estate_share": (["IndustryFinanceRealEstate_C24050"], INDUSTRY_TOTAL),
+    "industry_prof_sci_mgmt_admin_share": (["IndustryProfSciMgmtAdminWaste_C24050"], INDUSTRY_TOTAL),
+    "industry_education_health_share": (["IndustryEducationHealthCare_C24050"], INDUSTRY_TOTAL),
+    "industry_arts_rec_accommodation_food_share": (["IndustryArtsRecAccommodationFood_C24050"], INDUSTRY_TOTAL),
+    "industry_other_services_share": (["IndustryOtherServices_C24050"], INDUSTRY_TOTAL),
+    "industry_public_admin_share": (["IndustryPublicAdmin_C24050"], INDUSTRY_TOTAL),
+    "white_collar_share": (["ManagementBusiness_C24010", "ScienceEngineering_C24010"], OCCUPATION_TOTAL),
+    "blue_collar_share": (["Construction_C24010", "ProductionTransportation_C24010"], OCCUPATION_TOTAL),
+    "service_job_share": (["ServiceOccupations_C24010"], OCCUPATION_TOTAL),
+    "sales_share": (["SalesOffice_C24010"], OCCUPATION_TOTAL),
+    "bachelors_or_higher_share": (["BachelorsDegree_B15003", "MastersDegree_B15003", "ProfessionalDegree_B15003",
+                                   "DoctorateDegree_B15003"], "TotalPopulation25Plus_B15003"),
+    "age_22_34_share": (["age_22_34_total"], "TotalPopulation_B01003"),
+    "age_65_plus_share": (["age_65_plus_total"], "TotalPopulation_B01003"),
+    "unemployment_rate": (["Unemployed_B23025"], "LaborForce_B23025"),
+    "poverty_rate": (["BelowPoverty_B17001"], "TotalPovertyUniverse_B17001"),
+}
+# age totals: bucket names, each once for men and once for women
+AGE_BUCKETS = {
+    "age_22_34_total": ["22to24", "25to29", "30to34"],
+    "age_65_plus_total": ["65to66", "67to69", "70to74", "75to79", "80to84", "85plus"],
+}
+RACE_TOTAL = "TotalRace_B02001"
+RACE_GROUPS = ["WhiteAlone_B02001", "BlackAlone_B02001", "AmericanIndianAlaskaNative_B02001", "AsianAlone_B02001",
+               "NativeHawaiianPacificIslander_B02001", "SomeOtherRace_B02001", "TwoOrMoreRaces_B02001"]
+# gazetteer column: name in the panel
+GAZETTEER_COLUMNS = {"ALAND": "land_area_m2", "AWATER": "water_area_m2", "ALAND_SQMI": "land_area_sqmi",
+                     "AWATER_SQMI": "water_area_sqmi", "INTPTLAT": "centroid_lat", "INTPTLONG": "centroid_lon"}
+
+# ---------------------------------------------------------------- fixed values: health measures (id: feature)
+HEALTH_MEASURES = {
+    "OBESITY": "obesity_share", "LPA": "physical_inactivity_share", "DEPRESSION": "depression_share",
+    "CASTHMA": "current_asthma_share", "DIABETES": "diabetes_share", "STROKE": "stroke_share",
+    "CHD": "coronary_heart_disease_share", "ARTHRITIS": "arthritis_share", "DISABILITY": "any_disability_share",
+    "CSMOKING": "current_smoking_share", "BINGE": "binge_drinking_share",
+}
+
+# ---------------------------------------------------------------- fixed values: station files
+STATION_REQUIRED = ["station", "latitude", "longitude", "name", "month"]
+STATION_MEASURES = ["mly_tavg_normal", "mly_prcp_normal", "mly_snow_normal"]
+
+# ---------------------------------------------------------------- fixed values: clustering columns
+# numeric columns that clustering does not look at: identifiers, raw counts and areas, station facts
+CLUSTER_DROP = [
+    "contains_imputed", "TotalPopulation_B01003", "TotalPovertyUniverse_B17001", "BelowPoverty_B17001",
+    INDUSTRY_TOTAL, *[n for share, (nums, _) in CENSUS_SHARES.items() if share.startswith("industry_") for n in nums],
+    OCCUPATION_TOTAL, "ManagementBusiness_C24010", "ScienceEngineering_C24010", "ServiceOccupations_C24010",
+    "SalesOffice_C24010", "Construction_C24010", "ProductionTransportation_C24010",
+    "TotalPopulation25Plus_B15003", "BachelorsDegree_B15003", "MastersDegree_B15003", "ProfessionalDegree_B15003",
+    "DoctorateDegree_B15003", RACE_TOTAL, *RACE_GROUPS, "LaborForce_B23025", "Unemployed_B23025",
+    *AGE_BUCKETS, "land_area_m2", "water_area_m2", "land_area_sqmi", "water_area_sqmi", "centroid_lat", "centroid_lon",
+    "nat_walk_index_mean", "population_density_mean", "n_tracts", "total_population_weight",
+    "violent_crime_count", "property_crime_count", "total_crime_count", "station_distance_km", "snow_binary",
+    "n_months_available",
+]
+CLUSTER_ASINH = ["job_growth", "population_growth"]
+CLUSTER_LOG1P = [
+    "MedianGrossRent_B25064", "MedianHomeValue_B25077", "activity_density_mean", "age_22_34_share", "age_65_plus_share",
+    "annual_snowfall", "blue_collar_share", "industry_ag_forestry_mining_share",
+    "industry_arts_rec_accommodation_food_share", "industry_finance_real_estate_share", "industry_information_share",
+    "industry_prof_sci_mgmt_admin_share", "industry_public_admin_share", "intersection_density_mean",
+    "population_density_per_sq_mile", "poverty_rate", "property_crime_per_population", "sales_share",
+    "unemployment_rate", "violent_crime_per_population",
+]
+# features that names and label reports look at
+NAME_FEATURES = [
+    "MedianHouseholdIncome_B19013", "MedianHomeValue_B25077", "MedianGrossRent_B25064", "bachelors_or_higher_share",
+    "unemployment_rate", "poverty_rate", "violent_crime_per_population", "property_crime_per_population",
+    "nat_walk_index_pop_weighted", "population_density_per_sq_mile", "intersection_density_mean",
+    "activity_density_mean", "diversity_index", "avg_annual_temp", "temp_seasonality", "annual_precipitation",
+    "annual_snowfall", "job_growth", "population_growth", "median_home_value_growth", "median_rent_growth",
+]
+# cluster levels: name, number of clusters
+CLUSTER_LEVELS = {"cluster": 5, "sub_cluster": 22}

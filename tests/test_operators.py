@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placescore.functions.expr import clip, coerce_numeric, fmt2, round_half_even, safe_div
-from placescore.operators import agg, clean, cluster, geo, impute, recommend as rec, score, text, window
+from placescore.operators import agg, clean, cluster, geo, impute, present, quantile, recommend as rec, score, text, window
 
 
 def test_clip_keeps_null(spark):
@@ -32,26 +32,25 @@ def test_round_half_even_like_pandas(spark):
     assert [r[0] for r in df.select(fmt2("x")).collect()][3] == "—"
 
 
-@pytest.mark.parametrize("method", ["exact", "bracket"])
-def test_quantiles_interpolate(spark, method):
-    vals = [float(v) for v in [1, 2, 2, 2, 3, 10, 11, 40, 41, 100]]
-    df = spark.createDataFrame([(v,) for v in vals], "x double")
-    q = agg.quantiles(df, ["x"], [0.05, 0.25, 0.5, 0.75, 0.95], method=method, accuracy=50).collect()[0]
+def test_quantiles_interpolate(spark):
     import numpy as np
-    expect = np.quantile(vals, [0.05, 0.25, 0.5, 0.75, 0.95])
-    assert [round(v, 9) for v in q] == [round(v, 9) for v in expect]
+    rnd = random.Random(3)
+    rows = [("a", 5.0)] * 400 + [("a", rnd.random()) for _ in range(300)] + [(None, rnd.gauss(0, 1) * 10.0 ** rnd.randint(-300, 300)) for _ in range(200)]
+    rows += [("b", v) for v in (0.0, -0.0, -1.5, float("nan"), None, 5e-324, -5e-324, 1e308, -1e308)] + [("c", None)]
+    probs = [0.05, 0.25, 0.5, 0.95]
+    got = {r[0]: list(r)[1:] for r in quantile.quantiles(spark.createDataFrame(rows, "g string, x double"), ["x"], probs, ["g"]).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, q in got.items():
+        v = [x for k, x in rows if k == g and x is not None and x == x]
+        assert np.allclose(q, np.quantile(v, probs), rtol=1e-12, atol=0), g
+    assert quantile.quantiles(spark.createDataFrame([], "x double"), ["x"], [0.5]).collect()[0][0] is None
 
 
-def test_bracket_grouped_with_heavy_ties(spark):
-    rnd = random.Random(3)
-    rows = [("a", 5.0)] * 400 + [("a", rnd.random()) for _ in range(300)] + [("b", rnd.random() * 10) for _ in range(500)]
-    df = spark.createDataFrame(rows, "g string, x double")
-    got = {r.g: (r["x__q0_25"], r["x__q0_5"], r["x__q0_9"]) for r in
-           agg.quantiles(df, ["x"], [0.25, 0.5, 0.9], by=["g"], method="bracket", accuracy=100).collect()}
-    ex = {r.g: (r["x__q0_25"], r["x__q0_5"], r["x__q0_9"]) for r in
-          agg.quantiles(df, ["x"], [0.25, 0.5, 0.9], by=["g"], method="exact").collect()}
-    for g in ex:
-        assert all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(got[g], ex[g]))
+def test_ordered_bits_sort_like_doubles(spark):
+    rnd = random.Random(1)
+    vals = sorted({rnd.gauss(0, 1) * 2.0 ** rnd.randint(-1074, 1000) for _ in range(500)} | {2.0 ** 52, 2.0 ** -1022, 2.0 ** -1022 - 5e-324, 1e308})
+    bits = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double").orderBy("i").select(quantile._ordered_bits(F.col("v"))).collect()]
+    assert bits == sorted(bits) and len(set(bits)) == len(bits)
 
 
 def test_hierarchical_impute_levels(spark):
@@ -162,7 +161,7 @@ def test_nearest_station_matches_brute_force(spark):
     pts = [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(200)] + [(999, 89.9, 179.9), (1000, None, 3.0)]
     sdf = spark.createDataFrame(st, "sid int, slat double, slon double")
     pdf = spark.createDataFrame(pts, "k int, lat double, lon double")
-    got = {r.k: r.sid for r in geo.nearest_station(pdf, "k", "lat", "lon", sdf, "sid", "slat", "slon", levels=7).collect()}
+    got = {r.k: r.sid for r in geo.nearest_station(pdf, "k", "lat", "lon", sdf, "sid", "slat", "slon").collect()}
     for k, la, lo in pts:
         if la is None:
             assert got[k] is None
@@ -171,6 +170,87 @@ def test_nearest_station_matches_brute_force(spark):
         assert got[k] == best[0], k
 
 
+def test_nearest_station_clustered_shared_and_far(spark):
+    rnd = random.Random(4)
+    st = [(i, 40 + rnd.random() * 1e-3, -100 + rnd.random() * 1e-3) for i in range(300)]           # one dense city
+    st += [(1000 + i, 40.0005, -99.9995) for i in range(50)] + [(5000, -80.0, 179.95), (5001, 89.99, 10.0)]
+    pts = [(i, 40 + rnd.uniform(-2e-3, 2e-3), -100 + rnd.uniform(-2e-3, 2e-3)) for i in range(60)]
+    pts += [(100 + i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(60)] + [(200, -80.0, -179.99), (201, -90.0, 0.0), (202, 40.0005, 260.0005)]
+    sdf = spark.createDataFrame(st, "sid int, slat double, slon double")
+    got = {r.k: r for r in geo.nearest_station(spark.createDataFrame(pts, "k int, lat double, lon double"), "k", "lat", "lon", sdf, "sid", "slat", "slon").collect()}
+    for k, la, lo in pts:
+        d, best = min((_hav(la, lo, s[1], s[2]), s[0]) for s in st)
+        assert got[k].sid == best and math.isclose(got[k].distance_km, d, rel_tol=1e-9, abs_tol=1e-9), k
+    with pytest.raises(ValueError):
+        geo.nearest_station(spark.createDataFrame(pts, "k int, lat double, lon double"), "k", "lat", "lon", sdf.limit(0), "sid", "slat", "slon")
+
+
+def test_wcss_and_metrics_match_brute_force(spark):
+    rnd = random.Random(6)
+    rows = [(i, [1e6 + rnd.gauss(i % 4, 0.5) for _ in range(3)], i % 4) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, l int")
+    want = 0.0
+    for lab in range(4):
+        own = [v for _, v, x in rows if x == lab]
+        mu = [sum(c) / len(own) for c in zip(*own)]
+        want += sum((a - m) ** 2 for v in own for a, m in zip(v, mu))
+    assert math.isclose(agg.wcss(df, "id", "v", "l").collect()[0][0], want, rel_tol=1e-6)
+    m = cluster.model_metrics(df, "id", ["l"], "v").collect()[0]
+    assert (m.model, m.n_clusters, m.cluster_min_size, m.cluster_max_size) == ("l", 4, 20, 20)
+
+
+def test_clustering_refuses_missing_features(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 3.0)], "k int, a double, b double")
+    with pytest.raises(ValueError, match="a"):
+        cluster.assign_clusters(df, "k", ["a", "b"], ks=(2,), starts=1)
+
+
+def test_similar_units_unknown_key_raises(spark):
+    df = spark.createDataFrame([(1, 0, [0.0]), (2, 0, [1.0]), (3, 1, [0.0])], "k int, l int, v array<double>")
+    assert [r.k for r in cluster.similar_units(df, "k", 1, "l", "v").collect()] == [2]
+    with pytest.raises(KeyError):
+        cluster.similar_units(df, "k", 9, "l", "v")
+
+
+def test_short_names_use_two_different_phrases(spark):
+    rows = [(i % 2, float(i % 2 * 10 + i % 3), float(i % 2 * 10 + i % 5), float(i % 2 * 10 + i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "l int, a double, b double, c double")
+    names = {r.l: r.n for r in cluster.short_names(df, "l", ["a", "b", "c"], {"a": ("Big", "Small"), "b": ("Big", "Small"), "c": ("Wide", "Narrow")}, out="n").collect()}
+    assert names == {0: "Small / Narrow", 1: "Big / Wide"} or names == {0: "Narrow / Small", 1: "Wide / Big"}
+
+
+def test_attach_text_needs_an_order(spark):
+    units = spark.createDataFrame([("1",), ("2",)], "k string")
+    texts = spark.createDataFrame([("1", "old", 1), ("1", "new", 2)], "k string, summary string, o int")
+    with pytest.raises(ValueError):
+        rec.attach_text(units, texts, "k")
+    got = sorted((r.k, r.summary, r.tagline) for r in rec.attach_text(units, texts, "k", "o").collect())
+    assert got == [("1", "new", ""), ("2", "", "")]
+    assert sorted(r.summary for r in rec.attach_text(units, None, "k").collect()) == ["", ""]
+
+
+def test_urls_resolve_like_urljoin(spark):
+    from urllib.parse import urljoin
+    bases = ["https://x.org", "https://x.org/", "https://x.org/a/b/c.html?q=1#f", "http://h:80/a/", "https://x.org/a/./b/../c"]
+    refs = ["a.csv", "../b.csv", "../../../../c", "./d", "/e/../f", "//host/g", "?y=2", "#z", "", "g/", "g/..", "g/./h?i=/../j", "mailto:a@b", "http://z/", "..", ".", "a//b"]
+    rows = [(b, r) for b in bases for r in refs]
+    df = spark.createDataFrame(rows, "b string, r string").withColumn("u", text.resolve_url(F.col("b"), F.col("r")))
+    bad = [(x.b, x.r, x.u, urljoin(x.b, x.r)) for x in df.collect() if x.u.split("#")[0] != urljoin(x.b, x.r).split("#")[0]]
+    assert bad == []
+
+
+def test_sort_puts_missing_last(spark):
+    df = spark.createDataFrame([(1, None), (2, 5), (3, 1), (4, 5)], "k int, v int")
+    assert [r.k for r in window.sort_rows(df, ["v", "k"], [False, True]).collect()] == [2, 4, 3, 1]
+    assert [r.k for r in window.sort_rows(df, ["v", "k"]).collect()] == [3, 2, 4, 1]
+
+
+def test_map_frame_with_a_label_colour(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0, "A", 4.0), (2, 1.0, 2.0, "B", 5.0)], "k int, lat double, lon double, lab string, recommendation_score double")
+    got = present.map_frame(df, "k", "lat", "lon", "lab", [], stars=1).orderBy("k").collect()
+    assert [(r.color_label, r.color_value, r.range_lo, r.range_hi, r.is_top) for r in got] == [("A", None, 0.0, 1.0, False), ("B", None, 0.0, 1.0, True)]
+
+
 def test_silhouette_matches_brute_force(spark):
     rnd = random.Random(5)
     rows = [(i, [rnd.gauss(i % 3 * 3, 1.0) for _ in range(4)], i % 3) for i in range(60)]
@@ -209,10 +289,22 @@ def test_json_matrix_quarantine(spark):
 def test_header_drift_binds_by_name(spark):
     df = spark.createDataFrame([(1, "station,month,temp\nA,1,5"), (2, "Month, Station ,temp,snow\n2,B,6,1"),
                                 (3, "id,month\nC,3")], "k int, t string")
-    rows, skipped = text.header_drift_rows(df, "k", "t", ["station"])
+    rows, skipped, bad = text.header_drift_rows(df, "k", "t", ["station"])
     got = sorted((r.k, r.fields["station"], r.fields["month"], r.fields.get("snow")) for r in rows.collect())
     assert got == [(1, "A", "1", None), (2, "B", "2", "1")]
-    assert [r.k for r in skipped.collect()] == [3]
+    assert [r.k for r in skipped.collect()] == [3] and bad.count() == 0
+
+
+def test_header_drift_quotes_and_surplus(spark):
+    df = spark.createDataFrame([
+        (1, '\ufeff"STATION","Name, Long",month,tavg\r\nS1,"AUSTIN, TX US",1,50.5\r\nS2,"A ""B""\nC",2\r\nS3,x,3,4,5\r\n'),
+        (2, "station;month\nS|4;7")], "k int, t string")
+    rows, _, bad = text.header_drift_rows(df.where("k = 1"), "k", "t", ["station", "month"])
+    got = sorted(tuple(r.fields[c] for c in ("station", "name_long", "month", "tavg")) for r in rows.collect())
+    assert got == [("S1", "AUSTIN, TX US", "1", "50.5"), ("S2", 'A "B"\nC', "2", None)]
+    assert [(r.k, r.record) for r in bad.collect()] == [(1, "S3,x,3,4,5")]
+    rows, _, _ = text.header_drift_rows(df.where("k = 2"), "k", "t", ["station"], sep=";")
+    assert rows.collect()[0].fields == {"station": "S|4", "month": "7"}
 
 
 def test_label_report_fallbacks(spark):
