@@ -7,5 +7,5 @@ def load_all() -> None:
     """Import every query module so the registry is complete."""
     import importlib
 
-    for m in ("q_scoring", "q_relational", "q_models"):
+    for m in ("q_scoring", "q_relational", "q_models", "q_sources"):
         importlib.import_module(f"placescore.plans.{m}")
