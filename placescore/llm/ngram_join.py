@@ -1,12 +1,16 @@
 """N-gram Jaccard join: an exact similarity self-join on sets of word shingles.
 
-Sets are put in one global order: frequent shingles last, else by hash.  Two
-sets that link share a shingle within their first ``n - ceil(t * n) + 1``
+Sets are put in one global order: frequent shingles last, else by hash.  What is
+frequent is counted over the first shingles of all texts and then over all
+shingles of the texts that have mostly frequent ones there (members of large
+groups of copies), so that the shingles of a group's edits come first.  Two sets that link share a shingle within their first ``n - ceil(t * n) + 1``
 (prefix filter), so the first level of the prefix tree deals those prefixes out
 by shingle.  Sets that are equal are one set from the start.
 
 * In each node the set that holds the shingle earliest leads.  Every other set
   of the node is held against its leader (one pair a set, not all pairs).
+* A pair is only worth verifying if, at some shared shingle, what is left of
+  both sets from there on could still reach the threshold.
 * What links is joined to components.  Within a node only sets of different
   components are then held against each other, whole components at a time first.
 
@@ -60,6 +64,29 @@ def _prefix_counts(width: int, percent: int):
     return counted
 
 
+def _group_counts(width: int, percent: int, shared):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All shingles of texts that look like members of a large group: half of what was counted of them is frequent."""
+        frequent = shared.value
+        for b in batches:
+            parts = []
+            for s in sets_of(b.column("_text"), width):
+                head = s[:(3 * (len(s) - needed(len(s), percent) + 1) + 1) // 2]
+                if len(s) and 2 * _among(head, frequent).sum() >= len(head):
+                    parts.append(s)
+            v, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c.astype(np.int32))], ["shingle", "texts"])
+
+    return counted
+
+
+def _among(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``s`` are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(s), bool)
+    return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
+
+
 def _prefixes(width: int, percent: int, shared):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
@@ -70,10 +97,7 @@ def _prefixes(width: int, percent: int, shared):
                 one.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
                 two.append(int(np.bitwise_xor.reduce(mix(s * np.uint64(0x9E3779B97F4A7C15))).astype(np.int64)) if len(s) else 0)
                 size = len(s) - needed(len(s), percent) + 1 if len(s) else 0
-                at = np.searchsorted(frequent, s)
-                often = np.zeros(len(s), bool)
-                if len(frequent):
-                    often = frequent[np.minimum(at, len(frequent) - 1)] == s
+                often = _among(s, frequent)
                 prefix.append(np.concatenate([s[~often], s[often]])[:size].view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 b.column("_id"), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
@@ -176,11 +200,16 @@ def join_similar(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    counts = rows.select("_text").mapInArrow(_prefix_counts(width, percent), "shingle long, texts int")
-    often = (counts.groupBy("shingle").agg(F.sum("texts").alias("texts")).filter(F.col("texts") > FREQUENT)
-             .orderBy(F.desc("texts"), "shingle").limit(MAX_FREQUENT).select("shingle"))
-    frequent = np.sort(np.array(often.toPandas()["shingle"], np.int64).view(np.uint64))  # at most 8 MB
-    shared = spark.sparkContext.broadcast(frequent)
+    def frequent_of(counted) -> np.ndarray:
+        counts = rows.select("_text").mapInArrow(counted, "shingle long, texts int")
+        often = (counts.groupBy("shingle").agg(F.sum("texts").alias("texts")).filter(F.col("texts") > FREQUENT)
+                 .orderBy(F.desc("texts"), "shingle").limit(MAX_FREQUENT).select("shingle"))
+        return np.array(often.toPandas()["shingle"], np.int64).view(np.uint64)  # at most 8 MB
+
+    # The order only has to be one order for all sets; what it knows makes it good.
+    first_list = np.sort(frequent_of(_prefix_counts(width, percent)))
+    shared = spark.sparkContext.broadcast(first_list)
+    shared = spark.sparkContext.broadcast(np.union1d(first_list, frequent_of(_group_counts(width, percent, shared))))
     sets = stored(rows.mapInArrow(_prefixes(width, percent, shared), "id long, n int, one long, two long, prefix array<long>"))
     # Equal sets are one set, with the least id.
     kinds = sets.filter("n > 0").groupBy("one", "two", "n").agg(F.min(F.struct("id", "prefix")).alias("_k"))
@@ -190,24 +219,28 @@ def join_similar(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
         "shingle", "id", "n", "pos", F.col("_lead.id").alias("lead"), F.col("_lead.n").alias("lead_n"), F.col("_lead.pos").alias("lead_pos")))
     texts = stored(rows.mapInArrow(_packed, "id long, text binary").join(entries.select("id").distinct(), "id").dropDuplicates(["id"]))
 
-    def possible(na: str, pa_: str, nb: str, pb: str) -> str:
-        """Sizes fit, and a shared shingle at these positions leaves enough to share."""
-        return (f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) AND {100 + percent} * (least({pa_}, {pb}) + 1 + "
-                f"least({na} - {pa_}, {nb} - {pb}) - 1) >= {percent} * ({na} + {nb})")
+    def possible(na: str, left_a: str, nb: str, left_b: str) -> str:
+        """Sizes fit, and if this is the first shared shingle, what is left from it on is enough to share.
+
+        A pair that links passes at its first shared shingle: all that it shares lies from there on.
+        """
+        return (f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) AND "
+                f"{100 + percent} * least({left_a}, {left_b}) >= {percent} * ({na} + {nb})")
 
-    first = cut(entries.filter("id <> lead").filter(possible("n", "pos", "lead_n", "lead_pos"))
+    first = cut(entries.filter("id <> lead").filter(possible("n", "n - pos", "lead_n", "lead_n - lead_pos"))
                 .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     links = stored(verify_pairs(first, texts, width, percent))
     part = components(links)
     named = entries.select("shingle", "id", "n", "pos").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     named = cut(named)
-    blocks = named.groupBy("shingle", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = (blocks.select("shingle", *[F.col(c).alias(c + k) for c in ("component", "lo", "hi")]) for k in "xy")
+    blocks = named.groupBy("shingle", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left"))
+    x, y = (blocks.select("shingle", *[F.col(c).alias(c + k) for c in ("component", "lo", "hi", "left")]) for k in "xy")
     apart = x.join(y, "shingle").filter("componentx < componenty").filter(
-        f"100 * hix >= {percent} * loy AND 100 * hiy >= {percent} * lox").select("shingle", "componentx", "componenty")
+        f"100 * hix >= {percent} * loy AND 100 * hiy >= {percent} * lox AND {100 + percent} * least(leftx, lefty) >= {percent} * (lox + loy)"
+    ).select("shingle", "componentx", "componenty")
     ax, by = (named.select("shingle", *[F.col(c).alias(c + k) for c in ("component", "id", "n", "pos")]) for k in "xy")
-    second = (apart.join(ax, ["shingle", "componentx"]).join(by, ["shingle", "componenty"]).filter(possible("nx", "posx", "ny", "posy"))
+    second = (apart.join(ax, ["shingle", "componentx"]).join(by, ["shingle", "componenty"]).filter(possible("nx", "nx - posx", "ny", "ny - posy"))
               .select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct())
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verify_pairs(cut(second.join(tried, ["a", "b"], "left_anti")), texts, width, percent)
