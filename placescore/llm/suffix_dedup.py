@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -127,6 +127,19 @@ def _padded(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _placed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two 32-bit numbers in one, so that a shuffled row has one changing field less."""
+    return high << 32 | low
+
+
+def _high(c: str) -> Column:
+    return F.shiftright(c, 32).cast("int")
+
+
+def _low(c: str) -> Column:
+    return F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
 def _spans(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Adjacent or overlapping runs of window starts, merged; sorted by document and start."""
     o = np.lexsort((lo, doc))
@@ -180,9 +193,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
             np.concatenate([np.where(near, context, rank), told, md]),
             np.concatenate([context, np.zeros(len(tell) + len(md), np.int64)]),
-            np.concatenate([doc, told_doc, md]),
-            np.concatenate([lo, np.full(len(tell), -1), ml]).astype(np.int32),
-            np.concatenate([n + SHARED * near, np.full(len(tell), SHARED), -mn]).astype(np.int32))], ["route", "context", "doc", "lo", "n"])
+            _placed(np.concatenate([n + SHARED * near, np.full(len(tell), SHARED), -mn]), np.concatenate([lo, np.zeros(len(tell), np.int64), ml])),
+            np.concatenate([doc, told_doc, md]))], ["route", "context", "place", "doc"])
 
 
 def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +232,8 @@ def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # In the order of the texts, so that ids and places compress in the shuffle.
         o = np.flatnonzero(first)[np.lexsort((lo[first], doc[first]))]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-            np.concatenate([rank[o], md]), np.concatenate([more[o], np.zeros(len(md), np.int32)]),
-            np.concatenate([doc[o], md]), np.concatenate([lo[o], ml]).astype(np.int32),
-            np.concatenate([np.ones(len(o), np.int64), -mn]).astype(np.int32))], ["rank", "more", "doc", "lo", "n"])
+            np.concatenate([rank[o], md]), _placed(np.concatenate([more[o], np.zeros(len(md), np.int32)]).astype(np.int64), np.concatenate([lo[o], ml])),
+            np.concatenate([doc[o], md]), np.concatenate([np.ones(len(o), np.int64), -mn]).astype(np.int32))], ["rank", "place", "doc", "n"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,19 +283,21 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = F.lit(-(2 ** 63)).cast("long")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     packed = rows.mapInArrow(_packed, "doc long, text binary")
-    sampled = rows.mapInArrow(_sampled, "route long, context long, doc long, lo int, n int")
+    sampled = rows.mapInArrow(_sampled, "route long, context long, place long, doc long").repartition("route")
+    sampled = sampled.select("route", "context", "doc", _low("place").alias("lo"), _high("place").alias("n"))
     group = W.partitionBy("route")
     ordered = sampled.select(
         "doc", "lo", "n", F.rank().over(W.partitionBy("route", "context").orderBy("doc", "lo")).alias("_rank"),
         (F.min("context").over(group) != F.max("context").over(group)).alias("_two"), F.max("n").over(group).alias("_most"))
     again = (F.col("n") < 0) | (F.col("_rank") > 1)
     left = F.col("_two") | (F.col("_most") >= SHARED)
-    decided = stored(ordered.filter((F.col("lo") >= 0) & (again | left)).select(
+    decided = stored(ordered.filter((F.col("n") != SHARED) & (again | left)).select(
         "doc", "lo", (F.abs("n") - F.when(F.col("n") >= SHARED, SHARED).otherwise(0)).alias("n"), again.alias("again")))
     # The runs of a document are at most as many as its windows.
     runs = F.collect_list(F.struct("lo", "n")).alias("runs")
     open_ = decided.filter(~F.col("again")).groupBy("doc").agg(runs)
-    ranked = packed.join(open_, "doc").mapInArrow(_windowed, "rank long, more int, doc long, lo int, n int")
+    ranked = packed.join(open_, "doc").mapInArrow(_windowed, "rank long, place long, doc long, n int").repartition("rank")
+    ranked = ranked.select("rank", _high("place").alias("more"), "doc", _low("place").alias("lo"), "n")
     later = ranked.select("doc", "lo", "n", F.rank().over(W.partitionBy("rank", "more").orderBy("doc", "lo")).alias("_rank"))
     later = later.filter((F.col("n") < 0) | (F.col("_rank") > 1)).select("doc", "lo", F.abs("n").alias("n"))
     repeats = decided.filter("again").select("doc", "lo", "n").unionByName(later).groupBy("doc").agg(runs)
