@@ -3,9 +3,9 @@
 Sets are put in one global order: frequent shingles last, else by hash.  What is
 frequent is counted over the first shingles of all texts and then over all
 shingles of the texts that have mostly frequent ones there (members of large
-groups of copies), so that the shingles of a group's edits come first.  Two sets that link share a shingle within their first ``n - ceil(t * n) + 1``
-(prefix filter), so the first level of the prefix tree deals those prefixes out
-by shingle.  Sets that are equal are one set from the start.
+groups of copies), so that the shingles of a group's edits come first.  Two sets
+that link share a shingle within their first ``n - ceil(t * n) + 1`` (prefix
+filter), so the first level of the prefix tree deals those prefixes out by shingle.  Sets that are equal are one set from the start.
 
 * In each node the set that holds the shingle earliest leads.  Every other set
   of the node is held against its leader (one pair a set, not all pairs).
@@ -214,9 +214,11 @@ def join_similar(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     # Equal sets are one set, with the least id.
     kinds = sets.filter("n > 0").groupBy("one", "two", "n").agg(F.min(F.struct("id", "prefix")).alias("_k"))
     nodes = kinds.select(F.col("_k.id").alias("id"), "n", F.posexplode("_k.prefix").alias("pos", "shingle"))
-    lead = nodes.groupBy("shingle").agg(F.count(F.lit(1)).alias("_sets"), F.min(F.struct("pos", "id", "n")).alias("_lead")).filter("_sets > 1")
-    entries = stored(nodes.join(lead.select("shingle", "_lead"), "shingle").select(
-        "shingle", "id", "n", "pos", F.col("_lead.id").alias("lead"), F.col("_lead.n").alias("lead_n"), F.col("_lead.pos").alias("lead_pos")))
+    # Shingles of one set's prefix only say nothing; a bare count finds them with the least to shuffle.
+    shared_by = nodes.groupBy("shingle").agg(F.count(F.lit(1)).alias("_sets")).filter("_sets > 1").select("shingle")
+    entries = stored(nodes.join(shared_by, "shingle"))
+    lead = entries.groupBy("shingle").agg(F.min(F.struct("pos", "id", "n")).alias("_lead")).select(
+        "shingle", F.col("_lead.id").alias("lead"), F.col("_lead.n").alias("lead_n"), F.col("_lead.pos").alias("lead_pos"))
     texts = stored(rows.mapInArrow(_packed, "id long, text binary").join(entries.select("id").distinct(), "id").dropDuplicates(["id"]))
 
     def possible(na: str, left_a: str, nb: str, left_b: str) -> str:
@@ -227,7 +229,7 @@ def join_similar(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
         return (f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) AND "
                 f"{100 + percent} * least({left_a}, {left_b}) >= {percent} * ({na} + {nb})")
 
-    first = cut(entries.filter("id <> lead").filter(possible("n", "n - pos", "lead_n", "lead_n - lead_pos"))
+    first = cut(entries.join(lead, "shingle").filter("id <> lead").filter(possible("n", "n - pos", "lead_n", "lead_n - lead_pos"))
                 .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     links = stored(verify_pairs(first, texts, width, percent))
     part = components(links)
