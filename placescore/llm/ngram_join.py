@@ -247,7 +247,9 @@ def join_similar(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verify_pairs(cut(second.join(tried, ["a", "b"], "left_anti")), texts, width, percent)
     part = components(links.unionByName(more))
-    classes = kinds.select("one", "two", "n", F.col("_k.id").alias("node")).join(part, "node", "left").select(
+    # The same sets again, without their prefixes: little to shuffle.
+    heads = sets.filter("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("node"))
+    classes = heads.join(part, "node", "left").select(
         "one", "two", "n", F.coalesce("component", "node").alias("component"))
     whole = sets.select("id", "n", "one", "two").join(classes, ["one", "two", "n"], "left")
     back = lambda c: F.when(c != NULL_ID, c)
