@@ -90,6 +90,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 128-bit digest (hex) of id and text; null, of either, differs from any value."""
+    text = F.coalesce(F.md5(F.col(text_col)), F.lit("n"))
+    return F.md5(F.concat(text, F.coalesce(F.concat(F.lit(":"), F.col(id_col).cast("string")), F.lit("n"))))
+
+
 # --- numpy over Arrow strings -------------------------------------------------
 
 def mix(x: np.ndarray) -> np.ndarray:

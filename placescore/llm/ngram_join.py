@@ -5,7 +5,8 @@ frequent is counted over the first shingles of all texts and then over all
 shingles of the texts that have mostly frequent ones there (members of large
 groups of copies), so that the shingles of a group's edits come first.  Two sets
 that link share a shingle within their first ``n - ceil(t * n) + 1`` (prefix
-filter), so the first level of the prefix tree deals those prefixes out by shingle.  Sets that are equal are one set from the start.
+filter), so the first level of the prefix tree deals those prefixes out by shingle.  Sets that are equal are one set from the start, numbered by one of
+their rows; sets whose rows share an id are only linked at the end.
 
 * In each node the set that holds the shingle earliest leads.  Every other set
   of the node is held against its leader (one pair a set, not all pairs).
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placescore.llm.common import cut, mix, shingles, stored, text_slices, word_hashes, word_spans
+from placescore.llm.common import cut, mix, row_key, shingles, stored, text_slices, word_hashes, word_spans
 
 #: Shingles within this many prefixes count as frequent ...
 FREQUENT = 16
@@ -100,8 +101,8 @@ def _prefixes(width: int, percent: int, shared):
                 often = _among(s, frequent)
                 prefix.append(np.concatenate([s[~often], s[often]])[:size].view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                b.column("_id"), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "one", "two", "prefix"])
+                b.column("_id"), b.column("_key"), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                pa.array(prefix, pa.list_(pa.int64()))], ["id", "key", "n", "one", "two", "prefix"])
 
     return made
 
@@ -110,7 +111,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     for b in batches:
         texts = b.column("_text").cast(pa.large_binary())
-        yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([pack.compress(t.as_buffer()) for t in texts], pa.binary())], ["id", "text"])
+        yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array([pack.compress(t.as_buffer()) for t in texts], pa.binary())], ["key", "text"])
 
 
 def trie_links(a: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -189,17 +190,15 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def join_similar(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (the least id that links reach).
+def similar_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``docs``: id (null: ``NULL_ID``), key (``row_key``), n, component.
 
-    Texts link if 100 * intersection >= percent * union of their sets of
-    ``width``-word shingles, A-Z lower-cased; fewer words are one shingle; texts
-    without words (null, empty) link with nothing, and their component is their
-    own id.  Equal texts link.  Ids are whole numbers; a null id is the smallest.
-    Rows that repeat an id are one node.  An empty table gives no rows.
+    ``component`` is a number that the rows of linked texts share, whatever their
+    ids; null for texts without words.
     """
     spark: SparkSession = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), row_key(id_col, text_col).alias("_key"),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     def frequent_of(counted) -> np.ndarray:
         counts = rows.select("_text").mapInArrow(counted, "shingle long, texts int")
         often = (counts.groupBy("shingle").agg(F.sum("texts").alias("texts")).filter(F.col("texts") > FREQUENT)
@@ -210,16 +209,20 @@ def join_similar(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     first_list = np.sort(frequent_of(_prefix_counts(width, percent)))
     shared = spark.sparkContext.broadcast(first_list)
     shared = spark.sparkContext.broadcast(np.union1d(first_list, frequent_of(_group_counts(width, percent, shared))))
-    sets = stored(rows.mapInArrow(_prefixes(width, percent, shared), "id long, n int, one long, two long, prefix array<long>"))
-    # Equal sets are one set, with the least id.
-    kinds = sets.filter("n > 0").groupBy("one", "two", "n").agg(F.min(F.struct("id", "prefix")).alias("_k"))
-    nodes = kinds.select(F.col("_k.id").alias("id"), "n", F.posexplode("_k.prefix").alias("pos", "shingle"))
+    sets = stored(rows.mapInArrow(_prefixes(width, percent, shared), "id long, key string, n int, one long, two long, prefix array<long>")
+                  .withColumn("row", F.monotonically_increasing_id()))
+    # Equal sets are one set, which has the least number of its rows (from here on: id).
+    kinds = sets.filter("n > 0").groupBy("one", "two", "n").agg(F.min(F.struct("row", "prefix")).alias("_k"))
+    nodes = kinds.select(F.col("_k.row").alias("id"), "n", F.posexplode("_k.prefix").alias("pos", "shingle"))
     # Shingles of one set's prefix only say nothing; a bare count finds them with the least to shuffle.
     shared_by = nodes.groupBy("shingle").agg(F.count(F.lit(1)).alias("_sets")).filter("_sets > 1").select("shingle")
     entries = stored(nodes.join(shared_by, "shingle"))
     lead = entries.groupBy("shingle").agg(F.min(F.struct("pos", "id", "n")).alias("_lead")).select(
         "shingle", F.col("_lead.id").alias("lead"), F.col("_lead.n").alias("lead_n"), F.col("_lead.pos").alias("lead_pos"))
-    texts = stored(rows.mapInArrow(_packed, "id long, text binary").join(entries.select("id").distinct(), "id").dropDuplicates(["id"]))
+    # The text of the row that a set is numbered by.
+    packed = rows.select("_key", "_text").mapInArrow(_packed, "key string, text binary").dropDuplicates(["key"])
+    keys = sets.select(F.col("row").alias("id"), "key").join(entries.select("id").distinct(), "id")
+    texts = stored(packed.join(keys, "key").select("id", "text"))
 
     def possible(na: str, left_a: str, nb: str, left_b: str) -> str:
         """Sizes fit, and if this is the first shared shingle, what is left from it on is enough to share.
@@ -248,10 +251,31 @@ def join_similar(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     more = verify_pairs(cut(second.join(tried, ["a", "b"], "left_anti")), texts, width, percent)
     part = components(links.unionByName(more))
     # The same sets again, without their prefixes: little to shuffle.
-    heads = sets.filter("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("node"))
+    heads = sets.filter("n > 0").groupBy("one", "two", "n").agg(F.min("row").alias("node"))
     classes = heads.join(part, "node", "left").select(
         "one", "two", "n", F.coalesce("component", "node").alias("component"))
-    whole = sets.select("id", "n", "one", "two").join(classes, ["one", "two", "n"], "left")
+    return sets.select("id", "key", "n", "one", "two").join(classes, ["one", "two", "n"], "left").select("id", "key", "n", "component")
+
+
+def join_similar(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id (the least id that links reach).
+
+    Texts link if 100 * intersection >= percent * union of their sets of
+    ``width``-word shingles, A-Z lower-cased; fewer words are one shingle; texts
+    without words (null, empty) link with nothing, and their component is their
+    own id.  Equal texts link.  Ids are whole numbers; a null id is the smallest.
+    Rows that repeat an id are one node, which has the links of all their texts.
+    An empty table gives no rows.
+    """
+    sets = stored(similar_sets(docs, width, percent, id_col, text_col).drop("key"))
+    # Ids whose texts are in several components link these.
+    spread = sets.filter("n > 0").groupBy("id").agg(F.min("component").alias("u"), F.max("component").alias("v")).filter("u <> v").select("id", "u")
+    links = cut(sets.join(spread, "id").filter("n > 0").select("u", F.col("component").alias("v")).distinct())
+    if not links.isEmpty():
+        part = components(links).toDF("component", "least")
+        sets = sets.join(part, "component", "left").withColumn("component", F.coalesce("least", "component")).drop("least")
+    least = sets.filter("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
+    whole = sets.join(least, "component", "left")
     back = lambda c: F.when(c != NULL_ID, c)
     return whole.select(back(F.col("id")).alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-                        back(F.coalesce("component", "id")).alias("component_id"))
+                        back(F.coalesce("component_id", "id")).alias("component_id"))

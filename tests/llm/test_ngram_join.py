@@ -70,3 +70,12 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"] or 0) for r in N.join_similar(df).collect())
     assert got == [(0, 2, 0), (4, 2, 0), (4, 2, 0), (5, 1, 5), (6, 0, 6)]
     assert N.join_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_that_share_an_id_keep_all_their_links(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (3, b), (3, None), (7, a + " tail"), (8, b + " tail"), (None, c), (None, "far off " + b[::-1]), (9, c + " tail"), (10, "alone")]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+        got = {(r["doc_id"], r["n_shingles"] > 0): r["component_id"] for r in N.join_similar(df).collect()}
+        assert got == {(3, True): 3, (3, False): 3, (7, True): 3, (8, True): 3, (None, True): None, (9, True): None, (10, True): 10}
