@@ -3,9 +3,10 @@
 Each stage reads what its predecessor kept, as Parquet, and decides over all of
 it; all but the last return the columns of ``documents``, whatever further
 columns there are.  The classifier drops what it scores under 0.5, the similarity
-join keeps the least id of each group, decontamination drops documents that hold
+join keeps the least id of each group of linked texts, decontamination drops documents that hold
 a benchmark item, mixing leaves a document's row as often as the mix takes it
-(not at all, once, or repeated), and sharding gives each row its shard.
+(not at all, once, or repeated), and sharding gives each row its shard.  Ids may
+be null or repeat: rows are told apart by a 128-bit digest of id and text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placescore.llm import decontaminate, mixing, ngram_join, quality_model, sharding
-from placescore.llm.common import checkpoint_folder, table
+from placescore.llm.common import checkpoint_folder, row_key, table
 
 #: Near copies: five-word shingles, a Jaccard similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -24,13 +25,12 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 SHARD_BYTES = 4 << 20
 
 
-def _keyed(verdict: DataFrame, keep) -> DataFrame:
-    """Ids (distinct, renamed) that a verdict keeps."""
-    return verdict.filter(keep).select(F.col("doc_id").alias("_kept_id")).distinct()
+#: The column that tells rows apart while a stage decides.
+KEY = "_row_key"
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, row_key("doc_id", "text"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,24 +40,27 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies; of rows that repeat an id, one."""
-    groups = ngram_join.join_similar(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    heads = _keyed(groups, F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _with_ids(docs, heads).dropDuplicates(["doc_id"])
+    """Of each group of near copies the least id (null first), then the least digest; of rows equal in id and text the least by their other columns."""
+    sets = ngram_join.similar_sets(docs, SHINGLE_WORDS, SIMILAR_PERCENT, "doc_id", "text")
+    heads = sets.filter("n > 0").groupBy("component").agg(F.min(F.struct("id", "key")).alias("_h")).select(F.col("_h.key").alias(KEY))
+    heads = heads.unionByName(sets.filter("n = 0").select(F.col("key").alias(KEY)))
+    others = F.to_json(F.struct(F.lit(0).alias(KEY), *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    rows = _keyed(docs).groupBy(KEY).agg(F.min_by(F.struct(*docs.columns), others).alias("_row"))
+    return rows.join(heads, KEY, "left_semi").select("_row.*")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _with_ids(docs, _keyed(leaks, F.lit(True)), "left_anti")
+    leaks = decontaminate.find_leaks(_keyed(docs).select(KEY, "text"), table(spark, sf_dir, "benchmark"), id_col=KEY)
+    return _keyed(docs).join(leaks.select(KEY).distinct(), KEY, "left_anti").select(*docs.columns)
 
 
 def keep_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents without words, which no target counts, once."""
     times = F.when(F.col("size") > 0, F.col("taken") / F.greatest("size", F.lit(1))).otherwise(1).cast("int")
-    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.max(times).alias("_times")).filter("_times > 0")
-    taken = _with_ids(docs, mixed, "inner").withColumn("_time", F.explode(F.sequence(F.lit(1), "_times")))
-    return taken.select(*[docs[c] for c in docs.columns])
+    mixed = mixing.mix(_keyed(docs).select(KEY, "text", "source"), id_col=KEY).groupBy(KEY).agg(F.max(times).alias("_times")).filter("_times > 0")
+    taken = _keyed(docs).join(mixed, KEY).withColumn("_time", F.explode(F.sequence(F.lit(1), "_times")))
+    return taken.select(*docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

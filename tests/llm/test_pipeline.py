@@ -62,3 +62,24 @@ def test_run_and_empty_documents(spark, tmp_path):
     empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_rows_of_null_and_repeated_ids_are_kept_by_text(spark, tmp_path):
+    folder = str(tmp_path)
+    rnd = random.Random(4)
+    texts = [" ".join("".join(rnd.choice(GOOD) for _ in range(5)) for _ in range(60)) for _ in range(9)]
+    item = " ".join("".join(rnd.choice(GOOD) for _ in range(5)) for _ in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = [(None, texts[0], "s"), (None, texts[1], "s"), (None, texts[1], "r"), (None, texts[2] + " " + item, "s"), (5, texts[3], "s"), (5, texts[4], "s"),
+            (5, texts[5] + " " + item, "s"), (6, texts[4] + " tail", "s"), (7, texts[6], "s"), (7, None, "s"), (8, "", "s"), (None, None, "s"), (None, "", "s")]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    rows_of = lambda d: sorted((tuple(r) for r in d.select("doc_id", "text", "source").collect()), key=repr)
+    want = sorted(set(rows) - {rows[1], rows[7]}, key=repr)  # of (null, texts[1]) the one with the lesser source
+    one = P.keep_one_of_similar(spark, docs, folder)
+    assert one.columns == docs.columns and rows_of(one) == want
+    clean = P.keep_uncontaminated(spark, one, folder)
+    assert clean.columns == docs.columns and rows_of(clean) == [r for r in want if item not in (r[1] or "")]
+    # Rows without an id are dealt one by one: the mix stays near its targets.
+    many = spark.createDataFrame([(None, f"{' '.join(texts[k % 9].split()[:20])} {k}", "en", "ab"[k % 2]) for k in range(400)], docs.schema)
+    taken = dict(P.keep_mixed(spark, many, folder).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(WORD)))).collect())
+    assert abs(taken["a"] - 2800) <= 42 and abs(taken["b"] - 5600) <= 42
