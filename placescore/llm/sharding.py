@@ -1,7 +1,7 @@
 """Sharding by extendible hashing.
 
-A directory maps prefixes of a 64-bit row hash to shards.  It starts at the depth
-at which an even load would be just too large for the limit.  The byte counts of cells (prefixes of ``step`` bits more than any
+A directory maps prefixes of a 64-bit row hash to shards.  It starts at the empty
+prefix.  The byte counts of cells (prefixes of ``step`` bits more than any
 shard of even load would need) are rolled up once to all shorter prefixes, and
 each cell takes the shortest prefix that fits the limit: only oversized buckets
 split on another bit.  Cells that are themselves too large are refined from
@@ -52,8 +52,7 @@ def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", tex
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("_hash")))
     total = rows.agg(F.sum("_bytes")).first()[0] or 0
     high = min(40, max(0, math.ceil(math.log2(max(1, total / limit_bytes)))) + step)
-    # The directory starts at the depth whose buckets would be just too large under an even load.
-    low, left, placed = max(0, min(high, math.floor(math.log2(max(1, total / limit_bytes))))), rows, None
+    low, left, placed = 0, rows, None
     while True:
         cells = left.groupBy(_prefix(high).alias("cell")).agg(F.sum("_bytes").alias("bytes"))
         got = _shards(cells, low, high, limit_bytes)

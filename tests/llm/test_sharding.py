@@ -45,3 +45,14 @@ def test_repeated_rows_fill_overflow_pages(spark):
 
 def test_empty_table(spark):
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id long, text string"), 10).count() == 0
+
+
+def test_one_large_document_does_not_split_the_others(spark):
+    rows = [(k, "x" * 500) for k in range(200)] + [(1000, "y" * 1_000_000)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 4000).collect()
+    own = defaultdict(int)
+    for r in got:
+        own[r["shard"]] += r["n_bytes"]
+    assert sum(own.values()) == 1_100_000
+    for s in own:  # a shard is only there if its parent was too large
+        assert not s or sum(n for t, n in own.items() if t.startswith(s[:-1])) > 4000
