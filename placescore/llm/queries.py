@@ -17,6 +17,7 @@ from placescore.llm import (
     sharding,
     source_audit,
     suffix_dedup,
+    token_alignment,
     token_counts,
     url_filter,
 )
@@ -207,6 +208,18 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+# --- op11 -----------------------------------------------------------------------
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    aligned = token_alignment.align_documents(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    aligned = aligned.withColumn("groups_sha256", digest).drop("groups")
+    return token_alignment.count_links(aligned, *token_alignment.vocabulary_sizes(*paths)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 # --- op12 -----------------------------------------------------------------------
 
 def _op12_sql() -> str:
