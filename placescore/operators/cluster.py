@@ -18,7 +18,7 @@ from pyspark.sql.types import NumericType
 
 from placescore.functions.expr import clip
 from placescore.operators.agg import attach_one_row, cluster_sizes, shape_stats, silhouette, wcss
-from placescore.operators.quantile import null_safe, qcol, quantiles, quantiles_of_counts, value_counts
+from placescore.operators.quantile import null_safe, qcol, quantiles, quantiles_of_ranged, ranged, value_counts
 from placescore.operators.window import one_row, top_k_per_group, union_all
 from placescore.session import cut_lineage
 from placescore.specs import (BALANCED_CANDIDATES, BALANCED_DESCRIPTION, CLIP_EXCESS_KURTOSIS, CLIP_PCT_BEYOND_4,
@@ -64,7 +64,7 @@ def selective_winsorize(df: DataFrame, cols: Sequence[str], lower: float = 0.05,
 
 
 def _feature_counts(df: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
-    return cut_lineage(value_counts(df, features, by))
+    return ranged(value_counts(df, features, by))
 
 
 def profile_stats(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
@@ -78,13 +78,13 @@ def _means(counts: DataFrame, by: Sequence[str], out: str) -> DataFrame:
 
 def _profile(df: DataFrame, counts: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
     every = df.select(label).distinct().select(label, F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
-    medians = quantiles_of_counts(counts, [0.5], [label]).select(label, "feature", F.col("quantile").alias("median"))
+    medians = quantiles_of_ranged(counts, [0.5], [label]).select(label, "feature", F.col("quantile").alias("median"))
     both = null_safe(null_safe(every, _means(counts, [label, "feature"], "mean"), [label, "feature"], "left"), medians, [label, "feature"], "left")
     return both.select(label, "feature", "mean", "median")
 
 
 def _overall(counts: DataFrame, features: Sequence[str]) -> DataFrame:
-    q = quantiles_of_counts(counts.groupBy("feature", "value").agg(F.sum("weight").alias("weight")), [0.25, 0.5, 0.75])
+    q = quantiles_of_ranged(counts, [0.25, 0.5, 0.75])
     at = lambda p: F.max(F.when(F.col("prob") == p, F.col("quantile")))
     q = q.groupBy("feature").agg(at(0.5).alias("overall_median"), F.nullif(at(0.75) - at(0.25), F.lit(0.0)).alias("overall_iqr"))
     return _means(counts, ["feature"], "overall_mean").join(q, "feature").select("feature", "overall_mean", "overall_median", "overall_iqr")

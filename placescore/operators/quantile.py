@@ -1,13 +1,13 @@
 """Exact interpolated quantiles without a hot task.
 
 Input rows are first counted per (group, feature, value), which partial
-aggregation shrinks on the map side and which spreads even one group over all
-tasks.  The value that holds a rank is then found digit by digit: a double's
-bits, put in order, are cut into three digits; each round counts rows per digit
-inside the digits found so far, and a running sum over those counts (at most
-2^22 per group, whatever the row count) names the next digit.  No task ever
-holds the rows or the distinct values of a whole group.  Null groups count like
-any other; null and NaN values are skipped.
+aggregation shrinks on the map side.  The counts are sorted once by (feature,
+value) over range partitions, whatever the groups, so that a partition's number
+(``PART``) is a coarse rank: even a group with most of the rows is spread over
+all partitions.  The totals per (group, feature, partition) form a small table;
+its prefix sums name the partition that holds a rank, and a running sum inside
+that one piece names the value.  All features, groups and probabilities share
+these steps.  Null groups count like any other; null and NaN values are skipped.
 """
 
 from __future__ import annotations
@@ -20,33 +20,8 @@ from pyspark.sql import functions as F
 
 from placescore.session import cut_lineage
 
-#: Bits of a round's digit; 64 in all.
-DIGIT_BITS = (22, 21, 21)
-_SIGN = -(2 ** 63)
-
-
-def _ordered_bits(v: Column) -> Column:
-    """A long that sorts, as unsigned bits, like the double; -0.0 equals 0.0."""
-    v = v + F.lit(0.0)
-    magnitude = F.abs(v)
-    # IEEE bits from exact arithmetic: exponent e with magnitude = m * 2^e, 1 <= m < 2.
-    e = F.floor(F.log2(magnitude))
-    e = F.when(magnitude < F.pow(F.lit(2.0), e), e - 1).when(magnitude >= F.pow(F.lit(2.0), e + 1), e + 1).otherwise(e)
-    e = F.greatest(e, F.lit(-1022))
-    half = F.floor(e / 2)
-    scaled = magnitude / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), e - half)
-    normal = (e + 1022) * F.lit(2 ** 52).cast("long") + (scaled * F.lit(float(2 ** 52))).cast("long")
-    sub = (magnitude * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")
-    bits = F.when(magnitude == float("inf"), F.lit(2047 * 2 ** 52)).when(magnitude < 2.0 ** -1022, sub).otherwise(normal).cast("long")
-    # Negative numbers sort before positive ones, larger magnitudes first.
-    return F.when(v < 0, -bits - 1).otherwise(bits)
-
-
-def _digit(bits: Column, k: int) -> Column:
-    """Digit k from the top; the top one is signed, as the bits are."""
-    low = sum(DIGIT_BITS[k + 1:])
-    top = F.shiftright(bits, low)
-    return top if k == 0 else top.bitwiseAND(F.lit((1 << DIGIT_BITS[k]) - 1))
+#: Column of the number of the range partition that a count lies in.
+PART = "__part"
 
 
 def value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -65,40 +40,48 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., feature, prob, quantile) from ``value_counts`` rows.
+def ranged(counts: DataFrame) -> DataFrame:
+    """Counts sorted by (feature, value) over range partitions, with the partition's number as ``PART``; the lineage is cut (jobs run here).
 
-    ``counts`` is read once a round, so give it a cut lineage when it is costly.
+    Rows without a value, if there are any, come before a feature's values.
     """
+    return cut_lineage(counts.repartitionByRange("feature", "value").withColumn(PART, F.spark_partition_id()))
+
+
+def part_bounds(counts: DataFrame) -> DataFrame:
+    """(feature, bounds): the least value of each of a feature's range partitions, in order, with its number; as many as there are partitions."""
+    low = counts.where(F.col("value").isNotNull()).groupBy("feature", PART).agg(F.min("value").alias("low"))
+    return low.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("low", F.col(PART).alias("part")))).alias("bounds"))
+
+
+def part_of(value: Column, bounds: Column) -> Column:
+    """The range partition that a value belongs to."""
+    held = F.filter(bounds, lambda b: b["low"] <= value)
+    return F.when(F.size(held) > 0, F.element_at(held, -1)["part"]).otherwise(F.element_at(bounds, 1)["part"])
+
+
+def quantiles_of_ranged(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., feature, prob, quantile) from ``ranged`` rows, in any order; a value may have several rows."""
     keys = [*by, "feature"]
-    bits = counts.select(*keys, "value", "weight", _ordered_bits(F.col("value")).alias("__bits"))
-    digits = [f"__d{k}" for k in range(len(DIGIT_BITS))]
-    bits = bits.select(*keys, "value", "weight", *[_digit(F.col("__bits"), k).alias(d) for k, d in enumerate(digits)])
+    rows = counts.where(F.col("value").isNotNull()).select(*keys, PART, "value", "weight").repartition(*keys, PART)
+    # Totals of the pieces: a row per group, feature and partition.
+    pieces = rows.groupBy(*keys, PART).agg(F.sum("weight").alias("__n"), F.min("value").alias("__first"))
     w = Window.partitionBy(*keys)
-    first = bits.groupBy(*keys, digits[0]).agg(F.sum("weight").alias("__n"))
-    first = first.select(*keys, digits[0], "__n", F.sum("__n").over(w).alias("__all"),
-                         (F.sum("__n").over(w.orderBy(digits[0])) - F.col("__n")).alias("__before"))
-    # Both ranks next to (n - 1) p, for interpolation.
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    target = F.explode(F.flatten(F.transform(ps, lambda p: F.array(
-        F.struct(p.alias("p"), F.lit(0).alias("up"), F.floor((F.col("__all") - 1) * p).alias("r")),
-        F.struct(p.alias("p"), F.lit(1).alias("up"), F.ceil((F.col("__all") - 1) * p).alias("r"))))))
-    holds = (F.col("__before") <= F.col("__t.r")) & (F.col("__t.r") < F.col("__before") + F.col("__n"))
-    found = first.withColumn("__t", target).where(holds).select(
-        *keys, F.col("__t.p").alias("__p"), F.col("__t.up").alias("__up"), (F.col("__t.r") - F.col("__before")).alias("__r"), "__all", digits[0])
-    for k in range(1, len(DIGIT_BITS)):
-        inside = null_safe(bits, found, [*keys, *digits[:k]])
-        last = k == len(DIGIT_BITS) - 1
-        group = [*keys, "__p", "__up", "__r", "__all", *digits[:k]]
-        n = inside.groupBy(*group, digits[k]).agg(F.sum("weight").alias("__n"), *([F.min("value").alias("value")] if last else []))
-        run = Window.partitionBy(*keys, "__p", "__up").orderBy(digits[k])
-        n = n.withColumn("__before", F.sum("__n").over(run) - F.col("__n"))
-        n = n.where((F.col("__before") <= F.col("__r")) & (F.col("__r") < F.col("__before") + F.col("__n")))
-        found = n.select(*keys, "__p", "__up", (F.col("__r") - F.col("__before")).alias("__r"), "__all", *digits[:k + 1], *(["value"] if last else []))
-    both = found.groupBy(*keys, "__p", "__all").agg(
-        F.max(F.when(F.col("__up") == 0, F.col("value"))).alias("__lo"), F.max(F.when(F.col("__up") == 1, F.col("value"))).alias("__hi"))
-    h = (F.col("__all") - 1) * F.col("__p")
-    return both.select(*keys, F.col("__p").alias("prob"), (F.col("__lo") + (h - F.floor(h)) * (F.col("__hi") - F.col("__lo"))).alias("quantile"))
+    before = F.sum("__n").over(w.orderBy(PART).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    pieces = pieces.select(*keys, PART, "__n", before.alias("__before"), F.sum("__n").over(w).alias("__all"),
+                           F.lead("__first").over(w.orderBy(PART)).alias("__then"))
+    ranks = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.struct(p.alias("p"), ((F.col("__all") - 1) * p).alias("h")))
+    here = F.filter(ranks, lambda t: (F.floor(t["h"]) >= F.col("__before")) & (F.floor(t["h"]) < F.col("__before") + F.col("__n")))
+    pieces = pieces.withColumn("__t", here).where(F.size("__t") > 0).drop("__n", "__all")
+    # Inside a piece: rows before and up to each, and the next value.
+    inside = Window.partitionBy(*keys, PART).orderBy("value")
+    rows = rows.withColumns({"__upto": F.sum("weight").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "__next": F.lead("value").over(inside)})
+    found = null_safe(rows, pieces, [*keys, PART])
+    upto, h = F.col("__before") + F.col("__upto"), F.col("__h.h")
+    found = found.withColumn("__h", F.explode("__t")).where((F.floor(h) >= upto - F.col("weight")) & (F.floor(h) < upto))
+    above = F.when(F.ceil(h) < upto, F.col("value")).otherwise(F.coalesce("__next", "__then"))
+    value = F.when(F.ceil(h) == F.floor(h), F.col("value")).otherwise(F.col("value") + (h - F.floor(h)) * (above - F.col("value")))
+    return found.select(*keys, F.col("__h.p").alias("prob"), value.alias("quantile"))
 
 
 def qcol(c: str, p: float) -> str:
@@ -110,9 +93,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     """Exact quantiles of ``cols`` at ``probs`` per group: columns ``{col}__q{p}``, one row per group.
 
     Without ``by`` there is always one row (all null without values); a group
-    without any value has no row.  The counts are cut (a job runs here).
+    without any value has no row.  The counts are cut (jobs run here).
     """
-    counts = cut_lineage(value_counts(df, cols, by))
-    q = quantiles_of_counts(counts, probs, by)
+    q = quantiles_of_ranged(ranged(value_counts(df, cols, by)), probs, by)
     aggs = [F.max(F.when((F.col("feature") == c) & (F.col("prob") == float(p)), F.col("quantile"))).alias(qcol(c, p)) for c in cols for p in probs]
     return q.groupBy(*by).agg(*aggs) if by else q.agg(*aggs)

@@ -46,11 +46,24 @@ def test_quantiles_interpolate(spark):
     assert quantile.quantiles(spark.createDataFrame([], "x double"), ["x"], [0.5]).collect()[0][0] is None
 
 
-def test_ordered_bits_sort_like_doubles(spark):
+def test_ranks_follow_the_order_of_doubles(spark):
     rnd = random.Random(1)
-    vals = sorted({rnd.gauss(0, 1) * 2.0 ** rnd.randint(-1074, 1000) for _ in range(500)} | {2.0 ** 52, 2.0 ** -1022, 2.0 ** -1022 - 5e-324, 1e308})
-    bits = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double").orderBy("i").select(quantile._ordered_bits(F.col("v"))).collect()]
-    assert bits == sorted(bits) and len(set(bits)) == len(bits)
+    vals = sorted({rnd.gauss(0, 1) * 2.0 ** rnd.randint(-1074, 1000) for _ in range(500)} | {2.0 ** 52, 2.0 ** -1022, 2.0 ** -1022 - 5e-324, 1e308, float("-inf")})
+    probs = [k / (len(vals) - 1) for k in (0, 1, 7, 250, len(vals) - 2, len(vals) - 1)]
+    got = quantile.quantiles(spark.createDataFrame([(v,) for v in vals], "x double"), ["x"], probs).collect()[0]
+    for p, q in zip(probs, got):
+        assert min(abs(vals.index(q) - p * (len(vals) - 1)) if q in vals else 1, abs(q - vals[round(p * (len(vals) - 1))])) <= 1e-9 * abs(q) + 1e-300
+
+
+def test_a_group_with_most_rows_is_spread_over_the_partitions(spark):
+    rnd = random.Random(8)
+    rows = [(None if k % 3 else k % 50, rnd.random()) for k in range(6000)]
+    counts = quantile.ranged(quantile.value_counts(spark.createDataFrame(rows, "g int, x double"), ["x"], ["g"]).repartition(8))
+    sizes = [r["n"] for r in counts.where("g is null").groupBy(quantile.PART).agg(F.count(F.lit(1)).alias("n")).collect()]
+    pieces = counts.rdd.getNumPartitions()
+    assert sum(sizes) == 4000 and (pieces == 1 or max(sizes) < 4000 * 3 / pieces)
+    bounds = counts.join(quantile.part_bounds(counts), "feature").where(F.col(quantile.PART) != quantile.part_of(F.col("value"), F.col("bounds")))
+    assert bounds.count() == 0
 
 
 def test_hierarchical_impute_levels(spark):
