@@ -122,10 +122,13 @@ def short_names(df: DataFrame, label: str, features: Sequence[str], phrases: Map
 
     z = (cluster median - global median) / global IQR (zero IQR -> z 0).  Up to
     two different phrases from features with |z| >= 0.35, strongest first, joined
-    " / "; otherwise the strongest phrase feature; otherwise "Balanced".
+    " / "; otherwise the strongest phrase feature; otherwise "Balanced".  Without
+    any feature the name is the label as text.
     ``stats``: a ``cluster_stats`` frame of these features, if there is one.
     """
     out = out or f"{label}_name"
+    if not list(features):
+        return df.select(label).distinct().select(label, F.col(label).cast("string").alias(out))
     stats = cluster_stats(df, label, features) if stats is None else stats.where(F.col("feature").isin(list(features)))
     pd_ = phrase_dim(stats.sparkSession, {k: v for k, v in phrases.items() if k in features})
     zp = _z(stats, "median").join(F.broadcast(pd_), "feature")  # as many rows as features
@@ -167,7 +170,7 @@ def label_report(df: DataFrame, label: str, features: Sequence[str], phrases: Ma
     lines = F.transform("__t", lambda s: s["line"])
     phr = F.filter(F.transform("__t", lambda s: s["phrase"]), lambda p: p.isNotNull())
     rep = rep.select(label, F.array_join(lines, " | ").alias("key_traits"), *_report_texts(phr), _tradeoffs(phr, tradeoffs).alias("tradeoffs"))
-    names = short_names(df, label, list(name_features or features), phrases, out="__short", stats=stats)
+    names = short_names(df, label, list(features if name_features is None else name_features), phrases, out="__short", stats=stats)
     rep = null_safe(rep, names, [label], "left").withColumn("final_name", F.coalesce("__short", F.lit("Balanced"))).drop("__short")
     cols = ["key_traits", "candidate_name_1", "candidate_name_2", "candidate_name_3", "final_name", "description", "tradeoffs"]
     if overrides is not None:

@@ -6,22 +6,23 @@ candidate (point, polygon) then meets only the polygon edges that span the
 point's latitude band (second equi-join on (polygon, band)).  Inside = odd
 number of edges crossed by the ray to +x; points on an edge are not "within".
 
-E7 nearest station: a search tree of occupied grid cells.  Each level cuts a
-cell into 4 x 4; a cell knows the box around its stations and one of them.  A
-point starts at the root and, level by level, meets the children of the cells
-that it still holds (equi-join on the cell): the distance to a child's station
-bounds the answer from above, the distance to its box from below, and children
-beyond the least upper bound go.  The depth follows from the stations: it ends
-where no cell holds more than ``LEAF`` of them.  So far points and clustered
-stations cost a few cells a level, not all stations of a block.
+E7 nearest station: stations are sorted along a space-filling curve and packed
+into blocks of neighbours, and blocks into groups, each with the box around its places on the
+unit sphere (so no edge at the date line or the poles) and one station as representative.  This small tree (at most ``MAX_BLOCKS`` blocks and
+a few, whatever the number of stations) is part of the plan, and a point walks it
+inside its row: distances to representatives bound the answer from above,
+distances to boxes from below, and what lies beyond the least upper bound goes.
+Only the blocks that are left are joined (a block's stations are one array), and
+one aggregate per point takes the nearest: two shuffles, however many stations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placescore.functions.expr import EARTH_RADIUS_KM, haversine_km
+from placescore.session import cut_lineage, store
 
 
 # ------------------------------------------------------------------ A12
@@ -81,87 +82,117 @@ def points_in_polygons(points: DataFrame, pkey: str, x: str, y: str, edges: Data
 
 # ------------------------------------------------------------------ E7
 
-#: Stations of a leaf cell, and the finest level (cells of 360 / 4^16 degrees, under a centimetre).
-LEAF, MAX_DEPTH = 8, 16
+#: Stations of a block, blocks of a group, and blocks of the whole tree (more stations: larger blocks).
+BLOCK, GROUP, MAX_BLOCKS = 32, 32, 4096
+#: Steps of the space-filling curve, each of which cuts a cell into 4 x 4.
+CURVE_STEPS = 15
 
 
-def _cell(lat, lon, depth: int):
-    """Cell of a level as one number: columns and rows of 4^depth over 360 x 360 degrees from (-90, -180)."""
-    n = 4 ** depth
+def _curve(lat, lon):
+    """Place of a point along a Z-order curve over 360 x 360 degrees from (-90, -180)."""
+    n = 4 ** CURVE_STEPS
     at = lambda v: F.least(F.floor(v / 360.0 * n).cast("long"), F.lit(n - 1))
-    return at(lat + 90.0) * F.lit(n) + at(F.pmod(lon + 180.0, F.lit(360.0)))
+    cell = F.struct(at(lat + 90.0).alias("row"), at(F.pmod(lon + 180.0, F.lit(360.0))).alias("col"))
+    base = F.lit(4).cast("long")
+    # From the top bit down: four times the place so far, and the quarter that the next bits of row and column name.
+    quarter = lambda c, d: F.floor(c["row"] / F.pow(F.lit(2.0), d)) % 2 * 2 + F.floor(c["col"] / F.pow(F.lit(2.0), d)) % 2
+    return _let(cell, lambda c: F.aggregate(F.sequence(F.lit(2 * CURVE_STEPS - 1), F.lit(0)), F.lit(0).cast("long"),
+                                            lambda place, d: (place * base + quarter(c, d)).cast("long")))
 
 
-def _parent(cell, depth: int):
-    n = 4 ** depth
-    return F.floor(F.floor(cell / n) / 4) * F.lit(n // 4) + F.floor(cell % n / 4)
+def _let(value, body):
+    """``body(value)`` with the value computed once, however often, and in whatever lambda, the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _turned(lon):
-    """A longitude in [-180, 180)."""
-    return F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
+def _place(lat, lon):
+    """x, y, z of a point on the unit sphere."""
+    up, round_ = F.radians(lat), F.radians(lon)
+    return [(F.cos(up) * F.cos(round_)).alias("x"), (F.cos(up) * F.sin(round_)).alias("y"), F.sin(up).alias("z")]
 
 
-def _box_distance(lat, lon, box, radius: float):
-    """A lower bound on the great-circle distance from a point to anything in a latitude-longitude box."""
-    up = F.greatest(lat - box["n"], box["s"] - lat, F.lit(0.0))
-    lon = _turned(lon)
-    side = F.when(lon.between(box["w"], box["e"]), F.lit(0.0)).otherwise(F.least(F.abs(_turned(lon - box["w"])), F.abs(_turned(lon - box["e"]))))
-    across = F.asin(F.sin(F.radians(F.least(side, F.lit(90.0)))) * F.cos(F.radians(lat)))
-    return F.greatest(F.radians(up), across) * radius
+def _chord(p, q):
+    return F.sqrt(sum((p[c] - q[c]) * (p[c] - q[c]) for c in "xyz"))
+
+
+def _box_chord(p, box):
+    """A lower bound on the chord from a point to anything in a box of the sphere."""
+    away = [F.greatest(box[f"{c}0"] - p[c], p[c] - box[f"{c}1"], F.lit(0.0)) for c in "xyz"]
+    return F.sqrt(sum(a * a for a in away))
+
+
+def _slack(most):
+    """Chords are rounded: a little more than ``most`` (a hundredth of a metre at least)."""
+    return most * (1 + 1e-9) + 2e-9
+
+
+def _station_blocks(st: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(rows __block, __st; the tree's groups; its blocks) of stations (__slat, __slon, __s).
+
+    Groups and blocks are constants: box (x0, x1, ...) and representative (x, y, z),
+    and the blocks of a group by place and number; a representative is a station.  Jobs run here: the stations are
+    counted, sorted and stored, and the boxes (bounded) are collected.
+    """
+    many = st.count()
+    if not many:
+        raise ValueError("station table has no rows with coordinates")
+    size = max(BLOCK, -(-many // MAX_BLOCKS))
+    sort = st.withColumn("__z", _curve(F.col("__slat"), F.col("__slon"))).repartitionByRange("__z", "__slat", "__slon")
+    sort = cut_lineage(sort.withColumn("__part", F.spark_partition_id()))
+    # A partition of the sort holds neighbours; it is dealt into blocks in order.
+    at = F.row_number().over(Window.partitionBy("__part").orderBy("__z", "__slat", "__slon")) - 1
+    sort = sort.select("*", *_place(F.col("__slat"), F.col("__slon")), F.floor(at / size).alias("__nr"))
+    rows = sort.groupBy("__part", "__nr").agg(
+        F.collect_list(F.struct("x", "y", "z", "__slat", "__slon", "__s")).alias("__st"),  # at most ``size``
+        *[f(c).alias(f"{c}{k}") for c in "xyz" for k, f in enumerate((F.min, F.max))])
+    rows = store(rows.withColumn("__block", F.col("__part").cast("long") * (MAX_BLOCKS * 2) + F.col("__nr")))
+    ends = {f"{c}{k}": f for c in "xyz" for k, f in enumerate((min, max))}
+    tree = [r.asDict() for r in rows.select("__part", "__nr", F.col("__block").alias("id"), *ends, *[F.col("__st")[0][c].alias(c) for c in "xyz"])
+            .orderBy("__block").collect()]
+    groups: dict[tuple[int, int], dict] = {}
+    for k, b in enumerate(tree):
+        g = groups.setdefault((b["__part"], b["__nr"] // GROUP), {**b, "first": k + 1, "many": 0})
+        g.update({e: f(g[e], b[e]) for e, f in ends.items()}, many=g["many"] + 1)
+    box = [*ends, *"xyz"]
+    return rows.select("__block", "__st"), _constants(list(groups.values()), [*box, "first", "many"]), _constants(tree, [*box, "id"])
+
+
+def _constants(rows: list[dict], names: list[str]) -> Column:
+    """A constant array of structs (Spark folds it before the first row): whole numbers as longs, others as doubles."""
+    kind = lambda n: "bigint" if isinstance(rows[0][n], int) else "double"
+    return F.arrays_zip(*[F.split(F.lit(",".join(repr(r[n]) for r in rows)), ",").cast(f"array<{kind(n)}>").alias(n) for n in names])
 
 
 def nearest_station(points: DataFrame, pkey: str, lat: str, lon: str, stations: DataFrame, skey: str,
                     slat: str, slon: str, radius: float = EARTH_RADIUS_KM, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every point gets exactly one station (nearest by haversine; ties -> smaller id).
+    """Every point row gets exactly one station (nearest by haversine; ties -> smaller id).
 
-    Points with missing coordinates get a null match (O8).  ``keep`` lists
-    station columns to carry.  An empty station table raises.  The tree's depth
-    is looked up first (small jobs over the stations).
+    Keys may be null or repeat: each row is a point of its own.  Points with
+    missing coordinates get a null match (O8).  ``keep`` lists station columns to
+    carry.  An empty station table raises.  Jobs run here (``_station_blocks``).
     """
     st = stations.where(F.col(slat).isNotNull() & F.col(slon).isNotNull()).select(
         F.col(skey).alias("__sid"), F.col(slat).cast("double").alias("__slat"),
         F.col(slon).cast("double").alias("__slon"), *[F.col(k).alias(f"__s_{k}") for k in keep])
     # Stations that share a place differ by id only.
     st = st.groupBy("__slat", "__slon").agg(F.min(F.struct("__sid", *[f"__s_{k}" for k in keep])).alias("__s"))
-    depths = range(1, MAX_DEPTH + 1)
-    fullest = st.select(F.explode(F.array(*[F.struct(F.lit(d).alias("d"), _cell(F.col("__slat"), F.col("__slon"), d).alias("c")) for d in depths])).alias("x")) \
-        .groupBy("x.d", "x.c").agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()
-    if not fullest:
-        raise ValueError("station table has no rows with coordinates")
-    depth = min([r["d"] for r in fullest if r["n"] <= LEAF], default=MAX_DEPTH)
-    pts = points.select(F.col(pkey).alias("__pk"), F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon"))
-    known = pts.where(F.col("__lat").isNotNull() & F.col("__lon").isNotNull())
-    leaf = _cell(F.col("__slat"), F.col("__slon"), depth)
-    level = st.groupBy(leaf.alias("__cell")).agg(
-        F.struct(F.min("__slat").alias("s"), F.max("__slat").alias("n"), F.min(_turned(F.col("__slon"))).alias("w"), F.max(_turned(F.col("__slon"))).alias("e")).alias("__box"),
-        F.min(F.struct("__slat", "__slon")).alias("__rep"))
-    levels = {depth: level}
-    for d in range(depth, 1, -1):
-        level = level.groupBy(_parent(F.col("__cell"), d).alias("__cell")).agg(
-            F.struct(F.min("__box.s").alias("s"), F.max("__box.n").alias("n"), F.min("__box.w").alias("w"), F.max("__box.e").alias("e")).alias("__box"),
-            F.min("__rep").alias("__rep"))
-        levels[d - 1] = level
+    blocks, groups, members = _station_blocks(st)
     pos = F.col("__lat"), F.col("__lon")
-    bound = Window.partitionBy("__pk")
-
-    def pruned(held: DataFrame) -> DataFrame:
-        near = held.withColumns({"__lo": _box_distance(*pos, F.col("__box"), radius),
-                                 "__hi": haversine_km("__lat", "__lon", "__rep.__slat", "__rep.__slon", radius)})
-        near = near.withColumn("__least", F.min("__hi").over(bound))
-        # A little slack, as bounds and distances are rounded apart.
-        return near.where(F.col("__lo") <= F.col("__least") * (1 + 1e-9) + 1e-6).select("__pk", "__lat", "__lon", "__cell")
-
-    top = levels[1].agg(F.collect_list(F.struct("__cell", "__box", "__rep")).alias("__top"))  # one row of at most 16 cells
-    held = known.crossJoin(F.broadcast(top)).select("__pk", "__lat", "__lon", F.inline("__top"))
-    held = pruned(held)
-    for d in range(2, depth + 1):
-        child = levels[d].select(_parent(F.col("__cell"), d).alias("__up"), "__cell", "__box", "__rep")
-        held = pruned(held.withColumnRenamed("__cell", "__up").join(child, "__up").drop("__up"))
-    found = held.join(st.withColumn("__cell", leaf), "__cell")
-    d = haversine_km("__lat", "__lon", "__slat", "__slon", radius)
-    best = found.select("__pk", d.alias("__d"), "__s").groupBy("__pk").agg(
-        F.min(F.struct(F.col("__d").alias("d"), F.col("__s").alias("s"))).alias("__b"))
-    return pts.join(best, "__pk", "left").select(
-        F.col("__pk").alias(pkey), F.col("__b.s.__sid").alias(skey), *[F.col(f"__b.s.__s_{k}").alias(k) for k in keep],
-        F.col("__b.d").alias("distance_km"))
+    pts = points.select(F.col(pkey).alias("__pk"), F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon"))
+    # A row's number is given before anything is shuffled, and rides along from there on.
+    pts = pts.withColumn("__row", F.monotonically_increasing_id())
+    known = pos[0].isNotNull() & pos[1].isNotNull()
+    left = lambda p, xs, most: F.filter(xs, lambda x: _box_chord(p, x) <= _slack(most))
+    least = lambda p, xs: F.array_min(F.transform(xs, lambda x: _chord(p, x)))
+    ids = _let(F.struct(*_place(*pos)), lambda p: _let(least(p, groups), lambda first: _let(
+        F.flatten(F.transform(left(p, groups, first), lambda g: F.slice(members, g["first"].cast("int"), g["many"].cast("int")))), lambda inner: _let(
+            F.least(first, least(p, inner)), lambda most: F.transform(left(p, inner, most), lambda x: x["id"])))))
+    held = pts.select("__row", "__pk", *pos, F.explode_outer(F.when(known, ids)).alias("__block"))
+    found = held.join(blocks, "__block", "left")
+    # Of a block the stations with the shortest chord, then the exact distance of these.
+    near = _let(F.struct(*_place(*pos)), lambda p: _let(
+        F.array_min(F.transform("__st", lambda s: _chord(p, s))), lambda most: F.filter("__st", lambda s: _chord(p, s) <= _slack(most))))
+    best = F.array_min(F.transform(near, lambda s: F.struct(haversine_km(*pos, s["__slat"], s["__slon"], radius).alias("d"), s["__s"].alias("s"))))
+    out = found.select("__row", "__pk", best.alias("__b")).groupBy("__row").agg(F.first("__pk").alias("__pk"), F.min("__b").alias("__b"))
+    return out.select(F.col("__pk").alias(pkey), F.col("__b.s.__sid").alias(skey), *[F.col(f"__b.s.__s_{k}").alias(k) for k in keep],
+                      F.col("__b.d").alias("distance_km"))

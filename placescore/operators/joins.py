@@ -13,25 +13,41 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placescore.operators.window import assert_unique
-
 
 def left_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Left equi-join on one or several keys (many-to-one)."""
     return left.join(right, on=on if isinstance(on, str) else list(on), how="left")
 
 
+def checked_unique(df: DataFrame, on: str, name: str) -> DataFrame:
+    """``df`` with its uniqueness on the key checked inside the plan: running it raises, and names a key, if a key repeats.
+
+    Rows are counted by the aggregate that brings a key's row along, so the check
+    needs no job of its own, and its shuffle on the key is the one that a join
+    on the key needs anyway.
+    """
+    rest = [c for c in df.columns if c != on]
+    one = df.groupBy(on).agg(F.count(F.lit(1)).alias("__rows"), F.first(F.struct(*rest) if rest else F.lit(0)).alias("__row"))
+    message = F.concat(F.lit(f"Expected one row per {on} in the {name}; found duplicates (example): "), F.coalesce(F.col(on).cast("string"), F.lit("null")))
+    key = F.when(F.col("__rows") == 1, F.col(on)).otherwise(F.raise_error(message).cast(df.schema[on].dataType))
+    return one.select(key.alias(on), *[F.col("__row")[c].alias(c) for c in rest])
+
+
 def validated_left_join(left: DataFrame, right: DataFrame, on: str, validate: bool = True) -> DataFrame:
-    """One-to-one left join; both sides checked unique on the key first (raises)."""
-    if validate:
-        assert_unique(left, on)
-        assert_unique(right, on)
-    return left.join(right, on=on, how="left")
+    """One-to-one left join; both sides are checked unique on the key while it runs (the run raises)."""
+    return chain_left_joins(left, [right], on, validate)
 
 
 def chain_left_joins(base: DataFrame, others: Sequence[DataFrame], on: str, validate: bool = True) -> DataFrame:
-    """E2 chain."""
-    return reduce(lambda acc, o: validated_left_join(acc, o, on, validate), others, base)
+    """E2 chain: the base is checked once, each other side once; no job runs before the result does."""
+    for df in (base, *others):
+        if on not in df.columns:
+            raise KeyError(f"Missing required column: {[on]}")
+    if not validate:
+        return reduce(lambda acc, o: acc.join(o, on=on, how="left"), others, base)
+    sides = [checked_unique(o, on, f"right side {k} of the join") for k, o in enumerate(others, 1)]
+    out = reduce(lambda acc, o: acc.join(o, on=on, how="left"), sides, checked_unique(base, on, "left side of the join"))
+    return out.select(on, *[c for c in base.columns if c != on], *[c for o in others for c in o.columns if c != on])
 
 
 def full_outer_slices(slices: Sequence[DataFrame], on: str) -> DataFrame:

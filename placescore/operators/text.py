@@ -90,12 +90,12 @@ def resolve_url(base: Column, ref: Column) -> Column:
             .otherwise(F.concat(root, merged, ref_rest)))
 
 
-def json_matrix(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``[[header...], [row...], ...]`` JSON -> long (key, row, column, value).
+def matrix_rows(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``[[header...], [row...], ...]`` JSON -> (rows, quarantine): key, row, ``__h`` (header) and ``__r`` (values) of each row.
 
-    Returns (rows, quarantine): rows for well-formed matrices; quarantine holds
-    keys whose text is not a JSON array of string arrays, is an error object, or
-    has a row whose width differs from the header.
+    The quarantine (key, reason) holds keys whose text is not a JSON array of
+    string arrays, is an error object, or has a row whose width differs from the
+    header.
     """
     m = F.from_json(F.col(text), "array<array<string>>")
     parsed = df.select(key, text, m.alias("__m"))
@@ -103,8 +103,13 @@ def json_matrix(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     good = F.col("__m").isNotNull() & (F.size("__m") >= 1) & width_ok & ~F.trim(F.col(text)).startswith("{")
     bad = parsed.where(~F.coalesce(good, F.lit(False))).select(key, F.lit("bad shape").alias("reason"))
     ok = parsed.where(F.coalesce(good, F.lit(False)))
-    rows = ok.select(key, F.element_at("__m", 1).alias("__h"),
-                     F.posexplode(F.slice("__m", 2, F.greatest(F.size("__m") - 1, F.lit(0)))).alias("row", "__r"))
+    return ok.select(key, F.element_at("__m", 1).alias("__h"),
+                     F.posexplode(F.slice("__m", 2, F.greatest(F.size("__m") - 1, F.lit(0)))).alias("row", "__r")), bad
+
+
+def json_matrix(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Matrix JSON -> long (key, row, column, value), and the quarantine of ``matrix_rows``."""
+    rows, bad = matrix_rows(df, key, text)
     cells = rows.select(key, "row", F.explode(F.arrays_zip(F.col("__h").alias("column"), F.col("__r").alias("value"))).alias("__z"))
     return cells.select(key, "row", F.col("__z.column").alias("column"), F.col("__z.value").alias("value")), bad
 

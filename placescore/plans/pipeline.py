@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placescore.operators import agg, clean, cluster, geo, impute, joins, quantile, score, text, window
-from placescore.operators.recommend import attach_text  # noqa: F401  (re-exported for the app side)
+from placescore.operators import agg, clean, cluster, geo, impute, joins, landed, quantile, score, text, window
 from placescore.session import cut_lineage
-from placescore.specs import (AGE_BUCKETS, CENSUS_SHARES, CLUSTER_ASINH, CLUSTER_DROP, CLUSTER_LEVELS, CLUSTER_LOG1P,
+from placescore.specs import (AGE_BUCKETS, CENSUS_NAME_HEADER, CENSUS_PRIOR_VARIABLES, CENSUS_SHARES, CENSUS_UNIT_HEADER, CENSUS_VARIABLES,
+                              CLUSTER_ASINH, CLUSTER_DROP, CLUSTER_LEVELS, CLUSTER_LOG1P,
                               GAZETTEER_COLUMNS, HEALTH_MEASURES, INDUSTRY_TOTAL, NAME_FEATURES, NAME_PHRASES,
                               PLACE_DIMENSIONS, PLACE_FEATURES, PLACE_ID_COLS, RACE_GROUPS, RACE_TOTAL, STATE_TO_CODE,
                               STATION_MEASURES, STATION_REQUIRED, TRADEOFF_RULES)
@@ -76,6 +76,24 @@ def census_build(current: DataFrame, prior: DataFrame | None, gazetteer: DataFra
     return clean.drop_by_suffix(df, "_prior")
 
 
+def census_from_responses(current: DataFrame, prior: DataFrame | None, gazetteer: DataFrame | None, order: str = "slice",
+                          payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """A8-A10 -> M1: (census table, quarantine) from landed matrix responses of both years.
+
+    ``order`` ranks the responses of a year: the first that has a unit's variable
+    gives it.  The quarantine has the responses (year, order, reason) that gave nothing.
+    """
+    names = {CENSUS_NAME_HEADER: "cbsa_name", **CENSUS_VARIABLES}
+    now, bad = landed.matrix_table(current, order, payload, CENSUS_UNIT_HEADER, names, KEY)
+    bad = bad.select(F.lit("current").alias("year"), order, "reason")
+    before = None
+    if prior is not None:
+        before, lost = landed.matrix_table(prior, order, payload, CENSUS_UNIT_HEADER, {v: CENSUS_VARIABLES[v] for v in CENSUS_PRIOR_VARIABLES}, KEY)
+        before = joins.suffix_columns(before, "_prior", [KEY])
+        bad = bad.unionByName(lost.select(F.lit("prior").alias("year"), order, "reason"))
+    return census_build(now, before, gazetteer), bad
+
+
 def crime_build(city_crime: DataFrame, zip_cbsa: DataFrame) -> DataFrame:
     """M2: city crime counts (cleaned city and state names) rolled up to units through the most common ZIP unit."""
     from placescore.sources.files import clean_headers
@@ -196,9 +214,18 @@ class Enriched:
 REPORT_COLUMNS = ["key_traits", "candidate_name_1", "candidate_name_2", "candidate_name_3", "final_name", "description", "tradeoffs"]
 
 
-def cluster_tables(base: DataFrame, levels: dict[str, int] | None = None, starts: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(mapping, metrics, label names) of all cluster levels on a complete panel."""
+def cluster_tables(base: DataFrame, levels: dict[str, int] | None = None, starts: int = 10,
+                   overrides: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mapping, metrics, label names) of all cluster levels on a complete panel.
+
+    Key traits are looked for in all numeric columns of the panel, names in the
+    naming features.  ``overrides``: by level, a frame of texts written by people
+    (the level's label and any of ``REPORT_COLUMNS``) that take precedence.
+    """
     levels = levels or CLUSTER_LEVELS
+    unknown = sorted(set(overrides or {}) - set(levels))
+    if unknown:
+        raise KeyError(f"overrides for unknown levels: {unknown}")
     features = cluster.cluster_columns(base, [KEY, *CLUSTER_DROP])
     kinds = {**dict.fromkeys(CLUSTER_ASINH, "asinh"), **dict.fromkeys(CLUSTER_LOG1P, "log1p")}
     x = score.apply_transforms(base.select(KEY, *features), {c: k for c, k in kinds.items() if c in features})
@@ -206,11 +233,13 @@ def cluster_tables(base: DataFrame, levels: dict[str, int] | None = None, starts
     lab = lab.withColumnsRenamed({f"cluster_k{k}": name for name, k in levels.items()})
     panel = base.join(lab, KEY)
     named = [f for f in NAME_FEATURES if f in base.columns]
+    traits = impute.imputation_targets(base, exclude=(KEY,))
     mapping, names = lab.select(KEY, *levels), []
     for level in levels:
-        stats = cluster.cluster_stats(panel.select(level, *named), level, named)
+        stats = cluster.cluster_stats(panel.select(level, *traits), level, traits)
         short = cluster.short_names(panel, level, named, NAME_PHRASES, out=f"{level}_text", stats=stats)
-        report = cluster.label_report(panel, level, named, NAME_PHRASES, TRADEOFF_RULES, stats=stats)
+        report = cluster.label_report(panel, level, traits, NAME_PHRASES, TRADEOFF_RULES, overrides=(overrides or {}).get(level), stats=stats,
+                                      name_features=named)
         names.append(report.select(F.lit(level).alias("level"), F.col(level).alias("label"), *REPORT_COLUMNS))
         both = quantile.null_safe(short, report, [level]).withColumnsRenamed({c: f"{level}_{c}" for c in REPORT_COLUMNS})
         mapping = joins.dim_join(mapping, both, level, bounded=True)  # one row per label
@@ -220,11 +249,11 @@ def cluster_tables(base: DataFrame, levels: dict[str, int] | None = None, starts
     return mapping.select(KEY, *columns), metrics, window.union_all(names)
 
 
-def enriched_panel(base: DataFrame, drop_code: str = "PR", starts: int = 10) -> Enriched:
+def enriched_panel(base: DataFrame, drop_code: str = "PR", starts: int = 10, overrides: Mapping[str, DataFrame] | None = None) -> Enriched:
     """M7: clusters (on every unit) and feature/dimension scores (region dropped
     first, O11) joined back one-to-one; each step is checked for one row per unit."""
     window.assert_unique(base, KEY)
-    mapping, metrics, names = cluster_tables(base, starts=starts)
+    mapping, metrics, names = cluster_tables(base, starts=starts, overrides=overrides)
     scores = score.feature_and_dimension_scores(window.drop_region(base, drop_code), PLACE_FEATURES, PLACE_DIMENSIONS, [KEY])
     out = joins.chain_left_joins(base, [scores, cut_lineage(mapping)], KEY)
     return Enriched(window.drop_region(out, drop_code), mapping, metrics, names)

@@ -11,7 +11,8 @@ from placescore.plans.panel import PANEL_SQL, STATIONS_SQL, stations, table, uni
 from placescore.plans.q_models import _HAV
 from placescore.plans.q_relational import _MONTH_DAYS_SQL, _STATION_MONTHS_SQL, station_months
 from placescore.plans.registry import query
-from placescore.specs import STATE_TO_CODE
+from placescore.specs import (AGE_BUCKETS, CENSUS_NAME_HEADER, CENSUS_PRIOR_VARIABLES, CENSUS_SHARES, CENSUS_UNIT_HEADER,
+                              CENSUS_VARIABLES, RACE_GROUPS, RACE_TOTAL, STATE_TO_CODE)
 
 _NAMES = ", ".join(f"'{n.title()}'" for n in STATE_TO_CODE)
 _CODES = ", ".join(f"'{c}'" for c in STATE_TO_CODE.values())
@@ -92,3 +93,79 @@ def column_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = clean.drop_by_suffix(clean.rename_columns(clean.snake_case_columns(raw), {"code": "unit_code", "not_there": "x"}), "_prior")
     df = df.withColumns({"unit_code": clean.strip_code_suffix(F.trim("unit_code")), "weight": clean.fallback_weight("adults", "people")})
     return clean.reorder_columns(df.drop("adults", "people"), ["unit_code"], [["weight"]])
+
+
+# Census responses: units are customers, 50 to a block; a block has two responses of the current year (40 variables and the
+# rest) and one of the earlier year, each missing some units; some responses are error objects.
+_VARIABLES = list(CENSUS_VARIABLES)
+_SLICES = [_VARIABLES[:40], _VARIABLES[40:]]
+
+
+def _census_value(i: int) -> str:
+    """Text of variable ``i`` of unit ``k``: a number, null, or text that is none; the same in Spark and DuckDB."""
+    return (f"CASE WHEN (k + {i}) % 29 = 0 THEN NULL WHEN (k + {3 * i}) % 31 = 0 THEN '(X)' "
+            f"ELSE CAST(100 + (k * {i + 7}) % {50 + i} AS STRING) END")
+
+
+def _prior_value(i: int) -> str:
+    return f"CAST((k * {i + 5}) % {40 + i} AS STRING)"
+
+
+_CENSUS_NAME = "concat('City ', CAST(k AS STRING), CASE WHEN k % 3 = 0 THEN ', OH Metro Area' WHEN k % 3 = 1 THEN ', NY-NJ Micro Area' ELSE '' END)"
+#: slice: its rows, its errors, header and values.
+_CENSUS_RESPONSES = {
+    ("current", 0): ("k % 10 <> 0", "block % 5 = 4", [CENSUS_NAME_HEADER, *_SLICES[0]], [_CENSUS_NAME, *[_census_value(i) for i in range(40)]]),
+    ("current", 1): ("k % 11 <> 0", "block % 7 = 3", _SLICES[1], [_census_value(i) for i in range(40, len(_VARIABLES))]),
+    ("prior", 0): ("k % 13 <> 0", "block % 6 = 5", CENSUS_PRIOR_VARIABLES, [_prior_value(i) for i in range(len(CENSUS_PRIOR_VARIABLES))]),
+}
+
+
+def _census_responses(spark: SparkSession, sf_dir: str, year: str) -> DataFrame:
+    """(slice, payload): a JSON text per block of 50 customers and slice."""
+    units = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr("(c_custkey - 1) div 50").alias("block"))
+    out = None
+    for (of, n), (rows, error, header, values) in _CENSUS_RESPONSES.items():
+        if of != year:
+            continue
+        cells = F.array(*[F.expr(v) for v in values], F.concat(F.lit(" "), F.col("k").cast("string")))
+        one = units.where(rows).groupBy("block").agg(F.collect_list(cells).alias("rows"))
+        head = F.array(F.array(*[F.lit(h) for h in [*header, CENSUS_UNIT_HEADER]]))
+        text_ = F.when(F.expr(error), F.lit('{"error": "unknown variable"}')).otherwise(F.to_json(F.concat(head, "rows"), {"ignoreNullFields": "false"}))
+        one = one.select((F.col("block") * 2 + n).alias("slice"), text_.alias("payload"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _census_sql() -> str:
+    flags = {("current", 0): "c0", ("current", 1): "c1", ("prior", 0): "p0"}
+    base = ", ".join(f"({rows}) AND NOT ({error}) AS {flags[key]}" for key, (rows, error, _, _) in _CENSUS_RESPONSES.items())
+    number = lambda v: f"TRY_CAST({v.replace('STRING', 'VARCHAR')} AS DOUBLE)"
+    cols = [f"CASE WHEN c{int(i >= 40)} THEN {number(_census_value(i))} END AS \"{CENSUS_VARIABLES[v]}\"" for i, v in enumerate(_VARIABLES)]
+    cols += [f"CASE WHEN p0 THEN {number(_prior_value(i))} END AS \"{CENSUS_VARIABLES[v]}_prior\"" for i, v in enumerate(CENSUS_PRIOR_VARIABLES)]
+    ages = [f"{' + '.join(f'{s}_{b}_B01001' for s in ('Male', 'Female') for b in names)} AS {out}" for out, names in AGE_BUCKETS.items()]
+    shares = [f"({' + '.join(nums)}) / nullif({den}, 0) * 100 AS {out}" for out, (nums, den) in CENSUS_SHARES.items()]
+    growth = [f"({a} - {b}) / nullif({b}, 0) AS {out}" for out, (a, b) in pipeline.GROWTH_PAIRS.items()]
+    diversity = " + ".join(f"power(coalesce({g}, 0) / nullif({RACE_TOTAL}, 0), 2)" for g in RACE_GROUPS)
+    return f"""
+WITH u AS (SELECT c_custkey AS k, (c_custkey - 1) // 50 AS block FROM customer), f AS (SELECT *, {base} FROM u),
+v AS (SELECT k, c0, {", ".join(cols)} FROM f WHERE c0 OR c1), a AS (SELECT *, {", ".join(ages)} FROM v)
+SELECT CAST(k AS VARCHAR) AS cbsa_code, CASE WHEN c0 THEN 'City ' || k ELSE '' END AS city,
+  CASE WHEN c0 AND k % 3 = 0 THEN 'OH' WHEN c0 AND k % 3 = 1 THEN 'NY-NJ' ELSE '' END AS state,
+  CASE WHEN c0 AND k % 3 = 0 THEN 'Metro' WHEN c0 AND k % 3 = 1 THEN 'Micro' END AS cbsa_type,
+  TotalPopulation_B01003, MedianHomeValue_B25077, age_22_34_total, age_65_plus_total, {", ".join(shares)}, {", ".join(growth)},
+  1 - ({diversity}) AS diversity_index FROM a"""
+
+
+@query("census_build", covers="M1 A8 A9 A10 E3 C3 C5 C6 C7 C8 C10", sql=_census_sql())
+def census_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = pipeline.census_from_responses(_census_responses(spark, sf_dir, "current"), _census_responses(spark, sf_dir, "prior"), None)
+    return out.select("cbsa_code", "city", "state", "cbsa_type", "TotalPopulation_B01003", "MedianHomeValue_B25077", *AGE_BUCKETS,
+                      *CENSUS_SHARES, *pipeline.GROWTH_PAIRS, "diversity_index")
+
+
+@query("census_quarantine", covers="A8 M1", sql="""
+WITH b AS (SELECT DISTINCT (c_custkey - 1) // 50 AS block FROM customer)
+SELECT 'current' AS year, block * 2 AS slice, 'bad shape' AS reason FROM b WHERE block % 5 = 4
+UNION ALL SELECT 'current', block * 2 + 1, 'bad shape' FROM b WHERE block % 7 = 3 UNION ALL SELECT 'prior', block * 2, 'bad shape' FROM b WHERE block % 6 = 5""")
+def census_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.census_from_responses(_census_responses(spark, sf_dir, "current"), _census_responses(spark, sf_dir, "prior"), None)[1]

@@ -6,6 +6,9 @@ Every reader takes an explicit schema or header handling -- no ``inferSchema``
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -63,13 +66,50 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+#: Name of a cache's manifest, and of the folder of its runs.
+MANIFEST, RUNS = "_manifest", "runs"
+
+
+def _manifests(spark: SparkSession, path: str) -> list[str]:
+    """Run folders that were published whole, the latest first."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted((n[len(MANIFEST) + 1:] for n in names if n.startswith(MANIFEST + "-")), reverse=True)
+
+
 def cached_or_rebuild(spark: SparkSession, path: str, build, force_rebuild: bool = False) -> DataFrame:
-    """Read the Parquet cache when present (and not forced), else build the
-    DataFrame with ``build()``, write it with ``mode("overwrite")`` and read it back."""
-    if not force_rebuild and path_exists(spark, path):
+    """Read the cache at ``path`` if a whole one was published (and not forced), else build, publish and read it.
+
+    A build is written to a run folder of its own.  When its write has ended, an
+    empty manifest file that names the run is put in place by one rename; readers
+    look at manifests only, so a killed write leaves nothing that counts, and of
+    two writers each leaves a whole cache, of which the one that started later is read.  A
+    forced rebuild publishes a new run; runs that readers may still hold are kept.
+    Plain Parquet folders of earlier versions are caches if Spark marked them done.
+    """
+    found = _manifests(spark, path)
+    if found and not force_rebuild:
+        return spark.read.parquet(f"{path}/{RUNS}/{found[0]}")
+    if not force_rebuild and path_exists(spark, f"{path}/_SUCCESS"):
         return spark.read.parquet(path)
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    build().write.parquet(f"{path}/{RUNS}/{run}")
+    publish(spark, path, run)
+    return spark.read.parquet(f"{path}/{RUNS}/{run}")
+
+
+def publish(spark: SparkSession, path: str, run: str) -> None:
+    """Put the manifest of a run that was written whole in place."""
+    jvm = spark._jvm
+    draft, name = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}/{RUNS}/.{run}", f"{path}/{MANIFEST}-{run}"))
+    fs = draft.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.create(draft).close()
+    if not fs.rename(draft, name):
+        raise OSError(f"the cache at {path} was not published")
 
 
 def optional_table(spark: SparkSession, path: str | None, reader=None) -> DataFrame | None:

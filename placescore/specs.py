@@ -142,6 +142,76 @@ KMEANS_SEED = 42
 PCA_VARIANCE = 0.90
 PCA_KEEP = 3
 
+# ---------------------------------------------------------------- fixed values: census variables (code: name; in the order of the responses)
+CENSUS_VARIABLES = {
+    "B19013_001E": "MedianHouseholdIncome_B19013",
+    "B01003_001E": "TotalPopulation_B01003",
+    "B01002_001E": "MedianAge_B01002",
+    "B01001_009E": "Male_22to24_B01001",
+    "B01001_010E": "Male_25to29_B01001",
+    "B01001_011E": "Male_30to34_B01001",
+    "B01001_019E": "Male_65to66_B01001",
+    "B01001_020E": "Male_67to69_B01001",
+    "B01001_021E": "Male_70to74_B01001",
+    "B01001_022E": "Male_75to79_B01001",
+    "B01001_023E": "Male_80to84_B01001",
+    "B01001_024E": "Male_85plus_B01001",
+    "B01001_032E": "Female_22to24_B01001",
+    "B01001_033E": "Female_25to29_B01001",
+    "B01001_034E": "Female_30to34_B01001",
+    "B01001_042E": "Female_65to66_B01001",
+    "B01001_043E": "Female_67to69_B01001",
+    "B01001_044E": "Female_70to74_B01001",
+    "B01001_045E": "Female_75to79_B01001",
+    "B01001_046E": "Female_80to84_B01001",
+    "B01001_047E": "Female_85plus_B01001",
+    "B17001_001E": "TotalPovertyUniverse_B17001",
+    "B17001_002E": "BelowPoverty_B17001",
+    "C24050_001E": "IndustryTotalEmployed_C24050",
+    "C24050_002E": "IndustryAgForestryMining_C24050",
+    "C24050_003E": "IndustryConstruction_C24050",
+    "C24050_004E": "IndustryManufacturing_C24050",
+    "C24050_005E": "IndustryWholesaleTrade_C24050",
+    "C24050_006E": "IndustryRetailTrade_C24050",
+    "C24050_007E": "IndustryTransportUtilities_C24050",
+    "C24050_008E": "IndustryInformation_C24050",
+    "C24050_009E": "IndustryFinanceRealEstate_C24050",
+    "C24050_010E": "IndustryProfSciMgmtAdminWaste_C24050",
+    "C24050_011E": "IndustryEducationHealthCare_C24050",
+    "C24050_012E": "IndustryArtsRecAccommodationFood_C24050",
+    "C24050_013E": "IndustryOtherServices_C24050",
+    "C24050_014E": "IndustryPublicAdmin_C24050",
+    "C24010_001E": "TotalEmployed_C24010",
+    "C24010_003E": "ManagementBusiness_C24010",
+    "C24010_004E": "ScienceEngineering_C24010",
+    "C24010_006E": "ServiceOccupations_C24010",
+    "C24010_007E": "SalesOffice_C24010",
+    "C24010_008E": "Construction_C24010",
+    "C24010_009E": "ProductionTransportation_C24010",
+    "B15003_001E": "TotalPopulation25Plus_B15003",
+    "B15003_022E": "BachelorsDegree_B15003",
+    "B15003_023E": "MastersDegree_B15003",
+    "B15003_024E": "ProfessionalDegree_B15003",
+    "B15003_025E": "DoctorateDegree_B15003",
+    "B02001_001E": "TotalRace_B02001",
+    "B02001_002E": "WhiteAlone_B02001",
+    "B02001_003E": "BlackAlone_B02001",
+    "B02001_004E": "AmericanIndianAlaskaNative_B02001",
+    "B02001_005E": "AsianAlone_B02001",
+    "B02001_006E": "NativeHawaiianPacificIslander_B02001",
+    "B02001_007E": "SomeOtherRace_B02001",
+    "B02001_008E": "TwoOrMoreRaces_B02001",
+    "B25064_001E": "MedianGrossRent_B25064",
+    "B25077_001E": "MedianHomeValue_B25077",
+    "B23025_003E": "LaborForce_B23025",
+    "B23025_005E": "Unemployed_B23025",
+}
+# variables of the earlier year, for growth
+CENSUS_PRIOR_VARIABLES = ["B01003_001E", "C24050_001E", "B25064_001E", "B25077_001E"]
+# header of the unit code, and of the unit name
+CENSUS_UNIT_HEADER = "metropolitan statistical area/micropolitan statistical area"
+CENSUS_NAME_HEADER = "NAME"
+
 # ---------------------------------------------------------------- fixed values: census shares (all in per cent)
 INDUSTRY_TOTAL = "IndustryTotalEmployed_C24050"
 OCCUPATION_TOTAL = "TotalEmployed_C24010"

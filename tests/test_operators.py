@@ -183,6 +183,32 @@ def test_nearest_station_matches_brute_force(spark):
         assert got[k] == best[0], k
 
 
+def test_nearest_station_repeated_and_null_keys(spark):
+    st = spark.createDataFrame([(1, 10.1, 10.1, "near"), (2, 60.1, 60.1, "far"), (3, None, 0.0, "x")], "sid int, slat double, slon double, what string")
+    pts = [(7, 10.0, 10.0), (7, 60.0, 60.0), (None, 60.0, 60.0), (None, 10.0, 10.0), (None, None, 5.0), (8, 10.0, 10.0), (8, 10.0, 10.0)]
+    df = spark.createDataFrame(pts, "k int, lat double, lon double").repartition(3)
+    got = geo.nearest_station(df, "k", "lat", "lon", st, "sid", "slat", "slon", keep=("what",)).collect()
+    want = [(k, None if la is None else 1 if la == 10.0 else 2) for k, la, _ in pts]
+    assert sorted(((r.k, r.sid) for r in got), key=str) == sorted(want, key=str)
+    assert {r.sid: r.what for r in got} == {1: "near", 2: "far", None: None}
+
+
+def test_nearest_station_has_many_blocks_and_two_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(geo, "BLOCK", 3)
+    monkeypatch.setattr(geo, "GROUP", 4)
+    rnd = random.Random(12)
+    st = [(i, rnd.uniform(-90, 90), rnd.choice([rnd.uniform(-180, 540), 179.99, -179.99])) for i in range(300)]
+    pts = [(i, rnd.uniform(-90, 90), rnd.choice([rnd.uniform(-180, 180), 180.0, -180.0])) for i in range(150)]
+    df = geo.nearest_station(spark.createDataFrame(pts, "k int, lat double, lon double"), "k", "lat", "lon",
+                             spark.createDataFrame(st, "sid int, slat double, slon double"), "sid", "slat", "slon")
+    for r, (k, la, lo) in zip(sorted(df.collect()), pts):
+        d, best = min((_hav(la, lo, s[1], s[2]), s[0]) for s in st)
+        assert r.k == k and math.isclose(r.distance_km, d, rel_tol=1e-9, abs_tol=1e-9) and r.sid == best
+    plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    # Points: the join with their blocks and the aggregate; the blocks move once.
+    assert plan.count("Exchange hashpartitioning") + plan.count("BroadcastExchange") <= 3 and "Window" not in plan
+
+
 def test_nearest_station_clustered_shared_and_far(spark):
     rnd = random.Random(4)
     st = [(i, 40 + rnd.random() * 1e-3, -100 + rnd.random() * 1e-3) for i in range(300)]           # one dense city
@@ -339,3 +365,37 @@ def test_fmt_g4_matches_python(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     got = [r[0] for r in df.select(_fmt_g4(F.col("x"))).collect()]
     assert got == ["%.4g" % v for v in vals]
+
+
+def test_chain_joins_check_keys_while_they_run(spark):
+    from placescore.operators import joins
+    a = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, x string")
+    b = spark.createDataFrame([(1, 2.0), (3, 3.0)], "k int, y double")
+    twice = spark.createDataFrame([(2, 5), (2, 6)], "k int, z int")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    others = [b.withColumnRenamed("y", f"y{i}") for i in range(5)]
+    out = joins.chain_left_joins(a, others, "k")
+    assert not tracker.getJobIdsForGroup("chain")
+    assert sorted(map(str, out.collect())) == sorted(map(str, a.join(b, "k", "left").select("k", "x", *[F.col("y").alias(f"y{i}") for i in range(5)]).collect()))
+    for left, right in ((a, [b, twice]), (twice, [b])):
+        with pytest.raises(Exception, match="Expected one row per k .*: 2"):
+            joins.chain_left_joins(left, right, "k").collect()
+    assert joins.chain_left_joins(a, [twice], "k", validate=False).count() == 4
+    with pytest.raises(KeyError):
+        joins.validated_left_join(a, b, "q")
+
+
+def test_matrix_table_takes_the_first_slice_and_quarantines(spark):
+    from placescore.operators import landed
+    rows = [(0, '[["NAME","a","geo"],["N1","1"," 7 "],["N2",null,"8"]]'), (1, '[["a","b","geo"],["9","2","7"],["5","x","9"],["0","0",null]]'),
+            (2, '{"error": "x"}'), (3, '[["b"],["1"]]'), (4, "nonsense"), (5, '[["a","geo"],["1"]]'), (6, '[["zz","geo"],["1","10"]]')]
+    table, bad = landed.matrix_table(spark.createDataFrame(rows, "slice int, payload string"), "slice", "payload", "geo", {"NAME": "name", "a": "A", "b": "B", "c": "C"})
+    assert sorted(map(tuple, table.collect()), key=lambda r: int(r[0])) == [
+        ("7", "N1", "1", "2", None), ("8", "N2", None, None, None), ("9", None, "5", "x", None), ("10", None, None, None, None)]
+    assert sorted(map(tuple, bad.collect())) == [(1, "no unit code"), (2, "bad shape"), (3, "no unit column"), (4, "bad shape"), (5, "bad shape")]
+
+
+def test_names_without_naming_features_are_labels(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 3.0), (4, 5.0)], "l int, x double")
+    assert sorted(map(tuple, cluster.short_names(df, "l", [], {}).collect())) == [(1, "1"), (4, "4")]

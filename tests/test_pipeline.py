@@ -4,6 +4,8 @@ import math
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from placescore.plans import pipeline
@@ -155,7 +157,8 @@ def test_landed_files_to_enriched_panel(spark, tmp_path):
     assert all(0 <= x[d] <= 1 for x in panel for d in PLACE_DIMENSIONS)
     names = e.label_names.collect()
     assert sorted((x.level, x.label) for x in names) == [("cluster", k) for k in range(5)] + [("sub_cluster", k) for k in range(22)]
-    assert all(t.split(":")[0] in NAME_FEATURES for x in names for t in x.key_traits.split(" | "))
+    numeric = {f for f, kind in base.dtypes if kind in ("double", "int", "bigint")}
+    assert all(t.split(":")[0] in numeric for x in names for t in x.key_traits.split(" | "))
     assert [(x.model, x.n_clusters) for x in e.metrics.orderBy("n_clusters").collect()] == [("pcareducedk5", 5), ("pcareducedk22", 22)]
     path = os.path.join(tmp, "panel.parquet")
     e.panel.write.parquet(path)
@@ -176,3 +179,26 @@ def test_cached_or_rebuild_and_optional_table(spark):
     assert files.cached_or_rebuild(spark, path, build).count() == 3
     assert len(calls) == 1
     assert files.optional_table(spark, os.path.join(tmp, "missing.csv")) is None
+
+
+def test_cache_survives_killed_and_parallel_writers(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="ps-test-"), "cache.parquet")
+
+    def killed():
+        spark.range(5).write.parquet(f"{path}/{files.RUNS}/half")  # files of a run that was never published
+        raise RuntimeError("killed")
+
+    with pytest.raises(RuntimeError):
+        files.cached_or_rebuild(spark, path, killed)
+    assert files.cached_or_rebuild(spark, path, lambda: spark.range(7)).count() == 7
+
+    def slow():
+        # Another writer starts later and ends first.
+        assert files.cached_or_rebuild(spark, path, lambda: spark.range(9), force_rebuild=True).count() == 9
+        return spark.range(8)
+
+    assert files.cached_or_rebuild(spark, path, slow, force_rebuild=True).count() == 8
+    assert files.cached_or_rebuild(spark, path, lambda: 1 / 0).count() == 9
+    plain = os.path.join(tempfile.mkdtemp(prefix="ps-test-"), "plain")
+    spark.range(4).write.parquet(plain)
+    assert files.cached_or_rebuild(spark, plain, lambda: 1 / 0).count() == 4
