@@ -52,12 +52,24 @@ def chain_left_joins(base: DataFrame, others: Sequence[DataFrame], on: str, vali
 
 def full_outer_slices(slices: Sequence[DataFrame], on: str) -> DataFrame:
     """Full outer join of column slices on the key; later duplicates of a
-    non-key column are dropped (first slice wins)."""
-    def step(acc: DataFrame, s: DataFrame) -> DataFrame:
-        dup = [c for c in s.columns if c != on and c in acc.columns]
-        return acc.join(s.drop(*dup), on=on, how="full")
+    non-key column are dropped (first slice wins).
 
-    return reduce(step, slices[1:], slices[0])
+    The slices are stacked and one aggregate per key brings their columns
+    together: one shuffle for any number of slices.  A slice has one row per key
+    (the run raises and names a key if not); null keys are one key.
+    """
+    taken, parts = {on}, []
+    for k, s in enumerate(slices):
+        own = [c for c in s.columns if c not in taken]
+        taken |= set(own)
+        parts.append(s.select(on, *own, F.lit(k).alias("__slice")))
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    columns = [c for c in every.columns if c not in (on, "__slice")]
+    most = F.greatest(F.lit(0), *[F.count_if(F.col("__slice") == k) for k in range(len(slices))])
+    out = every.groupBy(on).agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns], most.alias("__most"))
+    message = F.concat(F.lit(f"Expected one row per {on} in each slice; found duplicates (example): "), F.coalesce(F.col(on).cast("string"), F.lit("null")))
+    key = F.when(F.col("__most") == 1, F.col(on)).otherwise(F.raise_error(message).cast(every.schema[on].dataType))
+    return out.select(key.alias(on), *columns)
 
 
 def suffix_columns(df: DataFrame, suffix: str, keep: Sequence[str]) -> DataFrame:

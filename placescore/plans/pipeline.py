@@ -11,11 +11,12 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placescore.operators import agg, clean, cluster, geo, impute, joins, landed, quantile, score, text, window
 from placescore.session import cut_lineage
+from placescore.sources import files, sinks
 from placescore.specs import (AGE_BUCKETS, CENSUS_NAME_HEADER, CENSUS_PRIOR_VARIABLES, CENSUS_SHARES, CENSUS_UNIT_HEADER, CENSUS_VARIABLES,
                               CLUSTER_ASINH, CLUSTER_DROP, CLUSTER_LEVELS, CLUSTER_LOG1P,
                               GAZETTEER_COLUMNS, HEALTH_MEASURES, INDUSTRY_TOTAL, NAME_FEATURES, NAME_PHRASES,
@@ -162,15 +163,41 @@ def station_months(texts: DataFrame, path: str = "path", content: str = "content
     return window.month_range(out, "month"), skipped, bad
 
 
-def weather_build(months: DataFrame, centroids: DataFrame) -> DataFrame:
-    """M5: station-year summaries -> nearest station per unit centroid -> flags."""
+def station_summaries(months: DataFrame) -> DataFrame:
+    """M5, first half: a row per station with its year summary, place and name."""
     order = "file_order" if "file_order" in months.columns else "month"
     s = agg.annual_summary(months, "station", "month", "mly_tavg_normal", "mly_prcp_normal",
                            "mly_snow_normal" if "mly_snow_normal" in months.columns else None, order)
     first = lambda c: F.min_by(F.col(c), F.col(order)) if c in months.columns else F.lit(None).cast("string")
     facts = window.month_range(months, "month").groupBy("station").agg(
         first("latitude").alias("station_lat"), first("longitude").alias("station_lon"), first("name").alias("station_name"))
-    s = s.join(facts, "station").withColumnRenamed("station", "station_id")
+    return s.join(facts, "station").withColumnRenamed("station", "station_id")
+
+
+def cached_station_summaries(spark: SparkSession, texts: DataFrame, path: str, metrics_path: str | None = None,
+                             extra: Mapping[str, str] | None = None, force_rebuild: bool = False) -> DataFrame:
+    """A13 + B3: the station summaries at ``path`` if a whole cache is there, else from station files, with the run's metrics.
+
+    The metrics (files read, files without the id columns, records with surplus
+    fields, stations summarised, time) are written as one JSON line to
+    ``metrics_path`` before the cache is published; reading a cache writes none.
+    """
+    def write(run: str) -> None:
+        months, skipped, rejected = station_months(texts)
+        counts = {"n_files_total": texts.count(), "n_files_skipped": skipped.count(), "n_records_rejected": rejected.count()}
+        sinks.write_with_metrics(station_summaries(months), run, {"n_stations_summarized": F.col("station_id").isNotNull()}, metrics_path,
+                                 {**(extra or {}), **counts, "cache_path": path})
+
+    return files.cached_or_rebuild(spark, path, None, force_rebuild, write=write)
+
+
+def weather_build(months: DataFrame, centroids: DataFrame) -> DataFrame:
+    """M5: station-year summaries -> nearest station per unit centroid -> flags."""
+    return station_weather(station_summaries(months), centroids)
+
+
+def station_weather(s: DataFrame, centroids: DataFrame) -> DataFrame:
+    """M5, second half: nearest station per unit centroid, and flags; ``s`` has a row per station."""
     keep = ("station_name", "avg_annual_temp", "jan_avg_temp", "jul_avg_temp", "annual_precipitation", "annual_snowfall",
             "n_months_available", "has_complete_year")
     near = geo.nearest_station(centroids, KEY, "centroid_lat", "centroid_lon", s, "station_id", "station_lat", "station_lon", keep=keep)
@@ -215,12 +242,14 @@ REPORT_COLUMNS = ["key_traits", "candidate_name_1", "candidate_name_2", "candida
 
 
 def cluster_tables(base: DataFrame, levels: dict[str, int] | None = None, starts: int = 10,
-                   overrides: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+                   overrides: Mapping[str, DataFrame] | None = None,
+                   phrases: Mapping[str, tuple[str, str]] = NAME_PHRASES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(mapping, metrics, label names) of all cluster levels on a complete panel.
 
     Key traits are looked for in all numeric columns of the panel, names in the
     naming features.  ``overrides``: by level, a frame of texts written by people
     (the level's label and any of ``REPORT_COLUMNS``) that take precedence.
+    ``phrases``: ``NAME_PHRASES_BY_VALUE`` turns the four pairs that read against their values.
     """
     levels = levels or CLUSTER_LEVELS
     unknown = sorted(set(overrides or {}) - set(levels))
@@ -237,8 +266,8 @@ def cluster_tables(base: DataFrame, levels: dict[str, int] | None = None, starts
     mapping, names = lab.select(KEY, *levels), []
     for level in levels:
         stats = cluster.cluster_stats(panel.select(level, *traits), level, traits)
-        short = cluster.short_names(panel, level, named, NAME_PHRASES, out=f"{level}_text", stats=stats)
-        report = cluster.label_report(panel, level, traits, NAME_PHRASES, TRADEOFF_RULES, overrides=(overrides or {}).get(level), stats=stats,
+        short = cluster.short_names(panel, level, named, phrases, out=f"{level}_text", stats=stats)
+        report = cluster.label_report(panel, level, traits, phrases, TRADEOFF_RULES, overrides=(overrides or {}).get(level), stats=stats,
                                       name_features=named)
         names.append(report.select(F.lit(level).alias("level"), F.col(level).alias("label"), *REPORT_COLUMNS))
         both = quantile.null_safe(short, report, [level]).withColumnsRenamed({c: f"{level}_{c}" for c in REPORT_COLUMNS})
@@ -249,11 +278,12 @@ def cluster_tables(base: DataFrame, levels: dict[str, int] | None = None, starts
     return mapping.select(KEY, *columns), metrics, window.union_all(names)
 
 
-def enriched_panel(base: DataFrame, drop_code: str = "PR", starts: int = 10, overrides: Mapping[str, DataFrame] | None = None) -> Enriched:
+def enriched_panel(base: DataFrame, drop_code: str = "PR", starts: int = 10, overrides: Mapping[str, DataFrame] | None = None,
+                   phrases: Mapping[str, tuple[str, str]] = NAME_PHRASES) -> Enriched:
     """M7: clusters (on every unit) and feature/dimension scores (region dropped
     first, O11) joined back one-to-one; each step is checked for one row per unit."""
     window.assert_unique(base, KEY)
-    mapping, metrics, names = cluster_tables(base, starts=starts, overrides=overrides)
+    mapping, metrics, names = cluster_tables(base, starts=starts, overrides=overrides, phrases=phrases)
     scores = score.feature_and_dimension_scores(window.drop_region(base, drop_code), PLACE_FEATURES, PLACE_DIMENSIONS, [KEY])
     out = joins.chain_left_joins(base, [scores, cut_lineage(mapping)], KEY)
     return Enriched(window.drop_region(out, drop_code), mapping, metrics, names)

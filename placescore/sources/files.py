@@ -81,10 +81,11 @@ def _manifests(spark: SparkSession, path: str) -> list[str]:
     return sorted((n[len(MANIFEST) + 1:] for n in names if n.startswith(MANIFEST + "-")), reverse=True)
 
 
-def cached_or_rebuild(spark: SparkSession, path: str, build, force_rebuild: bool = False) -> DataFrame:
+def cached_or_rebuild(spark: SparkSession, path: str, build, force_rebuild: bool = False, write=None) -> DataFrame:
     """Read the cache at ``path`` if a whole one was published (and not forced), else build, publish and read it.
 
-    A build is written to a run folder of its own.  When its write has ended, an
+    ``build()`` gives the frame to write; or ``write(folder)`` writes the Parquet
+    folder itself.  A build is written to a run folder of its own.  When its write has ended, an
     empty manifest file that names the run is put in place by one rename; readers
     look at manifests only, so a killed write leaves nothing that counts, and of
     two writers each leaves a whole cache, of which the one that started later is read.  A
@@ -97,7 +98,10 @@ def cached_or_rebuild(spark: SparkSession, path: str, build, force_rebuild: bool
     if not force_rebuild and path_exists(spark, f"{path}/_SUCCESS"):
         return spark.read.parquet(path)
     run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
-    build().write.parquet(f"{path}/{RUNS}/{run}")
+    if write is None:
+        build().write.parquet(f"{path}/{RUNS}/{run}")
+    else:
+        write(f"{path}/{RUNS}/{run}")
     publish(spark, path, run)
     return spark.read.parquet(f"{path}/{RUNS}/{run}")
 

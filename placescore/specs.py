@@ -93,7 +93,7 @@ PLACE_ID_COLS = ["cbsa_code", "cbsa_name", "city", "state", "cbsa_type"]
 
 # ---------------------------------------------------------------- fixed values: cluster naming
 # feature -> (phrase when above the median, phrase when below); the last four pairs
-# are stated here with the direction that matches the value (O2 corrected).
+# read against their values (O2): names that must match published ones need them so
 NAME_PHRASES = {
     "MedianHouseholdIncome_B19013": ("Higher-income", "Lower-income"),
     "MedianHomeValue_B25077": ("Expensive housing", "Affordable housing"),
@@ -106,6 +106,14 @@ NAME_PHRASES = {
     "population_growth": ("Fast population growth", "Weak population growth"),
     "avg_annual_temp": ("Warmer", "Cooler"),
     "annual_snowfall": ("Snowier", "Less snowy"),
+    "unemployment_rate": ("Lower unemployment", "Higher unemployment"),
+    "poverty_rate": ("Lower poverty", "Higher poverty"),
+    "violent_crime_per_population": ("Lower violent crime", "Higher violent crime"),
+    "property_crime_per_population": ("Lower property crime", "Higher property crime"),
+}
+# the same with the last four pairs turned, so that each phrase says what the value is
+NAME_PHRASES_BY_VALUE = {
+    **NAME_PHRASES,
     "unemployment_rate": ("Higher unemployment", "Lower unemployment"),
     "poverty_rate": ("Higher poverty", "Lower poverty"),
     "violent_crime_per_population": ("Higher violent crime", "Lower violent crime"),

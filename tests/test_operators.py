@@ -399,3 +399,17 @@ def test_matrix_table_takes_the_first_slice_and_quarantines(spark):
 def test_names_without_naming_features_are_labels(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 3.0), (4, 5.0)], "l int, x double")
     assert sorted(map(tuple, cluster.short_names(df, "l", [], {}).collect())) == [(1, "1"), (4, "4")]
+
+
+def test_outer_slices_are_one_aggregate(spark):
+    from placescore.operators import joins
+    a = spark.createDataFrame([(1, "a", 1.0), (2, None, 2.0), (None, "n", 3.0)], "k int, x string, y double")
+    b = spark.createDataFrame([(2, "other", True), (4, "z", False)], "k int, x string, f boolean")
+    c = spark.createDataFrame([(None, 7), (1, None)], "k int, n int")
+    out = joins.full_outer_slices([a, b, c], "k")
+    assert out.columns == ["k", "x", "y", "f", "n"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [(1, "a", 1.0, None, None), (2, None, 2.0, True, None), (None, "n", 3.0, None, 7), (4, None, None, False, None)], key=str)
+    assert out.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    with pytest.raises(Exception, match="one row per k in each slice.*: 4"):
+        joins.full_outer_slices([a, b.union(b.where("k = 4"))], "k").collect()

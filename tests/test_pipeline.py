@@ -202,3 +202,23 @@ def test_cache_survives_killed_and_parallel_writers(spark):
     plain = os.path.join(tempfile.mkdtemp(prefix="ps-test-"), "plain")
     spark.range(4).write.parquet(plain)
     assert files.cached_or_rebuild(spark, plain, lambda: 1 / 0).count() == 4
+
+
+def test_station_cache_writes_its_run_metrics(spark):
+    import json
+    tmp = tempfile.mkdtemp(prefix="ps-test-")
+    os.mkdir(os.path.join(tmp, "st"))
+    for k in range(3):
+        with open(os.path.join(tmp, "st", f"{k}.csv"), "w") as f:
+            f.write("station,latitude,longitude,name,month,mly_tavg_normal,mly_prcp_normal\n" if k else "station,latitude,month\n")
+            f.writelines(f"S{k},{40 + k},{-80 - k},N{k},{m},{10 + m},1.5\n" if k else "S0,1,1\n" for m in range(1, 13))
+            f.write("S1,41,-81,N1,1,2,3,surplus\n" if k == 1 else "")
+    texts, path = files.read_texts(spark, os.path.join(tmp, "st")), os.path.join(tmp, "cache")
+    first = pipeline.cached_station_summaries(spark, texts, path, os.path.join(tmp, "metrics"), {"source": "unit"})
+    assert sorted(r.station_id for r in first.collect()) == ["S1", "S2"]
+    m = json.loads(spark.read.text(os.path.join(tmp, "metrics")).collect()[0][0])
+    assert (m["n_files_total"], m["n_files_skipped"], m["n_records_rejected"], m["n_stations_summarized"], m["source"]) == (3, 1, 1, 2, "unit")
+    again = pipeline.cached_station_summaries(spark, texts.limit(0), path)
+    assert sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
+    near = pipeline.station_weather(again, spark.createDataFrame([("1", 41.0, -81.0)], "cbsa_code string, centroid_lat double, centroid_lon double")).collect()
+    assert [(r.cbsa_code, r.station_id) for r in near] == [("1", "S1")]
