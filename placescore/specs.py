@@ -277,15 +277,20 @@ STATION_MEASURES = ["mly_tavg_normal", "mly_prcp_normal", "mly_snow_normal"]
 # numeric columns that clustering does not look at: identifiers, raw counts and areas, station facts
 CLUSTER_DROP = [
     "contains_imputed", "TotalPopulation_B01003", "TotalPovertyUniverse_B17001", "BelowPoverty_B17001",
-    INDUSTRY_TOTAL, *[n for share, (nums, _) in CENSUS_SHARES.items() if share.startswith("industry_") for n in nums],
-    OCCUPATION_TOTAL, "ManagementBusiness_C24010", "ScienceEngineering_C24010", "ServiceOccupations_C24010",
-    "SalesOffice_C24010", "Construction_C24010", "ProductionTransportation_C24010",
-    "TotalPopulation25Plus_B15003", "BachelorsDegree_B15003", "MastersDegree_B15003", "ProfessionalDegree_B15003",
-    "DoctorateDegree_B15003", RACE_TOTAL, *RACE_GROUPS, "LaborForce_B23025", "Unemployed_B23025",
-    *AGE_BUCKETS, "land_area_m2", "water_area_m2", "land_area_sqmi", "water_area_sqmi", "centroid_lat", "centroid_lon",
-    "nat_walk_index_mean", "population_density_mean", "n_tracts", "total_population_weight",
-    "violent_crime_count", "property_crime_count", "total_crime_count", "station_distance_km", "snow_binary",
-    "n_months_available",
+    "IndustryTotalEmployed_C24050", "IndustryAgForestryMining_C24050", "IndustryConstruction_C24050",
+    "IndustryManufacturing_C24050", "IndustryWholesaleTrade_C24050", "IndustryRetailTrade_C24050",
+    "IndustryTransportUtilities_C24050", "IndustryInformation_C24050", "IndustryFinanceRealEstate_C24050",
+    "IndustryProfSciMgmtAdminWaste_C24050", "IndustryEducationHealthCare_C24050",
+    "IndustryArtsRecAccommodationFood_C24050", "IndustryOtherServices_C24050", "IndustryPublicAdmin_C24050",
+    "TotalEmployed_C24010", "ManagementBusiness_C24010", "ScienceEngineering_C24010", "ServiceOccupations_C24010",
+    "SalesOffice_C24010", "Construction_C24010", "ProductionTransportation_C24010", "TotalPopulation25Plus_B15003",
+    "BachelorsDegree_B15003", "MastersDegree_B15003", "ProfessionalDegree_B15003", "DoctorateDegree_B15003",
+    "TotalRace_B02001", "WhiteAlone_B02001", "BlackAlone_B02001", "AmericanIndianAlaskaNative_B02001",
+    "AsianAlone_B02001", "NativeHawaiianPacificIslander_B02001", "SomeOtherRace_B02001", "TwoOrMoreRaces_B02001",
+    "LaborForce_B23025", "Unemployed_B23025", "age_22_34_total", "age_65_plus_total", "land_area_m2", "water_area_m2",
+    "land_area_sqmi", "water_area_sqmi", "centroid_lat", "centroid_lon", "nat_walk_index_mean",
+    "population_density_mean", "n_tracts", "total_population_weight", "violent_crime_count", "property_crime_count",
+    "total_crime_count", "station_distance_km", "snow_binary", "n_months_available",
 ]
 CLUSTER_ASINH = ["job_growth", "population_growth"]
 CLUSTER_LOG1P = [
