@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from placescore.llm.common import loads, stored, text_slices
+from placescore.llm.common import loads, row_key, stored, text_slices
 
 LENGTH, GRAM = 100, 32
 _HI = np.uint64(~((1 << 24) - 1) & ((1 << 64) - 1))
@@ -241,7 +241,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     for b in batches:
         texts = b.column("_text").cast(pa.large_binary())
-        yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([pack.compress(t.as_buffer()) for t in texts], pa.binary())], ["doc", "text"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("_id"), b.column("_name"), pa.array([pack.compress(t.as_buffer()) for t in texts], pa.binary())], ["doc", "name", "text"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +267,29 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[2].append([{"start": s, "end": e} for s, e in spans])
             out[3].append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2])))
         yield pa.RecordBatch.from_arrays([
-            b.column("doc"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
+            b.column("name"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
             pa.array(out[2], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(out[3], pa.binary())],
-            ["doc", "n_bytes", "n_removed", "spans", "kept"])
+            ["name", "n_bytes", "n_removed", "spans", "kept"])
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _name, _text): ``_name`` is the id, ``_id`` a number of the document in the order of the documents.
+
+    Ids that no two rows share are such numbers.  Where one repeats, the distinct
+    (id, text) are sorted over range partitions, whose numbers with the places in
+    them are the documents' numbers; equal rows get the same.
+    """
+    name, text = F.col(id_col).cast("long").alias("_name"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")
+    least = F.lit(-(2 ** 63)).cast("long")
+    number = F.coalesce(F.col(id_col).cast("long"), least)
+    if docs.groupBy(number.alias("_id")).count().filter("count > 1").isEmpty():
+        return docs.select(number.alias("_id"), name, text)
+    keyed = docs.select(name, text).withColumn("_key", row_key("_name", "_text"))
+    kinds = keyed.groupBy("_key").agg(F.first("_name").alias("_name"))
+    order = [F.col("_name").asc_nulls_first(), F.col("_key")]
+    sort = kinds.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbers = stored(sort.select("_key", F.monotonically_increasing_id().alias("_id")))
+    return stored(keyed.join(numbers, "_key").select("_id", "_name", "_text"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,12 +298,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A byte goes if a 100-byte string over it also starts earlier: in a smaller
     id, or earlier in the same text; matches end with their text.  Texts are
     UTF-8 bytes, a null text is empty.  Ids are whole numbers; a null id is the
-    smallest.  Rows that repeat an id are one document: its repeats are found
-    over all of them, and a row does not repeat itself.
+    smallest.  Rows that share an id but not the text (null is as empty here) are documents
+    that follow each other by a digest of id and text; rows equal in both are one
+    document, which does not repeat itself, and lose the same bytes.  Other
+    columns are not read; an empty table gives no rows.
     """
-    least = F.lit(-(2 ** 63)).cast("long")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    packed = rows.mapInArrow(_packed, "doc long, text binary")
+    rows = _numbered(docs, id_col, text_col)
+    packed = rows.mapInArrow(_packed, "doc long, name long, text binary")
     sampled = rows.mapInArrow(_sampled, "route long, context long, place long, doc long").repartition("route")
     sampled = sampled.select("route", "context", "doc", _low("place").alias("lo"), _high("place").alias("n"))
     group = W.partitionBy("route")
@@ -296,11 +318,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # The runs of a document are at most as many as its windows.
     runs = F.collect_list(F.struct("lo", "n")).alias("runs")
     open_ = decided.filter(~F.col("again")).groupBy("doc").agg(runs)
-    ranked = packed.join(open_, "doc").mapInArrow(_windowed, "rank long, place long, doc long, n int").repartition("rank")
+    ranked = packed.select("doc", "text").join(open_, "doc").mapInArrow(_windowed, "rank long, place long, doc long, n int").repartition("rank")
     ranked = ranked.select("rank", _high("place").alias("more"), "doc", _low("place").alias("lo"), "n")
     later = ranked.select("doc", "lo", "n", F.rank().over(W.partitionBy("rank", "more").orderBy("doc", "lo")).alias("_rank"))
     later = later.filter((F.col("n") < 0) | (F.col("_rank") > 1)).select("doc", "lo", F.abs("n").alias("n"))
     repeats = decided.filter("again").select("doc", "lo", "n").unionByName(later).groupBy("doc").agg(runs)
     out = packed.join(repeats, "doc", "left").mapInArrow(
-        _removed, "doc long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
-    return out.select(F.when(F.col("doc") != least, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "spans", "kept")
+        _removed, "name long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    return out.select(F.col("name").alias(id_col), "n_bytes", "n_removed", "spans", "kept")

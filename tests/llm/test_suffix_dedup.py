@@ -52,3 +52,19 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_removed"], len(r["spans"])) for r in S.drop_repeats(df).collect())
     assert got == [(False, 0, 0, 0), (True, 1, len(a), 1), (True, 1, len(a), 1), (True, 2, len(a), 1)]
     assert S.drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    p, z, y, u, v = text(400), text(300), text(839), text(909), text(500)
+    rows = [(1, p), (5, z + p), (5, y), (5, y), (None, p[:250] + u), (None, u + v), (None, v), (None, None), (5, ""), (-(2 ** 63), v + "tail"), (-(2 ** 63), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in S.drop_repeats(df).collect())
+    # The order in which the library takes documents: null ids first, then ids, then the digest.
+    filled = df.selectExpr("doc_id", "coalesce(text, '') AS text").distinct().withColumn("k", S.row_key("doc_id", "text")).collect()
+    filled.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["k"]))
+    cut = brute([((r["doc_id"], r["text"]), r["text"]) for r in filled])
+    want = sorted((i is not None, i or 0, cut[i, t or ""][0], cut[i, t or ""][0] - len(cut[i, t or ""][1]), cut[i, t or ""][1]) for i, t in rows)
+    assert got == want
+    assert [g[3] for g in got if g[2] == len(y)] == [0, 0]
