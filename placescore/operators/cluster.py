@@ -2,9 +2,9 @@
 
 Statistics that name and describe clusters come from one small table,
 ``cluster_stats`` (a row per label and feature); names and reports only read it.
-Model fitting (J4/J5) uses Spark ML (distributed PCA and K-means); the only
-driver-side steps are reading the explained variance to choose k and
-comparing training costs of the restarts.
+Model fitting (J4/J5) uses Spark ML's distributed PCA and one K-means pass for all
+restarts; the driver reads the explained variance to choose the components, and
+moves and compares centres.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from placescore.functions.expr import clip
+from placescore.operators import kmeans
 from placescore.operators.agg import attach_one_row, cluster_sizes, shape_stats, silhouette, wcss
 from placescore.operators.quantile import null_safe, qcol, quantiles, quantiles_of_ranged, ranged, value_counts
 from placescore.operators.window import one_row, top_k_per_group, union_all
@@ -252,18 +253,16 @@ def cluster_columns(df: DataFrame, drop: Sequence[str]) -> list[str]:
 def assign_clusters(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int] = (5, 22),
                     starts: int = 10, seed: int = 42, variance: float = 0.90, keep: int = 3) -> DataFrame:
     """Robust scale -> selective winsorise -> PCA (90 % variance, first
-    ``keep`` components) -> K-means for each k, best of ``starts`` seeds.
+    ``keep`` components) -> K-means for each k, best of ``starts`` seeds, all
+    of them fitted in the same passes (``operators/kmeans.py``).
 
     Returns ``key``, ``components`` (array) and one ``cluster_k{k}`` column per k.
     Labels are numbered by cluster size (largest first), then by centre.  A unit
     with a missing feature raises: it has no place among the others.  Jobs run
     here (scaling, fits); the result has a cut lineage.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import vector_to_array
 
     gaps = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in features]).first()
     gaps = {c: n for c, n in gaps.asDict().items() if n}
@@ -283,23 +282,14 @@ def assign_clusters(df: DataFrame, key: str, features: Sequence[str], ks: Sequen
             break
     kk = min(kk, keep)
     z = cut_lineage(pca.transform(cen).select(key, F.slice(vector_to_array("__pc"), 1, kk).alias("components")))
-    z = z.withColumn("__z", array_to_vector("components"))
-
-    def fit(k: int, s: int):
-        m = KMeans(k=k, seed=seed + s, featuresCol="__z", predictionCol=f"__p{k}", maxIter=300, tol=1e-4).fit(z)
-        return m.summary.trainingCost, s, m
-
-    for k in ks:
-        # the restarts are independent Spark jobs: submit them concurrently and
-        # keep the lowest cost (ties -> the earliest seed)
-        with ThreadPoolExecutor(max_workers=min(starts, 4)) as pool:
-            best = min(pool.map(lambda s: fit(k, s), range(starts)), key=lambda t: (t[0], t[1]))[2]
-        # All models label the same rows, so there is no join per k.
-        centres = [tuple(float(c) for c in m) for m in best.clusterCenters()]
-        sizes = best.summary.clusterSizes
-        order = sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i]))
+    for k, m in kmeans.fit(z, key, "components", list(dict.fromkeys(ks)), starts, seed).items():
+        centres = [tuple(float(c) for c in row) for row in m.centres]
+        order = sorted(range(len(centres)), key=lambda i: (-m.sizes[i], centres[i]))
         place = F.array(*[F.lit(order.index(i)) for i in range(len(centres))])
-        z = best.transform(z).withColumn(f"cluster_k{k}", F.get(place, F.col(f"__p{k}")).cast("int"))
+        table = F.array(*[F.array(*[F.lit(c) for c in row]) for row in centres])
+        gap = lambda c: F.aggregate(F.zip_with("components", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+        nearest = F.array_min(F.transform(table, lambda c, i: F.struct(gap(c).alias("far"), i.alias("i"))))["i"]
+        z = z.withColumn(f"cluster_k{k}", F.get(place, nearest).cast("int"))
     return cut_lineage(z.select(key, "components", *[f"cluster_k{k}" for k in ks]))
 
 
