@@ -1,10 +1,9 @@
 """Spatial joins without pairwise products.
 
-E6 point-in-polygon: points and polygons meet on grid cells (equi-join on the
-cell of the point vs. the cells covering each polygon's bounding box); each
-candidate (point, polygon) then meets only the polygon edges that span the
-point's latitude band (second equi-join on (polygon, band)).  Inside = odd
-number of edges crossed by the ray to +x; points on an edge are not "within".
+E6 point-in-polygon: each polygon is covered by quadtree cells, inner ones and
+boundary ones with the few edges that run through them; a point looks up one
+cell a level by an equi-join and is decided inside its row.  Inside = odd number
+of edges crossed by the ray to +x; points on an edge are not "within".
 
 E7 nearest station: stations are sorted along a space-filling curve and packed
 into blocks of neighbours, and blocks into groups, each with the box around its places on the
@@ -18,6 +17,11 @@ one aggregate per point takes the nearest: two shuffles, however many stations.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,33 +55,131 @@ def polygon_edges(polys: DataFrame, key: str, wkt: str) -> DataFrame:
 
 # ------------------------------------------------------------------ E6
 
+#: A cell of a polygon's cover is split while more edges than this run through it.
+LEAF_EDGES = 24
+#: Cells with edges are at least this many levels under the cell that would hold the polygon.
+FINER = 2
+#: The deepest level; its cells keep all their edges, however many.
+MAX_DEPTH = 30
+
+
+def _left(x: float, y: float, e: np.ndarray) -> np.ndarray:
+    """Which edges (rows x1, y1, x2, y2) a ray from the point to the right crosses."""
+    spans = (e[:, 1] > y) != (e[:, 3] > y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return spans & (x < (e[:, 2] - e[:, 0]) * (y - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0])
+
+
+def _changes(x: float, y: float, cx: float, cy: float, e: np.ndarray) -> bool:
+    """If the way from (x, y) to the right, then up, to the corner (cx, cy) changes between inside and outside."""
+    here, turn, corner = _left(x, y, e), _left(cx, y, e), _left(cx, cy, e)
+    over = (e[:, 0] > cx) != (e[:, 2] > cx)
+    right = np.where(e[:, 0] > cx, e[:, 1], e[:, 3])
+    up = over & (turn ^ corner ^ (right > y) ^ (right > cy))
+    return bool(np.logical_xor.reduce(here ^ turn ^ up)) if len(e) else False
+
+
+def _touching(x: float, y: float, w: float, e: np.ndarray) -> np.ndarray:
+    """The edges that may run through the square at (x, y) of width w; a little more than it is looked at."""
+    x1, y1, x2, y2 = e.T
+    more = 1e-9 * (w + abs(x) + abs(y)) + 1e-12
+    near = ((np.minimum(x1, x2) <= x + w + more) & (np.maximum(x1, x2) >= x - more)
+            & (np.minimum(y1, y2) <= y + w + more) & (np.maximum(y1, y2) >= y - more))
+    e = e[near]
+    x1, y1, x2, y2 = e.T
+    side = np.stack([(x2 - x1) * (cy - y1) - (y2 - y1) * (cx - x1) for cx in (x - more, x + w + more) for cy in (y - more, y + w + more)])
+    slack = 1e-12 + 1e-12 * (np.abs(x2 - x1) + np.abs(y2 - y1)) * (w + abs(x) + abs(y))
+    return e[(side.min(axis=0) <= slack) & (side.max(axis=0) >= -slack)]
+
+
+def _cover(half: float):
+    """Quadtree cells of each polygon over the square from -half to half: inner ones, and those with edges."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                edges = np.array([[p["x1"], p["y1"], p["x2"], p["y2"]] for p in row["edges"]])
+                x, y = edges[:, ::2], edges[:, 1::2]
+                extent = max(x.max() - x.min(), y.max() - y.min(), half * 2.0 ** (1 - MAX_DEPTH))
+                top = min(MAX_DEPTH, max(0, int(np.floor(np.log2(2 * half / extent)))))
+                w = 2 * half / 2 ** top
+                place = lambda v: int(np.clip(np.floor((v + half) / w), 0, 2 ** top - 1))
+                todo = []
+                for ix in range(place(x.min()), place(x.max()) + 1):
+                    for iy in range(place(y.min()), place(y.max()) + 1):
+                        inside = bool(np.logical_xor.reduce(_left((ix + 1) * w - half, (iy + 1) * w - half, edges)))
+                        todo.append((top, ix, iy, inside, _touching(ix * w - half, iy * w - half, w, edges)))
+                while todo:
+                    depth, ix, iy, inside, e = todo.pop()
+                    if not len(e) and not inside:
+                        continue
+                    if not len(e) or depth == MAX_DEPTH or (len(e) <= LEAF_EDGES and depth >= top + FINER):
+                        out.append({"__poly": row["__poly"], "__d": depth, "__ix": ix, "__iy": iy, "__in": inside,
+                                    "__e": [dict(zip(("x1", "y1", "x2", "y2"), p)) for p in e.tolist()]})
+                        continue
+                    w = 2 * half / 2 ** (depth + 1)
+                    cx, cy = 2 * (ix + 1) * w - half, 2 * (iy + 1) * w - half
+                    for kx in (2 * ix, 2 * ix + 1):
+                        for ky in (2 * iy, 2 * iy + 1):
+                            px, py = kx * w - half, ky * w - half
+                            todo.append((depth + 1, kx, ky, inside ^ _changes(px + w, py + w, cx, cy, e), _touching(px, py, w, e)))
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
+                batch.schema.field("__poly"), ("__d", pa.int32()), ("__ix", pa.int64()), ("__iy", pa.int64()), ("__in", pa.bool_()),
+                ("__e", pa.list_(pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")])))]))
+
+    return cells
+
+
 def points_in_polygons(points: DataFrame, pkey: str, x: str, y: str, edges: DataFrame, poly_key: str,
-                       cell: float = 1.0, eps: float = 1e-12) -> DataFrame:
-    """All (point, polygon) pairs with the point strictly within the polygon."""
-    pts = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(pkey).alias("__pk"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    pts = pts.withColumns({"__cx": F.floor(F.col("__x") / cell), "__cy": F.floor(F.col("__y") / cell)})
-    e = edges.select(F.col(poly_key).alias("__poly"), "x1", "y1", "x2", "y2")
-    bbox = e.groupBy("__poly").agg(F.min(F.least("x1", "x2")).alias("xmin"), F.max(F.greatest("x1", "x2")).alias("xmax"),
-                                   F.min(F.least("y1", "y2")).alias("ymin"), F.max(F.greatest("y1", "y2")).alias("ymax"))
-    cells = bbox.select("__poly", "xmin", "xmax", "ymin", "ymax",
-                        F.explode(F.sequence(F.floor(F.col("xmin") / cell), F.floor(F.col("xmax") / cell))).alias("__cx")) \
-        .select("__poly", "xmin", "xmax", "ymin", "ymax", "__cx",
-                F.explode(F.sequence(F.floor(F.col("ymin") / cell), F.floor(F.col("ymax") / cell))).alias("__cy"))
-    cand = pts.join(cells, ["__cx", "__cy"]).where(
-        F.col("__x").between(F.col("xmin"), F.col("xmax")) & F.col("__y").between(F.col("ymin"), F.col("ymax")))
-    cand = cand.select("__pk", "__x", "__y", "__poly", "__cy")
-    bands = e.select("__poly", "x1", "y1", "x2", "y2",
-                     F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))).alias("__cy"))
-    j = cand.join(bands, ["__poly", "__cy"])
+                       cell: float | None = None, eps: float = 1e-12) -> DataFrame:
+    """All (point, polygon) pairs with the point strictly within the polygon.
+
+    Each polygon is covered by quadtree cells: inner ones, whose points are
+    accepted without looking at an edge, and boundary cells, split until few
+    edges run through them.  A boundary cell knows if its upper right corner is
+    inside, so a point is decided by the cell's own edges on the way to that
+    corner, in its own row.  Points are dealt to cells by one join (a point looks
+    up one cell a level), in which Spark may split a crowded cell: nothing is
+    grouped afterwards.  Rows without a place match nothing, repeated points are
+    judged each for itself; a polygon's edges are one row, as its text is.  The
+    cover is built when this is called (small jobs over the polygons).  ``cell`` is
+    accepted from older callers and not used: cells follow the polygons.
+    """
+    e = edges.select(F.col(poly_key).alias("__poly"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    reach = e.agg(F.max(F.greatest(*[F.abs(c) for c in ("x1", "y1", "x2", "y2")]))).first()[0] or 1.0
+    half = 2.0 ** (math.floor(math.log2(reach)) + 1)
+    whole = e.groupBy("__poly").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    kind = e.schema["__poly"].dataType.simpleString()
+    cover = store(whole.mapInArrow(
+        _cover(half), f"__poly {kind}, __d int, __ix long, __iy long, __in boolean, __e array<struct<x1:double,y1:double,x2:double,y2:double>>"))
+    depths = sorted(r[0] for r in cover.select("__d").distinct().collect())  # at most MAX_DEPTH + 1
+    pts = points.select(F.col(pkey).alias("__pk"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    pts = pts.where((F.abs("__x") < half) & (F.abs("__y") < half))
+    step = F.lit(2 * half) / F.pow(F.lit(2.0), F.col("__d"))
+    placed = pts.withColumn("__d", F.explode(F.array(*[F.lit(d) for d in depths]) if depths else F.array().cast("array<int>"))).withColumns(
+        {"__ix": F.floor((F.col("__x") + half) / step), "__iy": F.floor((F.col("__y") + half) / step)})
+    j = placed.join(cover, ["__d", "__ix", "__iy"])
     X, Y = F.col("__x"), F.col("__y")
-    x1, y1, x2, y2 = F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")
-    crosses = ((y1 > Y) != (y2 > Y)) & (X < F.try_divide((x2 - x1) * (Y - y1), y2 - y1) + x1)
-    on_edge = (F.abs((x2 - x1) * (Y - y1) - (y2 - y1) * (X - x1)) <= eps) \
-        & X.between(F.least(x1, x2), F.greatest(x1, x2)) & Y.between(F.least(y1, y2), F.greatest(y1, y2))
-    g = j.groupBy("__pk", "__poly").agg(F.sum(crosses.cast("int")).alias("__n"), F.max(on_edge.cast("int")).alias("__on"))
-    return g.where((F.col("__n") % 2 == 1) & (F.col("__on") == 0)).select(
-        F.col("__pk").alias(pkey), F.col("__poly").alias(poly_key))
+    cx, cy = (F.col("__ix") + 1) * step - half, (F.col("__iy") + 1) * step - half
+
+    def left(p: Column, px: Column, py: Column) -> Column:
+        cross = px < F.try_divide((p["x2"] - p["x1"]) * (py - p["y1"]), p["y2"] - p["y1"]) + p["x1"]
+        return F.coalesce(((p["y1"] > py) != (p["y2"] > py)) & cross, F.lit(False))
+
+    def changes(p: Column) -> Column:
+        turn = left(p, cx, Y)
+        right = F.when(p["x1"] > cx, p["y1"]).otherwise(p["y2"])
+        up = ((p["x1"] > cx) != (p["x2"] > cx)) & ((turn != left(p, cx, cy)) != ((right > Y) != (right > cy)))
+        return (left(p, X, Y) != turn) != up
+
+    def touches(p: Column) -> Column:
+        return ((F.abs((p["x2"] - p["x1"]) * (Y - p["y1"]) - (p["y2"] - p["y1"]) * (X - p["x1"])) <= eps)
+                & X.between(F.least(p["x1"], p["x2"]), F.greatest(p["x1"], p["x2"]))
+                & Y.between(F.least(p["y1"], p["y2"]), F.greatest(p["y1"], p["y2"])))
+
+    odd = F.aggregate("__e", F.lit(False), lambda t, p: t != changes(p))
+    return j.where((F.col("__in") != odd) & ~F.exists("__e", touches)).select(F.col("__pk").alias(pkey), F.col("__poly").alias(poly_key))
 
 
 # ------------------------------------------------------------------ E7

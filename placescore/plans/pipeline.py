@@ -113,7 +113,7 @@ def crime_build(city_crime: DataFrame, zip_cbsa: DataFrame) -> DataFrame:
     return agg.group_sum(j, [KEY], ["violent_crime_count", "property_crime_count", "total_crime_count"])
 
 
-def health_build(tracts: DataFrame, polygon_edges: DataFrame, titles: DataFrame | None = None, cell: float = 0.5) -> DataFrame:
+def health_build(tracts: DataFrame, polygon_edges: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """M3: tract health shares -> point-in-polygon -> weighted rollup per unit.
 
     A tract counts once per unit: of repeated rows the least by weight, shares
@@ -125,7 +125,7 @@ def health_build(tracts: DataFrame, polygon_edges: DataFrame, titles: DataFrame
                  *[clean.coerce_numeric(f"{m.lower()}_crudeprev").alias(f) for m, f in HEALTH_MEASURES.items()])
     shares = list(HEALTH_MEASURES.values())
     t = t.withColumn("__place", F.concat_ws("|", "tractfips", "lon", "lat"))
-    hits = geo.points_in_polygons(t.dropDuplicates(["__place"]), "__place", "lon", "lat", polygon_edges, KEY, cell=cell)
+    hits = geo.points_in_polygons(t.dropDuplicates(["__place"]), "__place", "lon", "lat", polygon_edges, KEY)
     j = t.join(hits, "__place")
     j = window.dedupe(j, [KEY, "tractfips"], ["population_weight", *shares, "lon", "lat"], columns=["population_weight", *shares])
     out = agg.weighted_rollup(j, [KEY], shares, "population_weight", row_id="tractfips")

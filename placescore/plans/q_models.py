@@ -52,7 +52,7 @@ SELECT unit_key, CAST(poly_id AS INTEGER) AS poly_id FROM j WHERE n % 2 = 1 AND
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     polys = spark.createDataFrame(POLYGONS, "poly_id int, wkt string")
     edges = geo.polygon_edges(polys, "poly_id", "wkt")
-    return geo.points_in_polygons(unit_panel(spark, sf_dir), PANEL_KEY, "lon", "lat", edges, "poly_id", cell=2.0)
+    return geo.points_in_polygons(unit_panel(spark, sf_dir), PANEL_KEY, "lon", "lat", edges, "poly_id")
 
 
 _HAV = ("2.0 * 6371.0088 * asin(sqrt(power(sin((radians(s.station_lat) - radians(p.lat)) / 2), 2) + "

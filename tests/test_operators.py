@@ -413,3 +413,39 @@ def test_outer_slices_are_one_aggregate(spark):
     assert out.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     with pytest.raises(Exception, match="one row per k in each slice.*: 4"):
         joins.full_outer_slices([a, b.union(b.where("k = 4"))], "k").collect()
+
+
+def _within(px, py, edges):
+    """Crossings of the ray to the right over all edges; on an edge is outside."""
+    odd = False
+    for x1, y1, x2, y2 in edges:
+        if (abs((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)) <= 1e-12 and min(x1, x2) <= px <= max(x1, x2) and min(y1, y2) <= py <= max(y1, y2)):
+            return False
+        if (y1 > py) != (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1:
+            odd = not odd
+    return odd
+
+
+def test_point_in_polygon_matches_all_edges_for_a_dense_city(spark):
+    import math
+    import random
+    rnd = random.Random(4)
+
+    def star(cx, cy, r, n):
+        at = [(2 * math.pi * k / n, r * rnd.uniform(0.4, 1)) for k in range(n)]
+        return [(cx + d * math.cos(a), cy + d * math.sin(a)) for a, d in at]
+
+    rings = {"coast": [star(5, 5, 40, 3000)], "city": [star(10.3, 50.2, 0.05, 700), star(10.3, 50.2, 0.015, 40)], "block": [[(10.25, 50.2), (10.3, 50.2), (10.3, 50.25), (10.25, 50.25)]],
+             "grid": [[(0, 0), (8, 0), (8, 8), (4, 8), (4, 4), (0, 4)]], "sliver": [[(-170, -80), (170, 80), (170, 80.001)]], "dot": [[(1, 1), (1, 1), (1, 1)]]}
+    edges = [(name, float(a[0]), float(a[1]), float(b[0]), float(b[1])) for name, rs in rings.items() for r in rs for a, b in zip(r, r[1:] + r[:1])]
+    pts = [(rnd.gauss(10.3, 0.03), rnd.gauss(50.2, 0.03)) for _ in range(1500)]  # a dense city
+    pts += [(rnd.uniform(-60, 60), rnd.uniform(-60, 60)) for _ in range(500)] + [(float(a), float(b)) for a in range(-1, 10) for b in range(-1, 10)]
+    pts += [(x, y) for rs in rings.values() for r in rs for x, y in r[:60]] + [(x, (x * 8 / 17) + 0.0002) for x in range(-160, 170, 20)]
+    pts += [(10.28, 50.22)] * 3 + [(1e300, 0.0), (float("nan"), 1.0), (None, 2.0)]
+    df = spark.createDataFrame([(k, None if x is None else float(x), float(y)) for k, (x, y) in enumerate(pts)], "k long, x double, y double").repartition(3)
+    e = spark.createDataFrame(edges, "p string, x1 double, y1 double, x2 double, y2 double").repartition(4)
+    got = sorted((r["k"], r["p"]) for r in geo.points_in_polygons(df, "k", "x", "y", e, "p").collect())
+    own = {name: [x[1:] for x in edges if x[0] == name] for name in rings}
+    want = sorted((k, name) for k, (x, y) in enumerate(pts) if x is not None and x == x for name in rings if _within(x, y, own[name]))
+    assert got == want and {n for _, n in want} == set(rings) - {"dot"}
+    assert geo.points_in_polygons(df, "k", "x", "y", e.limit(0), "p").count() == 0
