@@ -1,15 +1,19 @@
 """URL filter: pattern rules indexed by their rarest literal token.
 
 A rule is (rule, host, path, pattern, verdict).  Host rules fit their host and
-its subdomains below a path; pattern rules are regular expressions with the
-literal tokens that any url they match must hold.  Each rule is filed under the
-one of its tokens that the fewest urls hold (counted over all urls).  The tokens
-of a url fetch the candidate rules, and only those run their regular expression.
+its subdomains below a path; pattern rules are regular expressions.  From the
+pattern follow alternatives, each with the whole tokens that a url matching that
+way must hold; each alternative is filed under the one of its tokens that the
+fewest urls hold (counted over all urls).  The tokens of a url fetch the candidate
+rules by a hash join, and only those run their regular expression.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import product
+from re import _constants as C
+from re import _parser as regex
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +23,7 @@ from placescore.llm.common import literal_rows
 #: Rules are sent to all executors; more than this many is an error.
 MAX_RULES = 100_000
 
-RULES_SCHEMA = "rule string, host string, path string, pattern string, tokens array<string>, verdict string, priority int"
+RULES_SCHEMA = "rule string, host string, path string, pattern string, tokens array<array<string>>, verdict string, priority int"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,29 +48,72 @@ def url_tokens(url: Column) -> Column:
 
 
 def literal_tokens(text: str) -> list[str]:
-    return sorted({t for t in re.split("[^a-z0-9]+", text.lower()) if t})
+    return sorted({t for t in re.split("[^a-z0-9]+", text.translate(str.maketrans(_UPPER, _LOWER))) if t})
+
+
+#: Ways to match that a pattern is spelled out into; beyond, the rest counts as unknown text.
+MAX_WAYS = 256
+_UNKNOWN, _EDGE = "\0", " "
+
+
+def _ways(items) -> list[str]:
+    """What a parsed pattern matches, way by way: letters and digits it spells, ``_EDGE`` for what surely is neither, else ``_UNKNOWN``."""
+    ways = [""]
+    for op, arg in items:
+        if op is C.LITERAL:
+            c = chr(arg)
+            more = [c.lower() if c.isascii() and c.isalnum() else _EDGE]
+        elif op is C.AT and arg in (C.AT_BEGINNING, C.AT_BEGINNING_STRING, C.AT_END, C.AT_END_STRING):
+            more = [_EDGE]
+        elif op is C.IN and all(o is C.LITERAL and not (chr(v).isascii() and chr(v).isalnum()) for o, v in arg):
+            more = [_EDGE]
+        elif op is C.SUBPATTERN:
+            more = _ways(arg[3])
+        elif op is C.BRANCH:
+            more = [w for branch in arg[1] for w in _ways(branch)]
+        elif op is C.MAX_REPEAT and arg[0] == arg[1] == 1:
+            more = _ways(arg[2])
+        else:
+            more = [_UNKNOWN]
+        more = sorted(set(more))
+        ways = [a + b for a, b in product(ways, more)] if len(ways) * len(more) <= MAX_WAYS else [w + _UNKNOWN for w in ways]
+    return ways
+
+
+def pattern_tokens(pattern: str) -> list[list[str]]:
+    """For each way to match: the whole url tokens that every such match holds; raises where a way has none."""
+    ways = [sorted(set(re.findall(f"(?<={_EDGE})[a-z0-9]+(?={_EDGE})", w))) for w in _ways(regex.parse(pattern))]
+    if not all(ways):
+        raise ValueError(f"not every match of {pattern!r} holds a whole literal token to be filed under")
+    return [list(t) for t in sorted(set(map(tuple, ways)))]
 
 
 def host_rule(host: str, path: str, verdict: str) -> tuple:
-    """A rule for a host, its subdomains and the paths that start with ``path``."""
-    return (host + path, host, path, None, literal_tokens(host), verdict, 1)
+    """A rule for a host (in lower case), its subdomains and the paths that start with ``path``."""
+    if not literal_tokens(host):
+        raise ValueError(f"host {host!r} has no token to be filed under")
+    return (host + path, host, path, None, [literal_tokens(host)], verdict, 1)
 
 
-def pattern_rule(name: str, pattern: str, tokens: list[str], verdict: str) -> tuple:
-    """A regular expression on the whole url; ``tokens``: whole url tokens that each match holds."""
-    if not tokens:
+def pattern_rule(name: str, pattern: str, tokens: list[str] | None, verdict: str) -> tuple:
+    """A regular expression on the whole url.
+
+    The tokens follow from the pattern (``None``).  Where they cannot, the caller may
+    vouch for whole url tokens that each match holds.
+    """
+    if tokens is not None and not tokens:
         raise ValueError(f"rule {name} has no literal token to be filed under")
-    return (name, None, None, pattern, [t.lower() for t in tokens], verdict, 0)
+    return (name, None, None, pattern, pattern_tokens(pattern) if tokens is None else [[t.lower() for t in tokens]], verdict, 0)
 
 
 #: The method's own rules, used where no host rule fits.
 PATTERN_RULES = [
-    pattern_rule("login-pages", r"(?i)/(login|signin)([/?#.]|$)", ["login"], "block"),
-    pattern_rule("signin-pages", r"(?i)/signin([/?#.]|$)", ["signin"], "block"),
-    pattern_rule("cart-pages", r"(?i)/cart([/?#.]|$)", ["cart"], "block"),
-    pattern_rule("feed-links", r"(?i)[?&]utm_source=feed(&|#|$)", ["utm", "source", "feed"], "block"),
-    pattern_rule("tracked-pages", r"(?i)[?&]page=\d+&ref=", ["page", "ref"], "block"),
-    pattern_rule("calendar-pages", r"(?i)/calendar/\d{4}", ["calendar"], "block"),
+    pattern_rule("login-pages", r"(?i)/(login|signin)([/?#.]|$)", None, "block"),
+    pattern_rule("signin-pages", r"(?i)/signin([/?#.]|$)", None, "block"),
+    pattern_rule("cart-pages", r"(?i)/cart([/?#.]|$)", None, "block"),
+    pattern_rule("feed-links", r"(?i)[?&]utm_source=feed(&|#|$)", None, "block"),
+    pattern_rule("tracked-pages", r"(?i)[?&]page=\d+&ref=", None, "block"),
+    pattern_rule("calendar-pages", r"(?i)/calendar/\d{4}", None, "block"),
 ]
 
 
@@ -77,15 +124,17 @@ def rules_frame(spark: SparkSession, rules: list[tuple]) -> DataFrame:
 
 
 def index_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """Rules with ``key``: the one of their tokens that the fewest urls hold (ties: first by name)."""
-    wanted = rules.select(F.explode("tokens").alias("key")).distinct()
+    """Rules with ``key``, a row for each different one: of the tokens of a way to match the one that the fewest urls hold (ties: first by name)."""
+    ways = rules.select("rule", F.posexplode("tokens").alias("_way", "_tokens"))
+    wanted = ways.select(F.explode("_tokens").alias("key")).distinct()
     seen = (urls.select(F.explode(url_tokens(F.col(url_col))).alias("key"))
             .join(F.broadcast(wanted), "key")  # at most the tokens of MAX_RULES rules
             .groupBy("key").agg(F.count(F.lit(1)).alias("urls")))
-    filed = (rules.withColumn("key", F.explode("tokens"))
+    filed = (ways.select("rule", "_way", F.explode("_tokens").alias("key"))
              .join(F.broadcast(seen), "key", "left")
-             .groupBy("rule").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "key")).alias("filed")))
-    return rules.drop("tokens").join(F.broadcast(filed), "rule").withColumn("key", F.col("filed.key")).drop("filed")
+             .groupBy("rule", "_way").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "key")).alias("_f"))
+             .select("rule", F.col("_f.key").alias("key")).distinct())
+    return rules.drop("tokens").join(F.broadcast(filed), "rule")
 
 
 def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -99,26 +148,23 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     judged each for itself; null ids are kept; other columns are not read.
     """
     base = urls.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
-    filed = index_rules(base, rules, "_url")
-    index = (filed.groupBy("key").agg(F.collect_list(F.struct("rule", "host", "path", "pattern", "verdict", "priority")).alias("_rules")))
+    filed = F.broadcast(index_rules(base, rules, "_url"))  # at most the tokens of MAX_RULES rules
     parts = base.select("_id", "_url", url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path"))
-    # A url has few tokens; its candidates are gathered beside it, so that no url is dealt out by a hot host.
-    per_token = F.transform("_tokens", lambda t: F.element_at(F.col("_index"), t))
-    lookup = index.agg(F.map_from_entries(F.collect_list(F.struct("key", "_rules"))).alias("_index"))  # one row of at most MAX_RULES rules
-    found = (parts.withColumn("_tokens", url_tokens(F.col("_url"))).crossJoin(F.broadcast(lookup))
-             .withColumn("_cand", F.flatten(F.filter(per_token, lambda r: r.isNotNull()))).drop("_index", "_tokens"))
-
-    def fits(r: Column) -> Column:
-        host, path = F.col("host"), F.col("path")
-        by_host = ((host == r["host"]) | F.endswith(host, F.concat(F.lit("."), r["host"]))) & F.startswith(path, r["path"])
-        return F.when(r["priority"] == 1, by_host).otherwise(F.coalesce(F.regexp_like(F.coalesce("_url", F.lit("")), r["pattern"]), F.lit(False)))
-
-    ranked = F.transform(F.filter("_cand", fits), lambda r: F.struct(
-        r["priority"].alias("priority"), F.coalesce(F.length(r["host"]) + F.length(r["path"]), F.lit(0)).alias("size"),
-        r["rule"].alias("rule"), r["verdict"].alias("verdict")))
-    best = found.withColumn("_best", F.array_max(ranked))
+    # Rows equal in url share a verdict, which is looked up by the url's digest.
+    parts = parts.withColumn("_key", F.when(F.length("_url") > 0, F.md5("_url")))
+    names = ["rule", "path", "pattern", "verdict", "priority"]
+    found = (parts.filter(F.col("_key").isNotNull()).withColumn("_token", F.explode(url_tokens(F.col("_url"))))
+             .join(filed.select(F.col("key").alias("_token"), F.col("host").alias("_host"), *[F.col(c).alias(f"_{c}") for c in names]), "_token"))
+    by_host = (((F.col("host") == F.col("_host")) | F.endswith("host", F.concat(F.lit("."), F.col("_host")))) & F.startswith("path", F.col("_path")))
+    fits = F.when(F.col("_priority") == 1, by_host).otherwise(F.coalesce(F.regexp_like("_url", F.col("_pattern")), F.lit(False)))
+    best = found.filter(fits).groupBy("_key").agg(F.max(F.struct(
+        F.col("_priority").alias("priority"), F.coalesce(F.length("_host") + F.length("_path"), F.lit(0)).alias("size"),
+        F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))).alias("_best"))
+    # Rows without a url meet no other, so they are not sent to one task by their null key.
+    judged = parts.filter(F.col("_key").isNotNull()).join(best, "_key", "left").unionByName(
+        parts.filter(F.col("_key").isNull()).withColumn("_best", F.lit(None).cast(best.schema["_best"].dataType)))
     has = F.col("_best.priority") == 1
-    return best.select(
+    return judged.select(
         F.col("_id").alias(id_col), "host", "path",
         F.when(has, F.col("_best.rule")).alias("rule"),
         F.coalesce("_best.verdict", F.lit(default)).alias("verdict"),

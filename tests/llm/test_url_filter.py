@@ -44,3 +44,28 @@ def test_rules_are_filed_under_their_rarest_token(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert U.judge_urls(df, U.rules_frame(spark, U.PATTERN_RULES)).count() == 0
+
+
+def test_tokens_follow_from_the_pattern(spark):
+    import pytest
+    assert U.pattern_tokens(r"(?i)/(login|signin)([/?#.]|$)") == [["login"], ["signin"]]
+    assert U.pattern_tokens(r"[?&]page=\d+&ref=") == [["page", "ref"]]
+    assert U.pattern_tokens(r"^Ads\.") == [["ads"]]
+    for bad in ("/login", r"/(a|\d+)/", "/x*/", "/[ab]/", r"/lo(gin)?/", "/a/|b"):
+        with pytest.raises(ValueError):
+            U.pattern_rule("r", bad, None, "block")
+    with pytest.raises(ValueError):
+        U.host_rule("é", "/", "block")
+    rule = U.pattern_rule("login-pages", r"(?i)/(login|signin)([/?#.]|$)", None, "block")
+    urls = ["http://a.com/signin", "http://a.com/LOGIN.php", "http://a.com/signing", None, "http://a.com/signin"]
+    got = U.judge_urls(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string"), U.rules_frame(spark, [rule])).collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in got) == [(0, "block"), (1, "block"), (2, "allow"), (3, "allow"), (4, "block")]
+
+
+def test_many_rules_match_brute_force(spark):
+    rules = [U.host_rule(f"h{k}.com", "/", "block") for k in range(0, 400, 2)]
+    rules += [U.pattern_rule(f"p{k}", f"/w{k}/(x|y)/", None, "block") for k in range(400)]
+    urls = [f"http://s.h{k}.com/w{k * 7 % 900}/{'xyz'[k % 3]}/w{k % 401}/y/" for k in range(300)]
+    got = U.judge_urls(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string"), U.rules_frame(spark, rules)).collect()
+    want = sorted((k, *(x or "" for x in brute(u, rules))) for k, u in enumerate(urls))
+    assert sorted((r[0], *(x or "" for x in tuple(r)[1:])) for r in got) == want
