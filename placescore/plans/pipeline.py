@@ -155,12 +155,21 @@ def station_months(texts: DataFrame, path: str = "path", content: str = "content
     lack one of the id columns, ``quarantine`` records with surplus fields.
     """
     rows, skipped, bad = text.header_drift_rows(texts, path, content, STATION_REQUIRED)
-    field = lambda c: F.try_element_at("fields", F.lit(c))
+    return _station_rows(rows, lambda c: F.try_element_at("fields", F.lit(c)), path), skipped, bad
+
+
+def station_months_of_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``station_months`` of a folder of files: a native scan for each different header, no file as one string."""
+    rows, skipped, bad = files.read_drifting_csv(spark, folder, STATION_REQUIRED)
+    return _station_rows(rows, lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string"), "path"), skipped, bad
+
+
+def _station_rows(rows: DataFrame, field, path: str) -> DataFrame:
     out = rows.select(
         field("station").alias("station"), field("name").alias("name"), clean.coerce_numeric(field("latitude")).alias("latitude"),
         clean.coerce_numeric(field("longitude")).alias("longitude"), clean.coerce_numeric(field("month")).cast("int").alias("month"),
         *[clean.coerce_numeric(field(c)).alias(c) for c in STATION_MEASURES], F.struct(path, "line_no").alias("file_order"))
-    return window.month_range(out, "month"), skipped, bad
+    return window.month_range(out, "month")
 
 
 def station_summaries(months: DataFrame) -> DataFrame:
@@ -174,17 +183,22 @@ def station_summaries(months: DataFrame) -> DataFrame:
     return s.join(facts, "station").withColumnRenamed("station", "station_id")
 
 
-def cached_station_summaries(spark: SparkSession, texts: DataFrame, path: str, metrics_path: str | None = None,
+def cached_station_summaries(spark: SparkSession, texts: DataFrame | str, path: str, metrics_path: str | None = None,
                              extra: Mapping[str, str] | None = None, force_rebuild: bool = False) -> DataFrame:
     """A13 + B3: the station summaries at ``path`` if a whole cache is there, else from station files, with the run's metrics.
 
+    ``texts`` is a folder of files or a frame of whole texts.
+
     The metrics (files read, files without the id columns, records with surplus
     fields, stations summarised, time) are written as one JSON line to
     ``metrics_path`` before the cache is published; reading a cache writes none.
     """
     def write(run: str) -> None:
-        months, skipped, rejected = station_months(texts)
-        counts = {"n_files_total": texts.count(), "n_files_skipped": skipped.count(), "n_records_rejected": rejected.count()}
+        if isinstance(texts, str):
+            (months, skipped, rejected), n_files = station_months_of_files(spark, texts), len(spark.read.text(texts).inputFiles())
+        else:
+            (months, skipped, rejected), n_files = station_months(texts), texts.count()
+        counts = {"n_files_total": n_files, "n_files_skipped": skipped.count(), "n_records_rejected": rejected.count()}
         sinks.write_with_metrics(station_summaries(months), run, {"n_stations_summarized": F.col("station_id").isNotNull()}, metrics_path,
                                  {**(extra or {}), **counts, "cache_path": path})
 

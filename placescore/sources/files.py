@@ -6,14 +6,20 @@ Every reader takes an explicit schema or header handling -- no ``inferSchema``
 
 from __future__ import annotations
 
+import csv
 import time
 import uuid
+from typing import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from placescore.operators.clean import snake_case, strip_header_padding
+from placescore.operators.text import csv_fields
+from placescore.operators.window import union_all
+from placescore.session import cut_lineage
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, header: bool = True,
@@ -52,6 +58,51 @@ def read_snake_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[snake_case(c) for c in df.columns])
 
 
+def read_drifting_csv(spark: SparkSession, path: str, required: Sequence[str], sep: str = ",") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A folder of CSV files with varying headers -> rows bound by name.
+
+    The first line of each file is its header; files with the same header are read
+    by one native CSV scan with that header's snake-cased names, and the scans are united by
+    name.  Returns (rows, skipped, quarantine): ``rows`` has ``path``, ``line_no``
+    (grows within a file) and a text column per name (missing trailing fields and
+    columns that a file lacks are null; of a repeated name the first counts);
+    ``skipped`` has the paths of files without one of the ``required`` names, empty files
+    included; ``quarantine`` the path, line_no and text of records with surplus fields.
+    Quoted fields may hold line breaks, header names may not.  The headers are read
+    when this is called; the driver holds the paths, as Spark's file index does.
+    """
+    text = spark.read.text(path)
+    listed = spark.createDataFrame([(p,) for p in text.inputFiles()], "path string")  # scans pass empty files over
+    lines = text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__start"))
+    heads = (lines.filter("__start = 0").withColumn("__at", F.monotonically_increasing_id())
+             .groupBy("path").agg(F.min_by("value", "__at").alias("header")))
+    same = F.regexp_replace("path", "^file:/+", "/")
+    heads = cut_lineage(listed.withColumn("__p", same).join(heads.select(same.alias("__p"), "header"), "__p", "left").select("path", "header"))
+    rows, skipped, bad = [], heads.filter(F.col("header").isNull()).select("path"), []
+    for r in heads.filter(F.col("header").isNotNull()).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").toLocalIterator():
+        names = [snake_case(c.strip().lstrip("\ufeff")) for c in next(csv.reader([r["header"]], delimiter=sep), [])]
+        if not set(map(snake_case, required)) <= set(names):
+            skipped = skipped.unionByName(heads.filter(F.col("header") == r["header"]).select("path"))
+            continue
+        first = {}
+        for k, c in enumerate(names):
+            first.setdefault(c, f"c{k}")
+        schema = ", ".join([f"c{k} string" for k in range(len(names))] + ["record string"])
+        scan = (spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"')
+                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "record").option("columnPruning", False)
+                .csv([unquote(p) for p in r["paths"]]))
+        scan = scan.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line_no"), "*")
+        # A record is set aside by the reader if it has too few fields or too many; only the latter is an error.
+        # The first field is looked at as well: a scan of nothing but set-aside records is not allowed.
+        surplus = F.col("record").isNotNull() & (F.size(csv_fields(F.col("record"), sep)) > len(names)) & (F.length(F.coalesce("c0", F.lit(""))) >= 0)
+        rows.append(scan.filter(~surplus).select("path", "line_no", *[F.col(c).alias(name) for name, c in first.items()]))
+        bad.append(scan.filter(surplus).select("path", "line_no", "record"))
+    names = ", ".join(["path string", "line_no long", *[f"{snake_case(c)} string" for c in required]])
+    none = spark.createDataFrame([], names)
+    return (union_all(rows) if rows else none, skipped,
+            union_all(bad) if bad else spark.createDataFrame([], "path string, line_no long, record string"))
+
+
 def read_panel(spark: SparkSession, path: str, cache: bool = True) -> DataFrame:
     """Enriched panel scan (Parquet), cached for repeated queries."""
     df = spark.read.parquet(path)

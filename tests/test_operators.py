@@ -449,3 +449,35 @@ def test_point_in_polygon_matches_all_edges_for_a_dense_city(spark):
     want = sorted((k, name) for k, (x, y) in enumerate(pts) if x is not None and x == x for name in rings if _within(x, y, own[name]))
     assert got == want and {n for _, n in want} == set(rings) - {"dot"}
     assert geo.points_in_polygons(df, "k", "x", "y", e.limit(0), "p").count() == 0
+
+
+def test_drifting_csv_files_are_bound_by_name(spark, tmp_path):
+    from placescore.plans import pipeline
+    from placescore.sources import files
+    texts = {
+        "a.csv": 'station,name,month,mly_tavg_normal\n"S1","A ""x"", y",1,10.5\nS1,"two\nlines",2\nS1,too,3,1,surplus\n',
+        "b.csv": '"STATION","NAME",Month,MLY-TAVG-NORMAL,latitude\r\nS2,B,1,3,47.5\r\n',
+        "c.csv": 'station,name,month,mly_tavg_normal\nS3,C,1,7\n',
+        "d.csv": "id,month\n1,2\n", "e.csv": "", "f.csv": "station,name,month,month,latitude\nS4,D,5,6,1\n", "g.csv": "station,name,month\n"}
+    folder = tmp_path / "st x"
+    folder.mkdir()
+    for name, t in texts.items():
+        (folder / name).write_bytes(t.encode())
+    rows, skipped, bad = files.read_drifting_csv(spark, str(folder), ["station", "name", "month"])
+    got = sorted((r["path"][-5:], r["station"], r["name"], r["month"], r["mly_tavg_normal"], r["latitude"]) for r in rows.collect())
+    assert got == [("a.csv", "S1", 'A "x", y', "1", "10.5", None), ("a.csv", "S1", "two\nlines", "2", None, None),
+                   ("b.csv", "S2", "B", "1", "3", "47.5"), ("c.csv", "S3", "C", "1", "7", None), ("f.csv", "S4", "D", "5", None, "1")]
+    assert sorted(r["path"][-5:] for r in skipped.collect()) == ["d.csv", "e.csv"]
+    assert bad.count() == 1 and [(r["path"][-5:], r["record"]) for r in bad.collect()] == [("a.csv", "S1,too,3,1,surplus")]
+    assert rows.select("station").distinct().count() == 4
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    head = "STATION,LATITUDE,LONGITUDE,NAME,month,MLY-TAVG-NORMAL,MLY-PRCP-NORMAL"
+    for k in range(4):
+        lines = [f'S{k},{30 + k},-{100 + k},"TOWN {k}, TX",{m},{k + m},{m}' + (f",{m}" if k % 2 else "") for m in range(1, 14)]
+        (whole / f"s{k}.csv").write_text("\n".join([head + (",MLY-SNOW-NORMAL" if k % 2 else ""), *lines, "S,1,2,n,1,2,3,4,5"]) + "\n")
+    plain = lambda f: sorted(map(str, f.drop("file_order").collect()))
+    got, want = pipeline.station_months_of_files(spark, str(whole)), pipeline.station_months(files.read_texts(spark, str(whole)))
+    assert plain(got[0]) == plain(want[0]) and got[0].count() == 48 and got[2].count() == want[2].count() == 4
+    first = pipeline.station_summaries(got[0]).collect()
+    assert sorted(map(str, first)) == sorted(map(str, pipeline.station_summaries(want[0]).collect())) and len(first) == 4
