@@ -2,9 +2,11 @@
 
 Each text gives counts (words, symbols, repeated lines, repeated three-word
 windows, shouting).  Their rates are held against a threshold of the text's own
-language and source: ``median + spread * (median - 5 % quantile) + slack``.  The
-lower half of a rate gives the spread, so junk in the upper half does not move
-it.  Quantiles come from a mergeable sketch: counts of integer rates in buckets
+language and source, the lesser of two.  ``median + spread * (median - 5 %
+quantile) + slack`` takes its spread from the lower half of a rate, so junk in
+the upper half does not move it.  ``95 % quantile + tail * (95 % - 75 % quantile)
++ floor`` follows the upper tail, so a source whose texts hardly ever have
+symbols, say, allows fewer than one that often does.  Quantiles come from a mergeable sketch: counts of integer rates in buckets
 that are exact below 16 and 1/16 wide above (relative error up to 1/16), so that
 merging is adding, in any order.
 """
@@ -20,6 +22,9 @@ from placescore.llm.common import GAP, cut, words
 #: Rates per 1000 words (lines for dup_lines) and the slack that each has over its group's spread.
 SLACK = {"symbols": 60, "repeats": 200, "dup_lines": 250, "shouts": 120}
 SPREAD = 4
+#: What each rate may have over the upper tail of its group (one repeated line in five is no sign of junk), and the multiple of that tail.
+FLOOR = {"symbols": 30, "repeats": 100, "dup_lines": 200, "shouts": 60}
+TAIL = 2
 #: Groups with fewer texts than this also count towards, and use, all groups' sketch.
 MIN_TEXTS = 30
 MIN_WORDS = 50
@@ -105,9 +110,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     ok = rated.filter(~F.col("base_failed"))
     sk = sketch(ok, ["_lang", "_source"], names)
-    probs = {"q05": 5, "q50": 50}
-    limit = lambda q: q.withColumn("_max", F.col("q50") + SPREAD * (F.col("q50") - F.col("q05")) + F.create_map(
-        *[x for n, s in SLACK.items() for x in (F.lit(n), F.lit(s))])[F.col("rate")])
+    probs = {"q05": 5, "q50": 50, "q75": 75, "q95": 95}
+    of_rate = lambda values: F.create_map(*[x for n, s in values.items() for x in (F.lit(n), F.lit(s))])[F.col("rate")]
+    limit = lambda q: q.withColumn("_max", F.least(
+        F.col("q50") + SPREAD * (F.col("q50") - F.col("q05")) + of_rate(SLACK), F.col("q95") + TAIL * (F.col("q95") - F.col("q75")) + of_rate(FLOOR)))
     everyone = limit(quantiles(sk.groupBy("rate", "bucket").agg(F.sum("n").alias("n")), [], probs))
     own = limit(quantiles(sk, ["_lang", "_source"], probs)).filter(F.col("size") >= MIN_TEXTS)
     pivot = lambda q, groups, tag: q.groupBy(*groups).agg(*[F.max(F.when(F.col("rate") == n, F.col("_max"))).alias(f"_{tag}_{n}") for n in names])

@@ -79,7 +79,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op3_sql() -> str:
     q = quality_rules
-    slack = " ".join(f"WHEN '{n}' THEN {s}" for n, s in q.SLACK.items())
+    slack, floor = (" ".join(f"WHEN '{n}' THEN {s}" for n, s in values.items()) for values in (q.SLACK, q.FLOOR))
     rate = ", ".join(f"('{n}', {c})" for n, c in (("symbols", "symbols"), ("repeats", "repeats"), ("dup_lines", "dup_lines"), ("shouts", "shouts")))
     e = "(length(bin(v)) - 5)"
     down = "(CASE WHEN bucket < 16 THEN bucket ELSE (bucket % 16 + 16) << (bucket // 16 - 1) END)"
@@ -87,8 +87,8 @@ def _op3_sql() -> str:
     def thresholds(groups: str) -> str:
         g = groups + ", " if groups else ""
         by = f"PARTITION BY {g}rate"
-        return f"""SELECT {g}rate, any_value(size) AS size, min(CASE WHEN run * 100 >= size * 50 THEN {down} END) AS q50,
-          min(CASE WHEN run * 100 >= size * 5 THEN {down} END) AS q05
+        cuts = ", ".join(f"min(CASE WHEN run * 100 >= size * {p} THEN {down} END) AS q{p:02}" for p in (5, 50, 75, 95))
+        return f"""SELECT {g}rate, any_value(size) AS size, {cuts}
           FROM (SELECT {g}rate, bucket, sum(n) OVER ({by} ORDER BY bucket) AS run, sum(n) OVER ({by}) AS size
                 FROM (SELECT {g}rate, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY {g}rate"""
 
@@ -111,10 +111,10 @@ long AS (SELECT r, lang, source, base_failed, x.rate, x.v FROM (SELECT *, unnest
 sk AS (SELECT lang, source, rate, CASE WHEN v < 16 THEN v ELSE ({e} + 1) * 16 + (v >> {e}) - 16 END AS bucket, count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL),
 own AS ({thresholds("lang, source")}), everyone AS ({thresholds("")}),
 failed AS (SELECT r, string_agg(rate, ',' ORDER BY CASE rate {" ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(q.SLACK))} END) AS failed
-  FROM (SELECT l.r, l.rate, l.v, coalesce(o.q50, e.q50) AS q50, coalesce(o.q05, e.q05) AS q05 FROM long l
+  FROM (SELECT l.r, l.rate, l.v, {", ".join(f"coalesce(o.{c}, e.{c}) AS {c}" for c in ("q05", "q50", "q75", "q95"))} FROM long l
         LEFT JOIN own o ON l.rate = o.rate AND l.lang IS NOT DISTINCT FROM o.lang AND l.source IS NOT DISTINCT FROM o.source AND o.size >= {q.MIN_TEXTS}
         LEFT JOIN everyone e ON l.rate = e.rate)
-  WHERE v > q50 + {q.SPREAD} * (q50 - q05) + CASE rate {slack} END GROUP BY r)
+  WHERE v > least(q50 + {q.SPREAD} * (q50 - q05) + CASE rate {slack} END, q95 + {q.TAIL} * (q95 - q75) + CASE rate {floor} END) GROUP BY r)
 SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines,
   n_repeat_words::bigint AS n_repeat_words, n_shouts::bigint AS n_shouts, base_failed, coalesce(failed, '') AS failed,
   NOT base_failed AND failed IS NULL AS kept

@@ -48,3 +48,24 @@ def test_thresholds_follow_the_group(spark):
 
 def test_empty_table(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_a_clean_source_allows_fewer_symbols(spark):
+    plain = lambda k: " ".join(f"{chr(97 + k % 26)}{j * (k + 1) % 211}" for j in range(200))
+    marked = lambda k: plain(k) + " #" * (k % 12)
+    rows = [(k, plain(k), "en", "clean") for k in range(201)] + [(300 + k, marked(k), "en", "code") for k in range(201)]
+    # The same text, 50 symbols per 1000 words, is far out in one source and ordinary in the other.
+    probe = plain(3) + " #" * 10
+    rows += [(900, probe, "en", "clean"), (901, probe, "en", "code")]
+    got = {r["doc_id"]: (r["kept"], r["failed"]) for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[900] == (False, "symbols") and got[901] == (True, "")
+    assert all(got[k][0] for k in range(201)) and all(got[300 + k][0] for k in range(201))
+
+
+def test_limits_differ_between_groups_of_the_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rated = Q.text_counts(docs, keep=("lang", "source")).withColumns(Q.rates()).filter("n_words >= 50 AND 2 * n_repeat_words <= n_words")
+    sk = Q.sketch(rated, ["lang"], list(Q.SLACK))
+    q = Q.quantiles(sk, ["lang"], {"q75": 75, "q95": 95}).collect()
+    tails = {n: {r["q95"] + Q.TAIL * (r["q95"] - r["q75"]) for r in q if r["rate"] == n} for n in Q.SLACK}
+    assert sum(len(t) > 1 for t in tails.values()) >= 2
