@@ -64,7 +64,7 @@ def test_a_clean_source_allows_fewer_symbols(spark):
 
 def test_limits_differ_between_groups_of_the_given_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rated = Q.text_counts(docs, keep=("lang", "source")).withColumns(Q.rates()).filter("n_words >= 50 AND 2 * n_repeat_words <= n_words")
+    rated = Q.cut(Q.text_counts(docs, keep=("lang", "source"))).withColumns(Q.rates()).filter("n_words >= 50 AND 2 * n_repeat_words <= n_words")
     sk = Q.sketch(rated, ["lang"], list(Q.SLACK))
     q = Q.quantiles(sk, ["lang"], {"q75": 75, "q95": 95}).collect()
     tails = {n: {r["q95"] + Q.TAIL * (r["q95"] - r["q75"]) for r in q if r["rate"] == n} for n in Q.SLACK}
