@@ -8,25 +8,27 @@ of edges crossed by the ray to +x; points on an edge are not "within".
 E7 nearest station: stations are sorted along a space-filling curve and packed
 into blocks of neighbours, and blocks into groups, each with the box around its places on the
 unit sphere (so no edge at the date line or the poles) and one station as representative.  This small tree (at most ``MAX_BLOCKS`` blocks and
-a few, whatever the number of stations) is part of the plan, and a point walks it
-inside its row: distances to representatives bound the answer from above,
+a few, whatever the number of stations) goes to the tasks, which walk it with
+batches of points: distances to representatives bound the answer from above,
 distances to boxes from below, and what lies beyond the least upper bound goes.
 Only the blocks that are left are joined (a block's stations are one array), and
-one aggregate per point takes the nearest: two shuffles, however many stations.
+one aggregate per point takes the nearest: three shuffles (the first deals the
+points out evenly), however many stations.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from placescore.functions.expr import EARTH_RADIUS_KM, haversine_km
-from placescore.session import cut_lineage, store
+from placescore.session import store
 
 
 # ------------------------------------------------------------------ A12
@@ -213,34 +215,70 @@ def _place(lat, lon):
     return [(F.cos(up) * F.cos(round_)).alias("x"), (F.cos(up) * F.sin(round_)).alias("y"), F.sin(up).alias("z")]
 
 
-def _chord(p, q):
-    return F.sqrt(sum((p[c] - q[c]) * (p[c] - q[c]) for c in "xyz"))
-
-
-def _box_chord(p, box):
-    """A lower bound on the chord from a point to anything in a box of the sphere."""
-    away = [F.greatest(box[f"{c}0"] - p[c], p[c] - box[f"{c}1"], F.lit(0.0)) for c in "xyz"]
-    return F.sqrt(sum(a * a for a in away))
-
-
 def _slack(most):
     """Chords are rounded: a little more than ``most`` (a hundredth of a metre at least)."""
     return most * (1 + 1e-9) + 2e-9
 
 
-def _station_blocks(st: DataFrame) -> tuple[DataFrame, Column, Column]:
-    """(rows __block, __st; the tree's groups; its blocks) of stations (__slat, __slon, __s).
+#: Points that walk the tree at once.
+WALKED = 1024
+
 
-    Groups and blocks are constants: box (x0, x1, ...) and representative (x, y, z),
-    and the blocks of a group by place and number; a representative is a station.  Jobs run here: the stations are
-    counted, sorted and stored, and the boxes (bounded) are collected.
+def _walk(groups: np.ndarray, many: np.ndarray, tree: np.ndarray, ids: np.ndarray):
+    """Batches of points (__lat, __lon) to a row per point and block (__block) that may hold its nearest station.
+
+    ``groups`` and ``tree`` have rows x0, x1, y0, y1, z0, z1, x, y, z; group g has the next ``many[g]`` blocks.
+    Points without a place stay, with no block.
+    """
+    first = np.cumsum(many) - many
+
+    def chords(p: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+        return np.sqrt(((p - boxes[..., 6:]) ** 2).sum(axis=-1))
+
+    def box_chords(p: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+        """Lower bounds on the chords from points to anything in boxes of the sphere."""
+        return np.sqrt((np.maximum(np.maximum(boxes[..., 0:6:2] - p, p - boxes[..., 1:6:2]), 0.0) ** 2).sum(axis=-1))
+
+    def blocks_of(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        most = np.fmin.reduce(chords(p[:, None], groups), axis=1)
+        point, group = np.nonzero(~(box_chords(p[:, None], groups) > _slack(most)[:, None]))
+        size = many[group]
+        starts = np.cumsum(size) - size
+        block = np.arange(size.sum()) + np.repeat(first[group] - starts, size)
+        point = np.repeat(point, size)
+        each = np.flatnonzero(np.diff(point, prepend=-1))  # every point has a group
+        most = np.fmin(most, np.fmin.reduceat(chords(p[point], tree[block]), each))
+        kept = ~(box_chords(p[point], tree[block]) > _slack(most)[point])
+        return point[kept], block[kept]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(k, WALKED) for k in range(0, len(whole), WALKED)):
+                known = np.logical_and(*[batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("__lat", "__lon")])
+                at = np.flatnonzero(known)
+                up, around = [np.radians(batch.column(c).to_numpy(zero_copy_only=False)[at].astype(float)) for c in ("__lat", "__lon")]
+                rows, blocks = np.flatnonzero(~known), pa.nulls(len(batch) - len(at), pa.int64())
+                if len(at):
+                    with np.errstate(invalid="ignore"):  # a place that is no number is near to every block
+                        point, block = blocks_of(np.stack([np.cos(up) * np.cos(around), np.cos(up) * np.sin(around), np.sin(up)], axis=1))
+                    rows, blocks = np.concatenate([rows, at[point]]), pa.concat_arrays([blocks, pa.array(ids[block])])
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, blocks], names=[*batch.schema.names, "__block"])
+
+    return walk
+
+
+def _station_blocks(st: DataFrame) -> tuple[DataFrame, Callable]:
+    """(rows __block, __st; the walk over the tree of blocks and groups) of stations (__slat, __slon, __s).
+
+    Groups and blocks have a box (x0, x1, ...) and a representative (x, y, z), which is a station.  Jobs run here:
+    the stations are counted, sorted and stored, and the boxes (bounded) are collected.
     """
     many = st.count()
     if not many:
         raise ValueError("station table has no rows with coordinates")
     size = max(BLOCK, -(-many // MAX_BLOCKS))
     sort = st.withColumn("__z", _curve(F.col("__slat"), F.col("__slon"))).repartitionByRange("__z", "__slat", "__slon")
-    sort = cut_lineage(sort.withColumn("__part", F.spark_partition_id()))
+    sort = store(sort.withColumn("__part", F.spark_partition_id()))
     # A partition of the sort holds neighbours; it is dealt into blocks in order.
     at = F.row_number().over(Window.partitionBy("__part").orderBy("__z", "__slat", "__slon")) - 1
     sort = sort.select("*", *_place(F.col("__slat"), F.col("__slon")), F.floor(at / size).alias("__nr"))
@@ -252,17 +290,12 @@ def _station_blocks(st: DataFrame) -> tuple[DataFrame, Column, Column]:
     tree = [r.asDict() for r in rows.select("__part", "__nr", F.col("__block").alias("id"), *ends, *[F.col("__st")[0][c].alias(c) for c in "xyz"])
             .orderBy("__block").collect()]
     groups: dict[tuple[int, int], dict] = {}
-    for k, b in enumerate(tree):
-        g = groups.setdefault((b["__part"], b["__nr"] // GROUP), {**b, "first": k + 1, "many": 0})
+    for b in tree:
+        g = groups.setdefault((b["__part"], b["__nr"] // GROUP), {**b, "many": 0})
         g.update({e: f(g[e], b[e]) for e, f in ends.items()}, many=g["many"] + 1)
-    box = [*ends, *"xyz"]
-    return rows.select("__block", "__st"), _constants(list(groups.values()), [*box, "first", "many"]), _constants(tree, [*box, "id"])
-
-
-def _constants(rows: list[dict], names: list[str]) -> Column:
-    """A constant array of structs (Spark folds it before the first row): whole numbers as longs, others as doubles."""
-    kind = lambda n: "bigint" if isinstance(rows[0][n], int) else "double"
-    return F.arrays_zip(*[F.split(F.lit(",".join(repr(r[n]) for r in rows)), ",").cast(f"array<{kind(n)}>").alias(n) for n in names])
+    boxes = lambda of: np.array([[r[n] for n in (*ends, *"xyz")] for r in of])
+    walk = _walk(boxes(groups.values()), np.array([g["many"] for g in groups.values()]), boxes(tree), np.array([b["id"] for b in tree], np.int64))
+    return rows.select("__block", "__st"), walk
 
 
 def nearest_station(points: DataFrame, pkey: str, lat: str, lon: str, stations: DataFrame, skey: str,
@@ -278,22 +311,18 @@ def nearest_station(points: DataFrame, pkey: str, lat: str, lon: str, stations:
         F.col(slon).cast("double").alias("__slon"), *[F.col(k).alias(f"__s_{k}") for k in keep])
     # Stations that share a place differ by id only.
     st = st.groupBy("__slat", "__slon").agg(F.min(F.struct("__sid", *[f"__s_{k}" for k in keep])).alias("__s"))
-    blocks, groups, members = _station_blocks(st)
+    blocks, walk = _station_blocks(st)
     pos = F.col("__lat"), F.col("__lon")
     pts = points.select(F.col(pkey).alias("__pk"), F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon"))
     # A row's number is given before anything is shuffled, and rides along from there on.
     pts = pts.withColumn("__row", F.monotonically_increasing_id())
-    known = pos[0].isNotNull() & pos[1].isNotNull()
-    left = lambda p, xs, most: F.filter(xs, lambda x: _box_chord(p, x) <= _slack(most))
-    least = lambda p, xs: F.array_min(F.transform(xs, lambda x: _chord(p, x)))
-    ids = _let(F.struct(*_place(*pos)), lambda p: _let(least(p, groups), lambda first: _let(
-        F.flatten(F.transform(left(p, groups, first), lambda g: F.slice(members, g["first"].cast("int"), g["many"].cast("int")))), lambda inner: _let(
-            F.least(first, least(p, inner)), lambda most: F.transform(left(p, inner, most), lambda x: x["id"])))))
-    held = pts.select("__row", "__pk", *pos, F.explode_outer(F.when(known, ids)).alias("__block"))
+    # Points may come as one partition (a small file): the walk is dealt out.
+    held = pts.repartition("__row").mapInArrow(walk, StructType([*pts.schema.fields, StructField("__block", LongType())]))
     found = held.join(blocks, "__block", "left")
-    # Of a block the stations with the shortest chord, then the exact distance of these.
-    near = _let(F.struct(*_place(*pos)), lambda p: _let(
-        F.array_min(F.transform("__st", lambda s: _chord(p, s))), lambda most: F.filter("__st", lambda s: _chord(p, s) <= _slack(most))))
+    # Of a block the stations with the least angle (by its cosine, and a little more), then the exact distance of these.
+    turned = lambda p: F.transform("__st", lambda s: -(p["x"] * s["x"] + p["y"] * s["y"] + p["z"] * s["z"]))
+    near = _let(F.struct(*_place(*pos)), lambda p: _let(turned(p), lambda cos: _let(
+        F.array_min(cos) + F.lit(1e-14), lambda most: F.filter("__st", lambda s, k: F.get(cos, k) <= most))))
     best = F.array_min(F.transform(near, lambda s: F.struct(haversine_km(*pos, s["__slat"], s["__slon"], radius).alias("d"), s["__s"].alias("s"))))
     out = found.select("__row", "__pk", best.alias("__b")).groupBy("__row").agg(F.first("__pk").alias("__pk"), F.min("__b").alias("__b"))
     return out.select(F.col("__pk").alias(pkey), F.col("__b.s.__sid").alias(skey), *[F.col(f"__b.s.__s_{k}").alias(k) for k in keep],

@@ -224,6 +224,21 @@ def test_nearest_station_clustered_shared_and_far(spark):
         geo.nearest_station(spark.createDataFrame(pts, "k int, lat double, lon double"), "k", "lat", "lon", sdf.limit(0), "sid", "slat", "slon")
 
 
+def test_nearest_station_deals_out_the_points_of_one_partition(spark, monkeypatch):
+    monkeypatch.setattr(geo, "BLOCK", 2)
+    st = [(i, i * 0.7 - 60, i * 1.9 - 150) for i in range(90)] + [(7, 3.0, 3.0), (None, 50.0, 9.0)]
+    pts = [(i, i % 171 - 85.5, i * 7 % 359 - 179.5) for i in range(3000)] + [(None, None, 1.0)]
+    df = spark.createDataFrame(pts, "k int, lat double, lon double").coalesce(1)
+    out = geo.nearest_station(df, "k", "lat", "lon", spark.createDataFrame(st, "sid int, slat double, slon double"), "sid", "slat", "slon")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    walk = plan[plan.index("MapInArrow"):]
+    assert "hashpartitioning(__row" in walk  # below the walk: each task has its share of the points
+    got = {r.k: (r.sid, r.distance_km) for r in out.collect()}
+    assert len(got) == 3001 and got[None] == (None, None)
+    for k, la, lo in pts[:-1:37]:
+        assert math.isclose(got[k][1], min(_hav(la, lo, s[1], s[2]) for s in st), rel_tol=1e-9), k
+
+
 def test_wcss_and_metrics_match_brute_force(spark):
     rnd = random.Random(6)
     rows = [(i, [1e6 + rnd.gauss(i % 4, 0.5) for _ in range(3)], i % 4) for i in range(80)]
