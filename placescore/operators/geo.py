@@ -273,6 +273,7 @@ def _station_blocks(st: DataFrame) -> tuple[DataFrame, Callable]:
     Groups and blocks have a box (x0, x1, ...) and a representative (x, y, z), which is a station.  Jobs run here:
     the stations are counted, sorted and stored, and the boxes (bounded) are collected.
     """
+    st = store(st)  # what follows reads it three times
     many = st.count()
     if not many:
         raise ValueError("station table has no rows with coordinates")

@@ -239,6 +239,21 @@ def test_nearest_station_deals_out_the_points_of_one_partition(spark, monkeypatc
         assert math.isclose(got[k][1], min(_hav(la, lo, s[1], s[2]) for s in st), rel_tol=1e-9), k
 
 
+def test_nearest_station_builds_its_stations_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    st = spark.createDataFrame([(i, float(i % 80), float(i)) for i in range(120)], "sid int, slat double, slon double")
+    st = st.mapInArrow(look, st.schema)
+    pts = spark.createDataFrame([(1, 10.2, 10.1), (2, 30.2, 110.1)], "k int, lat double, lon double")
+    got = {r.k: r.sid for r in geo.nearest_station(pts, "k", "lat", "lon", st, "sid", "slat", "slon").collect()}
+    assert got == {1: 10, 2: 110} and seen.value == 120
+
+
 def test_wcss_and_metrics_match_brute_force(spark):
     rnd = random.Random(6)
     rows = [(i, [1e6 + rnd.gauss(i % 4, 0.5) for _ in range(3)], i % 4) for i in range(80)]
