@@ -22,6 +22,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column that is computed once a row: a generator's output is not copied into what uses it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def clip(c: str | Column, lo=None, hi=None) -> Column:
     """``clip`` that keeps null (``greatest/least`` would skip the null operand)."""
     x = col(c)

@@ -26,15 +26,15 @@ def matrix_table(responses: DataFrame, order: str, payload: str, unit_header: st
     The table has ``key`` (trimmed) and, as text, the variables of ``columns``
     (header -> name) in that order; variables that no response has are null.
     """
-    rows, bad = matrix_rows(responses, order, payload)
-    place = F.array_position("__h", unit_header)
+    rows, bad = matrix_rows(responses, order, payload, [unit_header, *columns])
+    place = F.get("__at", F.lit(0))
     lost = rows.where(place == 0).select(order, F.lit("no unit column").alias("reason")).distinct()
     rows = rows.where(place > 0).withColumn(key, F.trim(F.try_element_at("__r", place.cast("int"))))
     empty = F.coalesce(F.col(key), F.lit("")) == ""
     lost = lost.unionByName(rows.where(empty).select(order, F.lit("no unit code").alias("reason")).distinct())
-    cells = rows.where(~empty).select(key, order, "row", F.posexplode(F.arrays_zip(F.col("__h").alias("column"), F.col("__r").alias("value"))).alias("place", "__z"))
-    # The unit's own cell is kept as well, so that a unit without any variable has a row.
-    cells = cells.select(key, "__z.column", "__z.value", F.struct(order, "row", "place").alias("__at")).where(F.col("column").isin([unit_header, *columns]))
-    first = cells.groupBy(key, "column").agg(F.min_by("value", "__at").alias("value"))
-    wide = first.groupBy(key).pivot("column", list(columns)).agg(F.first("value"))
-    return wide.select(key, *[F.col(f"`{c}`").alias(name) for c, name in columns.items()]), bad.unionByName(lost)
+    # Rows are shuffled and sorted as they are; a unit without any variable has a row too.
+    at = lambda i: F.get("__at", F.lit(i))
+    first = [F.min(F.when(at(i) > 0, F.struct(order, "row", at(i), F.get("__r", (at(i) - 1).cast("int")).alias("value"))))["value"].alias(name)
+             for i, name in enumerate(columns.values(), 1)]
+    wide = rows.where(~empty).select(key, order, "row", "__at", "__r").repartition(key).groupBy(key).agg(*first)
+    return wide, bad.unionByName(lost)

@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placescore.functions.expr import col
+from placescore.functions.expr import col, once
 from placescore.operators.clean import snake_case, snake_case_expr
 
 
@@ -90,20 +90,22 @@ def resolve_url(base: Column, ref: Column) -> Column:
             .otherwise(F.concat(root, merged, ref_rest)))
 
 
-def matrix_rows(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def matrix_rows(df: DataFrame, key: str, text: str, places: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """``[[header...], [row...], ...]`` JSON -> (rows, quarantine): key, row, ``__h`` (header) and ``__r`` (values) of each row.
 
+    With ``places`` a row has ``__at`` as well: the first places of these names in its header (0: none), found once a text.
     The quarantine (key, reason) holds keys whose text is not a JSON array of
     string arrays, is an error object, or has a row whose width differs from the
     header.
     """
-    m = F.from_json(F.col(text), "array<array<string>>")
-    parsed = df.select(key, text, m.alias("__m"))
+    parsed = once(df.select(key, text), "__m", F.from_json(F.col(text), "array<array<string>>"))
     width_ok = F.forall(F.col("__m"), lambda r: F.size(r) == F.size(F.element_at(F.col("__m"), 1)))
     good = F.col("__m").isNotNull() & (F.size("__m") >= 1) & width_ok & ~F.trim(F.col(text)).startswith("{")
     bad = parsed.where(~F.coalesce(good, F.lit(False))).select(key, F.lit("bad shape").alias("reason"))
     ok = parsed.where(F.coalesce(good, F.lit(False)))
-    return ok.select(key, F.element_at("__m", 1).alias("__h"),
+    if places:
+        ok = once(ok, "__at", F.transform(F.array(*[F.lit(p) for p in places]), lambda p: F.array_position(F.element_at("__m", 1), p)))
+    return ok.select(key, F.element_at("__m", 1).alias("__h"), *["__at" for _ in places[:1]],
                      F.posexplode(F.slice("__m", 2, F.greatest(F.size("__m") - 1, F.lit(0)))).alias("row", "__r")), bad
 
 

@@ -254,6 +254,43 @@ def test_nearest_station_builds_its_stations_once(spark):
     assert got == {1: 10, 2: 110} and seen.value == 120
 
 
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_matrix_response_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, '[["a","b"],["1","2"],[null,"4"]]'), (2, '{"error": 1}'), (3, '[["a"],["1","2"]]'), (4, None), (5, "[]")], "s int, t string")
+    rows, bad = text.matrix_rows(df, "s", "t")
+    for x in (rows.select("row", "__r"), bad):
+        assert _optimized(x).count("from_json(") == 1  # not once for each row and test of the shape
+    assert sorted(map(tuple, rows.select("s", "row", "__r").collect())) == [(1, 0, ["1", "2"]), (1, 1, [None, "4"])]
+    assert sorted(map(tuple, bad.collect())) == [(k, "bad shape") for k in (2, 3, 4, 5)]
+
+
+def test_a_csv_text_is_cut_once(spark):
+    df = spark.createDataFrame([(1, 'Id, Month \n7,3\n"a ""b"", c",4,5\n\n8'), (2, "x\n1"), (3, None)], "k int, t string")
+    rows, skipped, bad = text.header_drift_rows(df, "k", "t", ["id", "month"])
+    month = rows.where(F.try_element_at("fields", F.lit("month")) == "3")
+    assert _optimized(month).count("regexp_extract_all(") <= 4 and _optimized(month).count("map_from_arrays(") == 1
+    assert _optimized(bad).count("regexp_extract_all(") <= 4 and _optimized(skipped).count("regexp_extract_all(") <= 3
+    assert sorted((r.k, r.line_no, r.fields["id"], r.fields["month"]) for r in rows.collect()) == [(1, 0, "7", "3"), (1, 2, "8", None)]
+    assert [tuple(r) for r in bad.collect()] == [(1, 1, '"a ""b"", c",4,5')] and [r.k for r in month.collect()] == [1]
+    assert [r.k for r in skipped.collect()] == [2]
+
+
+def test_matrix_table_moves_rows_and_not_cells(spark):
+    from placescore.operators import landed
+
+    texts = [(2, '[["u","a","b"],["x ","a2","b2"],["y",null,"by"],["","q","q"]]'), (1, '[["a","u","a"],["a1","x","a9"],[null,"z","a8"]]'),
+             (1, '[["u"],["w"]]'), (3, '[["a"],["1"]]'), (4, '[["a"]]'), (5, "{}")]
+    wide, bad = landed.matrix_table(spark.createDataFrame(texts, "s int, t string"), "s", "t", "u", {"a": "A", "b": "B", "c": "C"})
+    plan = _optimized(wide)
+    assert plan.count("Generate") <= 3 and "pivot" not in plan and plan.count("Aggregate") == 1
+    # The first slice that has the column gives the value, also if that is null; a header's first place counts.
+    assert sorted(map(tuple, wide.collect())) == [("w", None, None, None), ("x", "a1", "b2", None), ("y", None, "by", None), ("z", None, None, None)]
+    assert sorted(map(tuple, bad.collect())) == [(2, "no unit code"), (3, "no unit column"), (5, "bad shape")]
+
+
 def test_wcss_and_metrics_match_brute_force(spark):
     rnd = random.Random(6)
     rows = [(i, [1e6 + rnd.gauss(i % 4, 0.5) for _ in range(3)], i % 4) for i in range(80)]
