@@ -119,7 +119,7 @@ def json_matrix(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
 def csv_fields(line: Column, sep: str = ",") -> Column:
     """The fields of one CSV record: quotes may hold separators, line breaks and doubled quotes."""
     q = re.escape(sep)
-    raw = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(f'("(?:[^"]|"")*+"|[^{q}]*+){q}'), 1)
+    raw = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(f'("(?:[^"]++|"")*+"|[^{q}]*+){q}'), 1)
     return F.transform(raw, lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
 
 
@@ -138,20 +138,20 @@ def header_drift_rows(df: DataFrame, key: str, text: str, required: Sequence[str
     (rows, skipped, quarantine): skipped has the keys of texts without one of the
     ``required`` columns, quarantine the records with more fields than the header.
     """
-    records = csv_records(F.col(text))
-    header = F.transform(csv_fields(F.element_at(records, 1), sep), snake_case_expr)
-    t = df.select(key, header.alias("__h"), F.filter(
-        F.slice(records, 2, F.greatest(F.size(records) - 1, F.lit(0))), lambda r: F.length(F.trim(r)) > 0).alias("__records"))
+    t = once(df.select(key, text), "__all", csv_records(F.col(text)))
+    t = once(t, "__h", F.transform(csv_fields(F.element_at("__all", 1), sep), snake_case_expr))
+    t = t.select(key, "__h", F.filter(
+        F.slice("__all", 2, F.greatest(F.size("__all") - 1, F.lit(0))), lambda r: F.length(F.trim(r)) > 0).alias("__records"))
     need = F.array(*[F.lit(snake_case(r)) for r in required])
     whole = F.size(F.array_except(need, "__h")) == 0
     skipped = t.where(~whole).select(key)
     rows = t.where(whole).select(key, "__h", F.posexplode("__records").alias("line_no", "__l"))
-    rows = rows.withColumn("__f", csv_fields(F.col("__l"), sep))
+    rows = once(rows, "__f", csv_fields(F.col("__l"), sep))
     n = F.size("__h")
     quarantine = rows.where(F.size("__f") > n).select(key, "line_no", F.col("__l").alias("record"))
     padded = F.concat("__f", F.array_repeat(F.lit(None).cast("string"), F.greatest(n - F.size("__f"), F.lit(0))))
     fields = F.when(F.size("__f") <= n, F.map_from_arrays("__h", padded))  # Spark may test later filters first
-    rows = rows.where(F.size("__f") <= n).select(key, "line_no", fields.alias("fields"))
+    rows = once(rows.where(F.size("__f") <= n), "fields", fields).select(key, "line_no", "fields")
     return rows, skipped, quarantine
 
 
