@@ -2,7 +2,8 @@
 
 Paragraphs are lines.  A sparse logistic regression over word 1- and 2-grams is
 trained on notices of licence families, cut into overlapping parts, against
-ordinary prose (written examples and paragraphs of a bounded set of documents).
+ordinary prose (written examples and the paragraphs of all documents, counted by
+their features; their weight is a fixed multiple of the written ones', however many).
 Its vocabulary holds only grams of the notices with at least one cue word, so a
 paragraph without cue words has no feature and is unknown without being scored.
 The level at which a family is believed is calibrated on examples that the fit
@@ -16,7 +17,8 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placescore.llm.common import cut, literal_rows
+from placescore.functions.expr import once
+from placescore.llm.common import literal_rows, stored
 
 # Notices of each family, in the wording in which they are published.
 NOTICES = {
@@ -97,8 +99,10 @@ ORDINARY = [
 #: Words that are no cue by themselves.
 PLAIN = set("the of and to in is a an this that it its by with or for under at be are was may shall you on as not any all without along from no into now".split())
 UNKNOWN = "unknown"
-#: Documents whose paragraphs serve as ordinary prose in training, chosen by a hash of their id.
-TRAINING_DOCS = 300
+#: Weight of all paragraphs of documents in training together, in weights of all written examples together.
+ORDINARY_WEIGHT = 1.0
+#: A paragraph with this share of a template's grams is a notice, so no example of ordinary prose.
+NOTICE_SHARE = 0.6
 #: Words of the parts that notices are cut into.
 PART_WORDS = 8
 MAX_GRAMS = 4096
@@ -120,24 +124,30 @@ def _templates(spark: SparkSession) -> DataFrame:
     return literal_rows(spark, "family string, text string", rows).withColumn("w", paragraph_words(F.col("text")))
 
 
-def _examples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(family, w): parts of notices, whole notices (three times), and ordinary paragraphs."""
+def _examples(docs: DataFrame, text_col: str, cues: list[str], vocabulary: list[str]) -> DataFrame:
+    """(family, found, g, n): features of parts of notices, whole notices (three times), written prose, and paragraphs of
+    all documents (``found``), each set of features once with its count; paragraphs without features are one set."""
     spark = docs.sparkSession
     t = _templates(spark)
     parts = t.select("family", F.explode(F.expr(
         f"transform(sequence(1, greatest(1, size(w) - {PART_WORDS - 1})), i -> slice(w, i, {PART_WORDS}))")).alias("w"))
     whole = t.select("family", "w").crossJoin(spark.range(3).select()).union(parts)
     prose = literal_rows(spark, "text string", [(s,) for s in ORDINARY]).crossJoin(spark.range(3).select())
-    some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text")).limit(TRAINING_DOCS)
-    lines = some.select(F.explode(F.split("text", "\n")).alias("text")).filter(~F.lower("text").rlike(r"licen[cs]e|copyright|rights reserved|public domain"))
-    plain = prose.unionByName(lines).select(F.lit(UNKNOWN).alias("family"), paragraph_words(F.col("text")).alias("w"))
-    return whole.union(plain).filter(F.size("w") > 0)
-
-
-def _scores(paragraphs: DataFrame, weights: DataFrame, families: list[str], base: list[float]) -> DataFrame:
-    """(key, family, probability, p_unknown) of paragraphs (key, w) that have a gram of the vocabulary."""
+    prose = prose.select(F.lit(UNKNOWN).alias("family"), paragraph_words(F.col("text")).alias("w"))
+    lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("text")).filter(~F.lower("text").rlike(r"licen[cs]e|copyright|rights reserved|public domain"))
+    lines = once(lines, "w", paragraph_words(F.col("text"))).select(F.lit(UNKNOWN).alias("family"), "w")
+    cue, known = [F.array(*[F.lit(x) for x in xs]) for xs in (cues, vocabulary)]
+    found = F.when(F.arrays_overlap("w", cue), F.array_sort(F.array_intersect(grams("w"), known))).otherwise(F.array().cast("array<string>"))
+    count = lambda df, of: once(df.filter(F.size("w") > 0), "g", found).groupBy("family", F.lit(of).alias("found"), "g").agg(F.count(F.lit(1)).alias("n"))
+    shapes = t.select(F.array_intersect(grams("w"), known).alias("_t")).filter(F.size("_t") > 0)
+    copies = F.size(F.array_intersect("g", "_t")) >= NOTICE_SHARE * F.size("_t")
+    return count(whole.union(prose), False).union(count(lines, True).join(F.broadcast(shapes), copies, "left_anti"))  # the templates above
+
+
+def _scores(found: DataFrame, weights: DataFrame, families: list[str], base: list[float]) -> DataFrame:
+    """(key, family, probability, p_unknown) of paragraphs (a row per key and gram) that have a gram of the vocabulary."""
     n = len(families)
-    summed = (paragraphs.select("key", F.explode(grams("w")).alias("gram")).join(F.broadcast(weights), "gram")  # at most MAX_GRAMS rows
+    summed = (found.join(F.broadcast(weights), "gram")  # at most MAX_GRAMS rows
               .groupBy("key").agg(*[F.sum(F.col("weight")[k]).alias(f"_{k}") for k in range(n)]))
     z = F.array(*[F.col(f"_{k}") + F.lit(base[k]) for k in range(n)])
     soft = summed.select("key", z.alias("_z")).withColumn("_e", F.transform("_z", lambda x: F.exp(x - F.array_max("_z"))))
@@ -158,16 +168,18 @@ class Scanner:
         cues = sorted({w for r in _templates(spark).select("w").collect() for w in r["w"]} - PLAIN)
         self.cues = cues
         cue = F.array(*[F.lit(c) for c in cues])
-        examples = cut(_examples(docs, id_col, text_col).withColumn("g", grams("w")).withColumn(
-            "g", F.filter("g", lambda x: F.arrays_overlap(F.split(x, " "), cue))).coalesce(1))
         self.families = [UNKNOWN, *NOTICES]
         label = F.array_position(F.array(*[F.lit(f) for f in self.families]), F.col("family")).cast("double") - 1
-        held = F.pmod(F.xxhash64(F.concat_ws(" ", "w")), F.lit(4)) == 0
-        fit = examples.filter(~held)
         notices = _templates(spark).select(F.filter(grams("w"), lambda x: F.arrays_overlap(F.split(x, " "), cue)).alias("g"))
         counts = CountVectorizer(inputCol="g", outputCol="x", binary=True, vocabSize=MAX_GRAMS).fit(notices.coalesce(1))
-        rows = counts.transform(fit.select(label.alias("y"), "g"))
-        model = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1e-3, elasticNetParam=0.2,
+        examples = stored(_examples(docs, text_col, cues, counts.vocabulary))
+        # Only ordinary paragraphs calibrate; those without features are never scored, so they are in the fit, as all notices are.
+        held = (F.col("family") == UNKNOWN) & (F.size("g") > 0) & (F.pmod(F.xxhash64(F.concat_ws("|", "g")), F.lit(4)) == 0)
+        fit = examples.filter(~held)
+        total = {r["found"]: r["n"] for r in fit.groupBy("found").agg(F.sum("n").alias("n")).collect()}
+        weight = F.col("n") * F.when(F.col("found"), F.lit(ORDINARY_WEIGHT * total.get(False, 0) / total.get(True, 1))).otherwise(1.0)
+        rows = counts.transform(fit.select(label.alias("y"), "g", weight.alias("weight")))
+        model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", family="multinomial", regParam=1e-3, elasticNetParam=0.2,
                                    maxIter=60, standardization=False).fit(rows)
         coef = model.coefficientMatrix.toArray()
         self.base = [float(v) for v in model.interceptVector.toArray()]
@@ -176,16 +188,17 @@ class Scanner:
         pad = [0.0] * (len(self.families) - coef.shape[0])
         self.weights = literal_rows(spark, "gram string, weight array<double>", [
             (g, [round(float(v), 9) for v in coef[:, k]] + pad) for k, g in enumerate(counts.vocabulary) if abs(coef[:, k]).max() > 0])
-        # The level: what at most one in a hundred unseen ordinary paragraphs reaches.
-        unseen = examples.filter(held & (F.col("family") == UNKNOWN)).select(F.concat_ws(" ", "w").alias("key"), "w").distinct()
-        found = _scores(unseen, self.weights, self.families, self.base)
-        top, n = found.agg(F.percentile("probability", F.lit(0.99)), F.count(F.lit(1))).first()
+        # The level: what at most one in a hundred unseen sets of features of ordinary paragraphs reaches (to six digits).
+        unseen = examples.filter(held).select(F.concat_ws("|", "g").alias("key"), "g").distinct()
+        found = _scores(unseen.select("key", F.explode("g").alias("gram")), self.weights, self.families, self.base)
+        levels = found.groupBy(F.round("probability", 6).alias("probability")).agg(F.count(F.lit(1)).alias("n"))  # at most a million
+        top, n = levels.agg(F.percentile("probability", F.lit(0.99), F.col("n")), F.sum("n")).first()
         self.level = max(0.5, top if n else 0.5)
 
     def paragraphs(self, keyed: DataFrame) -> DataFrame:
         """(key, family, probability, template_fit, confirmed) of distinct paragraphs (key, w) that are believed to be notices."""
         spark = keyed.sparkSession
-        scored = _scores(keyed, self.weights, self.families, self.base).filter(F.col("probability") >= self.level)
+        scored = _scores(keyed.select("key", F.explode(grams("w")).alias("gram")), self.weights, self.families, self.base).filter(F.col("probability") >= self.level)
         t = _templates(spark).select("family", grams("w").alias("_t"))
         words = F.split("key", " ")
         against = scored.withColumn("_w", words).withColumn("_g", grams("_w")).join(F.broadcast(t), "family")  # the templates above

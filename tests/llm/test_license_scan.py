@@ -23,3 +23,13 @@ def test_families(spark):
 
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_document_serves_as_ordinary_prose(spark):
+    texts = ["Some public software.\nPlain words here.", "Released under the GNU GPL, version 2 or later.", "All rights reserved.", None, ""]
+    df = spark.createDataFrame([(i, texts[i % 5]) for i in range(2500)], "doc_id long, text string")
+    words = L._templates(spark).select("w").collect()
+    cues = sorted({w for r in words for w in r["w"]} - L.PLAIN)
+    vocabulary = sorted({g for r in L._templates(spark).select(L.grams("w").alias("g")).collect() for g in r["g"] if set(g.split()) & set(cues)})
+    got = {tuple(r["g"]): r["n"] for r in L._examples(df, "text", cues, vocabulary).filter("found").collect()}
+    assert got == {("public", "software"): 500, (): 500}  # all of them, and no notice among them
