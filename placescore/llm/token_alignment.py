@@ -9,8 +9,12 @@ The end arrays are compared along a diagonal: while A's i-th and B's j-th token
 end together the shift j - i stays, so runs of one-to-one groups are jumped by
 exponential probing (1, 2, 4, ... equal ends, then halving down to the first
 that differs).  There an irregular group is resolved by advancing whichever side
-ends first, and the shift updated.  The texts of a slice lie behind each other,
-so that one walk serves them all.
+ends first, and the shift updated.
+
+A text is parted at single spaces, where no token of either crosses, so that a
+part's end is a group's end.  A part is encoded and aligned when a task first
+meets it, with other new parts behind each other in one walk; a text's groups and
+links are those of its parts in order, each fetched by the part's number.
 
 A and B tokens whose bytes overlap are linked; the count of an id pair is the
 number of its links in the whole table.  Each row keeps its distinct pairs; the
@@ -28,9 +32,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +44,17 @@ from pyspark.sql import functions as F
 from placescore.llm.common import stored
 from placescore.llm.token_counts import read_file
 
-#: Text bytes (and rows) that are aligned in one walk.
+#: Text characters (and rows) that are put together from their parts at a time.
 SLICE_CHARS, SLICE_ROWS = 1 << 20, 2000
 #: Ends that a run's first probe compares.
 PROBE = 8
 #: Pairs that are sent to all tasks at most (17 bytes each).
 FREQUENT = 1 << 20
-#: Parts of texts whose tokens a task remembers at a time, and the longest one remembered.
-MEMO, MEMO_CHARS = 1 << 19, 64
+#: Parts of texts whose alignment a task remembers at a time, and the longest one remembered; parts that are aligned in one walk.
+MEMO, MEMO_CHARS, BLOCK = 1 << 20, 64, 4096
 #: A space between two of these characters (printable in all versions of Unicode) parts a text: no token of either
 #: tokenizer has such a space but at its start.
-SPACE = re.compile("(?<=[!-~¡-¬®-ɏ]) (?=[!-~¡-¬®-ɏ])")
+SPACE = re.compile(" (?<=[!-~¡-¬®-ɏ] )(?=[!-~¡-¬®-ɏ])")
 
 
 # --- alignment -------------------------------------------------------------------
@@ -108,9 +112,9 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 # --- tokenizers --------------------------------------------------------------------
 
-#: A's pre-tokens of a space and printable ASCII without spaces.
-_ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+").findall
-_SPACE_SYMBOL = "\u0120"
+#: A's pre-tokens of texts of ``_PLAIN`` characters and spaces between them, of which all versions of Unicode say the same.
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9²³¹¼-¾]+| ?[^ A-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+").findall
+_PLAIN = re.compile("[!-~¡-¬®-ɏ]+").fullmatch
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -139,24 +143,18 @@ class ByteLevel:
         self.bytes = [b""] * (max(ids.values()) + 1)
         for token, k in ids.items():
             self.bytes[k] = token.encode() if token in special else bytes(symbols[c] for c in token)
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+        names = {x: c for c, x in symbols.items()} | {0x0A: "\n"}  # line feeds part words
+        self.symbols = "".join(names[x] for x in range(256))
 
-        self.words: dict[str, list[int]] = {}
-
-    def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            ids = [t.id for t in self.library.model.tokenize(word.replace(" ", _SPACE_SYMBOL))]
-            if len(word) <= MEMO_CHARS:
-                self.words[word] = ids
-        return ids
-
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        # Printable ASCII stands for itself among byte symbols, and its words are cut here; the library does the rest.
-        plain = [p.isascii() and p.isprintable() and " " not in p for p in parts]
-        rest = iter(self.library.encode_batch_fast([" " + p for p, x in zip(parts, plain) if not x], add_special_tokens=False))
-        return [[k for w in _ASCII_WORDS(" " + p) for k in self._word(w)] if x else next(rest).ids for p, x in zip(parts, plain)]
+    def encode(self, parts: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, and how many of them there are up to each part's end; ``plain`` parts are all of ``_PLAIN`` characters."""
+        if plain:  # each begins a word with its space, so that they can stand behind each other
+            words = charmap_decode("\n".join(_WORDS(" " + " ".join(parts))).encode(), "strict", self.symbols)[0].split("\n")
+            merged = self.library.model.tokenize
+            ids = np.array([t.id for w in words for t in merged(w)], np.int64)
+            return ids, np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) + 1 for p in parts]), "right")
+        return _flat([x.ids for x in self.library.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)])
 
 
 class Pieces:
@@ -168,93 +166,168 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=file)
         names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(x[3:5], 16)]) if self.model.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(names)]
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
         # Texts may be parted at a space if no piece crosses it and spaces are kept as they are.
         self.parted = not any(re.search("[^▁]▁", x) for x in names) and self.model.normalize(" a  b ") == "▁▁a▁▁b▁"
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        return self.model.encode(parts, num_threads=1)
+    def encode(self, parts: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.model.encode(parts, num_threads=1))
+
+
+def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(list(chain.from_iterable(found)), np.int64), np.cumsum(list(map(len, found)))
+
+
+# --- parts -----------------------------------------------------------------------
+
+class Pile:
+    """An array that grows at its end."""
+
+    def __init__(self, kind, *width: int):
+        self.data, self.n = np.zeros((1 << 10, *width), kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        n = self.n + len(more)
+        if n > len(self.data):
+            data = np.zeros((max(n, 2 * len(self.data)), *self.data.shape[1:]), self.data.dtype)
+            data[:self.n] = self.data[:self.n]
+            self.data = data
+        self.data[self.n:n] = more
+        self.n = n
+
+
+def _joined(data: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte strings of the given numbers behind each other, and their ends after a 0; string k ends at ``ends[k + 1]``."""
+    got = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).take(pa.array(at))
+    _, ends, data = got.buffers()
+    ends = np.frombuffer(ends, np.int64)[:len(at) + 1]
+    return np.frombuffer(data if data is not None else b"", np.uint8)[:ends[-1]], ends
+
+
+def _strings(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(values), np.uint8), np.cumsum([0, *map(len, values)])
 
 
 class Aligner:
     def __init__(self, file_a: bytes, file_b: bytes):
         self.a, self.b = ByteLevel(file_a), Pieces(file_b)
-        self.size_a, self.size_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
         # An id and what follows it: in a group, at the group's end of A, at that of B.
         n, m = len(self.a.bytes), len(self.b.bytes)
-        self.shown = np.array([b"%d," % k for k in range(n)] + [b"%d|" % k for k in range(n)] + [b"%d," % k for k in range(m)] + [b"%d;" % k for k in range(m)], object)
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.bad: set[str] = set()  # known parts that the tokens of one side do not spell
+        self.shown = _strings([b"%d," % k for k in range(n)] + [b"%d|" % k for k in range(n)] + [b"%d," % k for k in range(m)] + [b"%d;" % k for k in range(m)])
+        self.spelled = [_strings(t.bytes) for t in (self.a, self.b)]
+        self.kind = np.dtype("<u8" if n * m > 1 << 32 else "<u4")
+        self._forget()
+
+    def _forget(self, keep: int = 0) -> None:
+        """All parts but the first ``keep``."""
+        if not keep:
+            # Parts and their numbers; of each number: tokens of A and of B, groups, links and 1 if a side does not spell it; groups as shown; linked pairs.
+            self.known: tuple[dict[str, int], Pile, list[Pile], list[Pile]] = ({}, Pile(np.int64, 5), [Pile(np.uint8), Pile(np.int64)], [Pile(np.uint8), Pile(np.int64)])
+            for data, ends in self.known[2:]:
+                ends.add([0])
+            return
+        number, fields, *strings = self.known
+        for part in list(islice(reversed(number), len(number) - keep)):
+            del number[part]
+        fields.n = keep
+        for data, ends in strings:
+            ends.n, data.n = keep + 1, ends.data[keep]
 
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both, or None where there are none or they do not spell the text."""
-        cut = [(SPACE.split(t) if self.b.parted else [t]) if t else [] for t in texts]
-        every = set().union(*cut)
-        new = [p for p in every if p not in self.known[0]]
-        if len(self.known[0]) + len(new) > MEMO:
-            self.known[0].clear()
-            self.known[1].clear()
-            self.bad.clear()
-            new = list(every)
-        for tokenizer, known in zip((self.a, self.b), self.known):
-            for k in range(0, len(new), 4096):
-                self._learn(tokenizer, known, new[k:k + 4096])
-        get = [known.__getitem__ for known in self.known]
-        out = [tuple(np.frombuffer(b"".join(map(g, parts)), np.uint32) for g in get) if parts and self.bad.isdisjoint(parts) else None for parts in cut]
-        for part in every:
-            if len(part) > MEMO_CHARS:
-                self.bad.discard(part)
-                for known in self.known:
-                    del known[part]
-        return out
+        """Ids of both, read back from the groups, or None where there are none or they do not spell the text."""
+        shown = [[g.split("|") for g in row[4].decode().split(";")] if row[4] else None for row in self.rows(texts)]
+        return [g and tuple(np.array(",".join(x[s] for x in g).split(","), np.uint32) for s in (0, 1)) for g in shown]
 
-    def _learn(self, tokenizer: ByteLevel | Pieces, known: dict[str, bytes], parts: list[str]) -> None:
-        found = tokenizer.encode(parts)
-        ids = list(chain.from_iterable(found))
-        packed, spelled = array("I", ids).tobytes(), b"".join(map(tokenizer.bytes.__getitem__, ids))
+    def _learn(self, parts: list[str], plain: bool) -> None:
+        """Align the tokens of parts that are not known; in one walk, as a part's end is an end of both."""
+        number, fields, *strings = self.known
         data = [b" " + p.encode() for p in parts]
-        end = np.cumsum([len(x) for x in found]).tolist()
-        known.update(zip(parts, map(packed.__getitem__, map(slice, [0, *(4 * x for x in end[:-1])], [4 * x for x in end]))))
-        sizes = np.r_[0, np.cumsum(np.array(list(map(len, map(tokenizer.bytes.__getitem__, ids))), np.int64))][end]
-        if spelled != b"".join(data) or (sizes != np.cumsum([len(x) for x in data])).any():
-            self.bad.update(p for p, x, d in zip(parts, found, data) if b"".join(map(tokenizer.bytes.__getitem__, x)) != d)
+        ends = np.cumsum(list(map(len, data)))
+        good, found = np.ones(len(parts), bool), []
+        for tokenizer, spelled in zip((self.a, self.b), self.spelled):
+            ids, upto = tokenizer.encode(parts, plain)
+            got, at = _joined(*spelled, ids)
+            got, at = got.tobytes(), np.r_[0, at[upto]]
+            if got != b"".join(data) or (at[1:] != ends).any():
+                good &= [got[lo:hi] == x for lo, hi, x in zip(at[:-1], at[1:], data)]
+            found.append((ids, np.diff(upto, prepend=0)))
+        values, shown, pairs = np.zeros((len(parts), 5), np.int64), np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        values[:, 4] = ~good
+        texts, linked = np.zeros(0, np.uint8), np.zeros(0, self.kind)
+        if good.any():
+            (a, size_a), (b, size_b) = ((ids[np.repeat(good, size)], size[good]) for ids, size in found)
+            row_a, row_b = np.cumsum(size_a), np.cumsum(size_b)
+            ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+            group_a, group_b = align_ends(ends_a, ends_b)
+            link_a, link_b = links(ends_a, ends_b)
+            groups, n_links = np.searchsorted(group_a, row_a, "right"), np.searchsorted(link_a, row_a)
+            values[good, :4] = np.column_stack([size_a, size_b, np.diff(groups, prepend=0), np.diff(n_links, prepend=0)])
+            # A's token i stands behind all B tokens of the groups before, B's token j behind all A tokens up to its group.
+            of_a, of_b = (np.repeat(np.arange(len(g)), np.diff(g, prepend=0)) for g in (group_a, group_b))
+            last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+            last_a[group_a - 1], last_b[group_b - 1] = True, True
+            n, m = len(self.a.bytes), len(self.b.bytes)
+            order = np.empty(len(a) + len(b), np.int64)
+            order[np.arange(len(a)) + np.r_[0, group_b[:-1]][of_a]] = a + n * last_a
+            order[np.arange(len(b)) + group_a[of_b]] = 2 * n + b + m * last_b
+            texts, at = _joined(*self.shown, order)
+            shown[good] = np.diff(at[row_a + row_b], prepend=0)
+            linked = (a[link_a] * m + b[link_b]).astype(self.kind)
+            pairs = values[:, 3] * self.kind.itemsize
+        number.update(zip(parts, range(len(number), len(number) + len(parts))))
+        fields.add(values)
+        for (data, ends), more, size in zip(strings, (texts, linked.view(np.uint8)), (shown, pairs)):
+            ends.add(data.n + np.cumsum(size))
+            data.add(more)
+
+    def _numbers(self, parts: list[str]) -> tuple[np.ndarray, int]:
+        """Numbers of parts, which are known from now on, and how many of the known are to be remembered."""
+        number = self.known[0]
+        found = list(map(number.get, parts))
+        if None not in found:
+            return np.array(found, np.int64), len(number)
+        new = list(dict.fromkeys(p for p, k in zip(parts, found) if k is None))
+        if len(number) + len(new) > MEMO:
+            self._forget()
+            number, new = self.known[0], list(dict.fromkeys(parts))
+        kinds = [[], [], []]  # plain and others, then those that are too long to remember
+        for p in new:
+            kinds[2 if len(p) > MEMO_CHARS else not _PLAIN(p)].append(p)
+        keep = len(number) + len(kinds[0]) + len(kinds[1])
+        for k, some in enumerate(kinds):
+            for at in range(0, len(some), BLOCK):
+                self._learn(some[at:at + BLOCK], k == 0)
+        return np.fromiter(map(number.__getitem__, parts), np.int64, len(parts)), keep
 
     def rows(self, texts: list[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups, pairs, times) of each text."""
-        found = self.tokens(texts)
-        used = [k for k, f in enumerate(found) if f]
-        out: list[tuple] = [(0, 0, 0, 0, b"", b"", b"")] * len(texts)
-        if not used:
-            return out
-        a, b = (np.concatenate([found[k][s] for k in used]).astype(np.int64) for s in (0, 1))
-        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        group_a, group_b = align_ends(ends_a, ends_b)
-        row_a, row_b = (np.cumsum([len(found[k][s]) for k in used]) for s in (0, 1))
-        groups = np.searchsorted(group_a, row_a, "right")
-        link_a, link_b = links(ends_a, ends_b)
-        link_row = np.searchsorted(row_a, link_a, "right")
-        n_links = np.bincount(link_row, minlength=len(used))
-        # A's token i stands behind all B tokens of the groups before, B's token j behind all A tokens up to its group.
-        of_a, of_b = (np.repeat(np.arange(len(g)), np.diff(g, prepend=0)) for g in (group_a, group_b))
-        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-        last_a[group_a - 1], last_b[group_b - 1] = True, True
-        n, m = len(self.size_a), len(self.size_b)
-        order = np.empty(len(a) + len(b), np.int64)
-        order[np.arange(len(a)) + np.r_[0, group_b[:-1]][of_a]] = a + n * last_a
-        order[np.arange(len(b)) + group_a[of_b]] = 2 * n + b + m * last_b
+        cut = [(SPACE.split(t) if self.b.parted else [t]) if t else [] for t in texts]
+        part, keep = self._numbers(list(chain.from_iterable(cut)))
+        upto = np.cumsum([0, *map(len, cut)])
+        _, fields, *strings = self.known
+        total = np.zeros((len(part) + 1, 5), np.int64)
+        np.cumsum(fields.data[part], axis=0, out=total[1:])
+        total = np.diff(total[upto], axis=0)
+        (shown, shown_at), (pair, _) = (_joined(data.data, ends.data[:ends.n], part) for data, ends in strings)
+        if keep < len(self.known[0]):
+            self._forget(keep)
         # Distinct pairs of each row.
-        pair = a[link_a] * m + b[link_b]
-        by = np.lexsort((pair, link_row))
-        pair, row = pair[by], link_row[by]
-        start = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])])
-        times = np.diff(start, append=len(pair)).astype("<u4")
-        pair, bounds = pair[start].astype("<u8" if n * m > 1 << 32 else "<u4"), np.searchsorted(row[start], np.arange(len(used) + 1))
-        at = was = was_a = was_b = 0
-        for k, x in enumerate(used):
-            end = int(row_a[k] + row_b[k])
-            shown = b"".join(b"".join(self.shown[order[lo:min(lo + (1 << 18), end)]]) for lo in range(at, end, 1 << 18))
-            lo, hi = bounds[k], bounds[k + 1]
-            out[x] = (int(row_a[k]) - was_a, int(row_b[k]) - was_b, int(groups[k]) - was, int(n_links[k]), shown[:-1], pair[lo:hi].tobytes(), times[lo:hi].tobytes())
-            at, was, was_a, was_b = end, int(groups[k]), int(row_a[k]), int(row_b[k])
+        pair, row = pair.view(self.kind), np.repeat(np.arange(len(texts), dtype=np.uint64), total[:, 3])
+        if self.kind.itemsize == 4:
+            both = np.sort(row << np.uint64(32) | pair)
+            pair, row = both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)
+        else:
+            by = np.lexsort((pair, row))
+            pair, row = pair[by], row[by]
+        start = np.flatnonzero(np.r_[len(pair) > 0, (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])])
+        times, pair = np.diff(start, append=len(pair)).astype("<u4"), pair[start].astype(self.kind)
+        bounds = np.searchsorted(row[start], np.arange(len(texts) + 1, dtype=np.uint64))
+        at, shown = shown_at[upto].tolist(), shown.tobytes()
+        out: list[tuple] = [(0, 0, 0, 0, b"", b"", b"")] * len(texts)
+        for k, (*n, bad) in enumerate(total.tolist()):
+            if n[0] and not bad:
+                lo, hi = bounds[k], bounds[k + 1]
+                out[k] = (*n, shown[at[k]:at[k + 1] - 1], pair[lo:hi].tobytes(), times[lo:hi].tobytes())
         return out
 
 

@@ -142,3 +142,39 @@ def test_memory_of_parts_is_bounded(monkeypatch):
 def test_empty_table(spark):
     aligned = T.align_documents(spark.createDataFrame([], "doc_id long, text string"), *PATHS)
     assert T.count_links(aligned, 50257, 32000).count() == 0
+
+
+def test_a_part_is_aligned_once(monkeypatch):
+    walked = []
+    ends = T.align_ends
+    monkeypatch.setattr(T, "align_ends", lambda a, b: walked.append(len(a)) or ends(a, b))
+    aligner = T.Aligner(*[T.read_file(p) for p in PATHS])
+    text = "Heureusement, the cat's façade sat in Unverträglichkeit of the thntanin."
+    once = sum(len(a) for a, _, _ in brute_groups(" ".join(dict.fromkeys(text.split(" ")))))
+    rows = aligner.rows([" ".join([text] * 30)] * 5) + aligner.rows([text] * 50)
+    assert sum(walked) == once and [r[0] for r in rows[5:]] == [len(A.encode(" " + text).ids)] * 50
+
+
+def test_forgotten_parts_and_wide_pairs(monkeypatch):
+    texts = [*TEXTS, None, " ".join(f"wörd{k % 37}, {k}² ½×" for k in range(300)), "a " + "z" * 90 + " ▁ b", "a " + "z" * 90 + " b"]
+    want = T.Aligner(*[T.read_file(p) for p in PATHS]).rows(texts)
+    for t, row in zip(texts, want):
+        assert row[4].decode() == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b, _ in brute_groups(t) or [])
+    for name, value in (("MEMO", 10), ("MEMO_CHARS", 4), ("BLOCK", 3)):
+        monkeypatch.setattr(T, name, value)
+    aligner = T.Aligner(*[T.read_file(p) for p in PATHS])
+    assert [aligner.rows([t])[0] for t in texts] == want and aligner.rows([]) == [] and aligner.rows(texts) == want
+    aligner.kind = np.dtype("<u8")
+    aligner._forget()
+    wide = aligner.rows(texts)
+    assert [np.frombuffer(r[5], "<u8").tolist() for r in wide] == [np.frombuffer(r[5], "<u4").tolist() for r in want]
+    assert [r[:5] + r[6:] for r in wide] == [r[:5] + r[6:] for r in want]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from([chr(c) for c in range(0x21, 0x250) if T._PLAIN(chr(c))] + list("'stlé2²")), min_size=1, max_size=12), min_size=1, max_size=6))
+def test_plain_parts_as_the_library_cuts_them(parts):
+    ids, upto = ALIGNER.a.encode(parts, True)
+    assert np.split(ids, upto[:-1])[0].tolist() == A.encode(" " + parts[0], add_special_tokens=False).ids
+    assert ids.tolist() == A.encode(" " + " ".join(parts), add_special_tokens=False).ids
+    assert all(T._PLAIN(c) for c in map(chr, range(0x21, 0x250)) if T.SPACE.split(f"{c} {c}") == [c, c])
