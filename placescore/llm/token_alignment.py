@@ -52,6 +52,8 @@ PROBE = 8
 FREQUENT = 1 << 20
 #: Parts of texts whose alignment a task remembers at a time, and the longest one remembered; parts that are aligned in one walk.
 MEMO, MEMO_CHARS, BLOCK = 1 << 20, 64, 4096
+#: Bytes of groups and pairs from which on the remembered parts are forgotten before others are met.
+MEMO_BYTES = 1 << 26
 #: A space between two of these characters (printable in all versions of Unicode) parts a text: no token of either
 #: tokenizer has such a space but at its start.
 SPACE = re.compile(" (?<=[!-~¡-¬®-ɏ] )(?=[!-~¡-¬®-ɏ])")
@@ -287,7 +289,7 @@ class Aligner:
         if None not in found:
             return np.array(found, np.int64), len(number)
         new = list(dict.fromkeys(p for p, k in zip(parts, found) if k is None))
-        if len(number) + len(new) > MEMO:
+        if len(number) + len(new) > MEMO or sum(data.n for data, _ in self.known[2:]) > MEMO_BYTES:
             self._forget()
             number, new = self.known[0], list(dict.fromkeys(parts))
         kinds = [[], [], []]  # plain and others, then those that are too long to remember

@@ -164,6 +164,11 @@ def test_forgotten_parts_and_wide_pairs(monkeypatch):
         monkeypatch.setattr(T, name, value)
     aligner = T.Aligner(*[T.read_file(p) for p in PATHS])
     assert [aligner.rows([t])[0] for t in texts] == want and aligner.rows([]) == [] and aligner.rows(texts) == want
+    monkeypatch.setattr(T, "MEMO", 1 << 20)
+    monkeypatch.setattr(T, "MEMO_BYTES", 0)
+    assert [aligner.rows([t])[0] for t in texts] == want
+    aligner.rows(["one"])
+    assert [*aligner.known[0]] == ["one"]
     aligner.kind = np.dtype("<u8")
     aligner._forget()
     wide = aligner.rows(texts)
